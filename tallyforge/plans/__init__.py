@@ -1 +1,11 @@
+"""All queries of the core, by family."""
 
+from __future__ import annotations
+
+from tallyforge.registry import Registry
+
+
+def all_registries() -> list[Registry]:
+    from tallyforge.plans import problems
+
+    return [problems.R]

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.paths import base_name, canonical_path
-from tallyforge.llm import cooccurrence, neardup
+from tallyforge.llm import cooccurrence, neardup, quantile
 from tallyforge.llm.sql import SQL
+from tallyforge.operators.rows import latest
 from tallyforge.registry import Registry, table
+from tallyforge.session import materialise
 
 R = Registry()
 
@@ -20,6 +22,45 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("finding_a"), F.col("id_b").alias("finding_b"))
 
 
+STAGES = ("think", "plan", "build", "verify")
+QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
+
+
+def _timings(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Runs, each once as loaded last."""
+    return latest(table(spark, sf_dir, "timings").select("timing_id", "loaded_at", *more, *STAGES), ["timing_id"], [F.desc_nulls_last("loaded_at")])
+
+
+def _minutes() -> dict:
+    """Minutes by stage; a duration below zero is none."""
+    return {s: F.when(F.col(s) >= 0, F.col(s)) for s in STAGES}
+
+
+@R.query("p3_percentiles")
+def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median and other percentiles of minutes per project, surface and stage, with the error of each."""
+    out = quantile.percentiles(_timings(spark, sf_dir, "project", "surface"), ["project", "surface"], _minutes(), QUANTILES, name="stage")
+    return out.withColumn("value_error", F.lit(2.0**-quantile.FRACTION))
+
+
+@R.query("p3_merged")
+def p3_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles per surface and stage put together from the stored states of single load months."""
+    runs = _timings(spark, sf_dir, "surface").withColumn("month", F.date_format("loaded_at", "yyyy-MM"))
+    states = materialise(quantile.sketches(runs, ["surface", "month"], _minutes(), name="stage"), "states")
+    return quantile.ask(quantile.merge(states, ["surface", "stage"]), ["surface", "stage"], QUANTILES)
+
+
+@R.query("p3_without_repeats")
+def p3_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles per stage of all rows as loaded, with the repeated loads of a run taken out again by their own state."""
+    rows = table(spark, sf_dir, "timings").select("timing_id", "loaded_at", *STAGES)
+    again = rows.withColumn("nth", F.row_number().over(Window.partitionBy("timing_id").orderBy(F.desc_nulls_last("loaded_at")))).filter("nth > 1")
+    whole = quantile.sketches(rows, [], _minutes(), name="stage").withColumn("sign", F.lit(1))
+    out = quantile.sketches(again, [], _minutes(), name="stage").withColumn("sign", F.lit(-1))
+    return quantile.ask(quantile.merge(whole.unionByName(out), ["stage"], F.col("sign")), ["stage"], QUANTILES)
+
+
 def _module_pairs(spark: SparkSession, sf_dir: str, **how: int) -> DataFrame:
     touched = table(spark, sf_dir, "entries").filter(F.col("slug").isNotNull()).select("project", "slug", F.explode("modules_touched").alias("module"))
     return cooccurrence.cooccurrence(touched, F.col("project"), F.col("slug"), canonical_path(F.col("module")), **how)

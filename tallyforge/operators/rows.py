@@ -27,10 +27,10 @@ def running_total(df: DataFrame, part: list[str], order: list[str], bucket: Colu
     df = df.withColumn(b, bucket)
     sums = df.groupBy(*part, b).agg(F.sum(value).alias("__s"))
     w = Window.partitionBy(*part).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select(*part, b, F.coalesce(F.sum("__s").over(w), F.lit(0)).alias("__before"))
+    before = sums.select(*[F.col(c).alias(f"__p{i}") for i, c in enumerate(part)], F.col(b).alias("__b"), F.coalesce(F.sum("__s").over(w), F.lit(0)).alias("__before"))
+    on = F.col(b) == F.col("__b")
+    for i, c in enumerate(part):
+        on = on & F.col(c).eqNullSafe(F.col(f"__p{i}"))
     inner = Window.partitionBy(*part, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    on = df[b] == before[b]
-    for c in part:
-        on = on & df[c].eqNullSafe(before[c])
-    kept = [df[c] for c in df.columns]
-    return df.join(before, on).select(*kept, before["__before"]).withColumn(out, F.col("__before") + F.sum(value).over(inner)).drop(b, "__before")
+    total = (F.col("__before") + F.sum(value).over(inner)).alias(out)
+    return df.join(before, on).select(*[c for c in df.columns if c != b], total)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.paths import base_name, canonical_path
-from tallyforge.llm import cooccurrence, neardup, quantile
+from tallyforge.llm import cooccurrence, mixing, neardup, packing, quantile, tokens
 from tallyforge.llm.sql import SQL
 from tallyforge.operators.rows import latest
 from tallyforge.registry import Registry, table
@@ -80,3 +80,57 @@ def p4_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = cooccurrence.scored(_module_pairs(spark, sf_dir, min_together=2, max_items=40))
     rounded = [F.floor(F.col(c) * 1e6 + 0.5).cast("bigint").alias(f"{c}_ppm") for c in ("lift", "conviction")]
     return pairs.select(F.col("grp").alias("project"), F.col("item_a").alias("file_a"), F.col("item_b").alias("file_b"), "n_a", "n_b", F.col("n_ab").cast("bigint").alias("n_ab"), "n", *rounded)
+
+
+def _tokens(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """(doc_id, ..., tokens) of all documents, stored, since counting is what costs."""
+    return materialise(tokens.with_tokens(table(spark, sf_dir, "documents"), {c: F.col(c) for c in ("doc_id", *more)}, "text"), "tokens")
+
+
+@R.query("p6_packs")
+def p6_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pack of every text for each capacity alone, and (packing ``joint``) with all capacities permitted together."""
+    sizes = {r["pack"]: [r["capacity_tokens"]] for r in table(spark, sf_dir, "pack_sizes").collect()}
+    packings = {**sizes, "joint": [c for caps in sizes.values() for c in caps]}
+    packed = packing.pack(_tokens(spark, sf_dir), "doc_id", "tokens", packings)
+    return packed.withColumnRenamed("item", "doc_id").withColumn("fill", F.col("pack_tokens") / F.col("capacity"))
+
+
+@R.query("p6_fill")
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the packs of each packing are."""
+    return packing.fill(p6_packs(spark, sf_dir).withColumnRenamed("doc_id", "item"))
+
+
+def _drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs = _tokens(spark, sf_dir, "source").withColumnRenamed("doc_id", "doc")
+    targets = table(spark, sf_dir, "mix_targets")
+    return docs, targets, mixing.draw(docs, targets)
+
+
+@R.query("p7_drawn")
+def p7_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of each mix and how often each is used."""
+    _, _, drawn = _drawn(spark, sf_dir)
+    return drawn.groupBy("mix", "source", F.col("doc").alias("doc_id"), "tokens").agg(F.count("*").alias("times"))
+
+
+@R.query("p7_shares")
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of every row of the targets, also of sources that give nothing."""
+    _, targets, drawn = _drawn(spark, sf_dir)
+    own = drawn.groupBy("mix", "source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("copies"), F.max("round").alias("last_round"))
+    whole = own.groupBy("mix").agg(F.sum("tokens").alias("all_tokens"))
+    wanted = targets.select("mix", mixing.source_name(F.col("source")).alias("source"), "target_weight", "max_repeats")
+    weight = wanted.groupBy("mix").agg(F.sum("target_weight").alias("all_weight"))
+    joined = wanted.join(weight, "mix").join(own, ["mix", "source"], "left").join(whole, "mix", "left")
+    return joined.select(
+        "mix",
+        "source",
+        (F.col("target_weight") / F.col("all_weight")).alias("target_share"),
+        F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("reached_share"),
+        F.coalesce("tokens", F.lit(0)).alias("tokens"),
+        F.coalesce("copies", F.lit(0)).alias("copies"),
+        F.coalesce(F.col("last_round") + 1, F.lit(0)).alias("most_times"),
+        "max_repeats",
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.paths import base_name, canonical_path
-from tallyforge.llm import cooccurrence, mixing, neardup, packing, quantile, tokens
+from tallyforge.llm import cooccurrence, mixing, mojibake, neardup, packing, quantile, tokens
 from tallyforge.llm.sql import SQL
 from tallyforge.operators.rows import latest
 from tallyforge.registry import Registry, table
@@ -134,3 +134,15 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.col("last_round") + 1, F.lit(0)).alias("most_times"),
         "max_repeats",
     )
+
+
+@R.query("p8_found")
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with text read in another encoding than it was written in."""
+    return mojibake.garbled(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id").distinct()
+
+
+@R.query("p8_restored")
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents with the chain of encodings and the text as it was, as far as that can be told."""
+    return mojibake.garbled(table(spark, sf_dir, "documents"), "doc_id", "text")

@@ -6,6 +6,6 @@ from tallyforge.registry import Registry
 
 
 def all_registries() -> list[Registry]:
-    from tallyforge.plans import problems
+    from tallyforge.plans import joins, ledger, problems
 
-    return [problems.R]
+    return [ledger.R, joins.R, problems.R]

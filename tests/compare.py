@@ -35,9 +35,23 @@ def duck_rows(sql: str, sf_dir: str) -> tuple[list[str], Counter]:
     return [names[i] for i in order], Counter(tuple(plain(r[i]) for i in order) for r in cur.fetchall())
 
 
+#: Spark's type names by the other engine's.
+TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean", "DATE": "date", "TIMESTAMP": "timestamp_ntz"}
+
+
+def duck_types(sql: str, sf_dir: str) -> dict[str, str]:
+    con = duckdb.connect()
+    for p in Path(sf_dir).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p}{'/*.parquet' if p.is_dir() else ''}')")
+    return {r[0]: TYPES.get(r[1], r[1]) for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+
+
 def differences(spark: SparkSession, query: object, sql: str, sf_dir: str) -> str:
     """Empty where both agree."""
-    n1, a = spark_rows(query(spark, sf_dir))
+    df = query(spark, sf_dir)
+    if (t1 := dict(df.dtypes)) != (t2 := duck_types(sql, sf_dir)):
+        return f"types {sorted(t1.items() - t2.items())} and {sorted(t2.items() - t1.items())}"
+    n1, a = spark_rows(df)
     n2, b = duck_rows(sql, sf_dir)
     if n1 != n2:
         return f"columns {n1} and {n2}"

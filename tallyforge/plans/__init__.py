@@ -6,6 +6,6 @@ from tallyforge.registry import Registry
 
 
 def all_registries() -> list[Registry]:
-    from tallyforge.plans import joins, ledger, problems
+    from tallyforge.plans import joins, ledger, problems, stats, text
 
-    return [ledger.R, joins.R, problems.R]
+    return [ledger.R, joins.R, text.R, stats.R, problems.R]

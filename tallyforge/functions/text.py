@@ -73,7 +73,7 @@ def version_at_least(c: Column, major: int, minor: int) -> Column:
 
 def relative_age(seconds: Column) -> Column:
     """FN-D01: an age in seconds as whole hours below a day, days below a week, else weeks (``5h``, ``3d``, ``2w``); nothing below zero."""
-    s = F.greatest(seconds, F.lit(0))
+    s = F.when(seconds.isNotNull(), F.greatest(seconds, F.lit(0)))
     return F.when(s < 86_400, F.concat(F.floor(s / 3_600).cast("string"), F.lit("h"))).when(s < 604_800, F.concat(F.floor(s / 86_400).cast("string"), F.lit("d"))).when(s.isNotNull(), F.concat(F.floor(s / 604_800).cast("string"), F.lit("w")))
 
 

@@ -23,7 +23,7 @@ def read_tree(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     path = F.regexp_replace("path", "^file:/+", "/")
     kept = raw.filter(~path.rlike("/(" + "|".join(x.replace(".", r"\.") for x in IGNORED) + ")/"))
-    return kept.select(path.alias("path"), F.regexp_extract(path, "([^/]*)$", 1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return kept.select(path.alias("path"), F.regexp_extract(path, "([^/]*)$", 1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), F.decode("content", "UTF-8").alias("text"))
 
 
 def directories(files: DataFrame, depth: int = 4) -> DataFrame:

@@ -198,16 +198,14 @@ def staleness(findings: DataFrame, touched: DataFrame, entries: DataFrame, small
     From then on the expected number is max(3, ceil(later * rate)): reaching it
     is high, half of it medium, less is left out.
     """
-    one = touched.withColumn("__one", F.lit(1).cast("bigint"))
-    upto = running_total(one, ["project", "file"], ["entry_idx"], F.floor(F.col("entry_idx") / CHAIN_BUCKET), "__one", "__upto")
     whole = touched.groupBy("project", "file").agg(F.count("*").alias("__all"))
     place = positions(entries.select("project", "entry_idx")).select(F.col("entry_idx").alias("e_idx"), "pos", "runs")
     active = findings.filter(is_active(F.col("status")) & given(F.col("file")).isNotNull()).select("project", "entry_idx", "f_idx", "id", "severity", "file")
-    # touches up to the finding's entry: the greatest running count at or before it, by a union in order rather than a range join
-    marks = upto.select("project", "file", "entry_idx", "__upto").unionByName(active.select("project", "file", "entry_idx").distinct().withColumn("__upto", F.lit(None).cast("bigint")))
-    marks = marks.groupBy("project", "file", "entry_idx").agg(F.max("__upto").alias("__upto"))
-    before = Window.partitionBy("project", "file").orderBy("entry_idx").rowsBetween(Window.unboundedPreceding, 0)
-    at = marks.select(F.col("project").alias("m_p"), F.col("file").alias("m_f"), F.col("entry_idx").alias("m_e"), F.coalesce(F.max("__upto").over(before), F.lit(0)).alias("__before"))
+    # touches up to a finding's entry: a running count over touches with the findings' places among them, in two levels
+    places = active.select("project", "file", "entry_idx", F.lit(0).cast("bigint").alias("__v"), F.lit(1).alias("__m")).distinct()
+    marks = touched.select("project", "file", "entry_idx", F.lit(1).cast("bigint").alias("__v"), F.lit(0).alias("__m")).unionByName(places)
+    upto = running_total(marks, ["project", "file"], ["entry_idx", "__m"], F.floor(F.col("entry_idx") / CHAIN_BUCKET), "__v", "__before")
+    at = upto.filter(F.col("__m") == 1).select(F.col("project").alias("m_p"), F.col("file").alias("m_f"), F.col("entry_idx").alias("m_e"), "__before")
     w = whole.select(F.col("project").alias("w_p"), F.col("file").alias("w_f"), "__all")
     joined = (
         active.join(at, F.col("project").eqNullSafe(F.col("m_p")) & (F.col("file") == F.col("m_f")) & (F.col("entry_idx") == F.col("m_e")))

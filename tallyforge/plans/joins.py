@@ -11,6 +11,7 @@ from tallyforge.operators import ledger as L
 from tallyforge.operators.rows import latest
 from tallyforge.plans.views import CANON, CTE, entries, findings, modules
 from tallyforge.registry import Registry, table
+from tallyforge.session import materialise
 
 R = Registry()
 
@@ -23,14 +24,19 @@ nodes AS (SELECT DISTINCT project, file FROM t WHERE starts_with(file, 'packages
 """
 
 
+def stored_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of each entry, written once for queries that read them several times."""
+    return materialise(modules(spark, sf_dir), "modules")
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = entries(spark, sf_dir, "modules_touched").select("project", "entry_idx", F.posexplode("modules_touched").alias("i", "m")).select("project", "entry_idx", "i", canonical_path(F.col("m")).alias("src"))
     nxt = at.select(F.col("entry_idx").alias("n_e"), (F.col("i") - 1).alias("n_i"), F.col("src").alias("dst"))
     return at.join(nxt, (F.col("entry_idx") == F.col("n_e")) & (F.col("i") == F.col("n_i")) & (F.col("src") != F.col("dst"))).select("project", "src", "dst").distinct()
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return modules(spark, sf_dir).filter(F.col("file").startswith("packages/") | F.col("file").startswith("src/")).select("project", "file").distinct()
+def nodes(touched: DataFrame) -> DataFrame:
+    return touched.filter(F.col("file").startswith("packages/") | F.col("file").startswith("src/")).select("project", "file").distinct()
 
 
 @R.query(
@@ -50,7 +56,8 @@ FROM p
 """,
 )
 def cochange_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.cochange(modules(spark, sf_dir).select("project", "entry_idx", "file"), edges(spark, sf_dir), nodes(spark, sf_dir))
+    touched = stored_modules(spark, sf_dir)
+    return J.cochange(touched.select("project", "entry_idx", "file"), edges(spark, sf_dir), nodes(touched))
 
 
 @R.query(
@@ -83,7 +90,7 @@ def neighbours_not_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-05: neighbours in the graph that are not also listed as changing together."""
     g = edges(spark, sf_dir)
     n = g.select("project", F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(g.select("project", F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
-    t = modules(spark, sf_dir).select("project", "entry_idx", "file")
+    t = stored_modules(spark, sf_dir).select("project", "entry_idx", "file")
     # only pairs that are neighbours matter: join the edges with the touches of both ends, not all pairs of an entry
     ta = t.select(F.col("project").alias("a_p"), F.col("entry_idx").alias("a_e"), F.col("file").alias("a_f"))
     tb = t.select(F.col("entry_idx").alias("b_e"), F.col("file").alias("b_f"))
@@ -235,7 +242,7 @@ FROM t LEFT JOIN pre ON pre.project = t.project AND starts_with(t.file, prefix |
 """,
 )
 def surface_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = modules(spark, sf_dir)
+    m = stored_modules(spark, sf_dir)
     pattern = r"^(packages/[^/]+|website|scripts|src)/"
     prefixes = m.filter(F.col("file").rlike(pattern)).select("project", F.regexp_extract("file", pattern, 1).alias("prefix")).distinct()
     return J.by_prefix(m.select("project", F.col("entry_idx").alias("item"), "file"), prefixes)

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.operators import ledger as L
+from tallyforge.operators.joins import numbered
 from tallyforge.plans.views import CTE, entries, findings, modules
 from tallyforge.registry import Registry
+from tallyforge.session import materialise
 
 R = Registry()
 
@@ -94,7 +96,8 @@ SELECT *, CASE WHEN later < 5 THEN 'tracking' WHEN reduction_pct > 0 THEN 'effec
 """,
 )
 def promotion_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.promotion_effect(findings(spark, sf_dir, "id", "status", "severity", "category", "file"), entries(spark, sf_dir))
+    own = materialise(findings(spark, sf_dir, "id", "status", "severity", "category", "file"), "findings")
+    return L.promotion_effect(own, materialise(entries(spark, sf_dir), "entries"))
 
 
 @R.query(
@@ -164,8 +167,9 @@ FROM x WHERE later < 5 OR touches >= ceil(expected * 0.5)
 """,
 )
 def stale_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    touched = modules(spark, sf_dir).select("project", "entry_idx", "file")
-    return L.staleness(findings(spark, sf_dir, "id", "status", "severity", "file"), touched, entries(spark, sf_dir))
+    touched = materialise(modules(spark, sf_dir).select("project", "entry_idx", "file"), "touched")
+    own = materialise(findings(spark, sf_dir, "id", "status", "severity", "file"), "findings")
+    return L.staleness(own, touched, materialise(entries(spark, sf_dir), "entries"))
 
 
 @R.query(
@@ -336,10 +340,10 @@ def new_since_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def recency_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-06: newest first, dates that cannot be read last, equals by position."""
-    from pyspark.sql import Window
-
-    e = entries(spark, sf_dir, "completed_at").withColumn("d", F.expr("try_cast(substr(completed_at, 1, 10) AS date)"))
-    return e.select("entry_idx", F.row_number().over(Window.partitionBy("project").orderBy(F.desc_nulls_last("d"), F.desc("entry_idx"))).cast("bigint").alias("place"))
+    day = F.expr("try_cast(substr(completed_at, 1, 10) AS date)")
+    back = F.coalesce(-F.datediff(day, F.lit("1970-01-01").cast("date")), F.lit(10_000_000))
+    e = entries(spark, sf_dir, "completed_at").select("project", "entry_idx", back.alias("back"), (-F.col("entry_idx")).alias("last"))
+    return numbered(e, ["project"], ["back", "last"], F.floor(F.col("back") / 30), "place").select("entry_idx", "place")
 
 
 @R.query(

@@ -66,13 +66,12 @@ def draw(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: i
     docs = docs.select("doc", source_name(F.col("source")).alias("source"), "tokens").filter((F.col("tokens") > 0) & F.col("source").isNotNull())
     plan = shares(docs, targets, budget)
     spark = docs.sparkSession
-    fields = "mix string, source string, share double, total bigint, repeats int, budget bigint, step double"
+    fields = "mix string, source string, share double, total bigint, repeats int, budget bigint, queues array<struct<end:double,copies:double>>"
     rows = []
     for r in plan:
-        own = [x for x in plan if x["mix"] == r["mix"]]
-        copies = sum(x["docs"] * x["repeats"] for x in own)
-        end = max(x["total"] * x["repeats"] / x["share"] for x in own)  # the last finish time there can be
-        rows.append((r["mix"], r["source"], r["share"], r["total"], r["repeats"], r["budget"], end / max(1.0, copies / BUCKET_ROWS)))
+        # when each source of the mix runs out, and the copies it has had by then
+        queues = [(x["total"] * x["repeats"] / x["share"], float(x["docs"] * x["repeats"])) for x in plan if x["mix"] == r["mix"]]
+        rows.append((r["mix"], r["source"], r["share"], r["total"], r["repeats"], r["budget"], queues))
     # one row per row of the targets, which is a configuration: its size does not follow the data
     queue = F.broadcast(spark.createDataFrame(rows, fields))
     largest = max((r["docs"] for r in plan), default=0)
@@ -82,5 +81,7 @@ def draw(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: i
     placed = running_total(shuffled, ["source"], ["h", "doc"], bucket, "tokens", "upto")
     copies = placed.join(queue, "source").withColumn("round", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)))
     copies = copies.withColumn("finish", (F.col("round") * F.col("total") + F.col("upto")) / F.col("share"))
-    copies = running_total(copies, ["mix"], ["finish", "source", "round", "doc"], F.floor(F.col("finish") / F.col("step")), "tokens", "spent")
+    # the copies to be expected up to a finish time rise with it, and buckets of them are of one size even where sources run out early
+    expected = F.aggregate("queues", F.lit(0.0), lambda n, q: n + F.least(F.col("finish") / q["end"], F.lit(1.0)) * q["copies"])
+    copies = running_total(copies, ["mix"], ["finish", "source", "round", "doc"], F.floor(expected / BUCKET_ROWS), "tokens", "spent")
     return copies.filter(F.col("spent") <= F.col("budget")).select("mix", "source", "doc", "tokens", "round")

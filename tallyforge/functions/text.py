@@ -128,3 +128,13 @@ def branch_of_merge(c: Column) -> Column:
     hub = F.regexp_extract(c, r"^Merge pull request #[0-9]+ from [^/\s]+/(\S+)", 1)
     plain = F.regexp_extract(c, r"^Merge (?:remote-tracking )?branch '([^']+)'", 1)
     return F.nullif(F.when(hub != "", hub).otherwise(F.regexp_replace(plain, "^origin/", "")), F.lit(""))
+
+
+def package_parts(c: Column) -> Column:
+    """FN-S20: struct of a package's scope (null without one) and bare name."""
+    return F.struct(F.nullif(F.regexp_extract(c, "^@([^/]+)/", 1), F.lit("")).alias("scope"), F.regexp_replace(c, "^@[^/]+/", "").alias("name"))
+
+
+def anchor_of(c: Column) -> Column:
+    """FN-S06: the first code span of a line, without call marks; null without one."""
+    return F.nullif(F.regexp_replace(F.regexp_extract(c, "`([^`\\n]+)`", 1), r"\(\)$", ""), F.lit(""))

@@ -41,8 +41,8 @@ FEATURES = 1 << 14
 COMMON = 0.01
 #: Log-odds from which on a word counts: where UTF-8 comes out of the inversion
 #: (hardly any sound word is valid UTF-8 by chance), where it does not, and where
-#: it should but bytes are lost.
-SURE_UTF8, SURE_INVERTED, SURE_LOST = 0.0, 12.0, 15.0
+#: it should but bytes are lost, with the rest of a UTF-8 sequence left or without.
+SURE_UTF8, SURE_INVERTED, SURE_BROKEN, SURE_LOST = 0.0, 12.0, 5.0, 15.0
 #: How much likelier, in logs, the restored word must be as a sound word.
 GAIN = 4.0
 #: Likeliest chains of a word that are inverted.
@@ -123,6 +123,7 @@ class Codec:
 
 _RUN = re.compile(r"[^\x00-\x7f]+(?:[A-Za-z]{1,6}[^\x00-\x7f]+)*")
 _CONTROLS = re.compile(r"[\x80-\x9f]")
+_BROKEN = re.compile(rb"[\xc2-\xf4][\x80-\xbf]")
 _HEAD, _TAIL = re.compile(r"[A-Za-z]{0,4}\Z"), re.compile(r"[A-Za-z]{0,4}")
 #: Marks that sound text puts beside names and code; a run of only these needs no context.
 _MARKS = re.compile(r"[‐-‧′-›─-╿☐-⛿✀-➿«»→…]+\Z")
@@ -223,10 +224,10 @@ def judge(model: Model, codec: Codec, keys: list[str]) -> list[tuple[int, float,
     for i in range(len(keys)):
         if i in good:
             out.append((good[i][1], good[i][2], good[i][3]))
-        elif odds[i, best[i, 0]] >= SURE_LOST and model.chains[best[i, 0]][0][0] == "utf_8":
-            out.append((int(best[i, 0]), float(odds[i, best[i, 0]]), None))
         else:
-            out.append(None)
+            c, o = int(best[i, 0]), float(odds[i, best[i, 0]])
+            lost = c and model.chains[c][0][0] == "utf_8" and o >= (SURE_BROKEN if _BROKEN.search(codec.write(keys[i], model.chains[c][-1][1]) or b"") else SURE_LOST)
+            out.append((c, o, None) if lost else None)
     return out
 
 

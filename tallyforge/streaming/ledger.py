@@ -44,11 +44,13 @@ def once(rows: DataFrame, keys: list[str], at: str, late: str = "30 days") -> Da
 OPEN_SCHEMA = "project string, id string, status string, opened timestamp, changes bigint"
 
 
-def current_states(transitions: DataFrame, forget: str = "72 hours") -> DataFrame:
-    """ST-01, ST-03, ST-07: the state of every (project, id) after each batch of transitions, forgotten when nothing comes for ``forget``.
+def current_states(transitions: DataFrame, forget: str = "72 hours", late: str = "1 day") -> DataFrame:
+    """ST-01, ST-03, ST-07: the state of every (project, id) after each batch of transitions.
 
     ``transitions(project, id, status, at)``. Within a batch transitions apply in
-    the order of ``at``; a row is emitted per key and batch.
+    the order of ``at``; a row is emitted per key and batch. A key is forgotten
+    once the watermark is ``forget`` past its last transition, so time is that
+    of the events and a replay gives the same states.
     """
     wait = int(pd.Timedelta(forget).total_seconds() * 1000)
 
@@ -65,11 +67,12 @@ def current_states(transitions: DataFrame, forget: str = "72 hours") -> DataFram
             status = now
             opened = opened if opened is not None else r.at.to_pydatetime()
         state.update((status, opened, changes))
-        state.setTimeoutDuration(wait)
+        last = int(rows["at"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last + wait, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"project": [key[0]], "id": [key[1]], "status": [status], "opened": [opened], "changes": [changes]})
 
-    named = transitions.select("project", "id", "status", instant(F.col("at")).alias("at"))
-    return named.groupBy("project", "id").applyInPandasWithState(step, OPEN_SCHEMA, "status string, opened timestamp, changes bigint", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    named = transitions.select("project", "id", "status", instant(F.col("at")).alias("at")).withWatermark("at", late)
+    return named.groupBy("project", "id").applyInPandasWithState(step, OPEN_SCHEMA, "status string, opened timestamp, changes bigint", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def sessions(rows: DataFrame, key: str, at: str, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:

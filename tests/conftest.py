@@ -13,7 +13,7 @@ SF = os.environ.get("TALLYFORGE_TEST_DIR", "/root/testdata/sf0.001")
 def spark():
     from tallyforge.session import get_session
 
-    s = get_session("tests", master="local[8]", shuffle_partitions=8)
+    s = get_session("tests", master="local[8]", shuffle_partitions=4)
     s.sparkContext.setLogLevel("ERROR")
     yield s
 

@@ -35,7 +35,7 @@ def test_partitions_do_not_matter(spark, sf, name):
     try:
         assert spark_rows(QUERIES[name][0](spark, sf)) == many
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_columns_are_pruned(spark, sf):

@@ -10,7 +10,7 @@ from tallyforge.streaming import ledger as S
 
 def drain(spark, df, name, tmp_path, mode):
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / f"cp-{name}")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(60)
     assert q.exception() is None
     return spark.table(name)
 

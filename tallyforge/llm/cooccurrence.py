@@ -10,7 +10,9 @@ the shuffle. Before baskets are built, items seen in fewer baskets than
 ``min_together`` are left out: a pair cannot occur together more often than its
 rarer item occurs, so no pair that counts is lost, and arrays stay short. Pair
 weights are summed map-side, so a pair that is everywhere sends one row per
-task.
+task. A basket is cut into blocks of ``BLOCK`` items and every pair of blocks
+is a row of its own, dealt out over the tasks, so a large basket is no single
+task's work and none has to be left out.
 
 Defined cases: null items are left out, null baskets too (a basket without a
 name is none); repeated items and rows count once; an item alone has no pair;
@@ -23,6 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Items of a block; two blocks give at most its square of pairs in one row.
+BLOCK = 64
+
 
 def cooccurrence(rows: DataFrame, group: Column, basket: Column, item: Column, min_together: int = 1, max_items: int | None = None) -> DataFrame:
     """(grp, item_a, item_b, n_a, n_b, n_ab, n): item_a < item_b.
@@ -37,12 +42,20 @@ def cooccurrence(rows: DataFrame, group: Column, basket: Column, item: Column, m
         pairs = pairs.join(small, pairs["grp"].eqNullSafe(small["g_"]) & (pairs["bsk"] == small["b_"]), "left_semi")
     total = pairs.select("grp", "bsk").distinct().groupBy("grp").agg(F.count("*").alias("n"))
     items = pairs.groupBy("grp", "item").agg(F.count("*").alias("c")).filter(F.col("c") >= min_together)
-    kept = items.select(F.col("grp").alias("g_"), F.col("item").alias("i_"))
-    frequent = pairs.join(kept, pairs["grp"].eqNullSafe(kept["g_"]) & (pairs["item"] == kept["i_"]), "left_semi")
+    frequent = pairs
+    if min_together > 1:
+        kept = items.select(F.col("grp").alias("g_"), F.col("item").alias("i_"))
+        frequent = pairs.join(kept, pairs["grp"].eqNullSafe(kept["g_"]) & (pairs["item"] == kept["i_"]), "left_semi")
     baskets = frequent.groupBy("grp", "bsk").agg(F.array_sort(F.collect_list("item")).alias("items")).filter(F.size("items") > 1)
     collapsed = baskets.groupBy("grp", "items").agg(F.count("*").alias("weight"))
-    first = collapsed.select("grp", "items", "weight", F.posexplode("items").alias("at", "item_a"))
-    both = first.select("grp", "item_a", F.explode(F.slice("items", F.col("at") + 2, F.size("items"))).alias("item_b"), "weight")
+    starts = F.sequence(F.lit(1), F.size("items"), F.lit(BLOCK))
+    blocks = collapsed.select("grp", "weight", F.transform(starts, lambda i: F.slice("items", i, BLOCK)).alias("blocks"))
+    left = blocks.select("grp", "weight", "blocks", F.posexplode("blocks").alias("at", "xs"))
+    dealt = left.select("grp", "weight", "xs", F.explode(F.slice("blocks", F.col("at") + 1, F.size("blocks"))).alias("ys"))
+    # a fixed number of tasks: blocks are few bytes, their pairs are not
+    dealt = dealt.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    first = dealt.select("grp", "weight", "ys", F.explode("xs").alias("item_a"))
+    both = first.select("grp", "item_a", F.explode(F.filter("ys", lambda y: y > F.col("item_a"))).alias("item_b"), "weight")
     counted = both.groupBy("grp", "item_a", "item_b").agg(F.sum("weight").alias("n_ab")).filter(F.col("n_ab") >= min_together)
     a = items.select(F.col("grp").alias("ga"), F.col("item").alias("ia"), F.col("c").alias("n_a"))
     b = items.select(F.col("grp").alias("gb"), F.col("item").alias("ib"), F.col("c").alias("n_b"))

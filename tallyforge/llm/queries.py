@@ -76,8 +76,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query("p4_cooccurrence", SQL["p4_cooccurrence"])
 def p4_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of files changed together by two work items or more, with lift and conviction."""
-    pairs = cooccurrence.scored(_module_pairs(spark, sf_dir, min_together=2, max_items=40))
+    """All pairs of files changed together by any work item, whatever its size, with lift and conviction."""
+    pairs = cooccurrence.scored(_module_pairs(spark, sf_dir))
     rounded = [F.floor(F.col(c) * 1e6 + 0.5).cast("bigint").alias(f"{c}_ppm") for c in ("lift", "conviction")]
     return pairs.select(F.col("grp").alias("project"), F.col("item_a").alias("file_a"), F.col("item_b").alias("file_b"), "n_a", "n_b", F.col("n_ab").cast("bigint").alias("n_ab"), "n", *rounded)
 

@@ -58,3 +58,20 @@ def test_scores(spark):
     rows = [("p", "1", "a"), ("p", "1", "b"), ("p", "2", "a"), ("p", "2", "b"), ("p", "3", "b"), ("p", "4", "c")]
     r = scored(run(spark, rows)).first()
     assert (r["lift"], r["conviction"]) == (pytest.approx(2 * 4 / (2 * 3)), None)
+
+
+@pytest.mark.parametrize("how", [{}, {"min_together": 2}])
+def test_baskets_of_several_blocks(spark, how):
+    rng = random.Random(5)
+    rows = [(p, s, f"m{i}") for p in "pq" for s, size in (("s", 64), ("t", 65), ("u", 200)) for i in rng.sample(range(230), size)]
+    assert {tuple(r) for r in run(spark, rows, **how).collect()} == brute(rows, how.get("min_together", 1))
+
+
+def test_query_has_large_items_and_pairs_seen_once(spark, tmp_path):
+    from tallyforge.llm.queries import R
+
+    rows = [("p", "large", [f"a/{i:03}.py" for i in range(100)]), ("p", "small", ["a/000.py", "./b.py"]), ("p", None, ["x.py", "y.py"])]
+    spark.createDataFrame(rows, "project string, slug string, modules_touched array<string>").write.parquet(f"{tmp_path}/entries.parquet")
+    flat = [(p, s, m.removeprefix("./")) for p, s, ms in rows for m in ms]
+    got = R.queries["p4_cooccurrence"](spark, str(tmp_path)).select("project", "file_a", "file_b", "n_a", "n_b", "n_ab", "n")
+    assert {tuple(r) for r in got.collect()} == brute(flat)

@@ -14,8 +14,9 @@ them, so documents garbled in one place are found too. ASCII is the same in all
 these encodings, which makes the inversion of a run independent of its
 surroundings.
 
-Training sample: words of the ``SAMPLE`` documents whose key has the least hash,
-the ``WORDS`` commonest of them. Everything else covers all rows and whole texts.
+Training sample: words of the ``SAMPLE`` different texts whose key has the least
+hash, the ``WORDS`` commonest of them. A text counts once however often it is
+copied, since a garbled text copied often would else be learnt as sound. Everything else covers all rows and whole texts.
 The model (a fixed size, some 12 MB) is the only thing broadcast.
 
 Defined cases: null, empty and plain ASCII texts are sound. A single replacement
@@ -37,7 +38,8 @@ from pyspark.sql import functions as F
 
 SAMPLE, WORDS = 4_000, 4_000
 FEATURES = 1 << 14
-#: A word in more than this share of the sample is sound: no one garbled word is that common.
+#: A word without any letter in more than this share of the sample is a sound
+#: mark (tree lines, comparison signs); words with letters have no such pardon.
 COMMON = 0.01
 #: Log-odds from which on a word counts: where UTF-8 comes out of the inversion
 #: (hardly any sound word is valid UTF-8 by chance), where it does not, and where
@@ -176,9 +178,10 @@ def _fit(groups: list[tuple[list[str], np.ndarray]]) -> np.ndarray:
 
 
 def train(counts: dict[str, int], documents: int) -> Model:
-    """A model from words and the number of ``documents`` that hold each, some of them garbled.
+    """A model from words and the number of documents that hold each, some of them garbled.
 
-    The garbled words among them are found by a first model and left out of the second.
+    The garbled words among them are found by a first model and left out of the
+    second, however common they are; only common marks stay.
     """
     codec, ways = Codec(), chains()
     known = sorted(counts, key=lambda k: (-counts[k], k))[:WORDS]
@@ -197,7 +200,7 @@ def train(counts: dict[str, int], documents: int) -> Model:
             groups.append((list(made), np.array(list(made.values()))))
         model = Model(ways, _fit(groups))
         judged = judge(model, codec, known)
-        known = [k for k, j in zip(known, judged, strict=True) if j is None or counts[k] > COMMON * documents]
+        known = [k for k, j in zip(known, judged, strict=True) if j is None or (counts[k] > COMMON * documents and not any(map(str.isalpha, k)))]
     return model
 
 
@@ -289,16 +292,17 @@ class Reader:
 
 
 def learnt(docs: DataFrame, key: str, text: str) -> Model:
-    """A model trained on words of a bounded sample of the documents."""
-    ids = docs.select(F.col(key).alias("__id")).orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE)
-    sample = docs.join(F.broadcast(ids), docs[key] == ids["__id"], "left_semi").select(F.col(text).alias("t")).filter(F.col("t").isNotNull())
+    """A model trained on words of a bounded sample of the different texts."""
+    first = docs.filter(F.col(text).isNotNull()).groupBy(F.unhex(F.md5(text)).alias("__h")).agg(F.min(F.struct(F.xxhash64(key).alias("x"), F.col(key).alias("id"))).alias("__f"))
+    ids = first.select("__f.*").orderBy("x", "id").limit(SAMPLE).select(F.col("id").alias("__id"))
+    sample = docs.join(F.broadcast(ids), docs[key] == ids["__id"], "left_semi").select(F.col(text).alias("t"), F.unhex(F.md5(text)).alias("h")).filter(F.col("t").isNotNull())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [k for t in b.column(0).to_pylist() if not t.isascii() for k in {k for _, _, k in words(t)}]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string())], names=["k"])
+            found = [(k, h) for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if not t.isascii() for k in {k for _, _, k in words(t)}]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([h for _, h in found], pa.binary())], names=["k", "h"])
 
-    common = sample.mapInArrow(count, "k string").groupBy("k").count().orderBy(F.desc("count"), "k").limit(WORDS)
+    common = sample.mapInArrow(count, "k string, h binary").distinct().groupBy("k").count().orderBy(F.desc("count"), "k").limit(WORDS)
     return train({r["k"]: r["count"] for r in common.collect()}, SAMPLE)
 
 

@@ -102,3 +102,10 @@ def test_cut_marks():
     assert not B.is_lost("cut off� \n")
     assert B.is_lost("two��")
     assert B.is_lost("qued� cubierta")
+
+
+def test_copies_of_one_garbled_text_are_not_learnt_as_sound(spark):
+    rows = corpus(600)
+    bad = B.Codec().garble(SOUND["ru"], (("cp1251", "koi8_r"),))
+    rows += [(1000 + i, "ru", bad) for i in range(300)]
+    assert set(run(spark, rows)) == {1000 + i for i in range(300)}

@@ -162,6 +162,62 @@ def contract_tables(contracts: DataFrame) -> DataFrame:
     return children(contracts, "contract_id", "body", contract_maps, contract_children)
 
 
+def _contract(v: object) -> dict | None:
+    """The contract of a parsed body: itself, its ``contract``, its ``data.contract``."""
+    for k in ("data", "contract"):
+        if isinstance(v, dict) and isinstance(v.get(k), dict):
+            v = v[k]
+    return v if isinstance(v, dict) else None
+
+
+def _each_assertion(v: object) -> Iterator[dict]:
+    """Assertions of a list, of blocks that hold lists, of a map by id, or a single one."""
+    if isinstance(v, dict):
+        v = [v] if isinstance(v.get("id"), str) else list(v.values())
+    for x in v if isinstance(v, list) else ():
+        if isinstance(x, dict):
+            if isinstance(x.get("assertions"), (list, dict)):
+                yield from _each_assertion(x["assertions"])
+            else:
+                yield x
+
+
+def _named(v: object) -> list[str]:
+    return [c for x in (v if isinstance(v, list) else [v]) for c in _criteria(x)]
+
+
+def contract_criteria(contracts: DataFrame) -> DataFrame:
+    """(item, kind, ac, matcher) of ``contracts(contract_id, body)`` in every form of body.
+
+    ``kind`` is ``contract`` (one row each, without a criterion), ``link`` (an
+    assertion and a criterion it names) or ``waiver``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = json_reader()
+        for batch in batches:
+            rows: list[tuple[int, str, str | None, str | None]] = []
+            for key, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                v = read(v)
+                while isinstance(v, str):
+                    v = read(v)
+                c = _contract(v)
+                if c is None:
+                    continue
+                rows.append((key, "contract", None, None))
+                for x in _each_assertion(c.get("assertions")):
+                    m = x.get("matcher")
+                    rows += [(key, "link", ac, m if isinstance(m, str) else None) for ac in _named(x.get("ac"))]
+                waivers = c.get("coverage_waivers")
+                for w in waivers if isinstance(waivers, list) else [waivers]:
+                    if isinstance(w, dict):
+                        rows += [(key, "waiver", ac, None) for ac in _named(w.get("ac"))]
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.string(), pa.string(), pa.string()], strict=True)], names=["item", "kind", "ac", "matcher"])
+
+    return contracts.select(F.col("contract_id").cast("bigint"), "body").mapInArrow(run, "item bigint, kind string, ac string, matcher string")
+
+
 def entry_tables(entries: DataFrame) -> DataFrame:
     """Children of ``entries(entry_idx, assertions, contract, timing)``.
 

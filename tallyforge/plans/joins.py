@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions.paths import base_name, canonical_path
 from tallyforge.operators import joins as J
 from tallyforge.operators import ledger as L
+from tallyforge.operators import nested
 from tallyforge.operators.rows import latest
 from tallyforge.plans.views import CANON, CTE, entries, findings, modules
 from tallyforge.registry import Registry, table
@@ -171,22 +172,19 @@ s AS (SELECT contract_id AS item, 'AC' || unnest(range(1, 7)) AS ac FROM c)
 """
 
 
-def _contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contracts in the plain form, parsed with one explicit schema."""
-    c = table(spark, sf_dir, "contracts").filter(F.col("body").startswith("{"))
-    schema = "assertions array<struct<id string, matcher string, ac string>>, coverage_waivers array<struct<ac string, kind string>>, version string"
-    c = latest(c, ["contract_id"], [F.desc_nulls_last("sealed_at"), F.desc("body")])
-    return c.withColumn("b", F.from_json("body", schema)).filter(F.col("b.assertions").isNotNull() & (F.get_json_object("body", "$.assertions").startswith("[")))
-
-
-def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _contracts(spark, sf_dir)
-    x = c.select(F.col("contract_id").alias("item"), F.explode("b.assertions").alias("a"))
-    ac = F.when(F.col("a.ac").startswith("["), F.from_json("a.ac", "array<string>")).otherwise(F.split(F.regexp_replace("a.ac", ";", ","), ","))
-    links = x.select("item", F.explode(ac).alias("ac"), "a.matcher").select("item", F.trim("ac").alias("ac"), "matcher")
-    waivers = c.select(F.col("contract_id").alias("item"), F.explode("b.coverage_waivers.ac").alias("ac"))
-    scope = c.select(F.col("contract_id").alias("item"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.concat(F.lit("AC"), i.cast("string")))).alias("ac"))
-    return J.coverage(scope, links, waivers)
+def _coverage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(contracts, coverage) of contracts in every form of body; in scope are the criteria a contract names and AC1 to the total of its work item's last entry that has one."""
+    c = latest(table(spark, sf_dir, "contracts").select("contract_id", "project", "slug", "sealed_at", "body"), ["contract_id"], [F.desc_nulls_last("sealed_at"), F.desc_nulls_last("body")])
+    rows = materialise(nested.contract_criteria(c), "criteria")
+    links = rows.filter("kind = 'link'").select("item", "ac", "matcher")
+    waivers = rows.filter("kind = 'waiver'").select("item", "ac")
+    total = F.col("acceptance_criteria.total")
+    e = entries(spark, sf_dir, "slug", "acceptance_criteria").filter(F.col("slug").isNotNull() & (total > 0)).groupBy("project", "slug").agg(F.max_by(total, "entry_idx").alias("total"))
+    valid = rows.filter("kind = 'contract'").select("item")
+    stated = c.select(F.col("contract_id").cast("bigint").alias("item"), "project", "slug").join(valid, "item", "left_semi").join(e, ["project", "slug"])
+    numbered = stated.select("item", F.explode(F.sequence(F.lit(1), "total")).alias("i")).select("item", F.concat(F.lit("AC"), F.col("i").cast("string")).alias("ac"))
+    scope = links.select("item", "ac").unionByName(waivers).unionByName(numbered).distinct()
+    return valid, J.coverage(scope, links, waivers)
 
 
 _COVERED = """,
@@ -198,7 +196,7 @@ v AS (SELECT s.item, s.ac, CASE WHEN links > 0 THEN 'linked' WHEN EXISTS (SELECT
 
 @R.query("criterion_coverage", "WITH" + _CONTRACT + _COVERED + "SELECT * FROM v")
 def criterion_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _coverage(spark, sf_dir)
+    return _coverage(spark, sf_dir)[1]
 
 
 @R.query(
@@ -207,7 +205,8 @@ def criterion_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CLS-13: a contract without any link degrades the gate, an uncovered criterion blocks."""
-    v = _coverage(spark, sf_dir)
+    valid, covered = _coverage(spark, sf_dir)
+    v = valid.join(covered, "item", "left")
     open_, linked = F.count_if(F.col("state") == "uncovered"), F.count_if(F.col("state") == "linked")
     return v.groupBy("item").agg(open_.alias("uncovered"), F.count_if("weak_only").alias("weak"), F.when(linked == 0, "degrade").when(open_ > 0, "block").otherwise("active").alias("gate"))
 

@@ -98,3 +98,22 @@ def test_imports_resolve(spark):
     assert got == {"./b": "src/b/index.ts", "./c.js": "src/c.tsx", "../src/d": "src/d.ts", "./none": None, "@/d": "src/d.ts", "@w/u": "packages/u/src/index.ts", "react": None}
     assert {r.dst: r.in_degree for r in G.in_degrees(out).collect()}["src/d.ts"] == 1  # two imports, one importer
     assert G.unresolved(out).first().unresolved == 1
+
+
+def test_coverage_reads_every_form_of_contract(spark, tmp_path):
+    import json
+
+    from tallyforge.plans.joins import R
+
+    plain = {"assertions": [{"id": "A1", "matcher": "exists", "ac": ["AC1", "AC7"]}], "coverage_waivers": [{"ac": "AC2", "kind": "retired"}]}
+    blocks = {"assertions": [{"name": "b", "assertions": [{"id": "A1", "matcher": "equals", "ac": "AC1; AC2"}]}]}
+    mapped = {"assertions": {"A1": {"matcher": "truthy", "ac": ["AC1"]}}}
+    bodies = [plain, {"contract": blocks}, {"data": {"contract": mapped}}, json.dumps(plain), {"assertions": []}]
+    rows = [(i, "p", f"s{i}", None, json.dumps(b)) for i, b in enumerate(bodies)] + [(9, "p", "s9", None, "{broken")]
+    spark.createDataFrame(rows, "contract_id bigint, project string, slug string, sealed_at timestamp, body string").write.parquet(f"{tmp_path}/contracts.parquet")
+    spark.createDataFrame([(0, "p", None, "s2", (2,))], "entry_idx int, project string, ingested_at timestamp, slug string, acceptance_criteria struct<total int>").write.parquet(f"{tmp_path}/entries.parquet")
+    got = {tuple(r) for r in R.queries["criterion_coverage"](spark, str(tmp_path)).select("item", "ac", "state", "weak_only").collect()}
+    whole = {("AC1", "linked", True), ("AC7", "linked", True), ("AC2", "waived", False)}
+    assert got == {(i, *x) for i in (0, 3) for x in whole} | {(1, "AC1", "linked", False), (1, "AC2", "linked", False), (2, "AC1", "linked", True), (2, "AC2", "uncovered", False)}
+    gate = {r["item"]: r["gate"] for r in R.queries["coverage_gate"](spark, str(tmp_path)).collect()}
+    assert gate == {0: "active", 1: "active", 2: "block", 3: "active", 4: "degrade"}

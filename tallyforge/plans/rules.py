@@ -12,6 +12,9 @@ from tallyforge.registry import Registry, table
 
 R = Registry()
 
+#: Files of an entry that are paired with each other in one row.
+BLOCK = 64
+
 _KIND = "lower(replace(replace(trim(source), ' ', '_'), '-', '_'))"
 
 
@@ -205,13 +208,20 @@ SELECT project, file, count(*) AS partners, dense_rank() OVER (PARTITION BY proj
 """,
 )
 def most_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN-05, AGG-33: files with most different partners in entries of ten files at most, dense ranks."""
+    """WIN-05, AGG-33: files with most different partners in any entry, dense ranks.
+
+    Equal entries are collapsed; each is cut into blocks of files, and the pairs
+    of blocks are dealt over the tasks, so a large entry is no single task's work.
+    """
     from tallyforge.plans.joins import stored_modules
 
     t = stored_modules(spark, sf_dir).select("project", "entry_idx", "file")
-    small = t.groupBy("entry_idx").agg(F.count("*").alias("n")).filter(F.col("n") <= 10).select(F.col("entry_idx").alias("s_e"))
-    k = t.join(small, F.col("entry_idx") == F.col("s_e"), "left_semi")
-    other = k.select(F.col("entry_idx").alias("o_e"), F.col("file").alias("o_f"))
-    d = k.join(other, (F.col("entry_idx") == F.col("o_e")) & (F.col("file") != F.col("o_f"))).select("project", "file", "o_f").distinct()
+    lists = t.groupBy("project", "entry_idx").agg(F.array_sort(F.collect_set("file")).alias("files")).filter(F.size("files") > 1).select("project", "files").distinct()
+    blocks = lists.select("project", F.transform(F.sequence(F.lit(1), F.size("files"), F.lit(BLOCK)), lambda i: F.slice("files", i, BLOCK)).alias("blocks"))
+    left = blocks.select("project", "blocks", F.posexplode("blocks").alias("at", "xs"))
+    dealt = left.select("project", "xs", F.explode(F.slice("blocks", F.col("at") + 1, F.size("blocks"))).alias("ys"))
+    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pairs = dealt.select("project", "ys", F.explode("xs").alias("a")).select("project", "a", F.explode(F.filter("ys", lambda y: y > F.col("a"))).alias("b")).distinct()
+    d = pairs.select("project", F.explode(F.array("a", "b")).alias("file"))
     n = d.groupBy("project", "file").agg(F.count("*").alias("partners"))
     return n.withColumn("rank", F.dense_rank().over(Window.partitionBy("project").orderBy(F.desc("partners"))).cast("bigint")).filter(F.col("rank") <= 3)

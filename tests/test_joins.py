@@ -117,3 +117,12 @@ def test_coverage_reads_every_form_of_contract(spark, tmp_path):
     assert got == {(i, *x) for i in (0, 3) for x in whole} | {(1, "AC1", "linked", False), (1, "AC2", "linked", False), (2, "AC1", "linked", True), (2, "AC2", "uncovered", False)}
     gate = {r["item"]: r["gate"] for r in R.queries["coverage_gate"](spark, str(tmp_path)).collect()}
     assert gate == {0: "active", 1: "active", 2: "block", 3: "active", 4: "degrade"}
+
+
+def test_most_connected_counts_partners_in_large_entries(spark, tmp_path):
+    from tallyforge.plans.rules import R
+
+    rows = [(0, "p", None, "s", [f"a/{i:03}.py" for i in range(150)]), (1, "p", None, "s", ["a/000.py", "b.py"]), (2, "p", None, "s", ["b.py", "c.py", "d.py"])]
+    spark.createDataFrame(rows, "entry_idx int, project string, ingested_at timestamp, slug string, modules_touched array<string>").write.parquet(f"{tmp_path}/entries.parquet")
+    got = {(r["file"], r["partners"], r["rank"]) for r in R.queries["most_connected"](spark, str(tmp_path)).collect()}
+    assert got == {("a/000.py", 150, 1), ("b.py", 3, 3)} | {(f"a/{i:03}.py", 149, 2) for i in range(1, 150)}

@@ -65,9 +65,9 @@ SELECT project, kind, metric, n, floor(mean * 1e4 + 0.5) / 1e4 AS mean, floor(sq
 """,
 )
 def cell_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-35: wide rows unpivoted to (task, arm, metric, value), then one cell each."""
+    """AGG-35: wide rows unpivoted to (task, arm, metric, value), then one cell each, over all finite values."""
     r = runs(spark, sf_dir, "project", "kind", "think", "plan", "build", "verify").filter(F.col("kind").isNotNull())
-    long = r.unpivot(["project", "kind"], ["think", "plan", "build", "verify"], "metric", "v").filter(F.abs("v") < 1000)
+    long = r.unpivot(["project", "kind"], ["think", "plan", "build", "verify"], "metric", "v")
     c = S.cells(long, ["project", "kind", "metric"], "v")
     return c.select("project", "kind", "metric", "n", *[half_up(F.col(x), 4).alias(x) for x in ("mean", "sd", "ci_low", "ci_high")])
 

@@ -69,3 +69,12 @@ def test_running_until(spark):
 def test_latest(spark):
     df = spark.createDataFrame([(1, 1, "old"), (1, 2, "new"), (2, None, "only"), (None, 1, "null key")], "k int, at int, v string")
     assert sorted(r.v for r in O.latest(df, ["k"], [F.desc_nulls_last("at")]).collect()) == ["new", "null key", "only"]
+
+
+def test_cell_statistics_keep_long_runs(spark, tmp_path):
+    from tallyforge.plans.stats import R
+
+    rows = [(i, None, "p", "k", v, None, None, None) for i, v in enumerate([1.0, 3.0, 5000.0, float("nan"), float("inf"), None])]
+    spark.createDataFrame(rows, "timing_id bigint, loaded_at timestamp, project string, kind string, think double, plan double, build double, verify double").write.parquet(f"{tmp_path}/timings.parquet")
+    (r,) = R.queries["cell_statistics"](spark, str(tmp_path)).collect()
+    assert (r["metric"], r["n"], r["mean"]) == ("think", 3, 1668.0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text as X
 from tallyforge.functions.numeric import half_up
+from tallyforge.plans.rules import documents
 from tallyforge.plans.views import CTE, entries, findings, modules
 from tallyforge.registry import Registry, table
 
@@ -212,7 +213,7 @@ SELECT doc_id, trim(regexp_replace(regexp_extract(t, '(?s)^\s*(\S.*?)(?:\n\s*\n|
 )
 def first_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-S07, FN-S14: the opening paragraph of documentation pages."""
-    d = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull() & (F.col("source") == "docs_page"))
+    d = documents(spark, sf_dir, "text").filter(F.col("text").isNotNull() & (F.col("kind") == "docs_page"))
     return d.select("doc_id", X.first_paragraph(F.col("text")).alias("paragraph"))
 
 
@@ -226,7 +227,7 @@ SELECT project, CAST(sum(n) AS BIGINT) AS notes, floor(sum(n) FILTER (kind <> ''
 )
 def commit_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-32: share of notes in the conventional form, and their commonest kind."""
-    c = table(spark, sf_dir, "documents").filter((F.lower("source") == "commit_note") & F.col("text").isNotNull()).select("project", F.regexp_extract("text", r"^([a-z]+)(\([^)]*\))?: ", 1).alias("kind"))
+    c = documents(spark, sf_dir, "text").filter((F.col("kind") == "commit_note") & F.col("text").isNotNull()).select("project", F.regexp_extract("text", r"^([a-z]+)(\([^)]*\))?: ", 1).alias("kind"))
     k = c.groupBy("project", "kind").agg(F.count("*").alias("n"))
     ok = F.col("kind") != ""
     g = k.groupBy("project").agg(F.sum("n").alias("notes"), F.sum(F.when(ok, F.col("n"))).alias("good"), F.max_by(F.when(ok, F.col("kind")), F.when(ok, F.struct("n", "kind"))).alias("commonest"))

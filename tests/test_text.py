@@ -78,3 +78,13 @@ def test_paths(spark):
     assert one(spark, paths.stem, "a/work.test.ts", "work.ts", "test_x.py") == ["work", "work", "x"]
     assert one(spark, paths.ancestors, "a/b/c.ts", "c.ts") == [["a", "a/b"], []]
     assert one(spark, paths.is_test_path, "tests/x.ts", "a.spec.js", "test_a.py", "latest/x.ts") == [True, True, True, False]
+
+
+def test_sources_are_matched_in_every_spelling(spark, tmp_path):
+    from tallyforge.plans.text import R
+
+    sources = ["docs_page", "DOCS_PAGE", "docs-page", "Commit Note", "commit-note", "commit_note ", "other"]
+    rows = [(i, "p", "s", s, "fix: a") for i, s in enumerate(sources)]
+    spark.createDataFrame(rows, "doc_id bigint, project string, slug string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"] for r in R.queries["first_paragraphs"](spark, str(tmp_path)).collect()} == {0, 1, 2}
+    assert R.queries["commit_styles"](spark, str(tmp_path)).first()["notes"] == 3

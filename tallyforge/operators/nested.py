@@ -36,7 +36,7 @@ def text_of(v: object) -> str | None:
     """An id or path as text; ``None`` for none, blanks, objects and booleans."""
     if isinstance(v, str):
         return v.strip() or None
-    return None if v is None or isinstance(v, bool) else str(v)
+    return str(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None
 
 
 def contract_maps(path: S.Path, v: dict) -> bool:

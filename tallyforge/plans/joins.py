@@ -162,13 +162,22 @@ def file_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CONTRACT = """
-c AS (SELECT contract_id, project, slug, body FROM contracts WHERE json_valid(body) AND json_type(body) = 'OBJECT' AND json_type(body, '$.assertions') = 'ARRAY'
-  QUALIFY row_number() OVER (PARTITION BY contract_id ORDER BY sealed_at DESC NULLS LAST, body DESC) = 1),
-x AS (SELECT contract_id, unnest(CAST(body -> '$.assertions' AS JSON[])) AS a FROM c),
-k AS (SELECT contract_id AS item, trim(unnest(string_split(replace(a ->> '$.ac', ';', ','), ','))) AS ac, a ->> '$.matcher' AS matcher FROM x WHERE json_type(a, '$.ac') = 'VARCHAR'
+c0 AS (SELECT contract_id, project, slug, body FROM contracts QUALIFY row_number() OVER (PARTITION BY contract_id ORDER BY sealed_at DESC NULLS LAST, body DESC NULLS LAST) = 1),
+c1 AS (SELECT contract_id, project, slug, CASE WHEN json_type(body) = 'VARCHAR' THEN body ->> '$' ELSE body END AS body FROM c0 WHERE json_valid(body)),
+c2 AS (SELECT contract_id, project, slug, CASE WHEN json_type(body, '$.data') = 'OBJECT' THEN (body -> '$.data')::VARCHAR ELSE body END AS body FROM c1 WHERE json_valid(body)),
+c AS (SELECT contract_id, project, slug, CASE WHEN json_type(body, '$.contract') = 'OBJECT' THEN (body -> '$.contract')::JSON ELSE body::JSON END AS body FROM c2 WHERE json_type(body) = 'OBJECT'),
+a0 AS (SELECT contract_id, unnest(CAST(body -> '$.assertions' AS JSON[])) AS a FROM c WHERE json_type(body, '$.assertions') = 'ARRAY'),
+x AS (
+  SELECT contract_id, a FROM a0 WHERE json_type(a) = 'OBJECT' AND coalesce(json_type(a, '$.assertions'), '') NOT IN ('ARRAY', 'OBJECT')
+  UNION ALL SELECT contract_id, unnest(CAST(a -> '$.assertions' AS JSON[])) FROM a0 WHERE json_type(a, '$.assertions') = 'ARRAY'
+  UNION ALL SELECT contract_id, v -> k FROM (SELECT contract_id, body -> '$.assertions' AS v, unnest(json_keys(body, '$.assertions')) AS k FROM c WHERE json_type(body, '$.assertions') = 'OBJECT')),
+k0 AS (SELECT contract_id AS item, a ->> '$.ac' AS ac, a ->> '$.matcher' AS matcher FROM x WHERE json_type(a, '$.ac') NOT IN ('ARRAY', 'OBJECT', 'BOOLEAN', 'NULL')
   UNION ALL SELECT contract_id, unnest(CAST(a -> '$.ac' AS VARCHAR[])), a ->> '$.matcher' FROM x WHERE json_type(a, '$.ac') = 'ARRAY'),
-w AS (SELECT contract_id AS item, unnest(CAST(body -> '$.coverage_waivers' AS JSON[])) ->> '$.ac' AS ac FROM c WHERE json_type(body, '$.coverage_waivers') = 'ARRAY'),
-s AS (SELECT contract_id AS item, 'AC' || unnest(range(1, 7)) AS ac FROM c)
+k AS (SELECT item, ac, matcher FROM (SELECT item, trim(unnest(string_split(replace(ac, ';', ','), ','))) AS ac, matcher FROM k0) WHERE ac <> ''),
+w AS (SELECT item, ac FROM (SELECT contract_id AS item, trim(unnest(CAST(body -> '$.coverage_waivers' AS JSON[])) ->> '$.ac') AS ac FROM c WHERE json_type(body, '$.coverage_waivers') = 'ARRAY') WHERE ac <> ''),
+tot AS (SELECT project, slug, arg_max(acceptance_criteria.total, entry_idx) AS total FROM (SELECT * FROM entries QUALIFY row_number() OVER (PARTITION BY entry_idx ORDER BY ingested_at DESC NULLS LAST) = 1)
+  WHERE slug IS NOT NULL AND acceptance_criteria.total > 0 GROUP BY ALL),
+s AS (SELECT item, ac FROM k UNION SELECT item, ac FROM w UNION SELECT contract_id, 'AC' || unnest(range(1, total + 1)) FROM c JOIN tot USING (project, slug))
 """
 
 
@@ -201,7 +210,7 @@ def criterion_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query(
     "coverage_gate",
-    "WITH" + _CONTRACT + _COVERED + "SELECT item, count(*) FILTER (state = 'uncovered') AS uncovered, count(*) FILTER (weak_only) AS weak, CASE WHEN count(*) FILTER (state = 'linked') = 0 THEN 'degrade' WHEN count(*) FILTER (state = 'uncovered') > 0 THEN 'block' ELSE 'active' END AS gate FROM v GROUP BY item",
+    "WITH" + _CONTRACT + _COVERED + "SELECT item, count(*) FILTER (state = 'uncovered') AS uncovered, count(*) FILTER (weak_only) AS weak, CASE WHEN count(*) FILTER (state = 'linked') = 0 THEN 'degrade' WHEN count(*) FILTER (state = 'uncovered') > 0 THEN 'block' ELSE 'active' END AS gate FROM (SELECT contract_id AS item FROM c) LEFT JOIN v USING (item) GROUP BY item",
 )
 def coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CLS-13: a contract without any link degrades the gate, an uncovered criterion blocks."""

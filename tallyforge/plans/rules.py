@@ -202,7 +202,7 @@ def open_by_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query(
     "most_connected",
     CTE
-    + """, p AS (SELECT x.project, x.file AS a, y.file AS b FROM t x JOIN t y ON x.entry_idx = y.entry_idx AND x.file < y.file JOIN (SELECT entry_idx FROM t GROUP BY 1 HAVING count(*) <= 10) s ON s.entry_idx = x.entry_idx GROUP BY ALL),
+    + """, p AS (SELECT x.project, x.file AS a, y.file AS b FROM t x JOIN t y ON x.entry_idx = y.entry_idx AND x.file < y.file GROUP BY ALL),
 d AS (SELECT project, unnest([a, b]) AS file FROM p)
 SELECT project, file, count(*) AS partners, dense_rank() OVER (PARTITION BY project ORDER BY count(*) DESC) AS rank FROM d GROUP BY project, file QUALIFY rank <= 3
 """,

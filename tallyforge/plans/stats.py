@@ -59,7 +59,7 @@ _T = ", ".join(map(str, S.T95))
     "cell_statistics",
     _RUNS
     + f""", l AS (SELECT project, kind, unnest(['think', 'plan', 'build', 'verify']) AS metric, unnest([think, plan, build, verify]) AS v FROM r),
-c AS (SELECT project, kind, metric, count(*) AS n, avg(v) AS mean, var_samp(v) AS var FROM l WHERE v IS NOT NULL AND NOT isnan(v) AND abs(v) < 1000 AND kind IS NOT NULL GROUP BY ALL),
+c AS (SELECT project, kind, metric, count(*) AS n, avg(v) AS mean, var_samp(v) AS var FROM l WHERE v IS NOT NULL AND isfinite(v) AND kind IS NOT NULL GROUP BY ALL),
 t AS (SELECT *, CASE WHEN n - 1 BETWEEN 1 AND 30 THEN [{_T}][n - 1]::DOUBLE WHEN n > 31 THEN 1.959964 END AS t FROM c)
 SELECT project, kind, metric, n, floor(mean * 1e4 + 0.5) / 1e4 AS mean, floor(sqrt(var) * 1e4 + 0.5) / 1e4 AS sd, floor((mean - t * sqrt(var / n)) * 1e4 + 0.5) / 1e4 AS ci_low, floor((mean + t * sqrt(var / n)) * 1e4 + 0.5) / 1e4 AS ci_high FROM t
 """,

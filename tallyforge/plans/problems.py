@@ -8,16 +8,56 @@ from pyspark.sql import functions as F
 from tallyforge.operators import nested, schema_drift
 from tallyforge.operators.rows import latest
 from tallyforge.registry import Registry, table
-from tallyforge.session import materialise
+from tallyforge.session import materialise, release
 
 R = Registry()
 
 SERIES = ["project", "doc_type"]
 
 
-def _schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per file and path, written once because the differences read it several times."""
-    return materialise(schema_drift.file_schemas(table(spark, sf_dir, "raw_records"), SERIES, "file_no", "body"), "file-schemas")
+#: Columns of the two record types by path, with the forms and former names that are known of them. The union
+#: schema starts from these, so the columns are the same whatever a load happens to hold; all else is found in the files.
+K = schema_drift.Known
+_TOTAL = K(("integer", "decimal", "string"))
+KNOWN = {
+    "proof": {
+        "acceptance_criteria": K(("object", "array", "string"), ("acceptanceCriteria", "criteria_summary")),
+        "acceptance_criteria.total": _TOTAL,
+        "acceptance_criteria.met": K(("integer",), ("fulfilled", "met_count", "passed")),
+        "acceptance_criteria.partial": K(("integer",)),
+        **{f"acceptance_criteria.coverage{x}": K((t,)) for x, t in (("", "object"), *((f".{y}", "integer") for y in ("pinned", "judgment", "retired", "uncovered", "weak_only")))},
+        "acceptance_criteria[]": K(("object",)),
+        **{f"acceptance_criteria[].{x}": K(("string",)) for x in ("id", "state")},
+        "verdict_contradictions": K(("array", "string"), ("verdictContradictions", "contradictions")),
+        "verdict_contradictions[]": K(("object", "string")),
+        "verdict_contradictions[].reason": K(("string",)),
+        "verdict_contradictions[].row": K(("integer",)),
+        "rejection_cycles": K(("boolean", "integer", "string")),
+        "phases": K(("integer",)),
+        "surface": K(("string",)),
+        "timing": K(("object",)),
+        "timing.total_minutes": _TOTAL,
+    },
+    "contract": {
+        "version": K(("integer", "decimal", "string"), ("contractVersion", "schema_version")),
+        "assertions": K(("array",)),
+        "assertions[]": K(("object",)),
+        "assertions[].ac": K(("array", "integer", "string"), ("acs", "covers", "criteria")),
+        "assertions[].ac[]": K(("string",)),
+        "assertions[].target": K(("string",)),
+        "file_changes": K(("array",), ("fileChanges", "files")),
+        "file_changes[]": K(("object",)),
+        "file_changes[].action": K(("string",), ("op",)),
+        "file_changes[].path": K(("string",)),
+        "coverage_waivers": K(("array",)),
+        "coverage_waivers[]": K(("object",)),
+        **{f"coverage_waivers[].{x}": K(("string",)) for x in ("ac", "kind", "reason")},
+    },
+}
+
+
+def _schemas(raw: DataFrame) -> DataFrame:
+    return schema_drift.file_schemas(raw, SERIES, "file_no", "body")
 
 
 @R.query(
@@ -62,16 +102,21 @@ WHERE NOT EXISTS (SELECT 1 FROM moved m WHERE m.project = t.project AND m.doc_ty
 """,
 )
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes = schema_drift.schema_changes(_schemas(spark, sf_dir), SERIES, "file_no")
+    changes = schema_drift.schema_changes(_schemas(table(spark, sf_dir, "raw_records")), SERIES, "file_no")
     return changes.select("project", "doc_type", "file_no", "change_kind", "old_path", "new_path")
 
 
-def _unified(spark: SparkSession, sf_dir: str, doc_type: str) -> DataFrame:
+def _union(spark: SparkSession, sf_dir: str, doc_type: str) -> tuple[DataFrame, schema_drift.Node]:
     raw = table(spark, sf_dir, "raw_records").filter(F.col("doc_type") == doc_type)
-    schemas = _schemas(spark, sf_dir).filter(F.col("doc_type") == doc_type)
-    renames = schema_drift.rename_groups(schema_drift.schema_changes(schemas, SERIES, "file_no"))
-    schema = schema_drift.union_schema(schemas, renames)
-    return schema_drift.unify(raw, ["raw_id", "project", "doc_type", "file_no", "line_no"], "body", schema, renames)
+    schemas = materialise(_schemas(raw), "file-schemas")  # read by the differences, the fold and the search for siblings
+    root = schema_drift.union_schema(schemas, schema_drift.schema_changes(schemas, SERIES, "file_no"), KNOWN[doc_type])
+    release(schemas)
+    return raw, root
+
+
+def _unified(spark: SparkSession, sf_dir: str, doc_type: str) -> DataFrame:
+    raw, root = _union(spark, sf_dir, doc_type)
+    return schema_drift.unify(raw, ["raw_id", "project", "doc_type", "file_no", "line_no"], "body", root)
 
 
 @R.query("p1_unified_proof")
@@ -86,6 +131,65 @@ def p1_unified_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _unified(spark, sf_dir, "contract")
 
 
+@R.query("p1_columns")
+def p1_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_type, column, key, type, files): which key of the records went to which column of the unified tables."""
+    rows = [(d, *r) for d in KNOWN for r in schema_drift.column_map(_union(spark, sf_dir, d)[1])]
+    return spark.createDataFrame(rows, "doc_type string, column string, key string, type string, files bigint")
+
+
+_JSON_FIELDS = """
+WITH d AS (SELECT raw_id, body::JSON AS b FROM raw_records WHERE doc_type = '{doc_type}' AND json_valid(body) AND json_type(body) = 'OBJECT')
+"""
+
+
+def _first(*names: str) -> str:
+    """The first of a record's names whose value is not null, in SQL."""
+    return "coalesce(" + ", ".join(f"CASE WHEN json_type(b, '$.{n}') <> 'NULL' THEN b -> '$.{n}' END" for n in names) + ")"
+
+
+@R.query(
+    "p1_proof_fields",
+    _JSON_FIELDS.format(doc_type="proof")
+    + f""", x AS (SELECT raw_id, {_first("acceptance_criteria", "acceptanceCriteria", "criteria_summary")} AS ac,
+  {_first("verdict_contradictions", "verdictContradictions", "contradictions")} AS vc, b ->> '$.timing.total_minutes' AS minutes, b ->> '$.rejection_cycles' AS cycles FROM d)
+SELECT raw_id, ac ->> '$.total' AS ac_total, CAST(coalesce(ac ->> '$.met', ac ->> '$.fulfilled', ac ->> '$.met_count', ac ->> '$.passed') AS BIGINT) AS ac_met, CAST(ac ->> '$.coverage.pinned' AS BIGINT) AS ac_pinned,
+  CASE WHEN json_type(ac) = 'ARRAY' THEN json_array_length(ac)::BIGINT END AS ac_items, CASE WHEN json_type(ac) = 'VARCHAR' THEN ac ->> '$' END AS ac_text,
+  CASE WHEN json_type(vc) = 'ARRAY' THEN json_array_length(vc)::BIGINT WHEN vc IS NOT NULL THEN 1 END AS contradictions,
+  CASE WHEN json_type(vc) = 'ARRAY' THEN CASE WHEN json_type(vc, '$[0]') = 'OBJECT' THEN vc ->> '$[0].reason' ELSE vc ->> '$[0]' END ELSE vc ->> '$' END AS first_contradiction, minutes, cycles
+FROM x
+""",
+)
+def p1_proof_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of the unified proof table, one flat row per valid record."""
+    t = p1_unified_proof(spark, sf_dir).filter(F.col("result").isNotNull())
+    ac, vc = F.col("acceptance_criteria"), F.col("verdict_contradictions")
+    count = lambda c: F.when(c.isNotNull(), F.size(c).cast("bigint"))
+    first = F.try_element_at(vc, F.lit(1))
+    return t.select("raw_id", ac["total"].alias("ac_total"), ac["met"].alias("ac_met"), ac["coverage"]["pinned"].alias("ac_pinned"), count(ac["_items"]).alias("ac_items"), ac["_value"].alias("ac_text"), count(vc).alias("contradictions"), F.coalesce(first["reason"], first["_value"]).alias("first_contradiction"), F.col("timing.total_minutes").alias("minutes"), F.col("rejection_cycles").alias("cycles"))
+
+
+@R.query(
+    "p1_contract_fields",
+    _JSON_FIELDS.format(doc_type="contract")
+    + f""", x AS (SELECT raw_id, {_first("version", "contractVersion", "schema_version")} ->> '$' AS version, {_first("file_changes", "fileChanges", "files")} AS f, unnest(CAST(b -> '$.assertions' AS JSON[])) AS b FROM d),
+y AS (SELECT raw_id, version, f, {_first("ac", "acs", "covers", "criteria")} AS ac FROM x)
+SELECT raw_id, any_value(version) AS version, any_value(json_array_length(f))::BIGINT AS file_changes, any_value(coalesce(f ->> '$[0].action', f ->> '$[0].op')) AS first_action, count(*) AS assertions, count(ac) AS with_ac,
+  CAST(sum(CASE WHEN json_type(ac) = 'ARRAY' THEN json_array_length(ac) WHEN ac IS NOT NULL THEN 1 END) AS BIGINT) AS criteria,
+  string_agg(CASE WHEN json_type(ac) = 'ARRAY' THEN array_to_string(CAST(ac AS VARCHAR[]), '+') ELSE ac ->> '$' END, ',' ORDER BY CASE WHEN json_type(ac) = 'ARRAY' THEN array_to_string(CAST(ac AS VARCHAR[]), '+') ELSE ac ->> '$' END) AS listed
+FROM y GROUP BY raw_id
+""",
+)
+def p1_contract_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of the unified contract table, one flat row per valid record with assertions."""
+    t = p1_unified_contract(spark, sf_dir).filter(F.size("assertions") > 0)
+    acs = F.transform("assertions", lambda a: a["ac"])
+    given = F.filter(acs, lambda x: x.isNotNull())
+    listed = F.nullif(F.array_join(F.array_sort(F.transform(given, lambda x: F.array_join(x, "+"))), ","), F.lit(""))
+    total = F.when(F.size(given) > 0, F.aggregate(given, F.lit(0), lambda n, x: n + F.size(x)).cast("bigint"))
+    return t.select("raw_id", "version", F.when(F.col("file_changes").isNotNull(), F.size("file_changes").cast("bigint")).alias("file_changes"), F.try_element_at("file_changes", F.lit(1))["action"].alias("first_action"), F.size("assertions").cast("bigint").alias("assertions"), F.size(given).cast("bigint").alias("with_ac"), total.alias("criteria"), listed.alias("listed"))
+
+
 def _children(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = latest(table(spark, sf_dir, "entries").select("entry_idx", "ingested_at", "assertions", "contract", "timing"), ["entry_idx"], [F.desc_nulls_last("ingested_at")])
     contracts = latest(table(spark, sf_dir, "contracts").select("contract_id", "sealed_at", "body"), ["contract_id"], [F.desc_nulls_last("sealed_at"), F.desc_nulls_last("body")])

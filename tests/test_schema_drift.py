@@ -112,17 +112,84 @@ def test_lattice():
     assert D.promote(["integer", "decimal"]) == "decimal"
     assert D.promote(["decimal", "integer", "string"]) == "string"
     assert D.promote(["boolean", "integer"]) == "string"
-    assert D.promote(["array"]) == "array"
     assert D.promote([]) == "string"
 
 
-def test_unified_table(spark):
-    files = {1: ['{"version": 1, "body": "x"}'], 2: ['{"schema_version": 1.5, "tags": ["a"]}'], 3: ['{"schema_version": 2, "tags": "b"}', "{"]}
+def union(spark, files, known=None, keep=("file_no", "body")):
     df = table(spark, files)
     s = D.file_schemas(df, ["project", "doc_type"], "file_no", "body")
-    renames = {"version": "schema_version", "schema_version": "schema_version"}
-    out = D.unify(df, ["file_no", "body"], "body", D.union_schema(s, renames), renames)
-    assert out.columns == ["file_no", "body", "body_", "schema_version", "tags"]
+    root = D.union_schema(s, D.schema_changes(s, ["project", "doc_type"], "file_no"), known)
+    return root, D.unify(df, list(keep), "body", root)
+
+
+def test_unified_table(spark):
+    files = {1: ['{"version": 1, "body": "x"}'], 2: ['{"schema_version": 1.5, "tags": ["a"]}'], 3: ['{"schema_version": 2, "tags": "b"}', "{"]}
+    _, out = union(spark, files, {"schema_version": D.Known(("integer",), ("version",))})
+    assert out.columns == ["file_no", "body", "body_", "schema_version", "tags", "misfits"]
     got = sorted((r.file_no, r.schema_version, r.tags, r.body_) for r in out.collect() if r.body != "{")
-    assert got == [(1, 1.0, None, "x"), (2, 1.5, '["a"]', None), (3, 2.0, "b", None)]
+    assert got == [(1, 1.0, None, "x"), (2, 1.5, ["a"], None), (3, 2.0, ["b"], None)]  # a scalar is lifted to a list
     assert out.filter("body = '{'").count() == 1  # broken rows stay, as nulls
+
+
+def test_renames_are_folded_at_every_depth(spark):
+    files = {1: ['{"list": [{"id": "a", "ac": "x"}], "camelCase": 1}'], 2: ['{"list": [{"id": "b", "acs": "y"}], "camel_case": 2}'], 3: ['{"list": [{"id": "c", "covers": "z"}], "camel_case": 3}']}
+    _, out = union(spark, files)
+    assert dict(out.dtypes)["list"] == "array<struct<ac:string,id:string>>"  # the first name of those in equally many files
+    assert sorted((r.file_no, r.list[0].ac, r.camel_case) for r in out.collect()) == [(1, "x", 1), (2, "y", 2), (3, "z", 3)]
+
+
+def test_names_met_side_by_side_are_two_fields(spark):
+    files = {1: ['{"a": 1}'], 2: ['{"b": 1}'], 3: ['{"a": 1, "b": 2}']}
+    _, out = union(spark, files)
+    assert sorted((r.file_no, r.a, r.b) for r in out.collect()) == [(1, 1, None), (2, None, 1), (3, 1, 2)]
+
+
+def test_odd_forms_stand_beside_a_struct(spark):
+    files = {1: ['{"c": {"total": 3}}', '{"c": ["x", null]}', '{"c": "3 of 4"}', '{"c": null}', '{"c": {}}']}
+    _, out = union(spark, files)
+    assert dict(out.dtypes)["c"] == "struct<total:bigint,_items:array<string>,_value:string>"
+    got = {r.body: r.c.asDict() if r.c else None for r in out.collect()}
+    assert got['{"c": {"total": 3}}'] == {"total": 3, "_items": None, "_value": None}
+    assert got['{"c": ["x", null]}'] == {"total": None, "_items": ["x", None], "_value": None}
+    assert got['{"c": "3 of 4"}'] == {"total": None, "_items": None, "_value": "3 of 4"}
+    assert got['{"c": null}'] is None
+
+
+def test_what_does_not_fit_is_reported(spark):
+    big = "9" * 25
+    files = {1: ['{"n": 1, "v": 1}', f'{{"n": {big}, "v": 2}}', f'{{"n": {"8" * 5000}}}', '{"v": 3, "w": 4}']}
+    _, out = union(spark, files, {"v": D.Known((), ("w",))})
+    got = {r.body[:12]: (r.n, r.v, [(m.path, m.value[:30]) for m in r.misfits or []]) for r in out.collect()}
+    assert got['{"n": 1, "v"'] == (1, 1, [])
+    assert got['{"n": 999999'] == (None, 2, [("n", big)])
+    assert got['{"n": 888888'] == (None, None, [("n", "8" * 30)])
+    assert got['{"v": 3, "w"'] == (None, 3, [("w", "4")])  # two names of one field in one record
+
+
+def test_objects_used_as_maps(spark):
+    files = {1: ['{"f": {"src/a.ts": "new", "b-c": "old"}}', "{\"f\": {\"src/b.ts\": 1}}"]}
+    _, out = union(spark, files)
+    assert dict(out.dtypes)["f"] == "map<string,string>"
+    assert sorted(sorted(r.f.items()) for r in out.collect()) == [[("b-c", "old"), ("src/a.ts", "new")], [("src/b.ts", "1")]]
+
+
+def test_columns_do_not_depend_on_the_load(spark, sf):
+    from tallyforge.plans import problems as P
+
+    empty = spark.createDataFrame([], "project string, doc_type string, file_no int, body string")
+    s = D.file_schemas(empty, P.SERIES, "file_no", "body")
+    for kind, columns in (("proof", {"acceptance_criteria", "verdict_contradictions"}), ("contract", {"version", "assertions"})):
+        none = D.unify(empty, ["project"], "body", D.union_schema(s, D.schema_changes(s, P.SERIES, "file_no"), P.KNOWN[kind]))
+        full = P._unified(spark, sf, kind)
+        assert none.count() == 0
+        assert columns <= set(none.columns)
+        if kind == "proof":
+            assert {c: dict(none.dtypes)[c] for c in columns} == {c: dict(full.dtypes)[c] for c in columns}
+        else:
+            assert "ac:array<string>" in dict(none.dtypes)["assertions"] and "ac:array<string>" in dict(full.dtypes)["assertions"]
+
+
+def test_union_of_nothing(spark):
+    _, out = union(spark, {1: ["{", None, "7"]})
+    assert out.columns == ["file_no", "body", "misfits"]
+    assert out.count() == 3

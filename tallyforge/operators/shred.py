@@ -21,6 +21,11 @@ Defined cases
   entry per path, so record numbers stay aligned.
 - Repeated records are shredded again: removing them is up to the caller.
 - An empty batch gives no columns, a path that occurs nowhere an empty table.
+
+Both ways in work column by column, without a call per value: parsed JSON is
+split node by node into the lists of its children (so nesting of any depth needs
+no recursion), Arrow columns give their levels straight from list offsets and
+validity bits, without a Python object for any value.
 """
 
 from __future__ import annotations
@@ -29,89 +34,125 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 
 Path = tuple[str, ...]
 MapRule = Callable[[Path, dict], bool]
+REPEATED = ("[]", "{}")
 
 
 @dataclass
-class Node:
-    """The forms that occur at one path."""
+class Column:
+    """The (repetition level, definition level, value) triples of a leaf path."""
 
-    path: Path
-    repeated: int
-    scalar: bool = False
-    fields: dict[str, Node] = field(default_factory=dict)
+    rep: np.ndarray
+    defn: np.ndarray
+    value: np.ndarray | pa.Array
 
-    def child(self, step: str) -> Node:
-        if step not in self.fields:
-            self.fields[step] = Node((*self.path, step), self.repeated + (step in ("[]", "{}")))
-        return self.fields[step]
 
-    def leaves(self) -> list[Node]:
-        own = [self] if self.scalar else []
-        return own + [x for c in self.fields.values() for x in c.leaves()]
+@dataclass
+class Slots:
+    """The places of one node in record order: levels, and the number of the value there (-1 for none)."""
+
+    rep: np.ndarray
+    defn: np.ndarray
+    at: np.ndarray
+
+    def one(self, child: np.ndarray) -> Slots:
+        """Places of a field; ``child`` is the number of the field's value by number of the value here."""
+        at = np.where(self.at >= 0, child[self.at], -1) if len(child) else np.full(len(self.at), -1)
+        return Slots(self.rep, self.defn + (at >= 0), at)
+
+    def many(self, starts: np.ndarray, counts: np.ndarray, level: int) -> Slots:
+        """Places of repeated elements: those of value i are ``starts[i]`` to ``starts[i] + counts[i]``."""
+        there = self.at >= 0
+        n = np.where(there, counts[self.at], 0) if len(counts) else np.zeros(len(self.at), np.int64)
+        wide = np.maximum(n, 1)
+        back = np.repeat(np.arange(len(n)), wide)
+        nth = np.arange(len(back)) - np.repeat(np.cumsum(wide) - wide, wide)
+        some = n[back] > 0
+        first = starts[np.maximum(self.at[back], 0)] if len(starts) else np.zeros(len(back), np.int64)
+        return Slots(np.where(nth == 0, self.rep[back], level), self.defn[back] + some, np.where(some, first + nth, -1))
 
 
 @dataclass
-class Column:
-    rep: list[int] = field(default_factory=list)
-    defn: list[int] = field(default_factory=list)
-    value: list[object] = field(default_factory=list)
-
-    def add(self, r: int, d: int, v: object) -> None:
-        self.rep.append(r)
-        self.defn.append(d)
-        self.value.append(v)
+class Node:
+    """The values at one path of a batch: ``owner`` is the number of the value above that each belongs to."""
+
+    values: list[object] = field(default_factory=list)
+    owner: list[int] = field(default_factory=list)
+
+
+def split(path: Path, node: Node, is_map: MapRule) -> dict[str, Node]:
+    """The nodes below; null fields are left out, null elements are elements."""
+    below: dict[str, Node] = {}
+    for i, v in enumerate(node.values):
+        if v.__class__ is dict:
+            if is_map(path, v):
+                child = below.setdefault("{}", Node())
+                child.values += [{"key": k, "value": x} for k, x in v.items()]
+                child.owner += [i] * len(v)
+                continue
+            for k, x in v.items():
+                if x is not None:
+                    child = below.get(k)
+                    if child is None:
+                        child = below[k] = Node()
+                    child.values.append(x)
+                    child.owner.append(i)
+        elif v.__class__ is list:
+            child = below.setdefault("[]", Node())
+            child.values += v
+            child.owner += [i] * len(v)
+    return below
 
 
-def parts(path: Path, v: object, is_map: MapRule) -> list[tuple[str, list]] | None:
-    """(step, values) below a value; ``None`` for a scalar. Repeated steps have any number of values."""
-    if isinstance(v, dict):
-        if is_map(path, v):
-            return [("{}", [{"key": k, "value": x} for k, x in v.items()])]
-        return [(k, [x]) for k, x in v.items()]
-    return [("[]", v)] if isinstance(v, list) else None
+def shred(records: list[object], is_map: MapRule = lambda _p, _v: False) -> dict[Path, Column]:
+    """One column of levels and values per leaf path of parsed records."""
+    out: dict[Path, Column] = {}
+    n = len(records)
+    todo = [((), Node(records), 0, Slots(np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n)))]
+    while todo:
+        path, node, level, slots = todo.pop()
+        scalar = np.fromiter((v is not None and v.__class__ is not dict and v.__class__ is not list for v in node.values), bool, len(node.values))
+        if path and scalar.any():
+            here = (slots.at >= 0) & scalar[slots.at]
+            value = np.full(len(here), None, object)
+            held = np.empty(len(node.values), object)
+            held[:] = node.values
+            value[here] = held[slots.at[here]]
+            out[path] = Column(slots.rep, slots.defn + here, value)
+        for step, child in split(path, node, is_map).items():
+            owner = np.asarray(child.owner, np.int64)
+            if step in REPEATED:
+                counts = np.bincount(owner, minlength=len(node.values))
+                todo.append(((*path, step), child, level + 1, slots.many(np.cumsum(counts) - counts, counts, level + 1)))
+            else:
+                number = np.full(len(node.values), -1)
+                number[owner] = np.arange(len(owner))
+                todo.append(((*path, step), child, level, slots.one(number)))
+    return out
 
 
-def infer(records: list[object], is_map: MapRule) -> Node:
-    root = Node((), 0)
-    todo = [(root, v) for v in records]
+def shred_arrow(array: pa.StructArray) -> dict[Path, Column]:
+    """One column of levels and values per leaf path of an Arrow array of structs."""
+    out: dict[Path, Column] = {}
+    n = len(array)
+    todo = [((), array, 0, Slots(np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n)))]
     while todo:
-        node, v = todo.pop()
-        if v is None:
-            continue
-        below = parts(node.path, v, is_map)
-        if below is None:
-            node.scalar = node.scalar or bool(node.path)
+        path, arr, level, slots = todo.pop()
+        if pa.types.is_struct(arr.type):
+            for i in range(arr.type.num_fields):
+                child = arr.field(i)
+                valid = np.asarray(child.is_valid()) & np.asarray(arr.is_valid())
+                todo.append(((*path, arr.type.field(i).name), child, level, slots.one(np.where(valid, np.arange(len(arr)), -1))))
+        elif pa.types.is_list(arr.type) or pa.types.is_large_list(arr.type):
+            offsets = np.asarray(arr.offsets).astype(np.int64)
+            counts = np.where(np.asarray(arr.is_valid()), np.diff(offsets), 0)
+            todo.append(((*path, "[]"), arr.values, level + 1, slots.many(offsets[:-1], counts, level + 1)))
         else:
-            todo.extend((node.child(step), x) for step, xs in below for x in xs)
-    return root
-
-
-def shred(records: list[object], is_map: MapRule = lambda _p, _v: False) -> dict[Path, Column]:
-    """One column of levels and values per leaf path of the records."""
-    root = infer(records, is_map)
-    out = {n.path: Column() for n in root.leaves()}
-
-    def write(node: Node, v: object, r: int, d: int) -> None:
-        below = None if v is None else parts(node.path, v, is_map)
-        if node.scalar:
-            here = v is not None and below is None
-            out[node.path].add(r, d + here, v if here else None)
-        values = dict(below or ())
-        for step, child in node.fields.items():
-            xs = values.get(step)
-            if not xs:
-                write(child, None, r, d)  # absent or empty: one null entry for each leaf below
-            elif step in ("[]", "{}"):
-                for k, x in enumerate(xs):
-                    write(child, x, r if k == 0 else child.repeated, d + 1)
-            else:
-                write(child, xs[0], r, d + (xs[0] is not None))
-
-    for v in records:
-        write(root, v, 0, 0)
+            here = (slots.at >= 0) & (np.asarray(arr.is_valid())[slots.at] if len(arr) else False)
+            out[path] = Column(slots.rep, slots.defn + here, arr.take(pa.array(slots.at, mask=~here)))
     return out
 
 
@@ -128,19 +169,24 @@ class Rows:
     record: np.ndarray
     parent: np.ndarray
     pos: np.ndarray
-    columns: dict[Path, list[object]]
+    columns: dict[Path, np.ndarray | pa.Array]
 
 
 def repeated_of(path: Path) -> int:
-    return sum(s in ("[]", "{}") for s in path)
+    return sum(s in REPEATED for s in path)
 
 
 def ancestors_of(columns: dict[Path, Column]) -> list[Path]:
     """Every repeated ancestor of the leaf paths, outer before inner."""
-    found = {p[: i + 1] for p in columns for i, s in enumerate(p) if s in ("[]", "{}")}
+    found = {p[: i + 1] for p in columns for i, s in enumerate(p) if s in REPEATED}
     return sorted(found, key=lambda p: (len(p), p))
 
 
+def above(path: Path) -> Path:
+    """The next repeated ancestor above one; ``()`` for the records."""
+    return path[: max((i + 1 for i, s in enumerate(path[:-1]) if s in REPEATED), default=0)]
+
+
 def table(columns: dict[Path, Column], ancestor: Path) -> Rows:
     """Rebuild the rows of a repeated ancestor (or of the records, for ``()``) from the level sequences.
 
@@ -149,24 +195,38 @@ def table(columns: dict[Path, Column], ancestor: Path) -> Rows:
     """
     depth, level, n = len(ancestor), repeated_of(ancestor), 0
     record = parent = pos = np.empty(0, np.int64)
-    values: dict[Path, list[object]] = {}
+    values: dict[Path, np.ndarray | pa.Array] = {}
     for path, col in columns.items():
-        if path[:depth] != ancestor or (path == ancestor and not depth):
+        if path[:depth] != ancestor:
             continue
-        rep, defn = np.asarray(col.rep), np.asarray(col.defn)
-        starts = np.flatnonzero(rep <= level)
-        here = starts[defn[starts] >= depth]
+        starts = np.flatnonzero(col.rep <= level)
+        here = starts[col.defn[starts] >= depth]
         if not values and not n:
-            record = np.cumsum(rep == 0)[here] - 1
+            record = np.cumsum(col.rep == 0)[here] - 1
             # rows of the next repeated ancestor above: those of its starts that are present
-            up = max((i + 1 for i, s in enumerate(ancestor[:-1]) if s in ("[]", "{}")), default=0)
-            up_level = repeated_of(ancestor[:up])
-            up_start = (rep <= up_level) & ((defn >= up) if up else True)
+            up = above(ancestor)
+            up_start = (col.rep <= repeated_of(up)) & ((col.defn >= len(up)) if up else True)
             parent = np.cumsum(up_start)[here] - 1
             first = np.flatnonzero(np.r_[True, parent[1:] != parent[:-1]]) if len(here) else np.empty(0, np.int64)
             run = np.diff(np.r_[first, len(here)])
             pos = np.arange(len(here)) - np.repeat(first, run)
             n = len(here)
         if repeated_of(path) == level:
-            values[path[depth:]] = [col.value[i] for i in here]
+            values[path[depth:]] = col.value.take(pa.array(here)) if isinstance(col.value, pa.Array) else col.value[here]
     return Rows(record, parent, pos, values)
+
+
+def places(columns: dict[Path, Column], ancestor: Path) -> list[np.ndarray]:
+    """For each row of an ancestor's table its place in every repeated step of the path, outermost first.
+
+    With the record's key these are the same however records are dealt into
+    batches, so they link children to parents.
+    """
+    out: list[np.ndarray] = []
+    row = None
+    while ancestor:
+        t = table(columns, ancestor)
+        out.append(t.pos if row is None else t.pos[row])
+        row = t.parent if row is None else t.parent[row]
+        ancestor = above(ancestor)
+    return out[::-1]

@@ -190,10 +190,10 @@ def p1_contract_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("raw_id", "version", F.when(F.col("file_changes").isNotNull(), F.size("file_changes").cast("bigint")).alias("file_changes"), F.try_element_at("file_changes", F.lit(1))["action"].alias("first_action"), F.size("assertions").cast("bigint").alias("assertions"), F.size(given).cast("bigint").alias("with_ac"), total.alias("criteria"), listed.alias("listed"))
 
 
-def _children(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _children(spark: SparkSession, sf_dir: str, links: bool = True) -> DataFrame:
     entries = latest(table(spark, sf_dir, "entries").select("entry_idx", "ingested_at", "assertions", "contract", "timing"), ["entry_idx"], [F.desc_nulls_last("ingested_at")])
     contracts = latest(table(spark, sf_dir, "contracts").select("contract_id", "sealed_at", "body"), ["contract_id"], [F.desc_nulls_last("sealed_at"), F.desc_nulls_last("body")])
-    return nested.entry_tables(entries).unionByName(nested.contract_tables(contracts))
+    return nested.entry_tables(entries, links).unionByName(nested.contract_tables(contracts, links))
 
 
 @R.query(
@@ -243,10 +243,81 @@ UNION ALL SELECT DISTINCT contract_id, 'file_change', trim(p) FROM fp WHERE trim
 """,
 )
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _children(spark, sf_dir).select("parent_key", "child_kind", "child_key").distinct()
+    return _children(spark, sf_dir, links=False).select("parent_key", "child_kind", "child_key").distinct()
 
 
-@R.query("p5_children")
+@R.query(
+    "p5_children",
+    r"""
+WITH e AS (SELECT * FROM entries QUALIFY row_number() OVER (PARTITION BY entry_idx ORDER BY ingested_at DESC NULLS LAST) = 1),
+c0 AS (SELECT contract_id, body FROM contracts QUALIFY row_number() OVER (PARTITION BY contract_id ORDER BY sealed_at DESC NULLS LAST, body DESC NULLS LAST) = 1),
+c1 AS (SELECT contract_id, CASE WHEN json_type(body) = 'VARCHAR' THEN body ->> '$' ELSE body END AS body FROM c0 WHERE json_valid(body)),
+c2 AS (SELECT contract_id, CASE WHEN json_type(body, '$.data') = 'OBJECT' THEN (body -> '$.data')::VARCHAR ELSE body END AS body FROM c1 WHERE json_valid(body)),
+c AS (SELECT contract_id, CASE WHEN json_type(body, '$.contract') = 'OBJECT' THEN (body -> '$.contract')::JSON ELSE body::JSON END AS body FROM c2),
+a0 AS (SELECT contract_id, a, 'assertions[' || i || ']' AS p FROM (
+  SELECT contract_id, unnest(CAST(body -> '$.assertions' AS JSON[])) AS a, unnest(range(json_array_length(body, '$.assertions')::BIGINT)) AS i FROM c WHERE json_type(body, '$.assertions') = 'ARRAY')),
+a1 AS (
+  SELECT contract_id, p, a ->> '$.id' AS id, a FROM a0 WHERE json_type(a, '$.assertions') IS NULL
+  UNION ALL
+  SELECT contract_id, p || '.assertions[' || j || ']', b ->> '$.id', b FROM (
+    SELECT contract_id, p, unnest(CAST(a -> '$.assertions' AS JSON[])) AS b, unnest(range(json_array_length(a, '$.assertions')::BIGINT)) AS j FROM a0 WHERE json_type(a, '$.assertions') = 'ARRAY')
+  UNION ALL
+  SELECT contract_id, 'assertions[' || j || ']', k, v -> k FROM (
+    SELECT contract_id, body -> '$.assertions' AS v, unnest(json_keys(body, '$.assertions')) AS k, unnest(range(len(json_keys(body, '$.assertions')))) AS j FROM c WHERE json_type(body, '$.assertions') = 'OBJECT')),
+a AS (SELECT contract_id, p, trim(id) AS id, a -> '$.ac' AS ac, CASE WHEN json_type(a, '$.says') = 'VARCHAR' THEN a ->> '$.says' END AS says FROM a1 WHERE trim(id) <> ''),
+ac0 AS (
+  SELECT contract_id, id, p, p || '.ac' AS q, list_filter(list_transform(string_split(replace(ac ->> '$', ';', ','), ','), lambda y : trim(y)), lambda y : y <> '') AS xs, true AS own FROM a WHERE json_type(ac) = 'VARCHAR'
+  UNION ALL SELECT contract_id, id, p, p || '.ac[' || i || ']', list_filter(list_transform(string_split(replace(x, ';', ','), ','), lambda y : trim(y)), lambda y : y <> ''), false
+  FROM (SELECT contract_id, id, p, unnest(CAST(ac AS VARCHAR[])) AS x, unnest(range(json_array_length(ac)::BIGINT)) AS i FROM a WHERE json_type(ac) = 'ARRAY')),
+ac AS (SELECT contract_id, id, p, CASE WHEN own OR k > 0 THEN q || '[' || k || ']' ELSE q END AS q, x FROM (SELECT contract_id, id, p, q, own, unnest(xs) AS x, unnest(range(len(xs))) AS k FROM ac0)),
+f0 AS (SELECT contract_id, body -> '$.file_changes' AS f FROM c),
+f1 AS (SELECT contract_id, f, 'file_changes[' || i || ']' AS p FROM (SELECT contract_id, unnest(CAST(f AS JSON[])) AS f, unnest(range(json_array_length(f)::BIGINT)) AS i FROM f0 WHERE json_type(f) = 'ARRAY')),
+f2 AS (SELECT contract_id, f, unnest(json_keys(f)) AS k, unnest(range(len(json_keys(f)))) AS i FROM f0 WHERE json_type(f) = 'OBJECT' AND json_type(f, '$.path') IS NULL),
+fp AS (
+  SELECT contract_id, p, f ->> '$' AS n, NULL AS action FROM f1 WHERE json_type(f) = 'VARCHAR'
+  UNION ALL SELECT contract_id, p, f ->> '$.path', CASE WHEN json_type(f, '$.action') = 'VARCHAR' THEN f ->> '$.action' END FROM f1 WHERE json_type(f) = 'OBJECT'
+  UNION ALL SELECT contract_id, 'file_changes', f ->> '$.path', CASE WHEN json_type(f, '$.action') = 'VARCHAR' THEN f ->> '$.action' END FROM f0 WHERE json_type(f) = 'OBJECT'
+  UNION ALL SELECT contract_id, p || '.files[' || j || ']', CASE WHEN d <> '' THEN rtrim(d, '/') || '/' ELSE '' END || n, NULL FROM (
+    SELECT contract_id, p, f ->> '$.dir' AS d, unnest(CAST(f -> '$.files' AS JSON[])) ->> '$.name' AS n, unnest(range(json_array_length(f, '$.files')::BIGINT)) AS j FROM f1 WHERE json_type(f, '$.files') = 'ARRAY')
+  UNION ALL SELECT contract_id, 'file_changes[' || i || ']', k, f ->> k FROM f2 WHERE json_type(f -> k) = 'VARCHAR'
+  UNION ALL SELECT contract_id, 'file_changes[' || i || '][' || j || ']', x ->> '$', NULL FROM (
+    SELECT contract_id, i, unnest(CAST(f -> k AS JSON[])) AS x, unnest(range(json_array_length(f -> k)::BIGINT)) AS j FROM f2 WHERE json_type(f -> k) = 'ARRAY')),
+ea AS (SELECT entry_idx, unnest(assertions) AS a, unnest(range(len(assertions))) AS i FROM e)
+SELECT entry_idx::BIGINT AS parent_key, 'entry_assertion' AS child_kind, trim(a.id) AS child_key, NULL::VARCHAR AS parent_path, 'assertions[' || i || ']' AS path, a.says AS detail FROM ea WHERE trim(a.id) <> ''
+UNION ALL SELECT entry_idx::BIGINT, 'entry_contract', 'contract', NULL, 'contract', NULL FROM e
+  WHERE coalesce(contract.total, contract.satisfied, contract.unsatisfied, contract.deviated) IS NOT NULL
+UNION ALL SELECT entry_idx::BIGINT, 'entry_segment', (i - 1)::VARCHAR, NULL, 'segments[' || (i - 1) || ']', s[i].stage FROM (
+  SELECT entry_idx, timing.segments AS s, unnest(range(1, len(timing.segments) + 1)) AS i FROM e) WHERE s[i] IS NOT NULL
+UNION ALL SELECT contract_id, 'assertion', id, NULL, p, says FROM a
+UNION ALL SELECT contract_id, 'assertion_ac', id || '/' || x, p, q, NULL FROM ac
+UNION ALL SELECT contract_id, 'file_change', trim(n), NULL, p, action FROM fp WHERE trim(n) <> ''
+""",
+)
 def p5_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every child with its links: the place of its parent element, its own place, a describing text."""
+    """Every child with its links: the path of the row it belongs to, its own path, a describing text."""
     return _children(spark, sf_dir)
+
+
+@R.query(
+    "p5_criteria",
+    r"""
+WITH c0 AS (SELECT contract_id, body FROM contracts QUALIFY row_number() OVER (PARTITION BY contract_id ORDER BY sealed_at DESC NULLS LAST, body DESC NULLS LAST) = 1),
+c1 AS (SELECT contract_id, CASE WHEN json_type(body) = 'VARCHAR' THEN body ->> '$' ELSE body END AS body FROM c0 WHERE json_valid(body)),
+c2 AS (SELECT contract_id, CASE WHEN json_type(body, '$.data') = 'OBJECT' THEN (body -> '$.data')::VARCHAR ELSE body END AS body FROM c1 WHERE json_valid(body)),
+c AS (SELECT contract_id, CASE WHEN json_type(body, '$.contract') = 'OBJECT' THEN (body -> '$.contract')::JSON ELSE body::JSON END AS body FROM c2),
+a0 AS (SELECT contract_id, unnest(CAST(body -> '$.assertions' AS JSON[])) AS a FROM c WHERE json_type(body, '$.assertions') = 'ARRAY'),
+a1 AS (
+  SELECT contract_id, a ->> '$.id' AS id, a FROM a0 WHERE json_type(a, '$.assertions') IS NULL
+  UNION ALL SELECT contract_id, b ->> '$.id', b FROM (SELECT contract_id, unnest(CAST(a -> '$.assertions' AS JSON[])) AS b FROM a0 WHERE json_type(a, '$.assertions') = 'ARRAY')
+  UNION ALL SELECT contract_id, k, v -> k FROM (SELECT contract_id, body -> '$.assertions' AS v, unnest(json_keys(body, '$.assertions')) AS k FROM c WHERE json_type(body, '$.assertions') = 'OBJECT')),
+a AS (SELECT contract_id, trim(id) AS id, a ->> '$.says' AS says, a -> '$.ac' AS ac FROM a1 WHERE trim(id) <> ''),
+x AS (SELECT contract_id, id, says, unnest(CASE WHEN json_type(ac) = 'ARRAY' THEN CAST(ac AS VARCHAR[]) ELSE [ac ->> '$'] END) AS x FROM a WHERE json_type(ac) IN ('ARRAY', 'VARCHAR'))
+SELECT contract_id AS parent_key, id AS assertion, trim(y) AS criterion, says FROM (SELECT contract_id, id, says, unnest(string_split(replace(x, ';', ','), ',')) AS y FROM x) WHERE trim(y) <> ''
+""",
+)
+def p5_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Criteria of contract assertions joined to their assertion by the link: what it says stands beside every criterion."""
+    c = _children(spark, sf_dir)
+    a = c.filter(F.col("child_kind") == "assertion").select("parent_key", F.col("path").alias("parent_path"), F.col("child_key").alias("assertion"), F.col("detail").alias("says"))
+    ac = c.filter(F.col("child_kind") == "assertion_ac").select("parent_key", "parent_path", "child_key")
+    return ac.join(a, ["parent_key", "parent_path"]).select("parent_key", "assertion", F.expr("substr(child_key, length(assertion) + 2)").alias("criterion"), "says")

@@ -1,6 +1,7 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 
 from tallyforge.operators import nested as N
@@ -65,7 +66,8 @@ def test_round_trip(seed):
 def test_levels():
     cols = S.shred([{"a": [{"b": [1, 2]}, {}, {"b": [3]}]}, {"a": []}, None])
     c = cols[("a", "[]", "b", "[]")]
-    assert (c.rep, c.value) == ([0, 2, 1, 1, 0, 0], [1, 2, None, 3, None, None])
+    assert (c.rep.tolist(), c.value.tolist()) == ([0, 2, 1, 1, 0, 0], [1, 2, None, 3, None, None])
+    assert c.defn.tolist() == [5, 5, 2, 5, 1, 0]
     assert list(S.table(cols, ("a", "[]")).pos) == [0, 1, 2]
     assert list(S.table(cols, ("a", "[]")).record) == [0, 0, 0]
 
@@ -119,3 +121,45 @@ def test_entry_children(spark):
     ]
     got = sorted((r.parent_key, r.child_kind, r.child_key) for r in N.entry_tables(spark.createDataFrame(rows, schema)).collect())
     assert got == [(1, "entry_assertion", "A1"), (1, "entry_assertion", "A1"), (1, "entry_contract", "contract"), (1, "entry_segment", "0"), (1, "entry_segment", "2")]
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_links_do_not_depend_on_the_partitioning(spark, parts):
+    body = json.dumps({"assertions": [{"id": "A1", "says": "one", "ac": ["AC1", "AC2; AC3"]}, {"id": "A2", "ac": "AC4, AC5"}], "file_changes": [{"dir": "d", "files": [{"name": "x"}]}]})
+    df = spark.createDataFrame([(i, body) for i in range(4)], "contract_id bigint, body string").repartition(parts)
+    rows = N.contract_tables(df).collect()
+    own = {(r.child_kind, r.child_key, r.parent_path, r.path) for r in rows if r.parent_key == 0}
+    assert own == {
+        ("assertion", "A1", None, "assertions[0]"),
+        ("assertion", "A2", None, "assertions[1]"),
+        ("assertion_ac", "A1/AC1", "assertions[0]", "assertions[0].ac[0]"),
+        ("assertion_ac", "A1/AC2", "assertions[0]", "assertions[0].ac[1]"),
+        ("assertion_ac", "A1/AC3", "assertions[0]", "assertions[0].ac[1][1]"),
+        ("assertion_ac", "A2/AC4", "assertions[1]", "assertions[1].ac[0]"),
+        ("assertion_ac", "A2/AC5", "assertions[1]", "assertions[1].ac[1]"),
+        ("file_change", "d/x", None, "file_changes[0].files[0]"),
+    }
+    for key in range(4):
+        assert {(r.child_kind, r.child_key, r.parent_path, r.path) for r in rows if r.parent_key == key} == own
+
+
+def test_arrow_gives_the_same_levels_as_json():
+    rng = random.Random(7)
+    t = pa.struct([("a", pa.list_(pa.struct([("b", pa.int64()), ("c", pa.list_(pa.string()))]))), ("d", pa.struct([("e", pa.float64())]))])
+
+    def pick(f):
+        return None if rng.random() < 0.25 else f()
+
+    for _ in range(20):
+        rows = [pick(lambda: {"a": pick(lambda: [pick(lambda: {"b": pick(lambda: 1), "c": pick(lambda: [pick(lambda: "x") for _ in range(rng.randint(0, 2))])}) for _ in range(rng.randint(0, 3))]), "d": pick(lambda: {"e": pick(lambda: 0.5)})}) for _ in range(rng.randint(0, 9))]
+        one, two = S.shred(rows), S.shred_arrow(pa.array(rows, t))
+        for path, col in one.items():
+            assert (col.rep.tolist(), col.defn.tolist(), col.value.tolist()) == (two[path].rep.tolist(), two[path].defn.tolist(), two[path].value.to_pylist())
+
+
+def test_deep_nesting_needs_no_recursion():
+    v = 1
+    for _ in range(20_000):
+        v = [v]
+    cols = S.shred([{"a": v}])
+    assert [len(p) for p in cols] == [20_001]

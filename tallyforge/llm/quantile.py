@@ -1,38 +1,46 @@
 """Percentiles of very large numeric columns with dyadic count-sketches.
 
-A value is encoded, order kept, in 18 bits: sign, 6 bits of exponent, 11 bits of
-fraction. For each binary resolution of the codes (2**18 cells down to one) the
-state holds how many values lie in each cell: exactly from 2**11 cells up the
-tree, in a signed count-sketch of 5 rows by 512 counters below. A percentile is
-found by descending the levels: a cell's left half is estimated, and the rank
-still to be found tells whether to go left or right.
+A value is encoded, order kept, in 23 bits: sign, the 11 bits of a double's
+exponent, 11 bits of fraction. For each binary resolution of the codes (2**23
+cells down to one) the state holds how many values lie in each cell: exactly
+from 2**16 cells up the tree (of which only those with values are kept), in a
+signed count-sketch of 5 rows by 512 counters below. A percentile is found by
+descending the levels: a cell's left half is estimated, and the rank still to be
+found tells whether to go left or right.
 
 The state is linear in the data. States of partitions, days or loads are merged
 by adding their counters, a negative weight takes values out again, and either
-order of merging gives the same counters, so the same answers, bit for bit.
+order of merging gives the same counters, so the same answers, bit for bit. A
+stored state of few different codes holds the codes with their counts, from
+which the same counters come when it is merged or asked.
 
-Error. The value given is the lower edge (towards zero) of a cell that is
-2**-11 of the value wide. The rank is off by the errors of at most 7 sketched
-estimates: three standard deviations of their sum, taken from the sketch's own
-second moments, come with every answer as ``rank_error`` (a share of n).
+Error. The value given is the edge (towards zero) of a cell that is at most
+2**-11 of the value wide, over the whole range of a double. The rank is off by
+the errors of at most 7 sketched estimates: three standard deviations of their
+sum, taken from the sketch's own second moments, come with every answer as
+``rank_error`` (a share of n). It is no bound that always holds, but one that
+under one answer in some hundred passes.
 
 Scale: values are counted per group and code in each task before the shuffle,
-so a group that fills a third of the table moves at most 2**18 counters a task.
-With very many tasks a group's parts are added up in two rounds.
-
-Defined cases: null and NaN values count for nothing; infinities and values
-beyond 2**32 fall into the outermost cell, those nearer to zero than 2**-32
-count as zero; a group without values has no state and no row; null keys form
-groups of their own; repeated rows count as often as they come (removing them is
-the caller's task, or done later with weight -1); columns called like the
-operator's own are not touched, since only the keys and values are read. An
-empty table gives no rows. Ties share a code, which makes them exact.
+so a group that fills a third of the table moves at most its different codes
+from a task. Where many tasks may hold parts of one group, the parts are added
+up in two rounds, also when stored states are merged.
+
+Defined cases: null and NaN values count for nothing; infinities have a cell of
+their own at either end; numbers nearer to zero than 2**-1022 count as zero;
+values below zero count like all others; a group without values has no state
+and no row; null keys form groups of their own; repeated rows count as often as
+they come (removing them is the caller's task, or done later with weight -1);
+columns called like the operator's own are not touched, since only the keys and
+values are read. An empty table gives no rows. Ties share a code, which makes
+them exact.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,23 +49,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FRACTION = 11
-BITS = 18
+LEAST = 1022  # numbers below 2**-LEAST count as zero
+BITS = 1 + 11 + FRACTION
 EXACT_LEVEL = 7  # cells of this level and above are counted exactly
 ROWS, WIDTH = 5, 512
-EXACT = 1 << (BITS - EXACT_LEVEL)
-SIZE = EXACT + EXACT_LEVEL * ROWS * WIDTH
-#: Input tasks from which on a group's parts are added up in two rounds.
+SIZE = EXACT_LEVEL * ROWS * WIDTH
+#: Parts of a group from which on they are added up in two rounds.
 FAN_IN = 512
-#: Values held in a task before they are counted, and cells of sketches built at once.
+#: Values held in a task before they are counted, and counters of sketches built at once.
 HELD, BUILT = 2_000_000, 4_000_000
+#: Different codes up to which a stored state is a list of them.
+SPARSE = 2_000
 
 
 def encode(x: np.ndarray) -> np.ndarray:
     """Codes of doubles (no NaN), in the order of the values."""
     m, e = np.frexp(np.where(np.isinf(x), 1.0, np.abs(x)))
-    size = ((e.astype(np.int64) + 31) << FRACTION) + np.floor((m - 0.5) * (2 << FRACTION)).astype(np.int64)
+    size = ((e.astype(np.int64) + LEAST) << FRACTION) + np.floor((m - 0.5) * (2 << FRACTION)).astype(np.int64)
     top = (1 << (BITS - 1)) - 1
-    size = np.where(np.isinf(x), top, np.clip(np.where(m == 0, 0, size), 0, top))
+    size = np.where(np.isinf(x), top, np.where((m == 0) | (e < 1 - LEAST), 0, size))
     return np.where(x < 0, top - size, top + 1 + size)
 
 
@@ -66,8 +76,9 @@ def decode(code: np.ndarray) -> np.ndarray:
     top = (1 << (BITS - 1)) - 1
     negative = code <= top
     size = np.where(negative, top - code, code - top - 1)
-    x = np.ldexp(0.5 + (size & ((1 << FRACTION) - 1)) / (2 << FRACTION), (size >> FRACTION) - 31)
-    x = np.where(size == 0, 0.0, x)
+    with np.errstate(over="ignore"):
+        x = np.ldexp(0.5 + (size & ((1 << FRACTION) - 1)) / (2 << FRACTION), (size >> FRACTION) - LEAST)
+    x = np.where(size == top, np.inf, np.where(size == 0, 0.0, x))
     return np.where(negative & (size > 0), -x, x)
 
 
@@ -81,39 +92,64 @@ def _hash(cells: np.ndarray, level: int, row: int) -> tuple[np.ndarray, np.ndarr
     return (h & np.uint64(WIDTH - 1)).astype(np.int64), 1.0 - 2.0 * ((h >> np.uint64(40)) & np.uint64(1)).astype(np.float64)
 
 
-def build(group: np.ndarray, code: np.ndarray, weight: np.ndarray, groups: int) -> np.ndarray:
-    """States (one row per group) of weighted codes."""
-    out = np.empty((groups, SIZE))
+@dataclass
+class States:
+    """The states of a number of groups: exact cells (sorted by group and cell) and sketches (a row each)."""
+
+    group: np.ndarray
+    cell: np.ndarray
+    count: np.ndarray
+    sketch: np.ndarray
+
+    def added(self, group: np.ndarray, cell: np.ndarray, count: np.ndarray) -> None:
+        """Add exact counts."""
+        at, back = np.unique(np.concatenate((self.group << BITS | self.cell, group << BITS | cell)), return_inverse=True)
+        total = np.bincount(back, np.concatenate((self.count, count)), len(at))
+        at, self.count = at[total != 0], total[total != 0]
+        self.group, self.cell = at >> BITS, at & ((1 << BITS) - 1)
+
+    def n(self) -> np.ndarray:
+        return np.bincount(self.group, self.count, len(self.sketch))
+
+
+def build(group: np.ndarray, code: np.ndarray, weight: np.ndarray, groups: int) -> States:
+    """States of weighted codes."""
     weight = weight.astype(np.float64)
-    out[:, :EXACT] = np.bincount(group * EXACT + (code >> EXACT_LEVEL), weight, groups * EXACT).reshape(groups, EXACT)
-    at = EXACT
+    none = np.empty(0, np.int64)
+    out = States(none, none, np.empty(0), np.empty((groups, SIZE)))
+    out.added(group, code >> EXACT_LEVEL, weight)
+    at = 0
     for level in range(EXACT_LEVEL):
         cells, back = np.unique(code >> level, return_inverse=True)  # each cell is hashed once
         for row in range(ROWS):
             h, sign = _hash(cells, level, row)
-            out[:, at : at + WIDTH] = np.bincount(group * WIDTH + h[back], weight * sign[back], groups * WIDTH).reshape(groups, WIDTH)
+            out.sketch[:, at : at + WIDTH] = np.bincount(group * WIDTH + h[back], weight * sign[back], groups * WIDTH).reshape(groups, WIDTH)
             at += WIDTH
     return out
 
 
-def answer(states: np.ndarray, quantiles: Sequence[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def answer(states: States, quantiles: Sequence[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(n, values by group and quantile, rank error) of states.
 
     The q-quantile is the least value with at least ``ceil(q * n)`` values up to
     it. A state without values (all taken out) has n = 0 and NaN values.
     """
-    n = states[:, :EXACT].sum(axis=1)
-    g, q = len(states), len(quantiles)
+    n = states.n()
+    g, q = len(n), len(quantiles)
+    if not len(states.cell):
+        return n, np.full((g, q), np.nan), np.full(g, np.nan)
     rank = np.maximum(np.ceil(n[:, None] * np.asarray(quantiles)[None, :] - 1e-9), 1.0)
-    below = np.cumsum(states[:, :EXACT], axis=1)
-    cell = np.minimum(np.stack([np.searchsorted(below[i], rank[i], side="left") for i in range(g)]) if g else np.empty((0, q), np.int64), EXACT - 1)
+    total = np.cumsum(np.maximum(states.count, 0))
+    first, end = np.searchsorted(states.group, np.arange(g), "left"), np.searchsorted(states.group, np.arange(g), "right")
+    base = np.where(first > 0, total[np.maximum(first, 1) - 1], 0.0)
+    at = np.searchsorted(total, (base[:, None] + rank).ravel(), "left").reshape(g, q)
+    at = np.clip(at, np.minimum(first, len(total) - 1)[:, None], np.maximum(end - 1, 0)[:, None])
+    cell, inside = states.cell[at], np.maximum(states.count[at], 0)
+    rank = rank - (total[at] - inside - base[:, None])
     who = np.repeat(np.arange(g), q).reshape(g, q)
-    inside = states[who, cell]
-    rank = rank - (below[who, cell] - inside)
     noise = np.zeros(g)
     for level in range(EXACT_LEVEL - 1, -1, -1):
-        base = EXACT + level * ROWS * WIDTH
-        rows = states[:, base : base + ROWS * WIDTH].reshape(g, ROWS, WIDTH)
+        rows = states.sketch[:, level * ROWS * WIDTH : (level + 1) * ROWS * WIDTH].reshape(g, ROWS, WIDTH)
         noise += np.median((rows**2).sum(axis=2), axis=1) / WIDTH
         left = cell * 2
         seen = []
@@ -130,21 +166,28 @@ def answer(states: np.ndarray, quantiles: Sequence[float]) -> tuple[np.ndarray,
     return n, np.where(n[:, None] > 0, decode(cell), np.nan), np.minimum(error, 1.0)
 
 
-def pack(state: np.ndarray) -> bytes:
-    """A state as bytes: the places that are not zero and their counters, compressed."""
-    at = np.flatnonzero(state)
-    return zlib.compress(np.concatenate((np.diff(at, prepend=0), state[at].astype(np.int64))).astype(np.int64).tobytes(), 1)
+#: What a part of a group holds: counts per code in numbers of 4 or 8 bytes, a state,
+#: or one of these as stored, with its form in front, to be added or taken out.
+SHORT, LONG, STATE, STORED, TAKEN = 4, 8, 0, 50, 51
+
 
+def _numbers(*columns: np.ndarray) -> bytes:
+    """Whole numbers of several columns of one length, the first as differences, compressed."""
+    first, *rest = (c.astype(np.int64) for c in columns)
+    return zlib.compress(np.concatenate((np.diff(first, prepend=0), *rest)).tobytes(), 1)
 
-def unpack(data: bytes) -> np.ndarray:
-    x = np.frombuffer(zlib.decompress(data), np.int64)
-    state = np.zeros(SIZE)
-    state[np.cumsum(x[: len(x) // 2])] = x[len(x) // 2 :]
-    return state
 
+def _back(data: bytes, columns: int) -> list[np.ndarray]:
+    x = np.frombuffer(zlib.decompress(data), np.int64).reshape(columns, -1)
+    return [np.cumsum(x[0]), *x[1:]]
 
-#: What a part of a group holds: counts per code in numbers of 4 or 8 bytes, or a packed state.
-SHORT, LONG, STATE = 4, 8, 0
+
+def pack(states: States, g: int) -> bytes:
+    """One state as bytes: its exact cells, and the counters of its sketch that are not zero."""
+    a, b = np.searchsorted(states.group, [g, g + 1])
+    at = np.flatnonzero(states.sketch[g])
+    exact = _numbers(states.cell[a:b], states.count[a:b])
+    return len(exact).to_bytes(4, "little") + exact + _numbers(at, states.sketch[g, at])
 
 
 def _codes(code: np.ndarray, weight: np.ndarray) -> tuple[int, bytes]:
@@ -152,6 +195,68 @@ def _codes(code: np.ndarray, weight: np.ndarray) -> tuple[int, bytes]:
     return form, np.concatenate((code, weight)).astype(f"i{form}").tobytes()
 
 
+class Parts:
+    """Parts of some groups in any form, to be added up."""
+
+    def __init__(self) -> None:
+        self.codes: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.states: list[tuple[int, int, bytes]] = []
+        self.held = 0
+
+    def add(self, g: int, form: int, data: bytes, sign: int = 1) -> None:
+        if form in (STORED, TAKEN):
+            self.add(g, data[0], data[1:], 1 if form == STORED else -1)
+        elif form == STATE:
+            self.states.append((g, sign, data))
+        else:
+            x = np.frombuffer(data, f"i{form}").astype(np.int64)
+            half = len(x) // 2
+            self.codes.append((np.full(half, g), x[:half], x[half:] * sign))
+            self.held += half
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(group, code, weight) of the parts that are codes, each once, sorted."""
+        if not self.codes:
+            return (np.empty(0, np.int64),) * 3
+        at = np.concatenate([c[0] for c in self.codes]) << BITS | np.concatenate([c[1] for c in self.codes])
+        at, back = np.unique(at, return_inverse=True)
+        # whole numbers beyond 2**53 are added as such
+        w = np.zeros(len(at), np.int64)
+        np.add.at(w, back, np.concatenate([c[2] for c in self.codes]))
+        self.codes = [(at >> BITS, at & ((1 << BITS) - 1), w)]
+        self.held = len(at)
+        return at[w != 0] >> BITS, at[w != 0] & ((1 << BITS) - 1), w[w != 0]
+
+    def total(self, groups: int) -> States:
+        out = build(*self.counted(), groups)
+        for g, sign, data in self.states:
+            cut = 4 + int.from_bytes(data[:4], "little")
+            cell, count = _back(data[4:cut], 2)
+            out.added(np.full(len(cell), g), cell, sign * count.astype(np.float64))
+            at, value = _back(data[cut:], 2)
+            out.sketch[g, at] += sign * value
+        return out
+
+    def stored(self, groups: int) -> tuple[np.ndarray, list[bytes]]:
+        """(n, state as stored) of every group."""
+        group, code, weight = self.counted()
+        few = np.bincount(group, minlength=groups) <= SPARSE
+        few[[g for g, _, _ in self.states]] = False
+        n, data = np.zeros(groups, np.int64), [b""] * groups
+        np.add.at(n, group, weight)
+        for g in np.flatnonzero(few).tolist():
+            a, b = np.searchsorted(group, [g, g + 1])
+            form, codes = _codes(code[a:b], weight[a:b])
+            data[g] = bytes([form]) + codes
+        many = np.flatnonzero(~few)
+        if len(many):
+            whole = self.total(groups)
+            n[many] = whole.n()[many].astype(np.int64)
+            for g in many.tolist():
+                data[g] = bytes([STATE]) + pack(whole, g)
+        return n, data
+
+
 def _counted(df: DataFrame, keys: list[str], values: dict[str, Column], weight: Column | None) -> DataFrame:
     """(k0, ..., name, form, codes): the counts per code of every group in each task."""
     k = len(keys)
@@ -213,135 +318,112 @@ def _counted(df: DataFrame, keys: list[str], values: dict[str, Column], weight:
     return picked.mapInArrow(run, out)
 
 
-def _grouped(df: DataFrame, k: int, out: T.StructType, finish) -> DataFrame:  # noqa: ANN001
-    """Rows of ``df`` (k0.., name, form, codes) by group; ``finish(labels, states)`` gives batches.
-
-    The parts of a group come in one of the three forms.
-    """
+def _grouped(df: DataFrame, k: int, out: T.StructType, finish: Callable[[list[tuple], Parts, list], pa.RecordBatch]) -> DataFrame:
+    """Rows of ``df`` (k0.., name, form, codes) by group; ``finish(labels, parts, types)`` gives batches."""
     names = [*[f"k{i}" for i in range(k)], "name"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels: list[tuple] = []
-        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        wide: list[tuple[int, bytes]] = []
+        parts = Parts()
         room = max(1, BUILT // SIZE)
         types: list = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal labels, parts, wide
-            if labels:
-                z = np.empty(0, np.int64)
-                states = build(*(np.concatenate([p[i] for p in parts]) if parts else z for i in range(3)), len(labels))
-                for g, data in wide:
-                    states[g] += unpack(data)
-                yield finish(labels, states, types)
-            labels, parts, wide = [], [], []
-
-        held = 0
         for b in batches:
             types = [b.schema.field(i).type for i in range(k + 1)]
             for *label, form, data in zip(*[b.column(i).to_pylist() for i in range(k + 3)], strict=True):
                 label = tuple(label)
                 if not labels or labels[-1] != label:
                     if len(labels) >= room:
-                        yield from flush()
-                        held = 0
+                        yield finish(labels, parts, types)
+                        labels, parts = [], Parts()
                     labels.append(label)
-                if form == STATE:
-                    wide.append((len(labels) - 1, data))
-                else:
-                    x = np.frombuffer(data, f"i{form}").astype(np.int64)
-                    half = len(x) // 2
-                    parts.append((np.full(half, len(labels) - 1), x[:half], x[half:]))
-                    held += half
-                if held > HELD:  # many parts of one group: add them up as a state
-                    g = np.concatenate([p[0] for p in parts])
-                    states = build(g, np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]), len(labels))
-                    wide.extend((i, pack(s)) for i, s in enumerate(states) if s.any())
-                    parts, held = [], 0
-        yield from flush()
+                parts.add(len(labels) - 1, form, data)
+                if parts.held > HELD:  # many parts of a few groups: add up equal codes
+                    parts.counted()
+        if labels:
+            yield finish(labels, parts, types)
 
     return df.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, out)
 
 
-def sketches(df: DataFrame, keys: list[str], values: dict[str, Column], weight: Column | None = None, name: str = "name") -> DataFrame:
-    """(keys..., name, n, sketch): the state of every value column per group, to be stored, merged and asked."""
-    k = len(keys)
-    counted = _counted(df, keys, values, weight)
-    state = T.StructType([*counted.schema.fields[: k + 1], T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType())])
+def _label_columns(labels: list[tuple], types: list, keep: Sequence[int]) -> list[pa.Array]:
+    return [pa.array([x[i] for x in labels], types[i]) for i in keep]
 
-    def finish(labels: list[tuple], states: np.ndarray, types: list) -> pa.RecordBatch:
-        columns = [pa.array([x[i] for x in labels], types[i]) for i in range(k + 1)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(states[:, :EXACT].sum(axis=1).astype(np.int64)), pa.array([pack(s) for s in states], pa.binary())], names=[f.name for f in state.fields])
 
-    done = _grouped(_in_two_rounds(counted, k), k, state, finish)
-    return done.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keys)], F.col("name").alias(name), "n", "sketch")
+def _many_parts(df: DataFrame) -> bool:
+    """Whether a group may have parts in very many tasks, from the size of the input and the number of shuffle partitions."""
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    scan = size // spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return max(scan, int(spark.conf.get("spark.sql.shuffle.partitions"))) > FAN_IN
 
 
-def _in_two_rounds(counted: DataFrame, k: int) -> DataFrame:
+def _in_two_rounds(parts: DataFrame, k: int, many: bool) -> DataFrame:
     """With very many tasks, first add up the parts of a group in several tasks of their own."""
-    tasks = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if tasks <= FAN_IN:
-        return counted
-    salted = counted.withColumn(f"k{k}", F.pmod(F.spark_partition_id(), F.lit(int(tasks**0.5)))).select(*[f"k{i}" for i in range(k + 1)], "name", "form", "codes")
-    out = T.StructType([*counted.schema.fields[: k + 1], T.StructField("form", T.IntegerType()), T.StructField("codes", T.BinaryType())])
+    if not many:
+        return parts
+    salted = parts.withColumn(f"k{k}", F.pmod(F.spark_partition_id(), F.lit(int(FAN_IN**0.5) + 1))).select(*[f"k{i}" for i in range(k + 1)], "name", "form", "codes")
+    out = T.StructType([*parts.schema.fields[: k + 1], T.StructField("form", T.IntegerType()), T.StructField("codes", T.BinaryType())])
 
-    def finish(labels: list[tuple], states: np.ndarray, types: list) -> pa.RecordBatch:
-        columns = [pa.array([x[i] for x in labels], types[i]) for i in range(k + 2) if i != k]
-        return pa.RecordBatch.from_arrays([*columns, pa.array([STATE] * len(labels), pa.int32()), pa.array([pack(s) for s in states], pa.binary())], names=[f.name for f in out.fields])
+    def finish(labels: list[tuple], held: Parts, types: list) -> pa.RecordBatch:
+        columns = _label_columns(labels, types, [i for i in range(k + 2) if i != k])
+        return pa.RecordBatch.from_arrays([*columns, pa.array([STORED] * len(labels), pa.int32()), pa.array(held.stored(len(labels))[1], pa.binary())], names=[f.name for f in out.fields])
 
     return _grouped(salted, k + 1, out, finish)
 
 
+def _stored(parts: DataFrame, k: int, many: bool) -> DataFrame:
+    """(k0.., name, n, sketch) of parts."""
+    out = T.StructType([*parts.schema.fields[: k + 1], T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType())])
+
+    def finish(labels: list[tuple], held: Parts, types: list) -> pa.RecordBatch:
+        n, data = held.stored(len(labels))
+        return pa.RecordBatch.from_arrays([*_label_columns(labels, types, range(k + 1)), pa.array(n), pa.array(data, pa.binary())], names=[f.name for f in out.fields])
+
+    return _grouped(_in_two_rounds(parts, k, many), k, out, finish)
+
+
+def sketches(df: DataFrame, keys: list[str], values: dict[str, Column], weight: Column | None = None, name: str = "name") -> DataFrame:
+    """(keys..., name, n, sketch): the state of every value column per group, to be stored, merged and asked."""
+    done = _stored(_counted(df, keys, values, weight), len(keys), _many_parts(df))
+    return done.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keys)], F.col("name").alias(name), "n", "sketch")
+
+
 def merge(states: DataFrame, keys: list[str], sign: Column | None = None) -> DataFrame:
-    """(keys..., n, sketch): the sum of the states of each group; ``sign`` -1 takes a state out."""
-    k = len(keys)
-    picked = states.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)], (F.lit(1) if sign is None else sign).cast("int").alias("s"), "sketch")
-    out = T.StructType([*picked.schema.fields[:k], T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType())])
+    """(keys..., n, sketch): the sum of the states of each group; a ``sign`` below zero takes a state out."""
+    form = F.lit(STORED) if sign is None else F.when(sign < 0, TAKEN).otherwise(STORED)
+    parts = states.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)], F.lit("").alias("name"), form.cast("int").alias("form"), F.col("sketch").alias("codes"))
+    done = _stored(parts, len(keys), _many_parts(states))
+    return done.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keys)], "n", "sketch")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        label, total, types = None, np.zeros(SIZE), []
 
-        def row() -> pa.RecordBatch:
-            columns = [pa.array([label[i]], types[i]) for i in range(k)]
-            return pa.RecordBatch.from_arrays([*columns, pa.array([int(total[:EXACT].sum())], pa.int64()), pa.array([pack(total)], pa.binary())], names=[f.name for f in out.fields])
+def _answer_fields(df: DataFrame, labels: int) -> T.StructType:
+    more = [T.StructField("quantile", T.DoubleType()), T.StructField("value", T.DoubleType()), T.StructField("n", T.LongType()), T.StructField("rank_error", T.DoubleType())]
+    return T.StructType([*df.schema.fields[:labels], *more])
 
-        for b in batches:
-            types = [b.schema.field(i).type for i in range(k)]
-            for *key, s, data in zip(*[b.column(i).to_pylist() for i in range(k + 2)], strict=True):
-                if label is not None and tuple(key) != label:
-                    yield row()
-                    total = np.zeros(SIZE)
-                label = tuple(key)
-                total = total + s * unpack(data)
-        if label is not None:
-            yield row()
-
-    names = [f"k{i}" for i in range(k)]
-    merged = picked.repartition(*names) if k else picked.coalesce(1)
-    return merged.sortWithinPartitions(*names).mapInArrow(run, out).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keys)], "n", "sketch") if k else merged.mapInArrow(run, out)
-
-
-def _answers(labels: list[list], types: list, names: list[str], states: np.ndarray, quantiles: Sequence[float]) -> pa.RecordBatch:
-    n, values, error = answer(states, quantiles)
+
+def _answers(labels: list[pa.Array], out: T.StructType, parts: Parts, groups: int, quantiles: Sequence[float]) -> pa.RecordBatch:
+    n, values, error = answer(parts.total(groups), quantiles)
     q = len(quantiles)
-    at = pa.array(np.repeat(np.arange(len(states)), q))
-    columns = [pa.array(x, t).take(at) for x, t in zip(labels, types, strict=True)]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(np.tile(np.asarray(quantiles, float), len(states))), pa.array(values.ravel()), pa.array(np.repeat(n, q).astype(np.int64)), pa.array(np.repeat(error, q))], names=names)
+    at = pa.array(np.repeat(np.arange(groups), q))
+    columns = [x.take(at) for x in labels]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(np.tile(np.asarray(quantiles, float), groups)), pa.array(values.ravel()), pa.array(np.repeat(n, q).astype(np.int64)), pa.array(np.repeat(error, q))], names=[f.name for f in out.fields])
 
 
 def ask(states: DataFrame, keys: list[str], quantiles: Sequence[float]) -> DataFrame:
     """(keys..., quantile, value, n, rank_error) of stored states."""
     picked = states.select(*keys, "sketch")
     k = len(keys)
-    out = T.StructType([*picked.schema.fields[:k], T.StructField("quantile", T.DoubleType()), T.StructField("value", T.DoubleType()), T.StructField("n", T.LongType()), T.StructField("rank_error", T.DoubleType())])
+    out = _answer_fields(picked, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        room = max(1, BUILT // SIZE)
         for b in batches:
-            for at in range(0, b.num_rows, 100):
-                part = b.slice(at, 100)
-                full = np.stack([unpack(x) for x in part.column(k).to_pylist()])
-                yield _answers([part.column(i).to_pylist() for i in range(k)], [b.schema.field(i).type for i in range(k)], [f.name for f in out.fields], full, quantiles)
+            for at in range(0, b.num_rows, room):
+                part = b.slice(at, room)
+                held = Parts()
+                for g, data in enumerate(part.column(k).to_pylist()):
+                    held.add(g, STORED, data)
+                yield _answers([part.column(i) for i in range(k)], out, held, part.num_rows, quantiles)
 
     return picked.mapInArrow(run, out)
 
@@ -350,10 +432,10 @@ def percentiles(df: DataFrame, keys: list[str], values: dict[str, Column], quant
     """(keys..., name, quantile, value, n, rank_error) per group and value column, without storing the states."""
     k = len(keys)
     counted = _counted(df, keys, values, None)
-    out = T.StructType([*counted.schema.fields[: k + 1], T.StructField("quantile", T.DoubleType()), T.StructField("value", T.DoubleType()), T.StructField("n", T.LongType()), T.StructField("rank_error", T.DoubleType())])
+    out = _answer_fields(counted, k + 1)
 
-    def finish(labels: list[tuple], states: np.ndarray, types: list) -> pa.RecordBatch:
-        return _answers([[x[i] for x in labels] for i in range(k + 1)], types, [f.name for f in out.fields], states, quantiles)
+    def finish(labels: list[tuple], held: Parts, types: list) -> pa.RecordBatch:
+        return _answers(_label_columns(labels, types, range(k + 1)), out, held, len(labels), quantiles)
 
-    done = _grouped(_in_two_rounds(counted, k), k, out, finish)
+    done = _grouped(_in_two_rounds(counted, k, _many_parts(df)), k, out, finish)
     return done.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keys)], F.col("name").alias(name), "quantile", "value", "n", "rank_error")

@@ -32,8 +32,8 @@ def _timings(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
 
 
 def _minutes() -> dict:
-    """Minutes by stage; a duration below zero is none."""
-    return {s: F.when(F.col(s) >= 0, F.col(s)) for s in STAGES}
+    """Minutes by stage as recorded: all values count, also negative and sentinel ones, since no rule tells which are wrong."""
+    return {s: F.col(s) for s in STAGES}
 
 
 @R.query("p3_percentiles")
@@ -43,14 +43,37 @@ def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("value_error", F.lit(2.0**-quantile.FRACTION))
 
 
+@R.query("p3_verified", SQL["p3_verified"])
+def p3_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each percentile's exact rank is within its stated error, by counting the values below and up to it."""
+    a = F.abs("value") * 2.0 ** (1 - quantile.FRACTION)
+    wide = lambda v: F.when(F.abs("value") == float("inf"), F.col("value")).otherwise(v)
+    told = p3_percentiles(spark, sf_dir).select(F.col("project").alias("p"), F.col("surface").alias("s"), F.col("stage").alias("g"), "quantile", "n", "rank_error", wide(F.col("value") - a).alias("low"), wide(F.col("value") + a).alias("high"))
+    asked = told.groupBy("p", "s", "g").agg(F.collect_list(F.struct("quantile", "n", "rank_error", "low", "high")).alias("answers"))
+    runs = _timings(spark, sf_dir, "project", "surface").unpivot(["project", "surface"], list(STAGES), "stage", "v").filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    met = runs.join(asked, F.col("project").eqNullSafe(F.col("p")) & F.col("surface").eqNullSafe(F.col("s")) & (F.col("stage") == F.col("g"))).select("project", "surface", "stage", "v", F.explode("answers").alias("x"))
+    ranks = met.groupBy("project", "surface", "stage", "x").agg(F.count("*").alias("seen"), F.count_if(F.col("v") < F.col("x.low")).alias("below"), F.count_if(F.col("v") <= F.col("x.high")).alias("upto"))
+    rank, slack = F.greatest(F.ceil(F.col("x.quantile") * F.col("seen") - 1e-9), F.lit(1)), F.col("x.rank_error") * F.col("seen")
+    return ranks.select("project", "surface", "stage", F.col("x.quantile").alias("quantile"), F.col("x.n").alias("n"), ((rank > F.col("below") - slack) & (rank <= F.col("upto") + slack)).alias("within"))
+
+
 @R.query("p3_merged")
 def p3_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles per surface and stage put together from the stored states of single load months."""
-    runs = _timings(spark, sf_dir, "surface").withColumn("month", F.date_format("loaded_at", "yyyy-MM"))
-    states = materialise(quantile.sketches(runs, ["surface", "month"], _minutes(), name="stage"), "states")
+    """Percentiles per surface and stage put together from the stored states of single load days."""
+    runs = _timings(spark, sf_dir, "surface").withColumn("day", F.to_date("loaded_at"))
+    states = materialise(quantile.sketches(runs, ["surface", "day"], _minutes(), name="stage"), "states")
     return quantile.ask(quantile.merge(states, ["surface", "stage"]), ["surface", "stage"], QUANTILES)
 
 
+@R.query("p3_merged_agree", SQL["p3_merged_agree"])
+def p3_merged_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the percentiles put together from days are those of all runs at once, bit for bit."""
+    whole = quantile.percentiles(_timings(spark, sf_dir, "surface"), ["surface"], _minutes(), QUANTILES, name="stage")
+    days = p3_merged(spark, sf_dir)
+    both = whole.select("surface", "stage", "quantile", "n", F.struct("value", "rank_error").alias("a")).join(days.select(F.col("surface").alias("s"), F.col("stage").alias("g"), F.col("quantile").alias("q"), F.col("n").alias("m"), F.struct("value", "rank_error").alias("b")), F.col("surface").eqNullSafe(F.col("s")) & (F.col("stage") == F.col("g")) & (F.col("quantile") == F.col("q")), "left")
+    return both.select("surface", "stage", "quantile", "n", ((F.col("n") == F.col("m")) & (F.col("a") == F.col("b"))).alias("same"))
+
+
 @R.query("p3_without_repeats")
 def p3_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles per stage of all rows as loaded, with the repeated loads of a run taken out again by their own state."""
@@ -61,7 +84,7 @@ def p3_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantile.ask(quantile.merge(whole.unionByName(out), ["stage"], F.col("sign")), ["stage"], QUANTILES)
 
 
-def _module_pairs(spark: SparkSession, sf_dir: str, **how: int) -> DataFrame:
+def _module_pairs(spark: SparkSession, sf_dir: str, **how: object) -> DataFrame:
     touched = table(spark, sf_dir, "entries").filter(F.col("slug").isNotNull()).select("project", "slug", F.explode("modules_touched").alias("module"))
     return cooccurrence.cooccurrence(touched, F.col("project"), F.col("slug"), canonical_path(F.col("module")), **how)
 
@@ -69,8 +92,7 @@ def _module_pairs(spark: SparkSession, sf_dir: str, **how: int) -> DataFrame:
 @R.query("p4_found", SQL["p4_found"])
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of files changed together by 5 work items or more, three times as often as by chance."""
-    pairs = _module_pairs(spark, sf_dir, min_together=5, max_items=40)
-    often = pairs.filter(F.col("n_ab") * F.col("n") >= 3 * F.col("n_a") * F.col("n_b"))
+    often = _module_pairs(spark, sf_dir, min_together=5, max_items=40, having=lambda a, b, ab, n: ab * n >= 3 * a * b)
     return often.select(F.col("grp").alias("project"), F.col("item_a").alias("file_a"), F.col("item_b").alias("file_b"))
 
 

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 def canonical_path(p: Column) -> Column:
     """``dir/name.ext``: no blanks around, ``/`` as separator, once, no ``./`` in front.
 
-    Null stays null; a text of blanks, dots and slashes only gives null.
+    Null stays null; a text of blanks, dots and slashes only gives null. Most
+    paths are in this form already, so patterns run only on those that may not be.
     """
-    p = F.regexp_replace(F.regexp_replace(p, r"^\s+|\s+$", ""), r"[\\/]+", "/")
-    return F.nullif(F.regexp_replace(p, r"^(\./)+|^\.$", ""), F.lit(""))
+    odd = p.contains("\\") | p.contains("//") | p.startswith("./") | p.isin("", ".") | (F.length(F.btrim(p, F.lit(" \t\n\x0b\f\r"))) != F.length(p))
+    q = F.regexp_replace(F.regexp_replace(p, r"^\s+|\s+$", ""), r"[\\/]+", "/")
+    return F.when(~odd, p).otherwise(F.nullif(F.regexp_replace(q, r"^(\./)+|^\.$", ""), F.lit("")))
 
 
 def base_name(p: Column) -> Column:

@@ -40,18 +40,35 @@ def source_name(c: Column) -> Column:
     return F.nullif(F.regexp_replace(F.lower(F.regexp_replace(c, r"^\s+|\s+$", "")), r"[\s_-]+", "_"), F.lit(""))
 
 
+def wanted_sources(docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """(mix, source, raw_weight, weight, repeats, total, docs, share): one row per mix and source it names.
+
+    ``weight`` is the part of ``raw_weight`` that counts (rows with a weight
+    above zero and a repeat or more), ``share`` its share of the weights of the
+    sources that there are; null for a source that gives nothing.
+    """
+    w = F.when(F.isnan("target_weight"), None).otherwise(F.col("target_weight"))
+    repeats = F.coalesce("max_repeats", F.lit(1))
+    named = targets.select("mix", source_name(F.col("source")).alias("source"), w.alias("w"), repeats.alias("r"), ((w > 0) & (repeats > 0)).alias("counts"))
+    named = named.groupBy("mix", "source").agg(F.sum("w").alias("raw_weight"), F.sum(F.when(F.col("counts"), F.col("w"))).alias("weight"), F.max(F.when(F.col("counts"), F.col("r"))).alias("repeats"))
+    there = docs.groupBy(F.col("source").alias("__s")).agg(F.sum("tokens").alias("total"), F.count("*").alias("docs"), F.max("tokens").alias("largest"))
+    joined = named.join(there, F.col("source") == F.col("__s"), "left").drop("__s")
+    usable = F.col("weight").isNotNull() & (F.col("total") > 0)
+    # a mix is a few rows of a configuration
+    sums = joined.filter(usable).groupBy(F.col("mix").alias("__m")).agg(F.aggregate(F.array_sort(F.collect_list("weight")), F.lit(0.0), lambda x, y: x + y).alias("__all"))
+    return joined.join(sums, F.col("mix").eqNullSafe(F.col("__m")), "left").withColumn("share", F.when(usable, F.col("weight") / F.col("__all"))).drop("__m", "__all")
+
+
+def usable_docs(docs: DataFrame) -> DataFrame:
+    """(doc, source, tokens) of the documents that can be drawn, sources in one spelling."""
+    return docs.select("doc", source_name(F.col("source")).alias("source"), "tokens").filter((F.col("tokens") > 0) & F.col("source").isNotNull())
+
+
 def shares(docs: DataFrame, targets: DataFrame, budget: int | None = None) -> list[dict]:
     """Per mix and usable source: share, tokens and documents there are, repeats, budget."""
-    wanted = targets.select("mix", source_name(F.col("source")).alias("source"), "target_weight", F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"))
-    wanted = wanted.filter((F.col("target_weight") > 0) & (F.col("max_repeats") > 0) & F.col("source").isNotNull() & ~F.isnan("target_weight"))
-    wanted = wanted.groupBy("mix", "source").agg(F.sum("target_weight").alias("weight"), F.max("max_repeats").alias("repeats"))
-    there = docs.groupBy("source").agg(F.sum("tokens").alias("total"), F.count("*").alias("docs"))
-    rows = [r.asDict() for r in wanted.join(there, "source").collect()]
+    rows = [r.asDict() for r in wanted_sources(docs, targets).filter(F.col("share").isNotNull()).collect()]
     for mix in {r["mix"] for r in rows}:
         own = [r for r in rows if r["mix"] == mix]
-        weight = sum(r["weight"] for r in sorted(own, key=lambda r: r["source"]))
-        for r in own:
-            r["share"] = r["weight"] / weight
         most = int(min(r["total"] * r["repeats"] / r["share"] for r in own))
         for r in own:
             r["budget"] = most if budget is None else budget
@@ -63,7 +80,7 @@ def draw(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: i
 
     ``docs`` is read several times; give a stored table.
     """
-    docs = docs.select("doc", source_name(F.col("source")).alias("source"), "tokens").filter((F.col("tokens") > 0) & F.col("source").isNotNull())
+    docs = usable_docs(docs)
     plan = shares(docs, targets, budget)
     spark = docs.sparkSession
     fields = "mix string, source string, share double, total bigint, repeats int, budget bigint, queues array<struct<end:double,copies:double>>"

@@ -112,10 +112,20 @@ def _tokens(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
 @R.query("p6_packs")
 def p6_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pack of every text for each capacity alone, and (packing ``joint``) with all capacities permitted together."""
-    sizes = {r["pack"]: [r["capacity_tokens"]] for r in table(spark, sf_dir, "pack_sizes").collect()}
-    packings = {**sizes, "joint": [c for caps in sizes.values() for c in caps]}
-    packed = packing.pack(_tokens(spark, sf_dir), "doc_id", "tokens", packings)
-    return packed.withColumnRenamed("item", "doc_id").withColumn("fill", F.col("pack_tokens") / F.col("capacity"))
+    return _packed(spark, sf_dir)[1]
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sizes: dict[str, list[int]] = {}
+    for r in table(spark, sf_dir, "pack_sizes").collect():  # a configuration of a few rows
+        sizes.setdefault(r["pack"], []).append(r["capacity_tokens"])
+    joint = "joint"
+    while joint in sizes:
+        joint += "_"
+    packings = {**sizes, joint: [c for caps in sizes.values() for c in caps]}
+    counted = _tokens(spark, sf_dir)
+    packed = packing.pack(counted, "doc_id", "tokens", packings)
+    return counted, packed.withColumnRenamed("item", "doc_id").withColumn("fill", F.col("pack_tokens") / F.col("capacity"))
 
 
 @R.query("p6_fill")
@@ -124,6 +134,20 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(p6_packs(spark, sf_dir).withColumnRenamed("doc_id", "item"))
 
 
+@R.query("p6_checked", SQL["p6_checked"])
+def p6_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every packing: each text once with all its tokens, no pack too full or larger than it need be, no text split that fits."""
+    counted, packed = _packed(spark, sf_dir)
+    sizes = table(spark, sf_dir, "pack_sizes").select("pack", "capacity_tokens").filter(F.col("capacity_tokens") > 0)
+    largest = sizes.groupBy("pack").agg(F.max("capacity_tokens").alias("cap")).unionByName(sizes.agg(F.lit("joint").alias("pack"), F.max("capacity_tokens").alias("cap")))
+    parts = packed.groupBy("packing", "doc_id").agg(F.sum("tokens").alias("held"), F.count("*").alias("parts"))
+    per = parts.join(counted, "doc_id", "full").join(F.broadcast(largest), F.col("packing") == F.col("pack"), "left")
+    texts = per.groupBy("packing").agg(F.count("*").alias("texts"), F.count_if(~F.coalesce(F.col("held") == F.coalesce("tokens", F.lit(0)), F.lit(False))).alias("lost"), F.count_if((F.col("parts") > 1) & (F.col("tokens") <= F.col("cap"))).alias("split"))
+    bins = packed.filter(F.col("pack_id").isNotNull()).groupBy("packing", "pack_id").agg(F.max("capacity").alias("capacity"), F.sum("tokens").alias("held"))
+    full = bins.groupBy("packing").agg(F.count_if(F.col("held") > F.col("capacity")).alias("too_full"))
+    return texts.join(full, "packing").select("packing", "texts", "lost", "split", "too_full")
+
+
 def _drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = _tokens(spark, sf_dir, "source").withColumnRenamed("doc_id", "doc")
     targets = table(spark, sf_dir, "mix_targets")
@@ -139,25 +163,42 @@ def p7_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query("p7_shares")
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target and reached share of every row of the targets, also of sources that give nothing."""
-    _, targets, drawn = _drawn(spark, sf_dir)
-    own = drawn.groupBy("mix", "source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("copies"), F.max("round").alias("last_round"))
-    whole = own.groupBy("mix").agg(F.sum("tokens").alias("all_tokens"))
-    wanted = targets.select("mix", mixing.source_name(F.col("source")).alias("source"), "target_weight", "max_repeats")
-    weight = wanted.groupBy("mix").agg(F.sum("target_weight").alias("all_weight"))
-    joined = wanted.join(weight, "mix").join(own, ["mix", "source"], "left").join(whole, "mix", "left")
+    """Target and reached share of every source that a mix names, also of those that give nothing.
+
+    ``target_share`` is that of the sources there are, which the draw aims at;
+    ``raw_weight`` is the weight as the targets have it.
+    """
+    docs, targets, drawn = _drawn(spark, sf_dir)
+    own = drawn.groupBy(F.col("mix").alias("m"), F.col("source").alias("s")).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("copies"), F.max("round").alias("last_round"))
+    whole = own.groupBy(F.col("m").alias("w_m")).agg(F.sum("tokens").alias("all_tokens"))
+    wanted = mixing.wanted_sources(mixing.usable_docs(docs), targets)
+    joined = wanted.join(own, F.col("mix").eqNullSafe(F.col("m")) & (F.col("source") == F.col("s")), "left").join(whole, F.col("mix").eqNullSafe(F.col("w_m")), "left")
     return joined.select(
         "mix",
         "source",
-        (F.col("target_weight") / F.col("all_weight")).alias("target_share"),
+        "raw_weight",
+        F.coalesce("share", F.lit(0.0)).alias("target_share"),
         F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("reached_share"),
         F.coalesce("tokens", F.lit(0)).alias("tokens"),
         F.coalesce("copies", F.lit(0)).alias("copies"),
         F.coalesce(F.col("last_round") + 1, F.lit(0)).alias("most_times"),
-        "max_repeats",
+        F.col("repeats").alias("max_repeats"),
+        F.coalesce("largest", F.lit(0)).alias("largest_text"),
+        F.coalesce("all_tokens", F.lit(0)).alias("mix_tokens"),
     )
 
 
+@R.query("p7_checked", SQL["p7_checked"])
+def p7_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every usable source of a mix: its tokens within one text of each source of its share, no text used too often."""
+    s = p7_shares(spark, sf_dir).filter(F.col("target_share") > 0)
+    room = s.groupBy(F.col("mix").alias("m")).agg(F.sum("largest_text").alias("room"))
+    off = F.col("tokens") - F.col("target_share") * F.col("mix_tokens")
+    # at the cut a source lacks its next text at most, and all the others' next texts make its share look larger
+    within = (off > -F.col("largest_text") - 1) & (off < F.col("target_share") * F.col("room") + 1)
+    return s.join(room, F.col("mix") == F.col("m")).select("mix", "source", within.alias("within"), (F.col("most_times") <= F.col("max_repeats")).alias("not_too_often"))
+
+
 @R.query("p8_found")
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with text read in another encoding than it was written in."""

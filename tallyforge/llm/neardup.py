@@ -7,8 +7,7 @@ records of n_a and n_b words whose word sets have a Jaccard similarity of at
 least t share t / (1 + t) * (n_a + n_b) words or more, so a record must find all
 but ``n - ceil(t * n)`` of its bytes again in the other: the guaranteed minimum.
 
-The tally over the inverted index (position, byte) -> records is taken in
-steps, each exact:
+The inverted index (position, byte) -> records is used in steps, each exact:
 
 1. A record needs to be looked up only by ``n - ceil(t * n) + 1`` of its bytes,
    the rarest: a partner that meets none of them misses too many.
@@ -18,16 +17,26 @@ steps, each exact:
 3. Each posting carries 64 parity bits of the whole row. Two rows that differ in
    d bytes differ in at most d of these, which rules out nearly all pairs that
    share a phrase only.
-4. The pairs left are verified on the words themselves.
+4. For every pair that met in a list, the shared positional bytes of the two
+   whole rows are tallied, and the pair is kept if they reach the guaranteed
+   minimum.
+5. The pairs left are verified on the words themselves.
+
+A tally of all lists in full instead would add up 4 * 10^9 meetings for 300
+thousand findings, and four times as many for twice the findings; steps 1 to 3
+leave some 250 thousand pairs to be tallied.
 
 Only the order of bytes and the length of the key depend on counts, so a pair is
 found whatever they are. They come from a table of the 65,536 commonest words of
 the whole corpus (a bound on the broadcast, not on what is searched: words that
-are not in it rank as rare).
+are not in it rank as rare). A list longer than ``LONG_LIST`` is cut into chunks,
+and every two chunks meet in a place of their own, so no task holds a long list.
 
-Records are compared within a block (here: the same file name). Records of a
-block with equal byte rows are one class, found and paired once through its
-least id, so a text that fills a third of the table costs one lookup.
+Records are compared within a block (here: the same file name). Records of equal
+block and text are one class, found once through one 64-bit fingerprint, so a
+text that fills a third of the table costs one lookup. :func:`classes` gives the
+classes with their members and links; only :func:`near_duplicates` writes out
+every pair of copies, which is asked for there.
 
 Defined cases: a record with a null text or block, or without a word, is in no
 pair. Of several rows with one id the one loaded last counts, the greater
@@ -212,8 +221,8 @@ def _postings(common: dict[int, int], t: float):  # noqa: ANN202
     return run
 
 
-#: Pairs of which at most this many are broadcast (8 bytes an end) to pick the texts to verify; more are joined by a shuffle.
-BROADCAST_ENDS = 2_000_000
+#: Postings of a key beyond which its list is cut into chunks of about this many.
+LONG_LIST = 2_000
 
 
 def words_of(text: Column) -> Column:
@@ -221,23 +230,68 @@ def words_of(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1)))
 
 
+def met(posts: DataFrame, t: float) -> DataFrame:
+    """(a, b), a < b, once each: contents that meet in a list and may be similar by their sizes and parity bits."""
+    posts = posts.dropDuplicates(["key", "content"])
+    long = posts.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("m")).filter(F.col("m") > LONG_LIST).select("k", F.ceil(F.col("m") / LONG_LIST).cast("int").alias("chunks"))
+    dealt = posts.join(long, F.col("key") == F.col("k"), "left").select("key", "content", "n", "bits", F.coalesce("chunks", F.lit(1)).alias("chunks"))
+    own = F.when(F.col("chunks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("content", F.lit(1)), F.col("chunks"))).cast("int")
+    # two chunks meet in the place of their numbers, the smaller first; a chunk goes to one place for each other chunk
+    placed = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    placed = placed.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "content", "n", "bits")
+    side = lambda x: placed.select("key", "lo", "hi", *[F.col(c).alias(f"{c}_{x}") for c in ("own", "content", "n", "bits")])
+    differing = F.floor((F.col("n_a") + F.col("n_b")) * ((1 - t) / (1 + t)) + 1e-9)
+    likely = (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * t - 1e-9) & (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= differing)
+    here = (F.least("own_a", "own_b") == F.col("lo")) & (F.greatest("own_a", "own_b") == F.col("hi"))
+    pairs = side("a").join(side("b"), ["key", "lo", "hi"]).filter((F.col("content_a") < F.col("content_b")) & here & likely)
+    return pairs.groupBy(F.col("content_a").alias("a"), F.col("content_b").alias("b")).agg(F.count("*").alias("lists"))
+
+
+def byte_rows(rows: DataFrame) -> DataFrame:
+    """(content, row, lost, w) of ``rows(content, text)``: the positional bytes, the words that share a byte with another, the words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rec, h = distinct_words(b.column(1))
+            code = positional(h)
+            words = np.bincount(rec, minlength=b.num_rows)
+            fresh = np.ones(len(rec), bool)
+            fresh[1:] = (rec[1:] != rec[:-1]) | (code[1:] != code[:-1])
+            ends = np.cumsum(np.bincount(rec[fresh], minlength=b.num_rows))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(code[fresh].view(np.int32)))
+            lost = words - np.diff(np.r_[0, ends])
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(lost.astype(np.int32)), b.column(1)], names=["content", "row", "lost", "text"])
+
+    tall = rows.select("content", "text").mapInArrow(run, "content bigint, row array<int>, lost int, text string")
+    return tall.select("content", "row", "lost", words_of(F.col("text")).alias("w"))
+
+
 def similar_contents(rows: DataFrame, t: float) -> DataFrame:
-    """(a, b), a < b: contents of ``rows(content, blk, text)`` in one block with similarity >= ``t``."""
+    """(a, b), a < b: contents of ``rows(content, blk, text)`` in one block with similarity >= ``t``.
+
+    Between two contents there is one pair, however many records have them.
+    """
     common = common_words(rows, F.col("text"))
     posts = rows.select("content", "blk", "text").mapInArrow(_postings(common, t), "key bigint, content bigint, n int, bits bigint")
-    posts = posts.repartition("key").dropDuplicates(["key", "content"])
-    a = posts.select("key", F.col("content").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
-    b = posts.select("key", F.col("content").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-    differing = F.floor((F.col("na") + F.col("nb")) * ((1 - t) / (1 + t)) + 1e-9)
-    likely = (F.least("na", "nb") >= F.greatest("na", "nb") * t - 1e-9) & (F.bit_count(F.col("xa").bitwiseXOR(F.col("xb"))) <= differing)
-    pairs = materialise(a.join(b, "key").filter((F.col("a") < F.col("b")) & likely).select("a", "b").distinct(), "candidate-pairs")
+    pairs = materialise(met(posts, t), "candidate-pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct()
-    if pairs.limit(BROADCAST_ENDS // 2 + 1).count() <= BROADCAST_ENDS // 2:
-        ends = F.broadcast(ends)
-    texts = rows.join(ends, "content", "left_semi").dropDuplicates(["content"]).select("content", words_of(F.col("text")).alias("w"))
-    both = pairs.join(texts.select(F.col("content").alias("a"), F.col("w").alias("wa")), "a").join(texts.select(F.col("content").alias("b"), F.col("w").alias("wb")), "b")
-    shared = F.size(F.array_intersect("wa", "wb"))
-    return both.filter(shared >= t * (F.size("wa") + F.size("wb") - shared) - 1e-9).select("a", "b")
+    texts = byte_rows(rows.dropDuplicates(["content"]).join(ends, "content", "left_semi"))
+    side = lambda x: texts.select(F.col("content").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("row", "lost", "w")])
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    tally = F.size(F.array_intersect("row_a", "row_b"))
+    minimum = F.ceil((F.size("w_a") + F.size("w_b")) * (t / (1 + t)) - 1e-9) - F.least("lost_a", "lost_b")
+    shared = F.size(F.array_intersect("w_a", "w_b"))
+    return both.filter(tally >= minimum).filter(shared >= t * (F.size("w_a") + F.size("w_b") - shared) - 1e-9).select("a", "b")
+
+
+def _members(df: DataFrame, key: str, text: Column, block: Column, loaded: Column) -> tuple[DataFrame, DataFrame]:
+    """(id, content) of every record that counts, stored, and all rows (content, blk, text)."""
+    rows = df.select(F.col(key).alias("id"), text.alias("text"), block.alias("block"), loaded.alias("loaded"))
+    rows = rows.filter(F.col("id").isNotNull())
+    usable = F.col("block").isNotNull() & F.lower("text").rlike("[a-z0-9]")
+    rows = rows.withColumn("content", F.when(usable, F.xxhash64("block", "text")))
+    members = rows.groupBy("id").agg(F.max(F.struct("loaded", "content")).alias("m")).select("id", F.col("m.content").alias("content")).filter(F.col("content").isNotNull())
+    return materialise(members, "members"), rows.filter(F.col("content").isNotNull()).select("content", F.xxhash64("block").alias("blk"), "text")
 
 
 def near_duplicates(df: DataFrame, key: str, text: Column, block: Column, loaded: Column, t: float = 0.8) -> DataFrame:
@@ -246,16 +300,29 @@ def near_duplicates(df: DataFrame, key: str, text: Column, block: Column, loaded
     Contents are told apart by a 64-bit fingerprint of block and text. Postings
     are 28 bytes and shuffled once; the texts of the likely pairs are fetched to
     verify. All pairs are given, also those of equal records, as the question
-    is asked; :func:`similar_contents` gives one pair per two contents.
+    is asked; :func:`classes` has one row per record instead.
     """
-    rows = df.select(F.col(key).alias("id"), text.alias("text"), block.alias("block"), loaded.alias("loaded"))
-    rows = rows.filter(F.col("id").isNotNull())
-    usable = F.col("block").isNotNull() & F.lower("text").rlike("[a-z0-9]")
-    rows = rows.withColumn("content", F.when(usable, F.xxhash64("block", "text")))
-    members = rows.groupBy("id").agg(F.max(F.struct("loaded", "content")).alias("m")).select("id", F.col("m.content").alias("content")).filter(F.col("content").isNotNull())
-    members = materialise(members, "members")
-    found = similar_contents(rows.filter(F.col("content").isNotNull()).select("content", F.xxhash64("block").alias("blk"), "text"), t)
+    members, rows = _members(df, key, text, block, loaded)
+    found = similar_contents(rows, t)
     ma, mb = members.select(F.col("id").alias("ia"), F.col("content").alias("a")), members.select(F.col("id").alias("ib"), F.col("content").alias("b"))
     across = found.join(ma, "a").join(mb, "b").select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
     within = ma.join(mb, (F.col("a") == F.col("b")) & (F.col("ia") < F.col("ib"))).select(F.col("ia").alias("id_a"), F.col("ib").alias("id_b"))
     return across.unionByName(within)
+
+
+def classes(df: DataFrame, key: str, text: Column, block: Column, loaded: Column, t: float = 0.8) -> DataFrame:
+    """(id, class_id, copies, links): one row per record that counts.
+
+    A class are the records of equal block and text, named by its least id;
+    ``copies`` are its records, ``links`` the other classes similar to it. The
+    pairs of :func:`near_duplicates` are those of every two linked classes and
+    those within a class.
+    """
+    members, rows = _members(df, key, text, block, loaded)
+    found = similar_contents(rows, t)
+    named = members.groupBy(F.col("content").alias("c")).agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
+    for end in ("a", "b"):  # contents that were loaded over count no longer
+        found = found.join(named.select(F.col("c").alias(end)), end, "left_semi")
+    links = found.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("links"))
+    known = named.join(links, "c", "left").select("c", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    return members.join(known, F.col("content") == F.col("c")).select("id", "class_id", "copies", "links")

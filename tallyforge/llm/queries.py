@@ -22,6 +22,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("finding_a"), F.col("id_b").alias("finding_b"))
 
 
+@R.query("p2_classes", SQL["p2_classes"])
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of equal findings that each finding is in, and how many other classes are similar to it."""
+    rows = neardup.classes(table(spark, sf_dir, "findings"), "finding_id", F.col("summary"), base_name(F.col("file")), F.col("ingested_at"), t=0.6)
+    return rows.withColumnRenamed("id", "finding_id")
+
+
 STAGES = ("think", "plan", "build", "verify")
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
 

@@ -42,6 +42,14 @@ w AS (
 SELECT a.finding_id AS finding_a, b.finding_id AS finding_b
 FROM w a JOIN w b ON a.base = b.base AND a.finding_id < b.finding_id
 WHERE len(a.words) > 0 AND len(list_intersect(a.words, b.words)) >= 0.6 * (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))) - 1e-9
+""",
+    "p2_classes": r"""
+WITH f AS (SELECT * FROM findings QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY ingested_at DESC NULLS LAST) = 1),
+m AS (SELECT finding_id, regexp_extract(file, '([^/\\]*)$', 1) AS base, summary FROM f WHERE file IS NOT NULL AND regexp_matches(lower(summary), '[a-z0-9]')),
+c AS (SELECT base, summary, min(finding_id) AS class_id, count(*) AS copies, list_distinct(regexp_extract_all(lower(summary), '[a-z0-9]+')) AS words FROM m GROUP BY base, summary),
+l AS (SELECT a.class_id, count(*) AS links FROM c a JOIN c b ON a.base = b.base AND a.summary <> b.summary
+  WHERE len(list_intersect(a.words, b.words)) >= 0.6 * (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))) - 1e-9 GROUP BY a.class_id)
+SELECT finding_id, class_id, copies, coalesce(links, 0) AS links FROM m JOIN c USING (base, summary) LEFT JOIN l USING (class_id)
 """,
     "p4_found": _BASKETS.replace("{limit}", " HAVING count(*) <= 40")
     + """

@@ -110,3 +110,30 @@ def test_long_and_equal_texts(spark):
     long = " ".join(f"t{i}" for i in range(20_000))
     rows = [(i, long + f" extra{i}", "a.ts", 0) for i in range(3)] + [(10 + i, "the same short text", "b.ts", 0) for i in range(60)]
     assert found(spark, rows) == sorted([(0, 1), (0, 2), (1, 2)] + [(10 + i, 10 + j) for j in range(60) for i in range(j)])
+
+
+def mixed(seed, n=160):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(15)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(3, 8))), "a/x.ts", 0) for i in range(n)]
+    return rows + [(n + i, rows[0][1], "b/x.ts", 0) for i in range(40)] + [(3, "loaded again with other words", "a/x.ts", 1)]
+
+
+@pytest.mark.parametrize("bound", [3, 20])
+def test_long_lists_in_chunks(spark, bound, monkeypatch):
+    monkeypatch.setattr(N, "LONG_LIST", bound)
+    assert found(spark, mixed(5)) == brute(mixed(5))
+
+
+def test_classes_have_all_pairs(spark):
+    rows = mixed(6)
+    df = spark.createDataFrame([(*r, "clash", "clash", "clash", 1) for r in rows], SCHEMA)
+    got = N.classes(df, "finding_id", F.col("summary"), base_name(F.col("file")), F.col("ingested_at"), 0.6).collect()
+    pairs = brute(rows)
+    text = {i: s for i, s, _, at in sorted(rows, key=lambda r: r[3])}
+    assert sorted(r.id for r in got) == sorted({r[0] for r in rows})
+    for r in got:
+        own = [i for i in text if text[i] == text[r.id]]
+        assert (r.class_id, r.copies) == (min(own), len(own))
+        others = {text[b if a == r.id else a] for a, b in pairs if r.id in (a, b)} - {text[r.id]}
+        assert r.links == len(others)

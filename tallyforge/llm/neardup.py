@@ -51,10 +51,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.session import materialise
+from tallyforge.session import materialise, release
 
 #: Bound on the broadcast table of common words.
 COMMON_WORDS = 65_536
@@ -230,20 +230,29 @@ def words_of(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1)))
 
 
+def lists(posts: DataFrame) -> DataFrame:
+    """(key, content, n, bits, size): the postings of every list of two contents or more, each once, stored.
+
+    One shuffle by key; most lists have one content and end here.
+    """
+    once = posts.repartition("key").groupBy("key", "content").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    sized = once.withColumn("size", F.count("*").over(Window.partitionBy("key")))
+    return materialise(sized.filter(F.col("size") > 1), "postings")
+
+
 def met(posts: DataFrame, t: float) -> DataFrame:
-    """(a, b), a < b, once each: contents that meet in a list and may be similar by their sizes and parity bits."""
-    posts = posts.dropDuplicates(["key", "content"])
-    long = posts.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("m")).filter(F.col("m") > LONG_LIST).select("k", F.ceil(F.col("m") / LONG_LIST).cast("int").alias("chunks"))
-    dealt = posts.join(long, F.col("key") == F.col("k"), "left").select("key", "content", "n", "bits", F.coalesce("chunks", F.lit(1)).alias("chunks"))
-    own = F.when(F.col("chunks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("content", F.lit(1)), F.col("chunks"))).cast("int")
+    """(a, b, lists), a < b, once each: contents that meet in lists and may be similar by their sizes and parity bits."""
+    chunks = F.ceil(F.col("size") / LONG_LIST).cast("int")
+    own = F.when(chunks == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("content", F.lit(1)), chunks)).cast("int")
     # two chunks meet in the place of their numbers, the smaller first; a chunk goes to one place for each other chunk
-    placed = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    placed = placed.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "content", "n", "bits")
-    side = lambda x: placed.select("key", "lo", "hi", *[F.col(c).alias(f"{c}_{x}") for c in ("own", "content", "n", "bits")])
+    placed = posts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    place = F.when(chunks == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    placed = placed.select(place.alias("place"), "key", "own", "other", "content", "n", "bits")
+    side = lambda x: placed.select("place", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "own", "other", "content", "n", "bits")])
     differing = F.floor((F.col("n_a") + F.col("n_b")) * ((1 - t) / (1 + t)) + 1e-9)
     likely = (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * t - 1e-9) & (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= differing)
-    here = (F.least("own_a", "own_b") == F.col("lo")) & (F.greatest("own_a", "own_b") == F.col("hi"))
-    pairs = side("a").join(side("b"), ["key", "lo", "hi"]).filter((F.col("content_a") < F.col("content_b")) & here & likely)
+    here = (F.col("key_a") == F.col("key_b")) & (F.col("own_a") == F.col("other_b")) & (F.col("own_b") == F.col("other_a"))
+    pairs = side("a").join(side("b"), "place").filter((F.col("content_a") < F.col("content_b")) & here & likely)
     return pairs.groupBy(F.col("content_a").alias("a"), F.col("content_b").alias("b")).agg(F.count("*").alias("lists"))
 
 
@@ -273,7 +282,9 @@ def similar_contents(rows: DataFrame, t: float) -> DataFrame:
     """
     common = common_words(rows, F.col("text"))
     posts = rows.select("content", "blk", "text").mapInArrow(_postings(common, t), "key bigint, content bigint, n int, bits bigint")
-    pairs = materialise(met(posts, t), "candidate-pairs")
+    stored = lists(posts)
+    pairs = materialise(met(stored, t), "candidate-pairs")
+    release(stored)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct()
     texts = byte_rows(rows.dropDuplicates(["content"]).join(ends, "content", "left_semi"))
     side = lambda x: texts.select(F.col("content").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("row", "lost", "w")])

@@ -46,3 +46,9 @@ def ancestors(p: Column) -> Column:
         F.size(parts) > 1,
         F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.concat_ws("/", F.slice(parts, F.lit(1), i))),
     ).otherwise(F.array().cast("array<string>"))
+
+
+def endings(p: Column) -> Column:
+    """A path and all that follows one of its ``/`` (``a/b/c.ts`` gives a/b/c.ts, b/c.ts, c.ts); no empty ones."""
+    parts = F.split(p, "/")
+    return F.filter(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/")), lambda x: x != "")

@@ -8,10 +8,12 @@ joins on the place.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.paths import ancestors, base_name, is_test_path, same_file
+from tallyforge.functions.paths import ancestors, base_name, endings, is_test_path, same_file, stem
 from tallyforge.operators.rows import running_total
 
 
@@ -20,15 +22,30 @@ def numbered(df: DataFrame, part: list[str], order: list[str], bucket: Column, o
     return running_total(df.withColumn("__one", F.lit(1).cast("bigint")), part, order, bucket, "__one", out).drop("__one")
 
 
+#: Directories that hold the sources or the tests of what stands beside them.
+SIDES = ("src", "test", "tests", "__tests__")
+
+
+def _is_test_name(p: Column) -> Column:
+    return F.lower(F.try_element_at(F.split(base_name(p), r"\."), F.lit(-2))).isin("test", "spec")
+
+
 def mirrored(p: Column) -> Column:
-    """A path with test infix and source/test directories taken out, in which a file and its own test agree."""
-    return F.regexp_replace(F.regexp_replace(p, r"(?i)\.(test|spec)(\.[^.]+)$", "$2"), r"(?i)(^|/)(src|tests|test|__tests__)(?=/)", "$1")
+    """The segments of a path without those in ``SIDES`` and without the test part of its name: a file and its own test agree."""
+    segments, parts = F.split(p, "/"), F.split(base_name(p), r"\.")
+    folders = F.filter(F.slice(segments, F.lit(1), F.size(segments) - 1), lambda s: ~F.lower(s).isin(*SIDES))
+    plain = F.when(_is_test_name(p) & (F.size(parts) > 2), F.concat(F.slice(parts, F.lit(1), F.size(parts) - 2), F.slice(parts, -1, 1))).otherwise(parts)
+    return F.array_join(F.concat(folders, F.array(F.array_join(plain, "."))), "/")
+
 
+def own_test(a: Column, b: Column, match: Callable[[Column, Column], Column] = same_file) -> Column:
+    """Whether one of two files is the test of the other; ``match`` (UDX-04) compares their mirrored paths.
 
-def own_test(a: Column, b: Column) -> Column:
-    """Whether one of two files is the test of the other."""
-    test = lambda c: base_name(c).rlike(r"(?i)\.(test|spec)\.[^.]+$")
-    return (test(a) != test(b)) & same_file(mirrored(a), mirrored(b))
+    Where one is a bare name there are no directories to compare, and stems decide.
+    """
+    test = lambda c: F.coalesce(_is_test_name(c) & (F.size(F.split(base_name(c), r"\.")) > 2), F.lit(False))
+    bare = ~a.contains("/") | ~b.contains("/")
+    return (test(a) != test(b)) & F.when(bare, stem(a) == stem(b)).otherwise(match(mirrored(a), mirrored(b)))
 
 
 def cochange(touched: DataFrame, edges: DataFrame, nodes: DataFrame, least_touches: int = 3, least_together: int = 2, most_files: int = 40) -> DataFrame:
@@ -65,13 +82,44 @@ def cochange(touched: DataFrame, edges: DataFrame, nodes: DataFrame, least_touch
 def path_matches(left: DataFrame, right: DataFrame) -> DataFrame:
     """JN-03: (project, path, match, exact) of two tables of distinct paths (project, path).
 
-    Paths match that are equal or where one ends in the other after a ``/``:
-    a hash join on project and base name.
+    Paths match that are equal or where one ends in the other after a ``/``. The
+    endings of each path at a ``/`` are hashed against the whole paths of the
+    other side, so only matches meet, however many files share a base name.
     """
-    a = left.select("project", "path", base_name(F.col("path")).alias("__base"))
-    b = right.select(F.col("project").alias("__p"), F.col("path").alias("match"), base_name(F.col("path")).alias("__b"))
-    on = F.col("project").eqNullSafe(F.col("__p")) & (F.col("__base") == F.col("__b")) & same_file(F.col("path"), F.col("match"))
-    return a.join(b, on).select("project", "path", "match", (F.col("path") == F.col("match")).alias("exact"))
+    a = left.select("project", "path")
+    b = right.select(F.col("project").alias("__p"), F.col("path").alias("match"))
+    same = F.col("project").eqNullSafe(F.col("__p"))
+    longer = a.withColumn("__end", F.explode(endings(F.col("path")))).join(b, same & (F.col("__end") == F.col("match")))
+    shorter = a.join(b.withColumn("__end", F.explode(endings(F.col("match")))).filter(F.col("__end") != F.col("match")), same & (F.col("path") == F.col("__end")))
+    return longer.select("project", "path", "match", (F.col("path") == F.col("match")).alias("exact")).unionByName(shorter.select("project", "path", "match", F.lit(False).alias("exact")))
+
+
+def overlapping(rows: DataFrame, group: list[str], key: str, text: Column, above: float = 0.5) -> DataFrame:
+    """SET-03: (a, b), a < b: rows of one group whose texts share more than ``above`` of the words of the shorter one.
+
+    The shorter row must share more than ``above * n`` of its n words, so of any
+    ``n - floor(above * n)`` of its words at least one: its rarest in the group
+    are looked up among all words of the others, and what meets is verified. A
+    text without words is in no pair.
+    """
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1)))
+    g = [f"__g{i}" for i in range(len(group))]
+    own = rows.select(*[F.col(c).alias(n) for c, n in zip(group, g, strict=True)], F.col(key).alias("k"), words.alias("ws")).filter(F.size("ws") > 0)
+    each = own.select(*g, "k", F.size("ws").alias("n"), F.explode("ws").alias("w"))
+    common = each.groupBy(*[F.col(x).alias(f"c_{x}") for x in g], F.col("w").alias("c_w")).agg(F.count("*").alias("c"))
+    on = F.col("w") == F.col("c_w")
+    for x in g:
+        on = on & F.col(x).eqNullSafe(F.col(f"c_{x}"))
+    rank = F.row_number().over(Window.partitionBy("k").orderBy("c", "w"))
+    head = each.join(common, on).withColumn("r", rank).filter(F.col("r") <= F.col("n") - F.floor(F.col("n") * above)).select(*g, F.col("k").alias("short"), F.col("n").alias("short_n"), "w")
+    other = each.select(*[F.col(x).alias(f"o_{x}") for x in g], F.col("k").alias("long"), F.col("n").alias("long_n"), F.col("w").alias("o_w"))
+    on = (F.col("w") == F.col("o_w")) & (F.col("short") != F.col("long")) & (F.col("short_n") <= F.col("long_n"))
+    for x in g:
+        on = on & F.col(x).eqNullSafe(F.col(f"o_{x}"))
+    met = head.join(other, on).select(F.least("short", "long").alias("a"), F.greatest("short", "long").alias("b")).distinct()
+    side = lambda x: own.select(F.col("k").alias(x), F.col("ws").alias(f"w_{x}"))
+    both = met.join(side("a"), "a").join(side("b"), "b")
+    return both.filter(F.size(F.array_intersect("w_a", "w_b")) > above * F.least(F.size("w_a"), F.size("w_b"))).select("a", "b")
 
 
 def resolved(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -163,12 +211,16 @@ def merged(existing: DataFrame, fresh: DataFrame, key: list[str], machine: list[
 
 
 def collision_names(names: DataFrame) -> DataFrame:
-    """JN-26: (project, path, name): the last segment, with its parent's before it where several paths of a project end alike."""
+    """JN-26: (project, path, name): the last segment, with its parent's before it where several paths of a project end alike.
+
+    Paths are counted by project and last segment with partial sums, and the
+    counts joined, so a segment that very many paths end in is no task's window.
+    """
     last = names.withColumn("__last", base_name(F.col("path")))
-    w = Window.partitionBy("project", "__last")
+    count = last.groupBy(F.col("project").alias("__p"), F.col("__last").alias("__l")).agg(F.count("*").alias("__n"))
     parent = F.try_element_at(F.split("path", "/"), F.lit(-2))
     name = F.when((F.col("__n") > 1) & parent.isNotNull(), F.concat_ws("-", parent, "__last")).otherwise(F.col("__last"))
-    return last.withColumn("__n", F.count("*").over(w)).select("project", "path", name.alias("name"))
+    return last.join(count, F.col("project").eqNullSafe(F.col("__p")) & (F.col("__last") == F.col("__l"))).select("project", "path", name.alias("name"))
 
 
 def tests_of(files: DataFrame) -> DataFrame:

@@ -312,6 +312,33 @@ def contract_criteria(contracts: DataFrame) -> DataFrame:
     return contracts.select(F.col("contract_id").cast("bigint"), "body").mapInArrow(run, "item bigint, kind string, ac string, matcher string")
 
 
+def contract_fields(contracts: DataFrame) -> DataFrame:
+    """(contract_id, missing, valid, version, sealed_by, assertions, file_changes) of ``contracts(contract_id, body)`` in every form of body.
+
+    ``valid`` are bodies whose contract is an object; lists and maps are counted, null where there are none.
+    """
+    out = "contract_id bigint, missing boolean, valid boolean, version string, sealed_by string, assertions bigint, file_changes bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = json_reader()
+        size = lambda v: len(v) if isinstance(v, (list, dict)) else None
+        text = lambda v: None if v is None else getattr(v, "text", None) or (v if isinstance(v, str) else json.dumps(v))
+        for batch in batches:
+            rows = []
+            for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                v = read(body)
+                while isinstance(v, str):
+                    v = read(v)
+                c = _contract(v)
+                d = c or {}
+                rows.append((key, body is None, c is not None, text(d.get("version")), text(d.get("sealed_by")), size(d.get("assertions")), size(d.get("file_changes"))))
+            types = [pa.int64(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+            columns = zip(*rows, strict=True) if rows else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in out.split(", ")])
+
+    return contracts.select(F.col("contract_id").cast("bigint"), "body").mapInArrow(run, out)
+
+
 def entry_tables(entries: DataFrame, links: bool = True) -> DataFrame:
     """Children of ``entries(entry_idx, assertions, contract, timing)``; without ``links`` paths and details are null.
 

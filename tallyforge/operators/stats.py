@@ -46,17 +46,32 @@ def cells(long: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def levels(rows: DataFrame, part: list[str], value: str, steps: int = 8) -> DataFrame:
-    """AGG-31, SNK-08: values scaled to 0 ... steps-1 between the least and greatest of their part; 0 where all are equal."""
-    w = Window.partitionBy(*part)
-    low, high = F.min(value).over(w), F.max(value).over(w)
-    return rows.withColumn("level", F.when(high > low, half_up((F.col(value) - low) / (high - low) * (steps - 1))).otherwise(F.lit(0)))
+    """AGG-31, SNK-08: values scaled to 0 ... steps-1 between the least and greatest of their part; 0 where all are equal.
+
+    The two ends come from a partial aggregate joined back, so a part of any size is spread over all tasks.
+    """
+    ends = rows.groupBy(*[F.col(c).alias(f"__p{i}") for i, c in enumerate(part)]).agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
+    on = F.lit(True)
+    for i, c in enumerate(part):
+        on = on & F.col(c).eqNullSafe(F.col(f"__p{i}"))
+    low, high = F.col("__low"), F.col("__high")
+    level = F.when(high > low, half_up((F.col(value) - low) / (high - low) * (steps - 1))).otherwise(F.lit(0))
+    return rows.join(ends, on).withColumn("level", level).select(*rows.columns, "level")
 
 
 def running_until(rows: DataFrame, part: list[str], order: list[str], value: str, is_end: Column) -> DataFrame:
-    """WIN-07: (part..., total, steps): the sum of ``value`` over the rows before each part's first end row; parts without one sum all."""
-    seen = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    marked = rows.withColumn("__end", F.max(F.when(is_end, 1).otherwise(0)).over(seen)).filter(F.col("__end") == 0)
-    return marked.groupBy(*part).agg(F.sum(value).alias("total"), F.count("*").alias("steps"))
+    """WIN-07: (part..., total, steps): the sum of ``value`` over the rows before each part's first end row; parts without one sum all.
+
+    The first end row is a minimum per part, and the rows before it are summed
+    against it: no window, whatever the size of a part. Parts without a row before their end have no row.
+    """
+    at = F.struct(*order)
+    first = rows.filter(is_end).groupBy(*[F.col(c).alias(f"__p{i}") for i, c in enumerate(part)]).agg(F.min(at).alias("__first"))
+    on = F.lit(True)
+    for i, c in enumerate(part):
+        on = on & F.col(c).eqNullSafe(F.col(f"__p{i}"))
+    before = rows.join(first, on, "left").filter(F.col("__first").isNull() | (at < F.col("__first")))
+    return before.groupBy(*part).agg(F.sum(value).alias("total"), F.count("*").alias("steps"))
 
 
 def stage_seconds(rows: DataFrame, part: list[str], at: str, order: list[str], cap: int = 86_400) -> DataFrame:
@@ -86,3 +101,19 @@ def water_fill(sizes: Column, cap: int) -> Column:
     state = F.struct(F.lit(cap).cast("bigint").alias("left"), F.size(sizes).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("used"))
     step = lambda a, x: F.struct((a["left"] - F.least(x, F.floor(a["left"] / F.greatest(a["n"], F.lit(1))))).alias("left"), (a["n"] - 1).alias("n"), (a["used"] + F.least(x, F.floor(a["left"] / F.greatest(a["n"], F.lit(1))))).alias("used"))
     return F.aggregate(F.array_sort(F.transform(sizes, lambda x: x.cast("bigint"))), state, step, lambda a: a["used"])
+
+
+def water_levels(sizes: Column, cap: int) -> Column:
+    """WIN-13: what each of an array of sizes keeps of a shared cap, in the array's order; null for null.
+
+    Shorter ones are served first, each with an equal part of what is left at most.
+    """
+    placed = F.array_sort(F.filter(F.transform(sizes, lambda x, i: F.struct(x.cast("bigint").alias("size"), i.alias("i"))), lambda s: s["size"].isNotNull()))
+    start = F.struct(F.lit(cap).cast("bigint").alias("left"), F.size(placed).cast("bigint").alias("n"), F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<bigint>")).alias("kept"))
+
+    def step(a: Column, s: Column) -> Column:
+        own = F.least(s["size"], F.floor(a["left"] / F.greatest(a["n"], F.lit(1))))
+        return F.struct((a["left"] - own).alias("left"), (a["n"] - 1).alias("n"), F.map_concat(a["kept"], F.create_map(s["i"], own)).alias("kept"))
+
+    kept = F.aggregate(placed, start, step, lambda a: a["kept"])
+    return F.transform(sizes, lambda _x, i: F.try_element_at(kept, i))

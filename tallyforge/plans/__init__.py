@@ -6,6 +6,6 @@ from tallyforge.registry import Registry
 
 
 def all_registries() -> list[Registry]:
-    from tallyforge.plans import joins, ledger, problems, rules, stats, text
+    from tallyforge.plans import joins, ledger, problems, rules, samples, stats, text
 
-    return [ledger.R, joins.R, text.R, stats.R, rules.R, problems.R]
+    return [ledger.R, joins.R, text.R, stats.R, rules.R, problems.R, samples.R]

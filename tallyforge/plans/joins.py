@@ -47,10 +47,11 @@ def nodes(touched: DataFrame) -> DataFrame:
     + r""",
 tc AS (SELECT project, file, count(*) AS touches FROM t GROUP BY ALL),
 small AS (SELECT entry_idx FROM t GROUP BY entry_idx HAVING count(*) <= 40),
-k AS (SELECT t.*, regexp_replace(regexp_replace(t.file, '(?i)\.(test|spec)(\.[^.]+)$', '\2'), '(?i)(^|/)(src|tests|test|__tests__)/', '\1/', 'g') AS mir,
-  regexp_matches(t.file, '(?i)\.(test|spec)\.[^./]+$') AS is_test FROM t JOIN small USING (entry_idx) JOIN tc ON tc.project = t.project AND tc.file = t.file WHERE touches >= 3),
+k0 AS (SELECT t.*, string_split(t.file, '/') AS d, string_split(regexp_extract(t.file, '([^/]*)$', 1), '.') AS n FROM t JOIN small USING (entry_idx) JOIN tc ON tc.project = t.project AND tc.file = t.file WHERE touches >= 3),
+k AS (SELECT project, entry_idx, file, len(n) > 2 AND lower(n[-2]) IN ('test', 'spec') AS is_test, array_to_string(list_filter(d[:-2], lambda x: lower(x) NOT IN ('src', 'test', 'tests', '__tests__')) || [array_to_string(CASE WHEN len(n) > 2 AND lower(n[-2]) IN ('test', 'spec') THEN n[:-3] || n[-1:] ELSE n END, '.')], '/') AS mir,
+  contains(file, '/') AS deep, regexp_replace(regexp_replace(array_to_string(n, '.'), '\.[A-Za-z0-9]+$', ''), '(?i)([._-](test|spec))$|^test_', '') AS stem FROM k0),
 p AS (SELECT a.project, a.file AS file, b.file AS partner, count(*) AS together FROM k a JOIN k b ON a.entry_idx = b.entry_idx AND a.file <> b.file
-  WHERE NOT (a.is_test <> b.is_test AND (a.mir = b.mir OR ends_with(a.mir, '/' || b.mir) OR ends_with(b.mir, '/' || a.mir))) GROUP BY ALL HAVING count(*) >= 2)
+  WHERE NOT (a.is_test <> b.is_test AND CASE WHEN a.deep AND b.deep THEN a.mir = b.mir OR ends_with(a.mir, '/' || b.mir) OR ends_with(b.mir, '/' || a.mir) ELSE a.stem = b.stem END) GROUP BY ALL HAVING count(*) >= 2)
 SELECT p.*, CASE WHEN NOT EXISTS (SELECT 1 FROM nodes n WHERE n.project = p.project AND n.file = p.file) OR NOT EXISTS (SELECT 1 FROM nodes n WHERE n.project = p.project AND n.file = p.partner) THEN 'unknown'
   WHEN EXISTS (SELECT 1 FROM edges g WHERE g.project = p.project AND ((g.src = p.file AND g.dst = p.partner) OR (g.dst = p.file AND g.src = p.partner))) THEN 'imports' ELSE 'hidden' END AS relation
 FROM p
@@ -471,11 +472,8 @@ WHERE len(list_intersect(x.words, y.words)) > 0.5 * least(len(x.words), len(y.wo
 )
 def duplicate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SET-03: promoted findings of one file and category whose word sets overlap by more than half of the smaller."""
-    a = findings(spark, sf_dir, "file", "category", "summary", "status", "suggested_action").filter(L.is_active(F.col("status")) & L.given(F.col("file")).isNotNull() & (F.col("suggested_action") == "promote"))
-    w = a.select("finding_id", "project", "file", "category", F.array_distinct(F.regexp_extract_all(F.lower("summary"), F.lit("([a-z0-9]+)"), F.lit(1))).alias("words"))
-    y = w.select(F.col("finding_id").alias("finding_b"), "project", "file", "category", F.col("words").alias("v"))
-    hit = w.withColumnRenamed("finding_id", "finding_a").join(y, ["project", "file", "category"]).filter(F.col("finding_a") < F.col("finding_b"))
-    return hit.filter(F.size(F.array_intersect("words", "v")) > 0.5 * F.least(F.size("words"), F.size("v"))).select("finding_a", "finding_b")
+    a = findings(spark, sf_dir, "file", "category", "summary", "status", "suggested_action").filter(L.is_active(F.col("status")) & L.given(F.col("file")).isNotNull() & F.col("category").isNotNull() & (F.col("suggested_action") == "promote"))
+    return J.overlapping(a, ["project", "file", "category"], "finding_id", F.col("summary")).select(F.col("a").alias("finding_a"), F.col("b").alias("finding_b"))
 
 
 @R.query(

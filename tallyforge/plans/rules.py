@@ -89,14 +89,14 @@ def without_automation(spark: SparkSession, sf_dir: str) -> DataFrame:
     "report_items",
     rf"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents WHERE {_KIND} = 'verify_report' AND text IS NOT NULL),
-a AS (SELECT doc_id, nullif(regexp_replace(regexp_extract(l, '`([^`\n]+)`', 1), '\(\)$', ''), '') AS anchor FROM l WHERE regexp_matches(l, '^\s*[-*] '))
+a AS (SELECT doc_id, list_filter(regexp_extract_all(l, '`([^`]+)`', 1), lambda b: length(b) > 5 AND regexp_matches(b, '[A-Za-z]') AND NOT regexp_matches(b, '^\S+\.\w+:\d+'))[1] AS anchor FROM l WHERE regexp_matches(l, '^\s*[-*] '))
 SELECT doc_id, count(*) AS items, count(anchor) AS anchored, min(anchor) AS first_anchor FROM a GROUP BY doc_id
 """,
 )
 def report_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-S06: the items of verification reports and the names they point at."""
     lines = documents(spark, sf_dir, "text").filter((F.col("kind") == "verify_report") & F.col("text").isNotNull()).select("doc_id", F.explode(F.split("text", "\n")).alias("l"))
-    a = lines.filter(F.col("l").rlike(r"^\s*[-*] ")).select("doc_id", X.anchor_of(F.col("l")).alias("anchor"))
+    a = lines.filter(F.col("l").rlike(r"^\s*[-*] ")).select("doc_id", X.finding_anchor(F.col("l")).alias("anchor"))
     return a.groupBy("doc_id").agg(F.count("*").alias("items"), F.count("anchor").alias("anchored"), F.min("anchor").alias("first_anchor"))
 
 
@@ -172,8 +172,8 @@ def evidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query(
     "citation_checks",
     CTE
-    + r""", d AS (SELECT doc_id, project, regexp_replace(text, '[a-z]+://\S+', ' ', 'g') AS x FROM documents WHERE text IS NOT NULL),
-r AS (SELECT DISTINCT doc_id, project, unnest(regexp_extract_all(x, '([A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+\.[a-z]{1,4})\b', 1)) AS file FROM d), k AS (SELECT DISTINCT project, file FROM t)
+    + r""", r0 AS (SELECT DISTINCT doc_id, project, unnest(regexp_extract_all(text, '((?:[\w./-]+/)?[\w.-]+\.(?:tsx|ts|jsx|json|js|yaml|yml|md))', 1)) AS file FROM documents WHERE text IS NOT NULL),
+r AS (SELECT * FROM r0 WHERE NOT starts_with(file, '//')), k AS (SELECT DISTINCT project, file FROM t)
 SELECT r.project, count(*) AS citations, count(k.file) AS found, count(DISTINCT CASE WHEN k.file IS NULL THEN r.file END) AS unknown_files FROM r LEFT JOIN k ON k.project = r.project AND k.file = r.file GROUP BY r.project
 """,
 )

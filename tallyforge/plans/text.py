@@ -7,29 +7,33 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text as X
 from tallyforge.functions.numeric import half_up
+from tallyforge.operators import nested
+from tallyforge.operators.rows import latest
+from tallyforge.operators.rules import rule_violations
 from tallyforge.plans.rules import documents
 from tallyforge.plans.views import CTE, entries, findings, modules
 from tallyforge.registry import Registry, table
 
 R = Registry()
 
-_STYLE = r"""CASE WHEN regexp_full_match({0}, '[A-Z][A-Z0-9]*(_[A-Z0-9]+)+') THEN 'SCREAMING_SNAKE' WHEN regexp_full_match({0}, '[a-z][a-z0-9]*(_[a-z0-9]+)+') THEN 'snake_case'
- WHEN regexp_full_match({0}, '[a-z][a-z0-9]*(-[a-z0-9]+)+') THEN 'kebab-case' WHEN regexp_full_match({0}, '[A-Z][a-z0-9]+([A-Z][a-z0-9]*)*') THEN 'PascalCase'
- WHEN regexp_full_match({0}, '[a-z][a-z0-9]*([A-Z][a-z0-9]*)+') THEN 'camelCase' WHEN regexp_full_match({0}, '[a-z][a-z0-9]*') THEN 'lower' ELSE 'other' END"""
+_STYLE = r"""(SELECT CASE WHEN length(s.v) <= 1 OR NOT regexp_full_match(s.w, '[A-Za-z][A-Za-z0-9]*((_[A-Za-z0-9]+)*|(-[A-Za-z0-9]+)*)') THEN 'unknown'
+ WHEN s.w = upper(s.w) AND NOT contains(s.w, '-') THEN 'SCREAMING_SNAKE_CASE'
+ WHEN NOT regexp_matches(s.w, '[_-]') THEN CASE WHEN regexp_matches(s.w, '^[A-Z]') THEN 'PascalCase' WHEN s.w = lower(s.w) THEN 'lowercase' ELSE 'camelCase' END
+ WHEN s.w = lower(s.w) THEN CASE WHEN contains(s.w, '-') THEN 'kebab-case' ELSE 'snake_case' END ELSE 'unknown' END FROM (SELECT {0} AS v, trim({0}, '_') AS w) s)"""
 
 
 @R.query(
     "naming_vote",
     CTE
     + f""", s AS (SELECT project, {_STYLE.format("anchor")} AS style, count(*) AS n FROM f WHERE anchor IS NOT NULL GROUP BY ALL),
-v AS (SELECT project, sum(n) AS total, sum(n) FILTER (style <> 'other') AS valid, max(n) FILTER (style <> 'other') AS top, arg_max(style, (n, style)) FILTER (style <> 'other') AS majority FROM s GROUP BY project)
+v AS (SELECT project, sum(n) AS total, sum(n) FILTER (style <> 'unknown') AS valid, max(n) FILTER (style <> 'unknown') AS top, arg_max(style, (n, style)) FILTER (style <> 'unknown') AS majority FROM s GROUP BY project)
 SELECT project, CAST(total AS BIGINT) AS sample_size, majority, floor(top / valid * 1e4 + 0.5) / 1e4 AS share, floor(top / valid * valid / (valid + 5) * 1e4 + 0.5) / 1e4 AS confidence, top / valid < 0.7 AS mixed FROM v WHERE valid > 0
 """,
 )
 def naming_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-20, FN-S01, FLT-10: majority naming style per project; the sample counts all names, the confidence shrinks by 5."""
     s = findings(spark, sf_dir, "anchor").filter(F.col("anchor").isNotNull()).groupBy("project", X.naming_style(F.col("anchor")).alias("style")).agg(F.count("*").alias("n"))
-    ok = F.col("style") != "other"
+    ok = F.col("style") != "unknown"
     v = s.groupBy("project").agg(F.sum("n").alias("sample_size"), F.sum(F.when(ok, F.col("n"))).alias("valid"), F.max(F.when(ok, F.col("n"))).alias("top"), F.max_by(F.when(ok, F.col("style")), F.when(ok, F.struct("n", "style"))).alias("majority"))
     p = F.col("top") / F.col("valid")
     return v.filter(F.col("valid") > 0).select("project", "sample_size", "majority", half_up(p, 4).alias("share"), half_up(p * F.col("valid") / (F.col("valid") + 5), 4).alias("confidence"), (p < 0.7).alias("mixed"))
@@ -97,7 +101,7 @@ def code_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query(
     "truncated_summaries",
-    CTE + r"""SELECT finding_id, CASE WHEN length(summary) <= 60 THEN summary ELSE coalesce(nullif(regexp_extract(substr(summary, 1, 60), '(?s)^(.*) ', 1), ''), substr(summary, 1, 60)) || '...' END AS short FROM f WHERE summary IS NOT NULL""",
+    CTE + r"""SELECT finding_id, CASE WHEN length(summary) <= 60 THEN summary ELSE coalesce(nullif(regexp_extract(substr(summary, 1, 61), '(?s)^(.+) ', 1), ''), substr(summary, 1, 60)) || '...' END AS short FROM f WHERE summary IS NOT NULL""",
 )
 def truncated_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-S04."""
@@ -107,9 +111,8 @@ def truncated_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query(
     "file_references",
     r"""
-WITH d AS (SELECT doc_id, regexp_replace(text, '[a-z]+://\S+', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL),
-r AS (SELECT doc_id, unnest(regexp_extract_all(t, '([A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+\.[a-z]{1,4})\b', 1)) AS file FROM d)
-SELECT file, count(DISTINCT doc_id) AS docs FROM r GROUP BY file
+WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '((?:[\w./-]+/)?[\w.-]+\.(?:tsx|ts|jsx|json|js|yaml|yml|md))', 1)) AS file FROM documents WHERE text IS NOT NULL)
+SELECT file, count(DISTINCT doc_id) AS docs FROM r WHERE NOT starts_with(file, '//') GROUP BY file
 """,
 )
 def file_references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,16 +164,17 @@ def compliance_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """
 SELECT entry_idx, CASE WHEN result = 'PASS' AND len(list_filter(coalesce(assertions, []), lambda x: x.status = 'UNSATISFIED')) > 0 THEN 'FAIL' ELSE result END AS verdict,
   CAST(len(list_filter(coalesce(assertions, []), lambda x: x.status = 'SATISFIED')) AS BIGINT) AS satisfied, CAST(len(list_filter(coalesce(assertions, []), lambda x: x.status = 'UNSATISFIED')) AS BIGINT) AS unsatisfied,
-  len(coalesce(verdict_contradictions, [])) > 0 OR coalesce(acceptance_criteria.met < acceptance_criteria.total, false) AND result = 'PASS' AS veto FROM e
+  CASE WHEN result = 'PASS' THEN array_to_string(list_sort(list_filter(list_transform(coalesce(assertions, []), lambda x: CASE WHEN x.status = 'UNSATISFIED' THEN x.id END), lambda i: i IS NOT NULL)), ',') ELSE '' END AS contradicted FROM e
 """,
 )
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-S09, FN-S10, AGG-41, FN-A01: a PASS with an unsatisfied assertion is a FAIL; what speaks against a verdict vetoes it."""
-    e = entries(spark, sf_dir, "result", "assertions", "verdict_contradictions", "acceptance_criteria")
-    n = lambda s: F.size(F.filter(F.coalesce("assertions", F.expr("cast(array() as array<struct<id:string,says:string,status:string,deviation:string>>)")), lambda x: x.status == s)).cast("bigint")
-    against = F.coalesce(F.size("verdict_contradictions") > 0, F.lit(False))
-    short = F.coalesce(F.col("acceptance_criteria.met") < F.col("acceptance_criteria.total"), F.lit(False)) & (F.col("result") == "PASS")
-    return e.select("entry_idx", F.when((F.col("result") == "PASS") & (n("UNSATISFIED") > 0), "FAIL").otherwise(F.col("result")).alias("verdict"), n("SATISFIED").alias("satisfied"), n("UNSATISFIED").alias("unsatisfied"), (against | short).alias("veto"))
+    """FN-S09, AGG-41, FN-A01: a PASS with an unsatisfied assertion is a FAIL, and these assertions contradict it."""
+    e = entries(spark, sf_dir, "result", "assertions")
+    listed = F.coalesce("assertions", F.expr("cast(array() as array<struct<id:string,says:string,status:string,deviation:string>>)"))
+    n = lambda s: F.size(F.filter(listed, lambda x: x.status == s)).cast("bigint")
+    against = F.array_sort(F.array_compact(F.transform(F.filter(listed, lambda x: x.status == "UNSATISFIED"), lambda x: x.id)))
+    passed = F.col("result") == "PASS"
+    return e.select("entry_idx", F.when(passed & (n("UNSATISFIED") > 0), "FAIL").otherwise(F.col("result")).alias("verdict"), n("SATISFIED").alias("satisfied"), n("UNSATISFIED").alias("unsatisfied"), F.when(passed, F.array_join(against, ",")).otherwise("").alias("contradicted"))
 
 
 _KNOWN = ("session_log", "build_report", "verify_report", "commit_note", "scope", "plan", "docs_page", "changelog", "requirement", "retro")
@@ -195,24 +199,30 @@ def nearest_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query(
     "plain_text",
     r"""
-SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<[^>\n]*>', '', 'g'), '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '(?m)^\s*#+\s*', '', 'g'), '[`*_]', '', 'g'), '[ \t\n\f\r\v]+', ' ', 'g')) AS plain
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '<[^>]+>', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS plain
 FROM documents WHERE text IS NOT NULL
 """,
 )
 def plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-S14, SRC-30."""
-    return table(spark, sf_dir, "documents").filter(F.col("text").isNotNull()).select("doc_id", X.strip_markdown(F.col("text")).alias("plain"))
+    """FN-S14: texts without images and tags."""
+    return table(spark, sf_dir, "documents").filter(F.col("text").isNotNull()).select("doc_id", X.clean_markdown(F.col("text")).alias("plain"))
+
+
+_KIND_SQL = r"regexp_replace(lower(regexp_replace(source, '^\s+|\s+$', '', 'g')), '[ _-]+', '_', 'g')"
 
 
 @R.query(
     "first_paragraphs",
-    r"""
-WITH d AS (SELECT doc_id, regexp_replace(text, '(?m)^#.*$', '', 'g') AS t FROM documents WHERE text IS NOT NULL AND source = 'docs_page')
-SELECT doc_id, trim(regexp_replace(regexp_extract(t, '(?s)^\s*(\S.*?)(?:\n\s*\n|\s*$)', 1), '\s*\n\s*', ' ', 'g')) AS paragraph FROM d
+    rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL AND {_KIND_SQL} = 'docs_page'),
+f AS (SELECT *, min(i) FILTER (trim(l) <> '') OVER (PARTITION BY doc_id) AS first FROM l),
+b AS (SELECT *, min(i) FILTER (trim(l) <> '' AND NOT (i = first AND regexp_matches(l, '^# ?'))) OVER (PARTITION BY doc_id) AS start FROM f),
+e AS (SELECT *, coalesce(min(i) FILTER (i >= start AND (trim(l) = '' OR regexp_matches(l, '^##?\s'))) OVER (PARTITION BY doc_id), 1e9::BIGINT) AS stop FROM b)
+SELECT doc_id, regexp_replace(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (i >= start AND i < stop), ''), '^\s+|\s+$', '', 'g') AS paragraph FROM e GROUP BY doc_id
 """,
 )
 def first_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-S07, FN-S14: the opening paragraph of documentation pages."""
+    """FN-S14: the opening paragraph of documentation pages."""
     d = documents(spark, sf_dir, "text").filter(F.col("text").isNotNull() & (F.col("kind") == "docs_page"))
     return d.select("doc_id", X.first_paragraph(F.col("text")).alias("paragraph"))
 
@@ -220,7 +230,7 @@ def first_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query(
     "commit_styles",
     r"""
-WITH c AS (SELECT project, regexp_extract(text, '^([a-z]+)(\([^)]*\))?: ', 1) AS kind FROM documents WHERE lower(source) = 'commit_note' AND text IS NOT NULL),
+WITH c AS (SELECT project, regexp_extract(text, '^([a-z]+)(\([^)]*\))?: ', 1) AS kind FROM documents WHERE regexp_replace(lower(regexp_replace(source, '^\s+|\s+$', '', 'g')), '[ _-]+', '_', 'g') = 'commit_note' AND text IS NOT NULL),
 k AS (SELECT project, kind, count(*) AS n FROM c GROUP BY ALL)
 SELECT project, CAST(sum(n) AS BIGINT) AS notes, floor(sum(n) FILTER (kind <> '') / sum(n) * 1e4 + 0.5) / 1e4 AS conventional, arg_max(kind, (n, kind)) FILTER (kind <> '') AS commonest FROM k GROUP BY project HAVING sum(n) FILTER (kind <> '') > 0
 """,
@@ -234,30 +244,55 @@ def commit_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.filter(F.col("good") > 0).select("project", "notes", half_up(F.col("good") / F.col("notes"), 4).alias("conventional"), "commonest")
 
 
+_AC_SQL = " || ".join("regexp_extract_all(text, '" + f + "', 1)" for f in X.CRITERION_FORMS)
+
+
 @R.query(
     "criterion_mentions",
-    r"""
-WITH m AS (SELECT doc_id, upper(regexp_replace(unnest(regexp_extract_all(text, '\b([Aa][Cc][- ]?[0-9]+)\b', 1)), '[- ]', '', 'g')) AS ac FROM documents WHERE text IS NOT NULL)
+    f"""
+WITH m AS (SELECT doc_id, upper(unnest({_AC_SQL})) AS ac FROM documents WHERE text IS NOT NULL)
 SELECT ac, count(DISTINCT doc_id) AS docs FROM m GROUP BY ac
 """,
 )
 def criterion_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-S16."""
+    """FN-S16: criteria that texts declare, and how many texts do."""
     return table(spark, sf_dir, "documents").select(F.explode(X.criterion_ids(F.col("text"))).alias("ac")).groupBy("ac").agg(F.count("*").alias("docs"))
 
 
+@R.query(
+    "unclear_criteria",
+    f"SELECT doc_id, len({_AC_SQL}) = 0 AND regexp_matches(text, '{X.CRITERION_SIGNS}') AS unclear FROM documents WHERE text IS NOT NULL",
+)
+def unclear_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-S16: texts that mention criteria in a form that declares none."""
+    return table(spark, sf_dir, "documents").filter(F.col("text").isNotNull()).select("doc_id", X.criteria_unclear(F.col("text")).alias("unclear"))
+
+
+_BODIES = """
+WITH c0 AS (SELECT contract_id, body FROM contracts QUALIFY row_number() OVER (PARTITION BY contract_id ORDER BY sealed_at DESC NULLS LAST, body DESC NULLS LAST) = 1),
+c0v AS MATERIALIZED (SELECT contract_id, body FROM c0 WHERE json_valid(body)),
+c1 AS (SELECT contract_id, body AS raw, CASE WHEN json_type(body) = 'VARCHAR' THEN body ->> '$' ELSE body END AS body FROM c0v),
+c2 AS (SELECT contract_id, raw, CASE WHEN json_type(body, '$.data') = 'OBJECT' THEN (body -> '$.data')::VARCHAR ELSE body END AS body FROM c1 WHERE json_valid(body)),
+c AS (SELECT contract_id, CASE WHEN json_type(body, '$.contract') = 'OBJECT' THEN (body -> '$.contract')::JSON ELSE body::JSON END AS body FROM c2 WHERE json_type(body) = 'OBJECT')
+"""
+
+
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = latest(table(spark, sf_dir, "contracts").select("contract_id", "sealed_at", "body"), ["contract_id"], [F.desc_nulls_last("sealed_at"), F.desc_nulls_last("body")])
+    return nested.contract_fields(c)
+
+
 @R.query(
     "version_gate",
-    r"""
-WITH v AS (SELECT DISTINCT contract_id, body ->> '$.version' AS v FROM contracts WHERE json_valid(body) AND json_type(body) = 'OBJECT'),
-n AS (SELECT *, try_cast(nullif(regexp_extract(v, '^v?([0-9]+)(?:\.([0-9]+))?', 1), '') AS INTEGER) AS a, coalesce(try_cast(nullif(regexp_extract(v, '^v?([0-9]+)(?:\.([0-9]+))?', 2), '') AS INTEGER), 0) AS b FROM v)
-SELECT v AS version, CASE WHEN a IS NOT NULL THEN a > 1 OR (a = 1 AND b >= 1) END AS gated, count(*) AS contracts FROM n GROUP BY 1, 2
+    _BODIES
+    + r""", v AS (SELECT contract_id, body ->> '$.version' AS v FROM c),
+n AS (SELECT *, coalesce(try_cast(nullif(regexp_extract(v, '^v?([0-9]+)', 1), '') AS INTEGER), 0) AS a, coalesce(try_cast(nullif(regexp_extract(v, '^v?[0-9]*\.([0-9]+)', 1), '') AS INTEGER), 0) AS b FROM v)
+SELECT v AS version, CASE WHEN v IS NULL OR trim(v) = '' THEN false ELSE a > 1 OR (a = 1 AND b >= 1) END AS gated, count(*) AS contracts FROM n GROUP BY 1, 2
 """,
 )
 def version_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-S17, FN-J01: versions from 1.1 on, compared as numbers."""
-    v = table(spark, sf_dir, "contracts").filter(F.col("body").startswith("{")).select("contract_id", F.get_json_object("body", "$.version").alias("version"), F.try_parse_json("body").isNotNull().alias("ok"))
-    v = v.filter("ok").select("contract_id", "version").distinct()
+    """FN-S17, FN-J01: versions from 1.1 on, compared as numbers, of contracts in every form of body."""
+    v = _fields(spark, sf_dir).filter("valid")
     return v.groupBy("version", X.version_at_least(F.col("version"), 1, 1).alias("gated")).agg(F.count("*").alias("contracts"))
 
 
@@ -280,7 +315,7 @@ def sealed_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     "ages",
     CTE
     + """, d AS (SELECT entry_idx, completed_at, try_cast(substr(completed_at, 1, 10) AS DATE) AS day FROM e), g AS (SELECT *, date_diff('second', day::TIMESTAMP, TIMESTAMP '2025-06-01 12:00:00') AS s FROM d)
-SELECT entry_idx, day, CAST(floor(s / 86400) AS BIGINT) AS days, CASE WHEN greatest(s, 0) < 86400 THEN CAST(floor(greatest(s, 0) / 3600) AS BIGINT) || 'h' WHEN s < 604800 THEN CAST(floor(s / 86400) AS BIGINT) || 'd' WHEN s IS NOT NULL THEN CAST(floor(s / 604800) AS BIGINT) || 'w' END AS age FROM g WHERE s IS NOT NULL
+SELECT entry_idx, day, CAST(floor(s / 86400) AS BIGINT) AS days, CASE WHEN s < 3600 THEN '<1h' WHEN s < 86400 THEN CAST(floor(s / 3600) AS BIGINT) || 'h' WHEN s < 30 * 86400 THEN CAST(floor(s / 86400) AS BIGINT) || 'd' ELSE CAST(floor(floor(s / 86400) / 7) AS BIGINT) || 'w' END AS age FROM g WHERE s IS NOT NULL
 """,
 )
 def ages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,30 +350,27 @@ def slug_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query(
     "contract_violations",
-    r"""
-WITH c AS (SELECT contract_id, body FROM contracts QUALIFY row_number() OVER (PARTITION BY contract_id ORDER BY sealed_at DESC NULLS LAST, body DESC NULLS LAST) = 1)
-SELECT contract_id, 'broken' AS violation FROM c WHERE body IS NOT NULL AND NOT json_valid(body)
-UNION ALL SELECT contract_id, 'missing' FROM c WHERE body IS NULL
-UNION ALL SELECT contract_id, 'no assertions' FROM c WHERE json_valid(body) AND json_type(body) = 'OBJECT' AND (json_type(body, '$.assertions') IS NULL OR json_type(body, '$.assertions') = 'NULL') AND json_type(body, '$.contract') IS NULL AND json_type(body, '$.data') IS NULL
-UNION ALL SELECT contract_id, 'unsealed' FROM c WHERE json_valid(body) AND json_type(body) = 'OBJECT' AND json_type(body, '$.sealed_by') = 'NULL'
+    _BODIES
+    + r"""
+SELECT contract_id, 'missing' AS violation FROM c0 WHERE body IS NULL
+UNION ALL SELECT contract_id, 'broken' FROM c0 WHERE body IS NOT NULL AND contract_id NOT IN (SELECT contract_id FROM c)
+UNION ALL SELECT contract_id, 'no version' FROM c WHERE coalesce(json_type(body, '$.version'), 'NULL') = 'NULL'
+UNION ALL SELECT contract_id, 'unsealed' FROM c WHERE coalesce(trim(body ->> '$.sealed_by'), '') = ''
+UNION ALL SELECT contract_id, 'no assertions' FROM c WHERE coalesce(json_type(body, '$.assertions'), 'NULL') NOT IN ('ARRAY', 'OBJECT') OR json_array_length(CASE WHEN json_type(body, '$.assertions') = 'ARRAY' THEN body -> '$.assertions' ELSE '[0]'::JSON END) = 0
+UNION ALL SELECT contract_id, 'no file changes' FROM c WHERE coalesce(json_type(body, '$.file_changes'), 'NULL') NOT IN ('ARRAY', 'OBJECT')
 """,
 )
 def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-S24, UDX-01: a list of rules, each a function from rows to violations; their answers are one table."""
-    from tallyforge.operators.rows import latest
-
-    c = latest(table(spark, sf_dir, "contracts").select("contract_id", "sealed_at", "body"), ["contract_id"], [F.desc_nulls_last("sealed_at"), F.desc_nulls_last("body")])
-    c = c.withColumn("v", F.try_parse_json("body"))
-    plain = F.schema_of_variant("v").startswith("OBJECT")
-    has = lambda k: F.try_variant_get("v", f"$.{k}", "variant").isNotNull()
-    is_null = lambda k: F.coalesce(F.is_variant_null(F.try_variant_get("v", f"$.{k}", "variant")), F.lit(False))
+    """FN-S24, UDX-01: a registry of rules over the fields of every form of body; a rule that fails is skipped, with a row that says so."""
     rules = {
-        "broken": F.col("body").isNotNull() & F.col("v").isNull(),
-        "missing": F.col("body").isNull(),
-        "no assertions": plain & (~has("assertions") | is_null("assertions")) & ~has("contract") & ~has("data"),
-        "unsealed": plain & is_null("sealed_by"),
+        "missing": lambda c: c["missing"],
+        "broken": lambda c: ~c["missing"] & ~c["valid"],
+        "no version": lambda c: c["valid"] & c["version"].isNull(),
+        "unsealed": lambda c: c["valid"] & (F.coalesce(F.trim(c["sealed_by"]), F.lit("")) == ""),
+        "no assertions": lambda c: c["valid"] & (F.coalesce(c["assertions"], F.lit(0)) == 0),
+        "no file changes": lambda c: c["valid"] & c["file_changes"].isNull(),
     }
-    return c.select("contract_id", F.explode(F.array_compact(F.array(*[F.when(cond, name) for name, cond in rules.items()]))).alias("violation"))
+    return rule_violations(_fields(spark, sf_dir), "contract_id", rules)
 
 
 @R.query(
@@ -378,7 +410,11 @@ def source_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query(
     "stems",
-    CTE + r"""SELECT DISTINCT file, regexp_replace(regexp_replace(file, '(?i)\.(test|spec)(\.[^.]+)$', '\2'), '(?i)(^|/)(src|tests|test|__tests__)/', '\1/', 'g') AS mirrored, regexp_matches(file, '(?i)[._-](test|spec)\.[a-z0-9]+$') OR regexp_matches(file, '(?i)(^|/)(tests?|__tests__|spec)/') OR regexp_matches(file, '(^|/)test_[^/]*\.py$') AS is_test FROM t""",
+    CTE
+    + r""", n AS (SELECT DISTINCT file, string_split(file, '/') AS d, string_split(regexp_extract(file, '([^/]*)$', 1), '.') AS b FROM t),
+m AS (SELECT file, list_filter(d[:-2], lambda x: lower(x) NOT IN ('src', 'test', 'tests', '__tests__')) AS d, CASE WHEN len(b) > 2 AND lower(b[-2]) IN ('test', 'spec') THEN b[:-3] || b[-1:] ELSE b END AS b FROM n)
+SELECT file, array_to_string(d || [array_to_string(b, '.')], '/') AS mirrored, regexp_matches(file, '(?i)[._-](test|spec)\.[a-z0-9]+$') OR regexp_matches(file, '(?i)(^|/)(tests?|__tests__|spec)/') OR regexp_matches(file, '(^|/)test_[^/]*\.py$') AS is_test FROM m
+""",
 )
 def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-S03, FLT-04: a file and its test have one mirrored path."""

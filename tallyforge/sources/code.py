@@ -63,9 +63,32 @@ def parse_python(text: str) -> dict:
     return out
 
 
+def _blanked(text: str) -> str:
+    """The text with comments as blanks, its lines and the places in them kept."""
+    keep = lambda m: m[0] if m[0][0] in "'\"`" else re.sub(r"[^\n]", " ", m[0])
+    return re.sub(r"'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`|//[^\n]*|/\*.*?\*/", keep, text, flags=re.S)
+
+
+def script_imports(text: str) -> list[dict]:
+    """Imports of a script over any number of lines: statements, re-exports, ``import()`` and ``require()``."""
+    found = []
+    statement = r"(?:^|[;\n])[ \t]*(?:import|export)\b(?P<what>[^'\"`;]*?)\bfrom\s*['\"](?P<m>[^'\"\n]+)['\"]"
+    plain = r"(?:^|[;\n])[ \t]*import\s*['\"](?P<m>[^'\"\n]+)['\"]|\b(?:require|import)\s*\(\s*['\"](?P<n>[^'\"\n]+)['\"]\s*\)"
+    for m in re.finditer(statement, text):
+        inner = re.search(r"\{([^}]*)\}", m["what"])
+        names = [re.split(r"\s+as\s+", n.strip())[0].removeprefix("type ").strip() for n in inner[1].split(",")] if inner else []
+        at = m.start() + len(m[0]) - len(m[0].lstrip(";\n \t"))
+        found.append({"module": m["m"], "names": [n for n in names if n], "line": text.count("\n", 0, at) + 1})
+    for m in re.finditer(plain, text):
+        at = m.start() + len(m[0]) - len(m[0].lstrip(";\n \t"))
+        found.append({"module": m["m"] or m["n"], "names": [], "line": text.count("\n", 0, at) + 1})
+    return sorted(found, key=lambda x: x["line"])
+
+
 def parse_script(text: str) -> dict:
-    """TypeScript and JavaScript, by lines."""
-    out: dict = {"functions": [], "classes": [], "imports": [], "exports": [], "decorators": []}
+    """TypeScript and JavaScript: declarations by lines, imports as statements; comments hold neither."""
+    text = _blanked(text)
+    out: dict = {"functions": [], "classes": [], "imports": script_imports(text), "exports": [], "decorators": []}
     for i, line in enumerate(text.split("\n"), 1):
         if m := re.match(r"\s*(export\s+)?(default\s+)?(async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)", line):
             out["functions"].append({"name": m[4], "line": i, "async": bool(m[3])})
@@ -81,11 +104,6 @@ def parse_script(text: str) -> dict:
                 out["exports"].append({"name": m[2], "kind": "class", "line": i})
         elif m := re.match(r"\s*export\s+(?:declare\s+)?(interface|type|enum|const|let|var)\s+([A-Za-z_$][\w$]*)", line):
             out["exports"].append({"name": m[2], "kind": m[1], "line": i})
-        if m := re.match(r"\s*(?:import|export)\b([^'\"]*?)\bfrom\s*['\"]([^'\"]+)['\"]", line):
-            names = re.findall(r"[A-Za-z_$][\w$]*(?=\s*(?:,|\}|as\b|$))", m[1].split("{")[1]) if "{" in m[1] else []
-            out["imports"].append({"module": m[2], "names": [n for n in names if n != "as"], "line": i})
-        elif m := re.match(r"\s*import\s*['\"]([^'\"]+)['\"]", line) or re.search(r"\brequire\(\s*['\"]([^'\"]+)['\"]\s*\)", line):
-            out["imports"].append({"module": m[1], "names": [], "line": i})
         if m := re.match(r"\s*@([A-Za-z_$][\w$.]*)", line):
             out["decorators"].append({"name": m[1], "line": i})
     return out

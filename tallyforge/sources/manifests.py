@@ -65,10 +65,10 @@ def pipfile(text: Column) -> Column:
 
 
 def go_mod(text: Column) -> Column:
-    """SRC-12: required modules, in blocks and single lines."""
+    """SRC-12: required modules in lower case, in blocks and single lines."""
     block = F.regexp_extract_all(F.concat_ws("\n", F.regexp_extract_all(text, F.lit(r"(?s)require[ \t]*\((.*?)\)"), F.lit(1))), F.lit(r"(?m)^[ \t]*([^\s/][^\s]*)[ \t]+v"), F.lit(1))
     single = F.regexp_extract_all(text, F.lit(r"(?m)^require[ \t]+([^\s(]+)[ \t]+v"), F.lit(1))
-    return _when_given(text, F.concat(block, single))
+    return _when_given(text, F.transform(F.concat(block, single), F.lower))
 
 
 def cargo_toml(text: Column) -> Column:

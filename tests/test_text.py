@@ -10,7 +10,7 @@ def one(spark, column, *values):
     return [r[0] for r in df.orderBy("i").select(column(F.col("x")).alias("y")).collect()]
 
 
-@pytest.mark.parametrize(("name", "style"), [("MAX_SIZE", "SCREAMING_SNAKE"), ("max_size", "snake_case"), ("max-size", "kebab-case"), ("MaxSize", "PascalCase"), ("maxSize", "camelCase"), ("max", "lower"), ("MAX", "other"), ("_x", "other"), ("", "other"), (None, None)])
+@pytest.mark.parametrize(("name", "style"), [("MAX_SIZE", "SCREAMING_SNAKE_CASE"), ("max_size", "snake_case"), ("max-size", "kebab-case"), ("MaxSize", "PascalCase"), ("maxSize", "camelCase"), ("max", "lowercase"), ("MAX", "SCREAMING_SNAKE_CASE"), ("_x", "lowercase"), ("_max", "lowercase"), ("", "unknown"), (None, None)])
 def test_styles(spark, name, style):
     assert one(spark, X.naming_style, name) == [style]
 
@@ -23,26 +23,29 @@ def test_rounding(spark):
 
 def test_truncate(spark):
     assert one(spark, lambda c: X.truncate_words(c, 10), "short", "exactly 10", "one two three", "unbreakablelong", None) == ["short", "exactly 10", "one two...", "unbreakabl...", None]
+    assert one(spark, lambda c: X.truncate_words(c, 9), "aaaa bbbb cccc", " aaaaaaaaaaaa") == ["aaaa bbbb...", " aaaaaaaa..."]  # the blank at the limit counts
 
 
 def test_references_and_criteria(spark):
-    assert one(spark, X.file_references, "see src/a.ts and src/a.ts, http://x.y/z/w.js lib/b.py.") == [["src/a.ts", "lib/b.py"]]
-    assert one(spark, X.criterion_ids, "ac-2, AC1 and AC 1; MAC3") == [["AC1", "AC2"]]
+    assert one(spark, X.file_references, "see src/a.ts:3 and src/a.ts, http://x.y/z/w.js and b.md lib/b.py.", "none", None) == [["src/a.ts", "b.md"], [], None]
+    text = "## AC1\n- ac2: x\n* **AC3** y\n  AC4) z\nsee **AC5:** and AC6"
+    assert one(spark, X.criterion_ids, text, "about AC1 and AC-2", "") == [["AC1", "AC2", "AC3", "AC4", "AC5"], [], []]
+    assert one(spark, X.criteria_unclear, text, "about AC1", "### Acceptance  Criteria\n- one", "nothing", "MAC3") == [False, True, True, False, False]
 
 
 def test_markdown(spark):
-    text = "# Title\n\n![i](u)[link](http://x) **bold** `code`\nmore <b>x</b>\n\nnext"
-    assert one(spark, X.strip_markdown, text) == ["Title link bold code more x next"]
-    assert one(spark, X.first_paragraph, "# T\n\nOne\ntwo\n\nthree", "# only", "") == ["One two", "", ""]
+    text = "# Title\n\n\n\n![i](u)[link](http://x) **bold** `code`\nmore <b>x</b> \n"
+    assert one(spark, X.clean_markdown, text) == ["# Title\n\n[link](http://x) **bold** `code`\nmore x"]
+    assert one(spark, X.first_paragraph, "# T\n\nOne\ntwo\n\nthree", "# only", "", "\n\nlead\n## next", "## H\nx", "x\n# y") == ["One\ntwo", "", "", "lead", "", "x"]
 
 
 def test_versions(spark):
-    assert one(spark, lambda c: X.version_at_least(c, 1, 1), "1.0", "1.1", "2", "v1.10", "x", None) == [False, True, True, True, None, None]
+    assert one(spark, lambda c: X.version_at_least(c, 1, 1), "1.0", "1.1", "2", "v1.10", "x", None, " ") == [False, True, True, True, False, False, False]
 
 
 def test_ages(spark):
-    df = spark.createDataFrame([(x,) for x in (-5, 3599, 86_399, 86_400, 604_799, 604_800, None)], "x bigint")
-    assert [r[0] for r in df.select(X.relative_age(F.col("x"))).collect()] == ["0h", "0h", "23h", "1d", "6d", "1w", None]
+    df = spark.createDataFrame([(x,) for x in (-5, 3599, 3600, 86_399, 86_400, 30 * 86_400 - 1, 30 * 86_400, None)], "x bigint")
+    assert [r[0] for r in df.select(X.relative_age(F.col("x"))).collect()] == ["<1h", "<1h", "1h", "23h", "1d", "29d", "4w", None]
 
 
 def test_bands(spark):
@@ -52,9 +55,10 @@ def test_bands(spark):
 
 def test_runners_and_verdicts(spark):
     assert one(spark, X.test_runner, "npx vitest run", "python -m pytest -q", "go test ./...", "make") == ["vitest", "pytest", "go", None]
-    out = spark.createDataFrame([("Tests  3 failed | 12 passed", 1), ("12 passed in 3s", 0), ("12 passed", 1), ("nothing", 0), (None, 0), ("0 passed", 0)], "x string, code int")
-    got = [r[0] for r in out.select(X.capture_verdict(F.col("code"), X.test_counts(F.col("x")))).collect()]
-    assert got == ["FAIL", "PASS", "FAIL", "UNKNOWN", "UNKNOWN", "UNKNOWN"]
+    rows = [("vitest", "Tests  3 failed | 12 passed", 1), ("vitest", "Tests  12 passed", 0), ("vitest", "Tests  12 passed", 1), ("vitest", "Segmentation fault", 1), ("vitest", "nothing", 0), (None, "12 passed", 0), ("jest", None, None)]
+    out = spark.createDataFrame(rows, "r string, x string, code int")
+    got = [r[0] for r in out.select(X.capture_verdict(F.col("code"), X.test_counts(F.col("x"), F.col("r")))).collect()]
+    assert got == ["FAIL", "PASS", "FAIL", "FAIL", "ABSTAIN", "ABSTAIN", "FAIL"]
 
 
 def test_seals(spark):
@@ -68,7 +72,8 @@ def test_seals(spark):
 def test_branches_and_slugs(spark):
     assert one(spark, X.branch_of_merge, "Merge pull request #5 from me/feat/x", "Merge branch 'origin/dev' into y", "fix: z") == ["feat/x", "dev", None]
     assert one(spark, X.valid_slug, "a-b-1", "A", "-a", "a--b", "x" * 65) == [True, False, False, False, False]
-    assert one(spark, X.shell_refused, "npm test", "a && b", "echo $X") == [False, True, True]
+    assert one(spark, X.shell_refused, "npm test", "a && b", "echo $X", 'vitest "a|b"', "(vitest)", "x '*", None) == [None, "&", None, None, "(", None, None]
+    assert one(spark, X.shell_tokens, "A=1 run 'b c' \\\"d", "", None) == [["A=1", "run", "b c", '"d'], [], None]
     assert one(spark, lambda c: X.import_kind(c, "mypkg"), "./a", "@/x", "node:fs", "@s/p", "mypkg.sub", "react") == ["relative", "alias", "builtin", "scoped", "own", "external"]
 
 

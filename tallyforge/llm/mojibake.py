@@ -1,7 +1,7 @@
 """Garbled text from wrong character encoding: find the chain of encodings, undo it.
 
 A multinomial classifier over hashed byte bigrams tells how a word came about:
-as it should, or through one of some 170 chains (written as UTF-8 and read in a
+as it should, or through one of 210 chains (written as UTF-8 and read in a
 single-byte encoding, once or twice; written in one single-byte encoding and
 read in another). It is trained on words of the corpus garbled through every
 chain. The chain predicted for a word is inverted, which must decode strictly
@@ -9,6 +9,9 @@ and give a word that the model of sound words finds much likelier. Words lost in
 part (a byte dropped or replaced on the way) cannot be inverted; they count when
 the classifier is sure.
 
+Garbled characters that were then written as HTML references (``&Atilde;&copy;``)
+are read as characters first; references of sound characters are no case.
+
 Words are found as runs of characters beyond ASCII with the letters around
 them, so documents garbled in one place are found too. ASCII is the same in all
 these encodings, which makes the inversion of a run independent of its
@@ -27,6 +30,7 @@ text to train on nothing is found. Extra columns are not read.
 
 from __future__ import annotations
 
+import html
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -45,6 +49,8 @@ COMMON = 0.01
 #: (hardly any sound word is valid UTF-8 by chance), where it does not, and where
 #: it should but bytes are lost, with the rest of a UTF-8 sequence left or without.
 SURE_UTF8, SURE_INVERTED, SURE_BROKEN, SURE_LOST = 0.0, 12.0, 5.0, 15.0
+#: Where the inversion gives a word that looks no better than the garbled one.
+SURE_ALIKE = 24.0
 #: How much likelier, in logs, the restored word must be as a sound word.
 GAIN = 4.0
 #: Likeliest chains of a word that are inverted.
@@ -200,13 +206,33 @@ def train(counts: dict[str, int], documents: int) -> Model:
             groups.append((list(made), np.array(list(made.values()))))
         model = Model(ways, _fit(groups))
         judged = judge(model, codec, known)
-        known = [k for k, j in zip(known, judged, strict=True) if j is None or (counts[k] > COMMON * documents and not any(map(str.isalpha, k)))]
+        known = [k for k, j in zip(known, judged, strict=True) if j is None or j[3] or (counts[k] > COMMON * documents and not any(map(str.isalpha, k)))]
     return model
 
 
-def judge(model: Model, codec: Codec, keys: list[str]) -> list[tuple[int, float, str | None] | None]:
-    """(chain, log-odds against a sound word, restored word) of each key that is garbled, else ``None``."""
-    out: list[tuple[int, float, str | None] | None] = []
+def oddness(word: str) -> int:
+    """How unlike a word of any language a run of characters is: marks between letters, capitals after small letters,
+    letters of two scripts side by side. Nothing here is learnt."""
+    n = 0
+    for a, b in zip(word, word[1:], strict=False):
+        if a.isalpha() != b.isalpha():
+            n += not (a.isascii() and not a.isalpha()) and not (b.isascii() and not b.isalpha())
+        elif a.isalpha():
+            n += (a.islower() and b.isupper()) + ((ord(a) >= 0x370) != (ord(b) >= 0x370))
+    inner = word.strip("“”„«»‘’…–—\"'")
+    return n if inner == word else min(n, oddness(inner))
+
+
+Judged = tuple[int, float, "str | None", bool]
+
+
+def judge(model: Model, codec: Codec, keys: list[str]) -> list[Judged | None]:
+    """(chain, log-odds against a sound word, restored word, alike) of each key that is garbled, else ``None``.
+
+    ``alike``: the restored word looks no more like one than the key does, so it
+    counts only beside others of the same chain.
+    """
+    out: list[Judged | None] = []
     if not keys:
         return out
     scores = model.scores(keys)
@@ -220,17 +246,23 @@ def judge(model: Model, codec: Codec, keys: list[str]) -> list[tuple[int, float,
                 if back is not None and back != k:
                     tried.append((i, c, float(odds[i, c]), back))
     sound = model.scores([t[3] for t in tried])[:, 0] if tried else np.empty(0)
-    good: dict[int, tuple[float, int, float, str]] = {}
+    good: dict[int, tuple[tuple[bool, float], int, float, str]] = {}
     for (i, c, o, back), s in zip(tried, sound.tolist(), strict=True):
-        if s - float(scores[i, 0]) >= GAIN and (i not in good or o + s > good[i][0]):
-            good[i] = (o + s, c, o, back)
+        if model.chains[c][0][0] != "utf_8":
+            # letters read as other letters: the word put right must look more like one, or the odds leave no doubt
+            better = oddness(keys[i]) - oddness(back)
+            alike = better < 0 or (better == 0 and o < SURE_ALIKE)
+        else:
+            alike = False
+        if s - float(scores[i, 0]) >= GAIN and (i not in good or (not alike, o + s) > good[i][0]):
+            good[i] = ((not alike, o + s), c, o, back)
     for i in range(len(keys)):
         if i in good:
-            out.append((good[i][1], good[i][2], good[i][3]))
+            out.append((*good[i][1:], not good[i][0][0]))
         else:
             c, o = int(best[i, 0]), float(odds[i, best[i, 0]])
             lost = c and model.chains[c][0][0] == "utf_8" and o >= (SURE_BROKEN if _BROKEN.search(codec.write(keys[i], model.chains[c][-1][1]) or b"") else SURE_LOST)
-            out.append((c, o, None) if lost else None)
+            out.append((c, o, None, False) if lost else None)
     return out
 
 
@@ -254,7 +286,7 @@ class Reader:
 
     def __init__(self, model: Model) -> None:
         self.model, self.codec = model, Codec()
-        self.seen: dict[str, tuple[int, float, str | None] | None] = {}
+        self.seen: dict[str, Judged | None] = {}
 
     def learn(self, keys: Iterable[str]) -> None:
         if len(self.seen) > REMEMBERED:
@@ -268,7 +300,7 @@ class Reader:
         hits = [(a, b, k, self.seen[k]) for a, b, k in found if "�" not in k and self.seen.get(k)]
         strong: dict[int, int] = {}
         for _, _, k, j in hits:
-            if not is_weak(k, self.model.chains[j[0]]):
+            if not is_weak(k, self.model.chains[j[0]]) and not j[3]:
                 strong[j[0]] = strong.get(j[0], 0) + 1
         if not strong and not is_lost(text):
             return None
@@ -276,7 +308,7 @@ class Reader:
         out, at, n, back = [], 0, 0, 0
         for a, b, k, j in hits:
             chain = self.model.chains[j[0]]
-            if is_weak(k, chain) and j[0] not in strong:
+            if is_weak(k, chain) and j[0] not in strong or j[3] and strong.get(j[0], 0) < 2:
                 continue
             n += 1
             # the chain of most of the text goes before that of a word, if it fits
@@ -291,6 +323,22 @@ class Reader:
         return name, n, back, "".join(out) + text[at:]
 
 
+#: A reference to a character, by name or number.
+_REFERENCE = re.compile(r"&(?:[A-Za-z][A-Za-z0-9]{1,31}|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});")
+
+
+def dereferenced(text: str) -> str:
+    """A text with its HTML references to characters beyond ASCII read; all others stay."""
+    if "&" not in text:
+        return text
+
+    def character(m: re.Match) -> str:
+        c = html.unescape(m[0])
+        return c if c != m[0] and not c.isascii() else m[0]
+
+    return _REFERENCE.sub(character, text)
+
+
 def learnt(docs: DataFrame, key: str, text: str) -> Model:
     """A model trained on words of a bounded sample of the different texts."""
     first = docs.filter(F.col(text).isNotNull()).groupBy(F.unhex(F.md5(text)).alias("__h")).agg(F.min(F.struct(F.xxhash64(key).alias("x"), F.col(key).alias("id"))).alias("__f"))
@@ -306,15 +354,17 @@ def learnt(docs: DataFrame, key: str, text: str) -> Model:
     return train({r["k"]: r["count"] for r in common.collect()}, SAMPLE)
 
 
-def garbled(docs: DataFrame, key: str, text: str) -> DataFrame:
+def garbled(docs: DataFrame, key: str, text: str, corpus: DataFrame | None = None) -> DataFrame:
     """(key, chain, words, restored_words, restored): the garbled documents.
 
+    The model is trained on a sample of ``corpus``, by default of the documents themselves.
+
     ``chain`` is the commonest in the text, ``lost`` where only replacement
     marks are left; ``restored`` is the text with every word put right that can
     be. The documents are read once, where they lie, after the model is there.
     """
     kind = docs.schema[key].dataType.simpleString()
-    model = docs.sparkSession.sparkContext.broadcast((lambda m: (m.chains, m.weight))(learnt(docs, key, text)))
+    model = docs.sparkSession.sparkContext.broadcast((lambda m: (m.chains, m.weight))(learnt(docs if corpus is None else corpus, key, text)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(Model(*model.value))
@@ -322,9 +372,16 @@ def garbled(docs: DataFrame, key: str, text: str) -> DataFrame:
             rows = []
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                todo = [(i, t, list(words(t))) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if t and not t.isascii()]
-                reader.learn(k for _, _, found in todo for _, _, k in found if "�" not in k)
-                rows += [(i, *r) for i, t, found in todo if (r := reader.read(t, found))]
+                todo = []
+                for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    u = dereferenced(t) if t else t
+                    if u and not u.isascii():
+                        todo.append((i, t, u, list(words(u))))
+                reader.learn(k for _, _, _, found in todo for _, _, k in found if "�" not in k)
+                for i, t, u, found in todo:
+                    if r := reader.read(u, found):
+                        # without a garbled word the references stay as they are
+                        rows.append((i, r[0] if t == u else f"{r[0]}>html", *r[1:]) if r[0] != "lost" or t == u else (i, *(reader.read(t, list(words(t))) or r)))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             types = [b.schema.field(0).type, pa.string(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "chain", "words", "restored_words", "restored"])

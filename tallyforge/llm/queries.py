@@ -216,3 +216,30 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same documents with the chain of encodings and the text as it was, as far as that can be told."""
     return mojibake.garbled(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+#: (id, text as it was, chain of (written, read)); without a chain it is sound.
+PLANTED = (
+    (1, "Die Prüfung läuft über größere Lücken", (("utf_8", "cp1252"),)),
+    (2, "Le contrôle a été décalé, voilà où l’accès dérive", (("utf_8", "mac_roman"),)),
+    (3, "Die Prüfung läuft über größere Lücken", (("utf_8", "cp1252"), ("utf_8", "cp1252"))),
+    (4, "Критерий проверки слабого отчёта изменился", (("cp1251", "cp1252"),)),
+    (5, "Критерий проверки слабого отчёта изменился", (("koi8_r", "cp1251"),)),
+    (6, "Następny przegląd usunął słabą regułę", (("utf_8", "cp1250"),)),
+    (7, "Die Prüfung läuft über größere Lücken", ()),
+    (8, "Критерий проверки слабого отчёта изменился", ()),
+    (9, "cut off here\ufffd", ()),
+    (10, "plain words only", ()),
+)
+
+
+@R.query("p8_planted", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t, chain in PLANTED if chain) + ") v(doc_id, restored)")
+def p8_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts garbled in a known way, found and put right by the model that the documents give; sound ones are not found."""
+    rows = []
+    for i, text, chain in PLANTED:
+        for written, read in chain:
+            text = text.encode(written).decode(read, "replace") if read != "cp1252" else "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in text.encode(written))
+        rows.append((i, text))
+    planted = spark.createDataFrame(rows, "doc_id int, text string")
+    return mojibake.garbled(planted, "doc_id", "text", table(spark, sf_dir, "documents")).select("doc_id", "restored")

@@ -74,6 +74,44 @@ def test_held_out_accuracy(model):
     assert false / sound <= 0.01
 
 
+#: Sentences without a word beyond ASCII that the training sentences have.
+OTHER = {
+    "fr": "La fenêtre s’ouvre après minuit, même si le gérant préfère fermer tôt ; l’élève français a reçu une leçon sévère à la forêt",
+    "de": "Der König mag schöne Lieder, während draußen Vögel fröhlich um müde Gärtner fliegen und süße Äpfel fallen „leise“",
+    "es": "El niño comió un plátano mientras la compañía añadía café; ¿Cuántos años cumplió el capitán? Mañana llegará algún pájaro rápido",
+    "pl": "Chłopiec jeździ łódką po jeziorze, gdzie pływają żółte kaczki, a źrebię śpi pod dębem koło ścieżki i czuje ciepło słońca",
+    "ru": "Зимой дети катаются с горки на санках возле реки, пока бабушка печёт вкусные пироги дома и читает старую книгу",
+    "en": "She’s never seen the “northern” lights — they’re brighter… than we’d thought",
+}
+
+
+def test_words_not_seen_in_training(model):
+    """Accuracy on texts none of whose words beyond ASCII the model was trained on, garbled from a random word on."""
+    seen = {k for t in SOUND.values() for _, _, k in B.words(t) if k.isalpha()}
+    assert not seen & {k for t in OTHER.values() for _, _, k in B.words(t) if len(k) > 1 and k.isalpha()}
+    codec, reader, rng = B.Codec(), B.Reader(model), random.Random(11)
+    right = cases = false = sound = 0
+    for _ in range(600):
+        w = rng.choice(list(OTHER.values())).split()
+        text = " ".join(rng.choice(w) for _ in range(rng.randint(8, 40)))
+        g = text
+        if rng.random() < 0.5:
+            a = rng.randrange(len(text) // 2)
+            g = text[:a] + (codec.garble(text[a:], rng.choice(CHAINS)) or text[a:])
+        found = list(B.words(g))
+        reader.learn(k for _, _, k in found)
+        hit = reader.read(g, found) is not None
+        cases, right = cases + (g != text), right + (g != text and hit)
+        sound, false = sound + (g == text), false + (g == text and hit)
+    print(f"found {right} of {cases}, false {false} of {sound}")
+    assert right / cases >= HELD_OUT_FOUND
+    assert false / sound <= HELD_OUT_FALSE
+
+
+#: What six training sentences are enough for.
+HELD_OUT_FOUND, HELD_OUT_FALSE = 0.9, 0.1
+
+
 def run(spark, rows):
     df = spark.createDataFrame([(i, t, "clash", "clash") for i, _, t in rows], "doc_id bigint, text string, chain string, restored string")
     return {r["doc_id"]: r for r in B.garbled(df, "doc_id", "text").collect()}
@@ -92,6 +130,17 @@ def test_table(spark):
     assert got[1007]["restored"].endswith("größere Lücken")
 
 
+def test_references(spark):
+    rows = corpus()
+    bad = "Die Pr&Atilde;&frac14;fung l&Atilde;&curren;uft &Atilde;&frac14;ber 3 &lt; 4"
+    rows += [(1000, "de", bad), (1001, "fr", "Le contr&ocirc;le est d&eacute;j&agrave; l&agrave; &amp; &#233;crit"), (1002, "en", "a &nosuch; b &"), (1003, "de", "Größer &Atilde;&frac14;ber")]
+    got = run(spark, rows)
+    assert set(got) == {1000, 1003}
+    assert got[1000]["restored"] == "Die Prüfung läuft über 3 &lt; 4"
+    assert got[1000]["chain"] == "utf_8>cp1252>html"
+    assert B.dereferenced("&amp;&lt;&#65;&eacute;") == "&amp;&lt;&#65;é"
+
+
 def test_empty(spark):
     assert run(spark, []) == {}
     assert run(spark, [(1, None, None), (2, None, "abc")]) == {}

@@ -28,3 +28,10 @@ def fmt_count(n: Column) -> Column:
         .when(n >= 1_000, F.concat(F.format_string("%.1f", half_up(n / 1e3, 1)), F.lit("k")))
         .otherwise(n.cast("string"))
     )
+
+
+def gcd(a: Column, b: Column) -> Column:
+    """FN-M01: greatest common divisor of two whole numbers; 0 and x give x. 48 steps are enough for numbers of 32 bits."""
+    start = F.struct(F.abs(a).cast("bigint").alias("a"), F.abs(b).cast("bigint").alias("b"))
+    step = lambda s, _i: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).alias("b")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(48)), start, step, lambda s: s["a"].cast("int"))

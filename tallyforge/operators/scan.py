@@ -1,0 +1,311 @@
+"""What a project is, read off its file list, manifests and imports.
+
+Facts are tables (files, dependencies, imports) and rules are data: ordered
+tables that are hashed against the facts, the first or best rule by rank. So a
+scan of a hundred thousand projects is a few joins with small dictionaries.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tallyforge.functions.numeric import half_up, ratio
+from tallyforge.functions.paths import base_name, endings
+
+#: Directories that no census looks into.
+IGNORED = ("node_modules", ".git", "dist", "build", "out", ".next", ".nuxt", "__pycache__", ".pytest_cache", "venv", ".venv", "vendor", "target", "coverage", ".coverage", ".nyc_output", ".turbo", ".cache", "tmp", ".vitest")
+#: Extensions of source files.
+SOURCE = ("ts", "tsx", "js", "jsx", "py", "go", "rs", "rb", "php", "java", "kt", "swift", "c", "cpp", "h", "cs")
+#: Names of configuration files, and names with a free part in the middle or at the end.
+CONFIG = ("package.json", "tsconfig.json", "pyproject.toml", "setup.py", "setup.cfg", "requirements.txt", "Pipfile", "go.mod", "go.sum", "Cargo.toml", "Cargo.lock", "Gemfile", "composer.json", "pom.xml", "build.gradle", "build.gradle.kts", "Makefile", "CMakeLists.txt", "docker-compose.yml", "docker-compose.yaml", "Dockerfile", ".dockerignore", ".gitignore", ".editorconfig", "turbo.json", "turbo.jsonc", "nx.json", "lerna.json", "pnpm-workspace.yaml", ".env", ".babelrc", ".eslintrc", ".prettierrc")
+CONFIG_FORMS = r"^(tsconfig\..*\.json|\.env\..*|(\.eslintrc|\.prettierrc)\.(js|json|cjs)|(eslint|prettier|vitest|jest|webpack|vite|rollup|next|tailwind|postcss|babel)\.config\.(js|ts|mjs))$"
+
+
+def _folders(path: Column) -> Column:
+    return F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1)
+
+
+def _looked_into(path: Column) -> Column:
+    return ~F.exists(_folders(path), lambda s: s.isin(*IGNORED))
+
+
+def directories(files: DataFrame, most: int = 5) -> DataFrame:
+    """SRC-02: (project, dir): every directory of ``files(project, path)`` down to ``most`` levels, not those ignored or below one."""
+    folders = _folders(F.col("path"))
+    each = F.transform(F.sequence(F.lit(1), F.least(F.size(folders), F.lit(most))), lambda i: F.array_join(F.slice(folders, F.lit(1), i), "/"))
+    dirs = files.filter(F.size(folders) > 0).select("project", F.explode(each).alias("dir")).distinct()
+    return dirs.filter(_looked_into(F.concat("dir", F.lit("/x"))))
+
+
+def census(files: DataFrame) -> DataFrame:
+    """SRC-03: (project, source, test, config, total) of ``files(project, path)``: a test is no source; configuration may be either too."""
+    path, name = F.col("path"), base_name(F.col("path"))
+    ext = F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1)
+    folder = F.array_join(_folders(path), "/")
+    apart = name.rlike(r"\.(test|spec)\.|^test_|_test\.") | folder.rlike("(^|/)(tests?|__tests__|spec)(/|$)")
+    test = (
+        name.rlike(r"\.(test|spec)\.(ts|tsx|js|jsx)$|^test_.*\.py$|_test\.(py|go)$")
+        | (folder.rlike("(^|/)tests?(/|$)") & ext.isin("ts", "tsx", "js", "jsx", "py"))
+        | (folder.rlike("(^|/)__tests__(/|$)") & ext.isin("ts", "tsx", "js", "jsx"))
+        | (folder.rlike("(^|/)spec(/|$)") & (ext == "rb"))
+    )
+    config = name.isin(*CONFIG) | name.rlike(CONFIG_FORMS)
+    n = lambda cond: F.count_if(cond)
+    counted = files.filter(_looked_into(path)).groupBy("project").agg(n(ext.isin(*SOURCE) & ~apart).alias("source"), n(test).alias("test"), n(config).alias("config"))
+    return counted.withColumn("total", F.col("source") + F.col("test") + F.col("config"))
+
+
+def files_by_root(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """SRC-04: (project, root, files): source files below each of ``roots(project, root)`` (``.`` is the project itself)."""
+    source = F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1).isin(*SOURCE)
+    up = F.concat(F.array(F.lit(".")), F.transform(F.sequence(F.lit(1), F.size(_folders(F.col("path"))) + 1), lambda i: F.array_join(F.slice(F.split("path", "/"), F.lit(1), i), "/")))
+    at = files.filter(source & _looked_into(F.col("path"))).select(F.col("project").alias("f_p"), "path", F.explode(F.array_distinct(up)).alias("above"))
+    hit = roots.join(at, (F.col("project") == F.col("f_p")) & (F.col("root") == F.col("above")), "left")
+    return hit.groupBy("project", "root").agg(F.count("path").alias("files"))
+
+
+#: Lock files in the order they are looked for.
+LOCKS = (("pnpm-lock.yaml", "pnpm"), ("yarn.lock", "yarn"), ("bun.lockb", "bun"), ("package-lock.json", "npm"))
+
+
+def package_managers(files: DataFrame, start: DataFrame, levels: int = 5) -> DataFrame:
+    """CLS-02: (project, folder, manager) for directories ``start(project, folder)``: the lock file met first on the way up, at most
+    ``levels`` directories; else what the directory's manifest declares; else npm with a manifest, null without."""
+    segments = F.when(F.col("folder") == "", F.array().cast("array<string>")).otherwise(F.split("folder", "/"))
+    up = F.transform(F.sequence(F.lit(0), F.least(F.size(segments), F.lit(levels - 1))), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(segments, F.lit(1), F.size(segments) - i), "/").alias("dir")))
+    walk = start.select("project", "folder", F.explode(up).alias("u")).select("project", "folder", "u.depth", "u.dir")
+    rank = F.lit(None).cast("int")
+    for i, (lock, _) in enumerate(LOCKS):
+        rank = F.when(base_name(F.col("path")) == lock, i).otherwise(rank)
+    own = files.select(F.col("project").alias("f_p"), F.array_join(_folders(F.col("path")), "/").alias("f_d"), rank.alias("rank"), base_name(F.col("path")).alias("name"), "text")
+    met = walk.join(own.filter(F.col("rank").isNotNull()), (F.col("project") == F.col("f_p")) & (F.col("dir") == F.col("f_d"))).groupBy(F.col("project").alias("m_p"), F.col("folder").alias("m_a")).agg(F.min(F.struct("depth", "rank"))["rank"].alias("lock"))
+    declared = F.regexp_extract(F.trim(F.get_json_object("text", "$.packageManager")), "^([a-z]+)@?", 1)
+    manifest = own.filter(F.col("name") == "package.json").select(F.col("f_p").alias("d_p"), F.col("f_d").alias("d_d"), F.when(declared.isin("npm", "pnpm", "yarn", "bun"), declared).otherwise("npm").alias("declared"))
+    joined = start.join(met, (F.col("project") == F.col("m_p")) & (F.col("folder") == F.col("m_a")), "left").join(manifest, (F.col("project") == F.col("d_p")) & (F.col("folder") == F.col("d_d")), "left")
+    names = F.array(*[F.lit(m) for _, m in LOCKS])
+    return joined.select("project", "folder", F.coalesce(F.try_element_at(names, F.col("lock") + 1), "declared").alias("manager"))
+
+
+def best_by_rank(facts: DataFrame, rules: DataFrame, hints: DataFrame | None = None) -> DataFrame:
+    """CLS-03, CLS-08, UDX-02, AGG-28: per project and category the first rule whose dependency it has.
+
+    ``facts(project, dependency)``, ``rules(category, name, dependency, rank,
+    confidence, unless, hint, boost)``: a rule does not hold where the project
+    also has ``unless``; ``hints(project, path)`` raise the confidence by
+    ``boost`` where a path ends in ``hint``. Confidence is one at most. The
+    rules are a dictionary of fixed size.
+    """
+    facts = facts.select("project", "dependency").distinct()
+    held = facts.join(F.broadcast(rules), "dependency")
+    against = facts.select(F.col("project").alias("a_p"), F.col("dependency").alias("a_d"))
+    held = held.join(against, (F.col("project") == F.col("a_p")) & (F.col("unless") == F.col("a_d")), "left_anti")
+    if hints is not None:
+        ends = hints.select(F.col("project").alias("h_p"), F.explode(endings(F.col("path"))).alias("h_e")).distinct()
+        held = held.join(ends, (F.col("project") == F.col("h_p")) & (F.col("hint") == F.col("h_e")), "left").withColumn("hit", F.col("h_e").isNotNull())
+    else:
+        held = held.withColumn("hit", F.lit(False))
+    score = F.least(F.lit(1.0), F.col("confidence") + F.when(F.col("hit"), F.coalesce("boost", F.lit(0.0))).otherwise(0.0))
+    best = held.groupBy("project", "category").agg(F.min_by(F.struct("name", half_up(score, 2).alias("confidence"), "dependency"), "rank").alias("x"))
+    return best.select("project", "category", "x.name", "x.confidence", "x.dependency")
+
+
+def project_types(facts: DataFrame) -> DataFrame:
+    """CLS-01: (project, type, confidence) by ordered rules over what stands at a project's root.
+
+    ``facts(project, name, text)`` are the files at the root. A Node manifest
+    beside another language's counts for that one if its file says that it is
+    real: dependencies in ``pyproject.toml``, a workspace in ``Cargo.toml``.
+    """
+    has = lambda *names: F.coalesce(F.bool_or(F.col("name").isin(*names)), F.lit(False))
+    text = lambda name: F.max(F.when(F.col("name") == name, F.col("text")))
+    listed = r"(?s)(?:^|\n)dependencies\s*=\s*\[[^\]]*[\"'][^\"']+[\"']"
+    poetry = r"(?m)^\[tool\.poetry\.dependencies\]\s*$(?s:(?:(?!\n\[).)*?)^\s*(?!python\s*=)[A-Za-z]"
+    f = facts.groupBy("project").agg(
+        has("package.json").alias("node"),
+        has(*[lock for lock, _ in LOCKS], "bun.lock").alias("lock"),
+        (F.get_json_object(text("package.json"), "$.workspaces").isNotNull()).alias("workspaces"),
+        F.coalesce(text("pyproject.toml").rlike(listed) | text("pyproject.toml").rlike(poetry), F.lit(False)).alias("python_deps"),
+        F.coalesce(text("Cargo.toml").rlike(r"(?m)^\[workspace\]"), F.lit(False)).alias("crates"),
+        F.coalesce(text("Cargo.toml").rlike(r"(?m)^[ \t]*tauri[ \t]*="), F.lit(False)).alias("tauri"),
+        has("pnpm-workspace.yaml").alias("pnpm_workspace"),
+        *[has(n).alias(c) for n, c in (("Gemfile", "gemfile"), ("go.mod", "go"), ("pyproject.toml", "pyproject"), ("Cargo.toml", "cargo"), ("composer.json", "php"), ("requirements.txt", "requirements"), ("Pipfile", "pipfile"), ("setup.py", "setup"))],
+    )
+    c = F.col
+    node, sure = c("node"), lambda a, b: F.when(c("lock"), a).otherwise(b)
+    tauri = c("crates") & c("tauri") & c("pnpm_workspace")
+    rules: Sequence[tuple[Column, str, Column | float]] = (
+        (node & c("workspaces") & ~c("gemfile"), "node", 0.9),
+        (node & c("lock") & ~c("pyproject") & ~c("cargo") & ~c("go") & ~c("gemfile"), "node", 0.95),
+        (node & c("python_deps"), "python", sure(0.9, 0.85)),
+        (node & tauri, "node", sure(0.85, 0.8)),
+        (node & c("crates"), "rust", sure(0.9, 0.85)),
+        (node & c("gemfile"), "ruby", sure(0.9, 0.85)),
+        (node & c("go"), "go", sure(0.9, 0.85)),
+        (node, "node", sure(0.95, 0.7)),
+        (c("pyproject"), "python", 0.95),
+        (c("requirements") | c("pipfile"), "python", 0.9),
+        (c("setup"), "python", 0.85),
+        (c("go"), "go", 0.95),
+        (c("cargo"), "rust", 0.95),
+        (c("gemfile"), "ruby", 0.9),
+        (c("php"), "php", 0.9),
+    )
+    answer = F.struct(F.lit("unknown").alias("type"), F.lit(0.0).alias("confidence"))
+    for cond, kind, confidence in reversed(rules):
+        answer = F.when(cond, F.struct(F.lit(kind).alias("type"), (confidence if isinstance(confidence, Column) else F.lit(confidence)).alias("confidence"))).otherwise(answer)
+    return f.select("project", answer.alias("x")).select("project", "x.type", "x.confidence")
+
+
+def import_style(imports: DataFrame, roots: DataFrame) -> DataFrame:
+    """AGG-21, FN-S02: (project, style, confidence, absolute, relative) from seven tenths of the project's own imports.
+
+    ``imports(project, language, module)``; ``roots(project, language, prefix)``
+    are what own absolute imports begin with (an alias, a package, a module path).
+    Imports of packages do not count; a project without own ones is mixed with 0.
+    """
+    m = F.col("module")
+    own = roots.select(F.col("project").alias("r_p"), F.col("language").alias("r_l"), "prefix")
+    begins = (m == F.col("prefix")) | m.startswith(F.when(F.col("language") == "python", F.concat("prefix", F.lit("."))).otherwise(F.col("prefix")))
+    marked = imports.withColumn("i", F.monotonically_increasing_id())
+    hit = marked.join(own, (F.col("project") == F.col("r_p")) & (F.col("language") == F.col("r_l")) & begins, "left").groupBy("project", "language", "module", "i").agg(F.bool_or(F.col("prefix").isNotNull()).alias("own"))
+    relative = F.when(F.col("language") == "python", m.startswith(".")).when(F.col("language") == "go", False).otherwise(m.startswith("./") | m.startswith("../"))
+    absolute = ~relative & (F.col("own") | (F.col("language").isin("typescript", "javascript") & m.startswith("src/")))
+    n = hit.groupBy("project").agg(F.count_if(absolute).alias("a"), F.count_if(relative).alias("r"))
+    share_a, share_r = F.coalesce(ratio(F.col("a"), F.col("a") + F.col("r")), F.lit(0.0)), F.coalesce(ratio(F.col("r"), F.col("a") + F.col("r")), F.lit(0.0))
+    style = F.when(share_a >= 0.7, "absolute").when(share_r >= 0.7, "relative").otherwise("mixed")
+    return n.select("project", style.alias("style"), half_up(F.greatest(share_a, share_r), 4).alias("confidence"), F.col("a").alias("absolute"), F.col("r").alias("relative"))
+
+
+#: Modules that come with the runtime.
+BUILTINS = ("fs", "path", "os", "child_process", "crypto", "http", "https", "net", "stream", "url", "util", "events", "buffer", "assert", "readline", "worker_threads", "cluster", "dns", "tls", "zlib", "querystring", "string_decoder", "timers", "console", "process", "perf_hooks", "async_hooks", "diagnostics_channel", "inspector", "vm", "v8", "fs/promises", "timers/promises", "stream/promises", "readline/promises")
+
+
+def code_patterns(files: DataFrame) -> DataFrame:
+    """AGG-23: per project, from ``files(project, path, text, is_test)``: local imports with an extension, runtime modules with
+    ``node:``, empty and commented catch blocks outside tests, files with a default export, and how absence is written."""
+    t = F.col("text")
+    local = F.regexp_extract_all(t, F.lit(r"(?:from\s+|require\s*\(\s*)['\"](\.[^'\"]+)['\"]"), F.lit(1))
+    built = F.regexp_extract_all(t, F.lit(r"(?:from|require\()\s*['\"]((?:node:)?[a-z_/]+)['\"]"), F.lit(1))
+    built = F.filter(built, lambda m: F.regexp_replace(m, "^node:", "").isin(*BUILTINS))
+    bodies = F.transform(F.regexp_extract_all(t, F.lit(r"catch\s*(?:\([^)]*\))?\s*\{([^}]*)\}"), F.lit(1)), lambda b: F.regexp_replace(b, r"^\s+|\s+$", ""))
+    said = lambda b: F.regexp_replace(F.regexp_replace(b, r"//[^\n]*|/\*(?s).*?\*/", ""), r"\s", "")
+    per = files.select(
+        "project",
+        F.size(F.filter(local, lambda m: m.rlike(r"\.(js|jsx|ts|tsx)$"))).alias("with_ext"),
+        F.size(local).alias("local"),
+        F.size(F.filter(built, lambda m: m.startswith("node:"))).alias("prefixed"),
+        F.size(built).alias("builtin"),
+        F.when(F.col("is_test"), 0).otherwise(F.size(F.filter(bodies, lambda b: b == ""))).alias("empty"),
+        F.when(F.col("is_test"), 0).otherwise(F.size(F.filter(bodies, lambda b: (b != "") & (said(b) == "")))).alias("commented"),
+        t.rlike(r"export\s+default\b").cast("int").alias("defaults"),
+        F.regexp_count(t, F.lit(r"\|\s*null\b")).alias("nulls"),
+        F.regexp_count(t, F.lit(r"\w\s*\?:")).alias("optionals"),
+    )
+    s = per.groupBy("project").agg(F.count("*").alias("files"), *[F.sum(c).alias(c) for c in per.columns[1:]])
+    both = F.col("nulls") + F.col("optionals")
+    style = F.when(F.col("nulls") > 0.7 * both, "null").when(F.col("optionals") > 0.7 * both, "undefined").otherwise("mixed")
+    return s.select("project", "files", "with_ext", "local", "prefixed", "builtin", "empty", "commented", "defaults", style.alias("absence"))
+
+
+def dominance(users: Column, of: Column) -> Column:
+    """AGG-24: dominant from three tenths of the component files, present from one tenth, else incidental; present where there are none."""
+    share = ratio(users, of)
+    return F.when(share.isNull(), "present").when(share >= 0.3, "dominant").when(share >= 0.1, "present").otherwise("incidental")
+
+
+def variants(imports: DataFrame, rules: DataFrame) -> DataFrame:
+    """AGG-25, AGG-26: (project, name, variant, files, confidence, main) of competing variants of one library.
+
+    ``imports(project, path, module, names)``; ``rules(name, variant, module,
+    symbols, base, excludes, rank)``: files that import one of the symbols from
+    a module that contains ``module``, not those that import from ``excludes``
+    too. Confidence is the base and 0.15 from five files on, else 0.1; the
+    variant with most files is the main one, of equals the one of least rank.
+    """
+    i = imports.select("project", "path", "module", "names")
+    r = F.broadcast(rules)
+    used = i.join(r.withColumnRenamed("module", "m"), F.col("module").contains(F.col("m")) & F.arrays_overlap("names", "symbols")).select("project", "path", "name", "variant", "base", "excludes", "rank").distinct()
+    other = i.select(F.col("project").alias("o_p"), F.col("path").alias("o_f"), F.col("module").alias("o_m"))
+    used = used.join(other, (F.col("project") == F.col("o_p")) & (F.col("path") == F.col("o_f")) & F.col("o_m").contains(F.col("excludes")), "left_anti")
+    n = used.groupBy("project", "name", "variant", "base", "rank").agg(F.count("*").alias("files"))
+    first = n.groupBy(F.col("project").alias("f_p"), F.col("name").alias("f_n")).agg(F.min_by("variant", F.struct(-F.col("files"), F.col("rank"))).alias("first"))
+    score = half_up(F.least(F.lit(1.0), F.col("base") + F.when(F.col("files") >= 5, 0.15).otherwise(0.1)), 2)
+    return n.join(first, (F.col("project") == F.col("f_p")) & (F.col("name") == F.col("f_n"))).select("project", "name", "variant", "files", score.alias("confidence"), (F.col("variant") == F.col("first")).alias("main"))
+
+
+#: Path segments of what is not the product, and names that stand for it within its scope.
+ASIDE = ("examples", "example", "example-apps", "templates", "template", "e2e", "test", "tests", "testing", "fixtures", "fixture", "playground", "playgrounds", "sandbox", "demos", "demo", "starters", "starter", "samples", "sample", "boilerplate", "references", "reference")
+IDENTITY = ("core", "server")
+
+
+def is_aside(path: Column, first: int | None = None) -> Column:
+    """FLT-02, FLT-03: whether one of a path's segments (of the ``first`` ones, for files deep in a tree) is aside from the product, or the last ends in ``-e2e``."""
+    segments = F.split(F.lower(path), "/")
+    looked = segments if first is None else F.slice(segments, 1, first)
+    return F.exists(looked, lambda s: s.isin(*ASIDE)) | (F.element_at(segments, -1).endswith("-e2e") if first is None else F.lit(False))
+
+
+def primary_roots(roots: DataFrame) -> DataFrame:
+    """WIN-14: (project, root) of ``roots(project, name, root, package, files, hinted)``: one per project by four policies.
+
+    Paths aside from the product are left out where others remain. Then the
+    largest of ``apps/`` with signs of a framework; then the best match of a
+    package's name with the project's, in four tiers, if it has ten files and a
+    twentieth of the largest; then the one with most files.
+    """
+    aside = is_aside(F.col("root"))
+    size = roots.groupBy(F.col("project").alias("s_p")).agg(F.bool_or(~aside).alias("any_left"))
+    left = roots.join(size, F.col("project") == F.col("s_p")).filter(~aside | ~F.col("any_left"))
+    most = left.groupBy(F.col("project").alias("m_p")).agg(F.max("files").alias("most"))
+    left = left.join(most, F.col("project") == F.col("m_p"))
+    scope, bare, own = F.lower(F.regexp_extract("package", "^@([^/]+)/", 1)), F.lower(F.regexp_replace("package", "^@[^/]+/", "")), F.lower("name")
+    tier = F.when((bare == own) & (scope == ""), 1).when(bare == own, 2).when(bare.isin(*IDENTITY) & scope.contains(own), 3).when((scope != "") & (bare == scope), 4)
+    named = F.when((F.col("root") != ".") & F.col("package").isNotNull() & (own != ""), tier)
+    # the guard is on the best match alone: a smaller match does not step in for one that fails it
+    ranked = left.withColumn("tier", named)
+    best = ranked.filter(F.col("tier").isNotNull()).groupBy(F.col("project").alias("b_p")).agg(F.min_by(F.struct("root", "files", "most"), F.struct("tier", -F.col("files"), "root")).alias("b"))
+    best = best.filter((F.col("b.files") >= 10) & (F.col("b.files") >= 0.05 * F.col("b.most"))).select("b_p", F.col("b.root").alias("b_root"))
+    app = ranked.filter(F.col("root").startswith("apps/") & F.col("hinted")).groupBy(F.col("project").alias("a_p")).agg(F.min_by("root", F.struct(-F.col("files"), F.col("root"))).alias("a_root"))
+    any_ = ranked.groupBy("project").agg(F.min_by("root", F.struct(-F.col("files"), F.col("root"))).alias("any"))
+    joined = any_.join(app, F.col("project") == F.col("a_p"), "left").join(best, F.col("project") == F.col("b_p"), "left")
+    return joined.select("project", F.coalesce("a_root", "b_root", "any").alias("root"))
+
+
+#: Which manifest a lock file goes with.
+LOCK_OF = (("pnpm-lock.yaml", "package.json"), ("package-lock.json", "package.json"), ("yarn.lock", "package.json"), ("Gemfile.lock", "Gemfile"), ("Pipfile.lock", "Pipfile"), ("poetry.lock", "pyproject.toml"), ("Cargo.lock", "Cargo.toml"), ("composer.lock", "composer.json"), ("go.sum", "go.mod"))
+
+
+def change_hygiene(changes: DataFrame) -> DataFrame:
+    """AGG-47: (item, rule, file) of ``changes(item, path, text)``: a lock file without its manifest, conflict marks, environment files."""
+    lock = F.lit(None).cast("string")
+    for name, manifest in LOCK_OF:
+        lock = F.when(F.col("path").endswith(name), manifest).otherwise(lock)
+    locks = changes.select("item", "path", lock.alias("manifest")).filter(F.col("manifest").isNotNull())
+    touched = changes.select(F.col("item").alias("c_i"), F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col("path").endswith(m).alias("is")) for m in sorted({m for _, m in LOCK_OF})])).alias("x")).filter("x.is").select("c_i", F.col("x.m").alias("c_m"))
+    desync = locks.join(touched, (F.col("item") == F.col("c_i")) & (F.col("manifest") == F.col("c_m")), "left_anti").groupBy("item", F.lit("lock without manifest").alias("rule"), base_name(F.col("path")).alias("b")).agg(F.min("path").alias("file")).select("item", "rule", "file")
+    marks = changes.filter(F.col("text").rlike(r"(?m)^<{7}\s|^={7}$|^>{7}\s")).select("item", F.lit("conflict mark").alias("rule"), F.col("path").alias("file"))
+    name = base_name(F.col("path"))
+    env = changes.filter(name.rlike(r"^\.env(\..*)?$") & ~name.isin(".env.example", ".env.test")).select("item", F.lit("environment file").alias("rule"), F.col("path").alias("file"))
+    return desync.unionByName(marks).unionByName(env)
+
+
+#: Kinds of commit of the conventional form.
+COMMITS = r"^(feat|fix|chore|docs|refactor|test|ci|style|perf|build)(\(.+\))?(!)?:"
+
+
+def commit_habits(commits: DataFrame) -> DataFrame:
+    """AGG-32: per project from ``commits(project, place, subject, body, is_merge)``, newest first: share of conventional subjects
+    among 50, merge strategy among 20, and the commonest co-author of 20."""
+    said = F.col("subject") != ""
+    head = commits.filter(F.col("place") < 50).groupBy("project").agg(half_up(F.avg(F.when(said, F.col("subject").rlike(COMMITS).cast("int"))), 2).alias("conventional"))
+    merges = commits.filter(F.col("is_merge")).groupBy(F.col("project").alias("m_p")).agg(F.least(F.count("*"), F.lit(20)).alias("n"))
+    trailer = F.regexp_extract_all("body", F.lit(r"Co-authored-by:\s*([^\n]+)"), F.lit(1))
+    with_ = commits.filter(F.col("place") < 20).select(F.col("project").alias("t_p"), "place", F.posexplode(trailer).alias("i", "who")).groupBy("t_p", "who").agg(F.count("*").alias("k"), F.min(F.struct("place", "i")).alias("first"))
+    author = with_.groupBy("t_p").agg(F.min_by("who", F.struct(-F.col("k"), F.col("first"))).alias("co_author"))
+    n = F.coalesce("n", F.lit(0))
+    strategy = F.when(n >= 15, "merge").when(n == 0, "squash").otherwise("mixed")
+    sure = F.when(n >= 15, n / 20).when(n == 0, F.lit(0.7)).otherwise(0.5)
+    return head.join(merges, F.col("project") == F.col("m_p"), "left").join(author, F.col("project") == F.col("t_p"), "left").select("project", "conventional", strategy.alias("strategy"), half_up(sure, 2).alias("confidence"), "co_author")

@@ -1,0 +1,231 @@
+"""Queries on what a project is: over literal trees with worked-out rows, and over the files that ledgers name."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyforge.operators import scan
+from tallyforge.plans.samples import rows_sql, tree
+from tallyforge.plans.views import CTE, modules
+from tallyforge.registry import Registry
+from tallyforge.sources import code, manifests
+
+R = Registry()
+
+_LISTING = (
+    "src/a.ts", "src/a.test.ts", "src/deep/er/and/more/b.py", "src/types.d.ts", "tests/c.ts", "tests/data.json", "spec/d_spec.rb", "test_e.py", "f_test.go", "node_modules/x/y.ts", "dist/z.js",
+    "package.json", "apps/web/package.json", "apps/web/tsconfig.build.json", "apps/web/page.tsx", ".env.local", "vitest.config.ts", "README.md", "src/dist/skipped.ts",
+)
+
+
+def _listing(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("p", x, None) for x in _LISTING], "project string, path string, text string")
+
+
+@R.query("tree_directories", rows_sql("dir", *[f"('{d}')" for d in ("src", "src/deep", "src/deep/er", "src/deep/er/and", "src/deep/er/and/more", "tests", "spec", "apps", "apps/web")]))
+def tree_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-02: directories of a tree down to five levels, ignored ones and what is below them left out."""
+    return scan.directories(_listing(spark)).select("dir")
+
+
+@R.query("tree_census", rows_sql("project, source, test, config, total", "('p', 5, 5, 5, 15)"))
+def tree_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-03: sources (a.ts, b.py, types.d.ts, page.tsx, vitest.config.ts), tests (a.test.ts, tests/c.ts, spec/d_spec.rb, test_e.py, f_test.go) and configuration of a tree."""
+    c = scan.census(_listing(spark))
+    return c.select("project", *[F.col(x).cast("int").alias(x) for x in ("source", "test", "config", "total")])
+
+
+@R.query("tree_roots", rows_sql("root, files", "('.', 10)", "('apps/web', 1)", "('src', 4)", "('none', 0)"))
+def tree_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-04: source files below each root, at any depth."""
+    roots = spark.createDataFrame([("p", r) for r in (".", "apps/web", "src", "none")], "project string, root string")
+    return scan.files_by_root(_listing(spark), roots).select("root", F.col("files").cast("int").alias("files"))
+
+
+@R.query(
+    "module_census",
+    CTE
+    + r""", q AS (SELECT DISTINCT project, file, regexp_extract(file, '([^/]*)$', 1) AS name, regexp_extract(file, '\.([A-Za-z0-9]+)$', 1) AS ext, array_to_string(string_split(file, '/')[:-2], '/') AS folder FROM t),
+x AS (SELECT *, regexp_matches(name, '\.(test|spec)\.|^test_|_test\.') OR regexp_matches(folder, '(^|/)(tests?|__tests__|spec)(/|$)') AS apart,
+  regexp_matches(name, '\.(test|spec)\.(ts|tsx|js|jsx)$|^test_.*\.py$|_test\.(py|go)$') OR (regexp_matches(folder, '(^|/)(tests?|__tests__)(/|$)') AND ext IN ('ts', 'tsx', 'js', 'jsx')) OR (regexp_matches(folder, '(^|/)tests?(/|$)') AND ext = 'py') OR (regexp_matches(folder, '(^|/)spec(/|$)') AND ext = 'rb') AS test
+  FROM q WHERE NOT regexp_matches(folder, '(^|/)(node_modules|\.git|dist|build|out|vendor|target|coverage|tmp|\.cache)(/|$)'))
+SELECT project, count(*) FILTER (NOT apart AND ext IN ('ts', 'tsx', 'js', 'jsx', 'py', 'go', 'rs', 'rb', 'php', 'java', 'kt', 'swift', 'c', 'cpp', 'h', 'cs')) AS source, count(*) FILTER (test) AS test FROM x GROUP BY project
+""",
+)
+def module_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-03 over all files that the ledgers name."""
+    return scan.census(modules(spark, sf_dir).select("project", F.col("file").alias("path")).distinct()).select("project", "source", "test")
+
+
+_MANAGED = (
+    ("a", "pnpm-lock.yaml", None), ("a", "package.json", "{}"), ("a", "apps/web/package.json", '{"packageManager": "bun@1.0"}'), ("a", "apps/web/package-lock.json", None),
+    ("b", "package.json", '{"packageManager": "yarn@4.1"}'), ("c", "package.json", '{"packageManager": "other@1"}'), ("d", "go.mod", ""), ("e", "yarn.lock", None), ("e", "package-lock.json", None),
+)
+
+
+@R.query("managers", rows_sql("project, folder, manager", "('a', '', 'pnpm')", "('a', 'apps/web', 'npm')", "('a', 'apps/api', 'pnpm')", "('a', 'v/w/x/y/z', NULL)", "('b', '', 'yarn')", "('c', '', 'npm')", "('d', '', NULL)", "('e', '', 'yarn')"))
+def managers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CLS-02: the package manager of a directory by the nearest lock file above, then by declaration."""
+    files = spark.createDataFrame(list(_MANAGED), "project string, path string, text string")
+    start = spark.createDataFrame([("a", ""), ("a", "apps/web"), ("a", "apps/api"), ("a", "v/w/x/y/z"), ("b", ""), ("c", ""), ("d", ""), ("e", "")], "project string, folder string")
+    return scan.package_managers(files, start)
+
+
+_TYPED = (
+    ("plain", "package.json", "{}"), ("plain", "yarn.lock", ""), ("bare", "package.json", "{}"), ("mono", "package.json", '{"workspaces": ["a"]}'), ("mono", "Cargo.toml", "[workspace]"),
+    ("py", "package.json", "{}"), ("py", "package-lock.json", ""), ("py", "pyproject.toml", '[project]\ndependencies = ["flask"]\n'), ("pytools", "package.json", "{}"), ("pytools", "yarn.lock", ""), ("pytools", "pyproject.toml", "[tool.ruff]\n"),
+    ("poetry", "package.json", "{}"), ("poetry", "pyproject.toml", '[tool.poetry.dependencies]\npython = "^3"\nrich = "*"\n'), ("rust", "package.json", "{}"), ("rust", "Cargo.toml", "[workspace]\n"),
+    ("tauri", "package.json", "{}"), ("tauri", "Cargo.toml", '[workspace]\n[workspace.dependencies]\ntauri = "2"\n'), ("tauri", "pnpm-workspace.yaml", ""), ("rails", "package.json", '{"workspaces": []}'), ("rails", "Gemfile", ""), ("rails", "yarn.lock", ""),
+    ("gonode", "package.json", "{}"), ("gonode", "go.mod", ""), ("go", "go.mod", ""), ("crate", "Cargo.toml", "[package]"), ("php", "composer.json", "{}"), ("setup", "setup.py", ""), ("none", "README.md", ""),
+)
+
+
+@R.query(
+    "project_types",
+    rows_sql(
+        "project, type, confidence",
+        *[f"('{p}', '{t}', {c}::DOUBLE)" for p, t, c in (("plain", "node", 0.95), ("bare", "node", 0.7), ("mono", "node", 0.9), ("py", "python", 0.9), ("pytools", "node", 0.95), ("poetry", "python", 0.85), ("rust", "rust", 0.85), ("tauri", "node", 0.8), ("rails", "ruby", 0.9), ("gonode", "go", 0.85), ("go", "go", 0.95), ("crate", "rust", 0.95), ("php", "php", 0.9), ("setup", "python", 0.85), ("none", "unknown", 0.0))],
+    ),
+)
+def project_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CLS-01: the language of a project by what stands at its root, also beside a Node manifest."""
+    return scan.project_types(spark.createDataFrame(list(_TYPED), "project string, name string, text string"))
+
+
+#: Fixed values (category, name, dependency, rank, confidence, unless, hint, boost): frameworks and libraries by dependency.
+RULES = (
+    ("framework", "nextjs", "next", 0, 0.85, None, "next.config.js", 0.1),
+    ("framework", "nestjs", "@nestjs/core", 2, 0.9, None, "src/main.ts", 0.05),
+    ("framework", "express", "express", 3, 0.8, "@nestjs/core", "server.js", 0.1),
+    ("validation", "pydantic", "pydantic", 0, 0.75, None, None, None),
+    ("validation", "zod", "zod", 1, 0.75, None, None, None),
+    ("validation", "joi", "joi", 2, 0.75, None, None, None),
+    ("validation", "class-validator", "class-validator", 3, 0.75, None, None, None),
+    ("validation", "drf-serializers", "djangorestframework", 4, 0.8, None, None, None),
+    ("validation", "yup", "yup", 6, 0.75, None, None, None),
+    ("validation", "ajv", "ajv", 7, 0.75, None, None, None),
+    ("validation", "validator", "validator", 8, 0.7, None, None, None),
+    ("validation", "superstruct", "superstruct", 9, 0.75, None, None, None),
+    ("validation", "valibot", "valibot", 10, 0.75, None, None, None),
+)
+
+
+def rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(RULES), "category string, name string, dependency string, rank int, confidence double, unless string, hint string, boost double")
+
+
+@R.query(
+    "detected_libraries",
+    rows_sql(
+        "project, category, name, confidence, dependency",
+        "('a', 'framework', 'nextjs', 0.95::DOUBLE, 'next')",
+        "('a', 'validation', 'zod', 0.75, 'zod')",
+        "('b', 'framework', 'nestjs', 0.9, '@nestjs/core')",
+        "('b', 'validation', 'class-validator', 0.75, 'class-validator')",
+        "('c', 'framework', 'express', 0.9, 'express')",
+        "('web', 'validation', 'zod', 0.75, 'zod')",
+    ),
+)
+def detected_libraries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CLS-03, CLS-08, UDX-02: frameworks and validators by the first rule of each category that holds, with its confidence; manifests feed it."""
+    facts = spark.createDataFrame([("a", "next"), ("a", "react"), ("a", "joi"), ("a", "zod"), ("b", "express"), ("b", "@nestjs/core"), ("b", "class-validator"), ("c", "express"), ("d", "left-pad")], "project string, dependency string")
+    own = manifests.dependencies(tree(spark)).select("project", F.col("name").alias("dependency"))
+    hints = spark.createDataFrame([("a", "apps/web/next.config.js"), ("c", "server.js")], "project string, path string")
+    return scan.best_by_rank(facts.unionByName(own), rules(spark), hints)
+
+
+@R.query("import_styles", rows_sql("project, style, confidence, absolute, relative", "('web', 'relative', 0.875::DOUBLE, 1, 7)", "('api', 'relative', 1.0, 0, 1)", "('svc', 'mixed', 0.0, 0, 0)", "('lib', 'absolute', 0.75, 3, 1)"))
+def import_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-21: how a project names its own modules, from parsed imports; packages do not count."""
+    t = tree(spark)
+    parsed = code.parse_files(t.select("path", "text")).join(t.select("path", "project"), "path")
+    imports = parsed.select("project", "language", F.explode("imports.module").alias("module"))
+    more = spark.createDataFrame([("lib", "python", "lib.a"), ("lib", "python", "lib"), ("lib", "python", "lib.b.c"), ("lib", "python", ".d"), ("lib", "python", "library"), ("lib", "python", "os")], "project string, language string, module string")
+    roots = spark.createDataFrame([("web", "typescript", "@/"), ("lib", "python", "lib"), ("svc", "go", "example.com/svc")], "project string, language string, prefix string")
+    out = scan.import_style(imports.unionByName(more), roots)
+    return out.select("project", "style", "confidence", F.col("absolute").cast("int").alias("absolute"), F.col("relative").cast("int").alias("relative"))
+
+
+_CODE = (
+    ("p", "a.ts", "import fs from 'fs';\nimport x from './x.js';\nimport y from \"./y\";\nconst p = require('node:path');\ntry { a() } catch (e) { }\ntry { b() } catch { // nothing\n }\nexport default 1;\nlet v: string | null;\ntype T = { a ?: string; b?: number; c?: X; d?: Y };\n", False),
+    ("p", "a.test.ts", "try { a() } catch (e) {}\nimport z from '../z.tsx';\n", True),
+    ("q", "b.ts", "import react from 'react';\nlet a: A | null = null; let b: B | null;\ntry { } catch (e) { log(e) }\n", False),
+)
+
+
+@R.query("code_habits", rows_sql("project, files, with_ext, local, prefixed, builtin, empty, commented, defaults, absence", "('p', 2, 2, 3, 1, 2, 1, 1, 1, 'undefined')", "('q', 1, 0, 0, 0, 0, 0, 0, 0, 'null')"))
+def code_habits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-23: ratios of code patterns in whole files."""
+    out = scan.code_patterns(spark.createDataFrame(list(_CODE), "project string, path string, text string, is_test boolean"))
+    return out.select("project", *[F.col(c).cast("int").alias(c) for c in out.columns[1:-1]], "absence")
+
+
+@R.query("library_variants", rows_sql("project, variant, files, confidence, main", "('a', 'async', 2, 0.9::DOUBLE, true)", "('a', 'sync', 2, 0.8, false)", "('b', 'sync', 5, 0.85, true)", "('b', 'async', 1, 0.9, false)"))
+def library_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-25, AGG-26: two variants of a library; most files decide, a tie goes to the asynchronous one, files with both count once."""
+    a, s = ("sqlalchemy.ext.asyncio", ["AsyncSession"]), ("sqlalchemy.orm", ["Session", "relationship"])
+    rows = [("a", "1.py", *a), ("a", "2.py", *a), ("a", "2.py", *s), ("a", "3.py", *s), ("a", "4.py", "sqlalchemy.orm", ["sessionmaker"]), ("a", "5.py", "sqlalchemy.orm", ["relationship"]), ("b", "x.py", *a)] + [("b", f"{i}.py", *s) for i in range(5)]
+    imports = spark.createDataFrame(rows, "project string, path string, module string, names array<string>")
+    two = [("sqlalchemy", "async", "sqlalchemy.ext.asyncio", ["AsyncSession", "create_async_engine"], 0.8, None, 0), ("sqlalchemy", "sync", "sqlalchemy.orm", ["Session", "sessionmaker"], 0.7, "sqlalchemy.ext.asyncio", 1)]
+    out = scan.variants(imports, spark.createDataFrame(two, "name string, variant string, module string, symbols array<string>, base double, excludes string, rank int"))
+    return out.select("project", "variant", F.col("files").cast("int").alias("files"), "confidence", "main")
+
+
+@R.query("hook_dominance", rows_sql("hook, users, state", "('useQuery', 3, 'dominant')", "('useSWR', 1, 'present')", "('useForm', 0, 'incidental')"))
+def hook_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-24: how many of ten component files use a hook."""
+    d = spark.createDataFrame([("useQuery", 3), ("useSWR", 1), ("useForm", 0)], "hook string, users int")
+    return d.select("hook", "users", scan.dominance(F.col("users"), F.lit(10)).alias("state"))
+
+
+_ROOTS = (
+    ("p1", "shop", "apps/web", "web", 40, True), ("p1", "shop", "apps/docs", "docs-site", 90, False), ("p1", "shop", "packages/shop", "shop", 500, False),
+    ("p2", "trpc", "packages/server", "@trpc/server", 200, False), ("p2", "trpc", "packages/next", "@trpc/next", 300, False), ("p2", "trpc", "examples/big", "big", 900, False),
+    ("p3", "tool", "packages/tool", "tool", 9, False), ("p3", "tool", "packages/@x", "@x/tool", 50, False), ("p3", "tool", "packages/rest", "rest", 60, False),
+    ("p4", "zed", "a", "@zed/zed", 20, False), ("p4", "zed", "b", "zed", 12, False), ("p4", "zed", "c", "other", 400, False),
+    ("p5", "only", "examples/x", "x", 3, False), ("p5", "only", "tests/y", "y", 5, False),
+)
+
+
+@R.query("primary_root_choice", rows_sql("project, root", "('p1', 'apps/web')", "('p2', 'packages/server')", "('p3', 'packages/rest')", "('p4', 'c')", "('p5', 'tests/y')"))
+def primary_root_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-14: the primary root: a framework's app, a name match that passes the guard, or the most files; asides only if nothing else is there.
+
+    p3: the plain name match has nine files and fails the guard, the scoped one does not step in. p4: twelve files are less than a twentieth of 400.
+    """
+    return scan.primary_roots(spark.createDataFrame(list(_ROOTS), "project string, name string, root string, package string, files int, hinted boolean"))
+
+
+@R.query("change_hygiene", rows_sql("item, rule, file", "('a', 'lock without manifest', 'web/yarn.lock')", "('a', 'conflict mark', 'src/x.ts')", "('b', 'environment file', 'api/.env.local')"))
+def change_hygiene(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-47: a lock file changed without its manifest, conflict marks at the start of a line, environment files but examples."""
+    rows = [("a", "web/yarn.lock", ""), ("a", "src/x.ts", "a\n<<<<<<< HEAD\nb"), ("a", "src/y.ts", "a <<<<<<< b\n ======="), ("b", "go.sum", ""), ("b", "go.mod", ""), ("b", "api/.env.local", None), ("b", ".env.example", ""), ("b", "x.env", "")]
+    return scan.change_hygiene(spark.createDataFrame(rows, "item string, path string, text string"))
+
+
+@R.query(
+    "lock_desync",
+    CTE
+    + """, l AS (SELECT entry_idx, file, CASE WHEN ends_with(file, 'pnpm-lock.yaml') OR ends_with(file, 'package-lock.json') OR ends_with(file, 'yarn.lock') THEN 'package.json' WHEN ends_with(file, 'Cargo.lock') THEN 'Cargo.toml' WHEN ends_with(file, 'go.sum') THEN 'go.mod' WHEN ends_with(file, 'poetry.lock') THEN 'pyproject.toml' END AS m FROM t),
+h AS (SELECT entry_idx, count(*) FILTER (m IS NOT NULL) AS locks, count(*) FILTER (ends_with(file, 'package.json')) AS manifests FROM l GROUP BY entry_idx)
+SELECT h.entry_idx, locks > 0 AS locked, manifests > 0 AS manifest, locks > 0 AND EXISTS (SELECT 1 FROM l WHERE l.entry_idx = h.entry_idx AND l.m IS NOT NULL AND NOT EXISTS (SELECT 1 FROM l k WHERE k.entry_idx = l.entry_idx AND ends_with(k.file, l.m))) AS desync FROM h
+""",
+)
+def lock_desync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-47 over all entries: whether each touches lock files, manifests, and a lock file without its manifest."""
+    t = modules(spark, sf_dir).select(F.col("entry_idx").alias("item"), F.col("file").alias("path"), F.lit(None).cast("string").alias("text"))
+    off = scan.change_hygiene(t).filter(F.col("rule") == "lock without manifest").select(F.col("item").alias("o_i")).distinct()
+    lock = F.lit(False)
+    for name, _ in scan.LOCK_OF:
+        lock = lock | F.col("path").endswith(name)
+    per = t.groupBy("item").agg(F.bool_or(lock).alias("locked"), F.bool_or(F.col("path").endswith("package.json")).alias("manifest"))
+    return per.join(off, F.col("item") == F.col("o_i"), "left").select(F.col("item").alias("entry_idx"), "locked", "manifest", F.col("o_i").isNotNull().alias("desync"))
+
+
+@R.query("commit_habits", rows_sql("project, conventional, strategy, confidence, co_author", "('a', 0.67::DOUBLE, 'mixed', 0.5::DOUBLE, 'Bo <b@x>')", "('b', 0.0, 'merge', 0.8, NULL)", "('c', 1.0, 'squash', 0.7, 'Al <a@x>')"))
+def commit_habits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-32: conventional subjects, merge strategy and the commonest co-author, the first seen of equals."""
+    rows = [("a", 0, "feat(x): y", "t\nCo-authored-by: Al <a@x>\nCo-authored-by: Bo <b@x>", False), ("a", 1, "fix!: z", "Co-authored-by: Bo <b@x>", False), ("a", 2, "Merge branch 'x'", "", True)]
+    rows += [("b", i, "Merge pull request", "", True) for i in range(16)] + [("c", 0, "docs: a", "Co-authored-by: Al <a@x>", False), ("c", 1, "", "Co-authored-by: Bo <b@x>", False)]
+    return scan.commit_habits(spark.createDataFrame(rows, "project string, place int, subject string, body string, is_merge boolean"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import text as X
 from tallyforge.functions.numeric import half_up
 from tallyforge.operators import ledger as L
+from tallyforge.operators import scan
 from tallyforge.operators import stats as S
 from tallyforge.operators.rows import latest
 from tallyforge.plans.views import CTE, entries, findings, modules
@@ -335,18 +336,20 @@ def file_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_ASIDE = "[" + ", ".join(f"'{x}'" for x in scan.ASIDE) + "]"
+
+
 @R.query(
     "product_paths",
     CTE
-    + r""", q AS (SELECT DISTINCT project, file, string_split(lower(file), '/') AS s FROM t)
-SELECT project, file, len(list_intersect(s, ['tests', 'test', 'docs', 'scripts', 'examples', 'fixtures'])) = 0 AS product, len(list_intersect(s[1:3], ['tests', 'test', 'docs', 'scripts', 'examples', 'fixtures'])) = 0 AS product_near_top FROM q
+    + f""", q AS (SELECT DISTINCT project, file, string_split(lower(file), '/') AS s FROM t)
+SELECT project, file, len(list_intersect(s, {_ASIDE})) = 0 AND NOT ends_with(s[-1], '-e2e') AS product, len(list_intersect(s[1:3], {_ASIDE})) = 0 AS product_near_top FROM q
 """,
 )
 def product_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-02, FLT-03: paths without a segment that names something other than product code, anywhere or among the first three."""
-    no = F.array(*[F.lit(x) for x in ("tests", "test", "docs", "scripts", "examples", "fixtures")])
-    s = F.split(F.lower("file"), "/")
-    return modules(spark, sf_dir).select("project", "file").distinct().select("project", "file", (~F.arrays_overlap(s, no)).alias("product"), (~F.arrays_overlap(F.slice(s, 1, 3), no)).alias("product_near_top"))
+    f = modules(spark, sf_dir).select("project", "file").distinct()
+    return f.select("project", "file", (~scan.is_aside(F.col("file"))).alias("product"), (~scan.is_aside(F.col("file"), 3)).alias("product_near_top"))
 
 
 @R.query(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as X
-from tallyforge.functions.numeric import half_up
+from tallyforge.functions.numeric import gcd, half_up
 from tallyforge.operators import nested
 from tallyforge.operators.rows import latest
 from tallyforge.operators.rules import rule_violations
@@ -73,16 +73,27 @@ def path_style_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     "indentation_vote",
     r"""
 WITH l AS (SELECT source, unnest(string_split(text, chr(10))) AS l FROM documents WHERE source IS NOT NULL),
-i AS (SELECT source, regexp_extract(l, '^([ \t]+)[^ \t\n]', 1) AS w FROM l), w AS (SELECT source, length(w) AS n, contains(w, chr(9)) AS tab FROM i WHERE w <> '')
-SELECT source, count(*) AS indented, count(*) FILTER (tab) AS tabs, count(*) FILTER (n % 4 = 0) AS by_four, CASE WHEN bool_and(n % 8 = 0) THEN 8 WHEN bool_and(n % 4 = 0) THEN 4 WHEN bool_and(n % 2 = 0) THEN 2 ELSE 1 END AS width FROM w GROUP BY source
+i AS (SELECT source, regexp_extract(l, '^([ \t]+)[^ \t\n]', 1) AS w FROM l), w AS (SELECT source, length(w) AS n, contains(w, chr(9)) AS tab FROM i WHERE w <> ''),
+g AS (SELECT source, count(*) AS indented, count(*) FILTER (tab) AS tabs, list_reduce(list(DISTINCT n) FILTER (NOT tab), lambda x, y: gcd(x, y)) AS g FROM w GROUP BY source),
+s AS (SELECT *, CASE WHEN tabs::DOUBLE / indented >= 0.7 THEN 'tabs' WHEN (indented - tabs)::DOUBLE / indented >= 0.7 THEN 'spaces' ELSE 'mixed' END AS style FROM g)
+SELECT source, indented, tabs, style, floor(greatest(tabs, indented - tabs)::DOUBLE / indented * 1e4 + 0.5) / 1e4 AS confidence, CASE WHEN style = 'spaces' THEN CASE WHEN g IN (2, 4, 8) THEN g WHEN g = 1 THEN 2 ELSE 4 END END AS width FROM s
 """,
 )
 def indentation_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-22: indented lines, tabs among them, and the greatest width that divides all."""
+    """AGG-22, FN-M01: tabs or spaces from seven tenths of the indented lines on, and the greatest common divisor of the widths.
+
+    Widths other than 2, 4 and 8 count as 4, single blanks as 2. Only the
+    different widths of a source are collected, not its lines.
+    """
     lines = table(spark, sf_dir, "documents").filter(F.col("source").isNotNull()).select("source", F.explode(F.split("text", "\n")).alias("l"))
     w = lines.select("source", F.regexp_extract("l", "^([ \\t]+)[^ \\t\\n]", 1).alias("w")).filter(F.col("w") != "").select("source", F.length("w").alias("n"), F.col("w").contains("\t").alias("tab"))
-    div = lambda k: F.bool_and(F.col("n") % k == 0)
-    return w.groupBy("source").agg(F.count("*").alias("indented"), F.count_if("tab").alias("tabs"), F.count_if(F.col("n") % 4 == 0).alias("by_four"), F.when(div(8), 8).when(div(4), 4).when(div(2), 2).otherwise(1).alias("width"))
+    g = w.groupBy("source").agg(F.count("*").alias("indented"), F.count_if("tab").alias("tabs"), F.collect_set(F.when(~F.col("tab"), F.col("n"))).alias("widths"))
+    step = F.aggregate("widths", F.lit(0), gcd)
+    spaces = F.col("indented") - F.col("tabs")
+    style = F.when(F.col("tabs") / F.col("indented") >= 0.7, "tabs").when(spaces / F.col("indented") >= 0.7, "spaces").otherwise("mixed")
+    g = g.select("source", "indented", "tabs", style.alias("style"), half_up(F.greatest("tabs", spaces) / F.col("indented"), 4).alias("confidence"), step.alias("g"))
+    width = F.when(F.col("g").isin(2, 4, 8), F.col("g")).when(F.col("g") == 1, 2).otherwise(4)
+    return g.select("source", "indented", "tabs", "style", "confidence", F.when(F.col("style") == "spaces", width).cast("bigint").alias("width"))
 
 
 @R.query(

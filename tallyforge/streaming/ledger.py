@@ -48,7 +48,7 @@ def current_states(transitions: DataFrame, forget: str = "72 hours", late: str =
     """ST-01, ST-03, ST-07: the state of every (project, id) after each batch of transitions.
 
     ``transitions(project, id, status, at)``. Within a batch transitions apply in
-    the order of ``at``; a row is emitted per key and batch. A key is forgotten
+    the order of ``at`` and, of equal ones, of status; a row is emitted per key and batch. A key is forgotten
     once the watermark is ``forget`` past its last transition, so time is that
     of the events and a replay gives the same states.
     """
@@ -59,13 +59,11 @@ def current_states(transitions: DataFrame, forget: str = "72 hours", late: str =
             state.remove()
             return
         status, opened, changes = state.get if state.exists else (None, None, 0)
-        rows = pd.concat(list(frames)).sort_values("at", kind="stable")
-        for r in rows.itertuples():
-            now = r.status or "active"
-            if now != status:
-                changes += 1
-            status = now
-            opened = opened if opened is not None else r.at.to_pydatetime()
+        rows = pd.concat(list(frames)).sort_values(["at", "status"], kind="stable")
+        moves = rows["status"].fillna("active").replace("", "active")
+        changes += int((moves != moves.shift(fill_value=status if status is not None else "\0")).sum())
+        status = moves.iloc[-1]
+        opened = opened if opened is not None else rows["at"].iloc[0].to_pydatetime()
         state.update((status, opened, changes))
         last = int(rows["at"].max().timestamp() * 1000)
         state.setTimeoutTimestamp(max(last + wait, state.getCurrentWatermarkMs() + 1))
@@ -83,9 +81,10 @@ def sessions(rows: DataFrame, key: str, at: str, gap: str = "30 minutes", late:
     return timed.groupBy(F.session_window("__at", gap).alias("s"), key).agg(F.count("*").alias("steps")).select(key, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "steps")
 
 
-def correlated(pointers: DataFrame, results: DataFrame, within: str = "72 hours") -> DataFrame:
-    """ST-04: pointers written before a run joined with the result that consumes them; either waits for the other at most ``within``."""
-    p = pointers.select(F.col("run").alias("p_run"), "payload", instant(F.col("at")).alias("p_at")).withWatermark("p_at", within)
-    r = results.select(F.col("run").alias("r_run"), "outcome", instant(F.col("at")).alias("r_at")).withWatermark("r_at", within)
+def correlated(pointers: DataFrame, results: DataFrame, within: str = "72 hours", late: str | None = None) -> DataFrame:
+    """ST-04: pointers written before a run joined with the result that consumes them within a time; rows may be ``late``
+    (by default as long), and each side waits for the other no longer."""
+    p = pointers.select(F.col("run").alias("p_run"), "payload", instant(F.col("at")).alias("p_at")).withWatermark("p_at", late or within)
+    r = results.select(F.col("run").alias("r_run"), "outcome", instant(F.col("at")).alias("r_at")).withWatermark("r_at", late or within)
     joined = p.join(r, (F.col("p_run") == F.col("r_run")) & F.expr(f"r_at BETWEEN p_at AND p_at + INTERVAL {within}"))
     return joined.select(F.col("p_run").alias("run"), "payload", "outcome")

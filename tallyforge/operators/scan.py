@@ -309,3 +309,118 @@ def commit_habits(commits: DataFrame) -> DataFrame:
     strategy = F.when(n >= 15, "merge").when(n == 0, "squash").otherwise("mixed")
     sure = F.when(n >= 15, n / 20).when(n == 0, F.lit(0.7)).otherwise(0.5)
     return head.join(merges, F.col("project") == F.col("m_p"), "left").join(author, F.col("project") == F.col("t_p"), "left").select("project", "conventional", strategy.alias("strategy"), half_up(sure, 2).alias("confidence"), "co_author")
+
+
+#: Dependencies and frameworks by what they say of an application.
+SHAPES = {
+    "protocol": ("@modelcontextprotocol/sdk",),
+    "agent": ("langchain", "@langchain/core", "crewai", "@anthropic-ai/claude-agent-sdk", "autogen"),
+    "mobile": ("react-native", "expo"),
+    "job": ("inngest", "bullmq", "@trigger.dev/sdk", "bee-queue", "agenda"),
+    "browser": ("nextjs", "remix", "react-router", "react", "vue", "angular", "svelte", "nuxt", "astro", "sveltekit", "solid"),
+    "browser package": ("next", "@angular/core", "solid-js"),
+    "server": ("express", "fastify", "koa", "hono", "nestjs", "adonis"),
+}
+#: Shapes by framework outside of Node.
+SHAPE_OF = {"fastapi": "api-server", "django": "full-stack", "django-drf": "api-server", "flask": "api-server", "typer": "cli", "click": "cli", "gin": "api-server", "echo": "api-server", "chi": "api-server", "cobra-cli": "cli", "fiber": "api-server", "axum": "api-server", "actix-web": "api-server", "rocket": "api-server", "clap-cli": "cli"}
+
+
+def application_shapes(projects: DataFrame, facts: DataFrame) -> DataFrame:
+    """CLS-04: (project, shape) of ``projects(project, type, framework, has_bin, has_main)`` and ``facts(project, dependency)``.
+
+    A protocol server, agent or worker is one only without a web framework; the
+    framework decides next, then what the package offers.
+    """
+    d = F.col("dependency")
+    flags = facts.groupBy(F.col("project").alias("f_p")).agg(*[F.bool_or(d.isin(*SHAPES[k])).alias(k) for k in ("protocol", "agent", "mobile", "job")], F.bool_or(d.isin(*SHAPES["browser"], *SHAPES["browser package"])).alias("ui"))
+    p = projects.join(flags, F.col("project") == F.col("f_p"), "left")
+    has = lambda c: F.coalesce(F.col(c), F.lit(False))
+    f = F.col("framework")
+    browser, server = F.coalesce(f.isin(*SHAPES["browser"]), F.lit(False)), F.coalesce(f.isin(*SHAPES["server"]), F.lit(False))
+    web = browser | server
+    other = F.lit("unknown")
+    for name, shape in SHAPE_OF.items():
+        other = F.when(f == name, shape).otherwise(other)
+    node = (
+        F.when(has("protocol") & ~web, "mcp-server")
+        .when(has("agent") & ~web, "ai-agent")
+        .when(has("mobile"), "mobile-app")
+        .when(has("job") & ~web, "worker")
+        .when(browser, "web-app")
+        .when(server, F.when(has("ui"), "full-stack").otherwise("api-server"))
+        .when(has("has_bin"), "cli")
+        .when(has("has_main"), "library")
+        .otherwise("unknown")
+    )
+    return p.select("project", F.when(F.coalesce(F.col("type"), F.lit("node")) == "node", node).otherwise(other).alias("shape"))
+
+
+def architectures(projects: DataFrame, dirs: DataFrame) -> DataFrame:
+    """CLS-05: (project, architecture, confidence) of ``projects(project, type, framework, has_entry)`` and ``dirs(project, dir)``:
+    microservices, domain-driven, layered, library, monolith, the first that fits."""
+    d = F.col("dir")
+    n = lambda pattern: F.count_if(d.rlike(pattern))
+    holds = lambda *words: F.bool_or(F.array_contains(F.array(*[d.contains(w) for w in words]), True)).cast("int")
+    base = base_name(d)
+    seen = dirs.groupBy(F.col("project").alias("d_p")).agg(
+        n(r"^services/\w+").alias("services"),
+        n(r"^apps/\w+").alias("apps"),
+        n(r"^cmd/\w+").alias("cmds"),
+        n(r"^(features|modules|contexts|domains)/\w+").alias("domains"),
+        n(r"^src/modules/\w+").alias("nest"),
+        (holds("models") + holds("services", "domain", "business") + holds("api", "routes", "controllers", "handlers")).alias("layers"),
+        F.bool_or(base.isin("lib", "pkg") | d.rlike("^(lib|pkg)/")).alias("lib"),
+    )
+    p = projects.join(seen, F.col("project") == F.col("d_p"), "left")
+    c = lambda k: F.coalesce(F.col(k), F.lit(0))
+    answer = lambda name, confidence: F.struct(F.lit(name).alias("architecture"), F.lit(confidence).alias("confidence"))
+    x = (
+        F.when((c("services") >= 2) | (c("apps") >= 2), answer("microservices", 0.9))
+        .when((F.col("type") == "go") & (c("cmds") >= 2), answer("microservices", 0.85))
+        .when(c("domains") >= 3, answer("domain-driven", 0.9))
+        .when(c("domains") == 2, answer("domain-driven", 0.8))
+        .when((F.lower("framework") == "nestjs") & (c("nest") >= 2), answer("domain-driven", 0.85))
+        .when(c("layers") == 3, answer("layered", 0.95))
+        .when(c("layers") == 2, answer("layered", 0.85))
+        .when(c("layers") == 1, answer("layered", 0.7))
+        .when(~F.col("has_entry") & F.coalesce("lib", F.lit(False)), answer("library", 0.9))
+        .otherwise(answer("monolith", 0.7))
+    )
+    return p.select("project", x.alias("x")).select("project", "x.architecture", "x.confidence")
+
+
+#: Modules and parts of paths that stand for validation.
+VALIDATORS = ("zod", "yup", "joi", "class-validator", "valibot", "@sinclair/typebox", "schema", "validate", "validation")
+
+
+def route_validation(files: DataFrame) -> DataFrame:
+    """AGG-45: (project, routes, validated): route files of ``files(project, path, text)`` and those whose first thirty lines import something that validates."""
+    path = F.col("path")
+    route = path.rlike(r"(^|/)api/(.*/)?route\.(ts|js|tsx|jsx)$") | path.rlike(r"(^|/)pages/api/.*\.(ts|js|tsx|jsx)$")
+    lines = F.transform(F.slice(F.split("text", "\n"), 1, 30), lambda x: F.lower(x))
+    good = F.exists(lines, lambda x: (x.contains("import") | x.contains("require")) & F.exists(F.array(*[F.lit(v) for v in VALIDATORS]), lambda v: x.contains(v)))
+    own = files.filter(route & ~path.rlike(r"\.(d\.ts|min\.js)$") & _looked_into(path) & ~is_aside(path, 3))
+    return own.groupBy("project").agg(F.count("*").alias("routes"), F.count_if(F.coalesce(good, F.lit(False))).alias("validated"))
+
+
+def boundaries(files: DataFrame) -> DataFrame:
+    """AGG-46: (project, pages, error_pages, env, env_example, env_ignored, env_state) of ``files(project, path, text)``; pages aside from the product do not count."""
+    path, name = F.col("path"), base_name(F.col("path"))
+    product = _looked_into(path) & ~is_aside(path, 3)
+    q = files.groupBy("project").agg(
+        F.count_if(product & name.isin("page.tsx", "page.jsx")).alias("pages"),
+        F.count_if(product & name.isin("error.tsx", "error.jsx")).alias("error_pages"),
+        F.bool_or(path.isin(".env", ".env.local")).alias("env"),
+        F.bool_or(path == ".env.example").alias("env_example"),
+        F.coalesce(F.bool_or((path == ".gitignore") & F.col("text").rlike(r"(?m)^\s*\.env(\*|\.\*)?\s*$")), F.lit(False)).alias("env_ignored"),
+    )
+    state = F.when(~F.col("env") & ~F.col("env_example"), "none").when(F.col("env_example") & F.col("env_ignored"), "clean").otherwise(F.concat_ws(", ", F.when(~F.col("env_example"), "no example"), F.when(~F.col("env_ignored"), "not ignored")))
+    return q.withColumn("env_state", state)
+
+
+def freshness(scans: DataFrame, days: int = 7, commits: int = 50) -> DataFrame:
+    """AGG-53: (project, age_days, commits, stale) of ``scans(project, scanned_at, now, commits)``: older than ``days`` with more than
+    ``commits`` since; the age alone decides where commits are not known. Without a time there is no row."""
+    age = F.floor((F.unix_timestamp("now") - F.unix_timestamp("scanned_at")) / 86_400)
+    old = age > days
+    return scans.filter(F.col("scanned_at").isNotNull()).select("project", age.alias("age_days"), "commits", F.when(F.col("commits").isNull(), old).otherwise(old & (F.col("commits") > commits)).alias("stale"))

@@ -35,21 +35,6 @@ def documentation_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("project").agg(F.count("*").alias("pages"), F.min(age).alias("newest_days"), F.max(age).alias("oldest_days"))
 
 
-_PATTERNS = (("ledger", r"\bledger\b"), ("parser", r"\bparsers?\b"), ("cache", r"\bcache[sd]?\b"), ("worktree", r"\bworktrees?\b"))
-
-
-@R.query(
-    "pattern_scan",
-    "SELECT * FROM (" + " UNION ALL ".join(f"SELECT project, '{n}' AS pattern, CAST(sum(len(regexp_extract_all(text, '{p}'))) AS BIGINT) AS hits, count(*) FILTER (regexp_matches(text, '{p}')) AS docs FROM documents WHERE text IS NOT NULL GROUP BY project" for n, p in _PATTERNS) + ") WHERE hits > 0",
-)
-def pattern_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-19: a small dictionary of patterns counted in every text, in one scan."""
-    d = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
-    counted = d.select("project", F.explode(F.array(*[F.struct(F.lit(n).alias("pattern"), F.regexp_count("text", F.lit(p)).alias("n")) for n, p in _PATTERNS])).alias("x"))
-    out = counted.groupBy("project", "x.pattern").agg(F.sum("x.n").cast("bigint").alias("hits"), F.count_if(F.col("x.n") > 0).alias("docs"))
-    return out.filter(F.col("hits") > 0)
-
-
 @R.query(
     "work_items",
     CTE
@@ -100,23 +85,6 @@ def report_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.groupBy("doc_id").agg(F.count("*").alias("items"), F.count("anchor").alias("anchored"), F.min("anchor").alias("first_anchor"))
 
 
-@R.query(
-    "package_managers",
-    CTE
-    + r"""
-SELECT project, arg_min(m, p) AS manager, count(DISTINCT m) AS candidates FROM (
-  SELECT project, CASE WHEN file = 'package.json' THEN 'npm' WHEN regexp_matches(file, '\.py$') THEN 'pip' WHEN regexp_matches(file, '\.go$') THEN 'go' END AS m,
-    len(string_split(file, '/')) * 100 + CASE WHEN file = 'package.json' THEN 1 WHEN regexp_matches(file, '\.py$') THEN 2 ELSE 3 END AS p FROM t) WHERE m IS NOT NULL GROUP BY project
-""",
-)
-def package_managers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CLS-02: the nearest sign of a package manager, by depth and then by rank."""
-    f = F.col("file")
-    m = F.when(f == "package.json", "npm").when(f.endswith(".py"), "pip").when(f.endswith(".go"), "go")
-    rank = F.size(F.split("file", "/")) * 100 + F.when(f == "package.json", 1).when(f.endswith(".py"), 2).otherwise(3)
-    return modules(spark, sf_dir).select("project", m.alias("m"), rank.alias("p")).filter(F.col("m").isNotNull()).groupBy("project").agg(F.min_by("m", "p").alias("manager"), F.count_distinct("m").alias("candidates"))
-
-
 @R.query(
     "surfaces",
     CTE
@@ -135,40 +103,6 @@ def surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("project", "path", "files", kind.alias("kind"))
 
 
-@R.query(
-    "blind_spots",
-    CTE
-    + r""", q AS (SELECT project, bool_or(regexp_matches(file, '\.test\.')) AS tests, bool_or(regexp_matches(file, '\.md$')) AS docs, bool_or(regexp_matches(file, '\.yaml$')) AS config, bool_or(regexp_matches(file, '\.go$')) AS go, count(DISTINCT file) AS files FROM t GROUP BY project)
-SELECT project, 'no tests' AS spot FROM q WHERE NOT tests UNION ALL SELECT project, 'no documentation' FROM q WHERE NOT docs UNION ALL SELECT project, 'no configuration' FROM q WHERE NOT config UNION ALL SELECT project, 'mixed stack' FROM q WHERE go UNION ALL SELECT project, 'few files' FROM q WHERE files < 50
-""",
-)
-def blind_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CLS-09 to CLS-12: signs of a stack, and a list of rules on what is missing."""
-    f = F.col("file")
-    has = lambda p: F.bool_or(f.rlike(p))
-    q = modules(spark, sf_dir).groupBy("project").agg(has(r"\.test\.").alias("tests"), has(r"\.md$").alias("docs"), has(r"\.yaml$").alias("config"), has(r"\.go$").alias("go"), F.count_distinct("file").alias("files"))
-    rules = {"no tests": ~F.col("tests"), "no documentation": ~F.col("docs"), "no configuration": ~F.col("config"), "mixed stack": F.col("go"), "few files": F.col("files") < 50}
-    return q.select("project", F.explode(F.array_compact(F.array(*[F.when(c, n) for n, c in rules.items()]))).alias("spot"))
-
-
-@R.query(
-    "evidence_gate",
-    CTE
-    + f""", d AS (SELECT project, slug, bool_or({_KIND} = 'verify_report') AS report, bool_or({_KIND} = 'verify_report' AND contains(text, 'SATISFIED') AND NOT contains(text, 'UNSATISFIED')) AS good FROM documents WHERE slug IS NOT NULL GROUP BY ALL),
-i AS (SELECT DISTINCT project, slug FROM e WHERE slug IS NOT NULL)
-SELECT project, CASE WHEN report IS NOT TRUE THEN 'no evidence' WHEN good THEN 'open' ELSE 'blocked' END AS gate, count(*) AS items FROM i LEFT JOIN d USING (project, slug) GROUP BY 1, 2
-""",
-)
-def evidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CLS-14: whether a work item's reports carry it."""
-    d = documents(spark, sf_dir, "text").filter(F.col("slug").isNotNull())
-    report = F.col("kind") == "verify_report"
-    d = d.groupBy("project", "slug").agg(F.bool_or(report).alias("report"), F.bool_or(report & F.col("text").contains("SATISFIED") & ~F.col("text").contains("UNSATISFIED")).alias("good"))
-    i = entries(spark, sf_dir, "slug").filter(F.col("slug").isNotNull()).select("project", "slug").distinct()
-    gate = F.when(~F.coalesce("report", F.lit(False)), "no evidence").when(F.col("good"), "open").otherwise("blocked")
-    return i.join(d, ["project", "slug"], "left").groupBy("project", gate.alias("gate")).agg(F.count("*").alias("items"))
-
-
 @R.query(
     "citation_checks",
     CTE

@@ -229,3 +229,54 @@ def commit_habits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [("a", 0, "feat(x): y", "t\nCo-authored-by: Al <a@x>\nCo-authored-by: Bo <b@x>", False), ("a", 1, "fix!: z", "Co-authored-by: Bo <b@x>", False), ("a", 2, "Merge branch 'x'", "", True)]
     rows += [("b", i, "Merge pull request", "", True) for i in range(16)] + [("c", 0, "docs: a", "Co-authored-by: Al <a@x>", False), ("c", 1, "", "Co-authored-by: Bo <b@x>", False)]
     return scan.commit_habits(spark.createDataFrame(rows, "project string, place int, subject string, body string, is_merge boolean"))
+
+
+@R.query(
+    "application_shapes",
+    rows_sql("project, shape", *[f"('{p}', '{s}')" for p, s in (("mcp", "mcp-server"), ("mcpweb", "web-app"), ("agent", "ai-agent"), ("mobile", "mobile-app"), ("worker", "worker"), ("api", "api-server"), ("full", "full-stack"), ("cli", "cli"), ("lib", "library"), ("none", "unknown"), ("dj", "full-stack"), ("rs", "unknown"))]),
+)
+def application_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CLS-04: what kind of application a project is."""
+    projects = [("mcp", "node", None, False, True), ("mcpweb", "node", "nextjs", False, False), ("agent", "node", None, True, False), ("mobile", "node", "react", False, False), ("worker", "node", None, False, False), ("api", "node", "express", False, False), ("full", "node", "express", False, False), ("cli", None, None, True, True), ("lib", "node", None, False, True), ("none", "node", None, False, False), ("dj", "python", "django", True, False), ("rs", "rust", None, True, False)]
+    deps = [("mcp", "@modelcontextprotocol/sdk"), ("mcpweb", "@modelcontextprotocol/sdk"), ("agent", "langchain"), ("mobile", "expo"), ("worker", "bullmq"), ("api", "bullmq"), ("full", "next"), ("lib", "lodash")]
+    return scan.application_shapes(spark.createDataFrame(projects, "project string, type string, framework string, has_bin boolean, has_main boolean"), spark.createDataFrame(deps, "project string, dependency string"))
+
+
+@R.query(
+    "architectures",
+    rows_sql("project, architecture, confidence", *[f"('{p}', '{a}', {c}::DOUBLE)" for p, a, c in (("a", "microservices", 0.9), ("b", "microservices", 0.85), ("c", "domain-driven", 0.8), ("d", "layered", 0.95), ("e", "layered", 0.7), ("f", "library", 0.9), ("g", "monolith", 0.7), ("h", "domain-driven", 0.85), ("i", "monolith", 0.7))]),
+)
+def architectures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CLS-05: the first architecture that a project's directories fit."""
+    projects = [("a", "node", None, True), ("b", "go", None, True), ("c", "node", None, True), ("d", "python", None, True), ("e", "python", None, True), ("f", "node", None, False), ("g", "node", None, True), ("h", "node", "NestJS", True), ("i", "node", None, False)]
+    dirs = [("a", "services/x"), ("a", "services/y"), ("a", "models"), ("b", "cmd/x"), ("b", "cmd/y"), ("c", "features/a"), ("c", "modules/b"), ("d", "app/models"), ("d", "app/services"), ("d", "app/routes"), ("e", "src/controllers"), ("f", "lib"), ("g", "lib"), ("h", "src/modules/a"), ("h", "src/modules/b")]
+    return scan.architectures(spark.createDataFrame(projects, "project string, type string, framework string, has_entry boolean"), spark.createDataFrame(dirs, "project string, dir string"))
+
+
+_SITE = (
+    ("a", "app/api/users/route.ts", "import { z } from 'zod';\n"), ("a", "app/api/route.js", "const s = require('./schemas/user')\n"), ("a", "app/api/x/route.tsx", "\n" * 31 + "import zod from 'zod'"), ("a", "pages/api/old.ts", "// zod\nexport default h"), ("a", "examples/app/api/z/route.ts", "import 'zod'"), ("a", "app/route.ts", ""),
+    ("a", "app/page.tsx", ""), ("a", "app/error.tsx", ""), ("a", ".env", ""), ("a", ".env.example", ""), ("a", ".gitignore", "node_modules\n.env*\n"),
+    ("b", "app/page.tsx", ""), ("b", "app/x/page.jsx", ""), ("b", "e2e/app/error.tsx", ""), ("b", ".env.local", ""), ("b", ".gitignore", "dist\n"), ("c", "x.py", None),
+)
+
+
+@R.query("route_checks", rows_sql("project, routes, validated", "('a', 4, 2)"))
+def route_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-45: route files whose first thirty lines import a validator."""
+    out = scan.route_validation(spark.createDataFrame(list(_SITE), "project string, path string, text string"))
+    return out.select("project", F.col("routes").cast("int").alias("routes"), F.col("validated").cast("int").alias("validated"))
+
+
+@R.query("boundary_checks", rows_sql("project, pages, error_pages, env_state", "('a', 1, 1, 'clean')", "('b', 2, 0, 'no example, not ignored')", "('c', 0, 0, 'none')"))
+def boundary_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-46: error pages beside pages, and how a project keeps its environment files."""
+    out = scan.boundaries(spark.createDataFrame(list(_SITE), "project string, path string, text string"))
+    return out.select("project", F.col("pages").cast("int").alias("pages"), F.col("error_pages").cast("int").alias("error_pages"), "env_state")
+
+
+@R.query("scan_freshness", rows_sql("project, age_days, commits, stale", "('a', 8, 51, true)", "('b', 8, 50, false)", "('c', 7, 99, false)", "('d', 8, NULL, true)"))
+def scan_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-53: both thresholds must be passed; the age decides alone where commits are unknown."""
+    rows = [("a", "2025-01-01 00:00:00", "2025-01-09 01:00:00", 51), ("b", "2025-01-01 00:00:00", "2025-01-09 01:00:00", 50), ("c", "2025-01-01 02:00:00", "2025-01-09 01:00:00", 99), ("d", "2025-01-01 00:00:00", "2025-01-09 01:00:00", None), ("e", None, "2025-01-09 01:00:00", 99)]
+    d = spark.createDataFrame(rows, "project string, s string, n string, commits int").select("project", F.to_timestamp("s").alias("scanned_at"), F.to_timestamp("n").alias("now"), "commits")
+    return scan.freshness(d).select("project", F.col("age_days").cast("int").alias("age_days"), "commits", "stale")

@@ -138,32 +138,6 @@ def hot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("rank", F.row_number().over(Window.partitionBy("project").orderBy(F.desc("touches"), "file")).cast("bigint")).filter(F.col("rank") <= 10)
 
 
-@R.query(
-    "event_survival",
-    "SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_type, count(*) AS events, arg_max(event_type, (ts, event_id)) <> 'error' AS survives FROM events WHERE event_type IN ('signup', 'error') GROUP BY user_id",
-)
-def event_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-43: the last of creating and dropping actions decides what is left."""
-    e = table(spark, sf_dir, "events").filter(F.col("event_type").isin("signup", "error"))
-    last = F.max_by("event_type", F.struct("ts", "event_id"))
-    return e.groupBy("user_id").agg(last.alias("last_type"), F.count("*").alias("events"), (last != "error").alias("survives"))
-
-
-@R.query(
-    "session_costs",
-    """
-WITH p(event_type, price) AS (VALUES ('view', 1), ('click', 2), ('purchase', 25), ('signup', 5)),
-o AS (SELECT e.*, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS ordinal FROM events e)
-SELECT user_id, CAST(sum(price) AS BIGINT) AS cost, count(*) FILTER (price IS NULL) AS unpriced, max(ordinal) AS most_of_a_kind, count(DISTINCT event_type) = 1 AS uniform FROM o LEFT JOIN p USING (event_type) GROUP BY user_id
-""",
-)
-def session_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-37, WIN-08, UDX-05: ordinals within a role, a price dictionary, what has no price, whether all are of one kind."""
-    p = F.broadcast(spark.createDataFrame([("view", 1), ("click", 2), ("purchase", 25), ("signup", 5)], "event_type string, price int"))
-    o = table(spark, sf_dir, "events").withColumn("ordinal", F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")))
-    return o.join(p, "event_type", "left").groupBy("user_id").agg(F.sum("price").cast("bigint").alias("cost"), F.count_if(F.col("price").isNull()).alias("unpriced"), F.max("ordinal").cast("bigint").alias("most_of_a_kind"), (F.count_distinct("event_type") == 1).alias("uniform"))
-
-
 @R.query(
     "attestations",
     CTE
@@ -197,43 +171,6 @@ def stage_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("entry_idx", F.size(F.array_intersect(want, have)).cast("bigint").alias("present"), F.array_join(F.array_except(want, have), ",").alias("gaps"))
 
 
-@R.query(
-    "richest_document",
-    """
-WITH c AS (SELECT project, doc_id, len(regexp_extract_all(text, '`[^`\\n]+`')) AS spans FROM documents WHERE text IS NOT NULL)
-SELECT project, arg_max(doc_id, (spans, -doc_id)) AS doc_id, max(spans) AS spans FROM c GROUP BY project
-""",
-)
-def richest_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-44, AGG-55: the best candidate by a count, the first of equals."""
-    c = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull()).select("project", "doc_id", F.regexp_count("text", F.lit(r"`[^`\n]+`")).cast("bigint").alias("spans"))
-    return c.groupBy("project").agg(F.max_by("doc_id", F.struct("spans", -F.col("doc_id"))).alias("doc_id"), F.max("spans").alias("spans"))
-
-
-@R.query(
-    "early_mentions",
-    """
-WITH h AS (SELECT source, project, array_to_string(string_split(text, chr(10))[1:30], chr(10)) AS head FROM documents WHERE text IS NOT NULL)
-SELECT project, count(*) AS docs, count(*) FILTER (contains(lower(head), 'test')) AS covered, bool_or(contains(head, 'AC1')) AS has_criteria FROM h GROUP BY project
-""",
-)
-def early_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-45, AGG-46: what the first 30 lines of texts hold, per project."""
-    head = F.array_join(F.slice(F.split("text", "\n"), 1, 30), "\n")
-    d = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull()).select("project", head.alias("head"))
-    return d.groupBy("project").agg(F.count("*").alias("docs"), F.count_if(F.lower("head").contains("test")).alias("covered"), F.bool_or(F.col("head").contains("AC1")).alias("has_criteria"))
-
-
-@R.query(
-    "open_orders",
-    "SELECT o_custkey, count(*) AS open_orders, arg_min(o_orderpriority, (CAST(substr(o_orderpriority, 1, 1) AS INTEGER), o_orderkey)) AS best_priority FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey",
-)
-def open_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-48: how many are open and the best priority among them."""
-    o = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "O")
-    return o.groupBy("o_custkey").agg(F.count("*").alias("open_orders"), F.min_by("o_orderpriority", F.struct(F.substring("o_orderpriority", 1, 1).cast("int"), "o_orderkey")).alias("best_priority"))
-
-
 @R.query(
     "maturity",
     CTE
@@ -295,24 +232,6 @@ def stratified_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("rn", F.row_number().over(Window.partitionBy("project", "grp", "depth").orderBy("file"))).filter(F.col("rn") <= 3).drop("rn")
 
 
-@R.query(
-    "primary_roots",
-    CTE
-    + """, g AS (SELECT project, regexp_extract(file, '^(packages/[^/]+|[^/]+)/', 1) AS root, count(DISTINCT file) AS files, bool_or(contains(file, '/src/') OR starts_with(file, 'src/')) AS has_src FROM t WHERE contains(file, '/') GROUP BY ALL)
-SELECT project, root, files FROM g QUALIFY row_number() OVER (PARTITION BY project ORDER BY CASE WHEN starts_with(root, 'packages/') AND has_src THEN 0 WHEN root = 'src' THEN 1 WHEN has_src THEN 2 ELSE 3 END, files DESC, root) = 1
-""",
-)
-def primary_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN-14: the main root of a project by a chain of policies: tier first, then size, then name."""
-    t = modules(spark, sf_dir).select("project", "file").distinct().filter(F.col("file").contains("/"))
-    g = t.groupBy("project", F.regexp_extract("file", r"^(packages/[^/]+|[^/]+)/", 1).alias("root")).agg(F.count("*").alias("files"), F.bool_or(F.col("file").contains("/src/") | F.col("file").startswith("src/")).alias("has_src"))
-    tier = F.when(F.col("root").startswith("packages/") & F.col("has_src"), 0).when(F.col("root") == "src", 1).when(F.col("has_src"), 2).otherwise(3)
-    return g.withColumn("rn", F.row_number().over(Window.partitionBy("project").orderBy(tier, F.desc("files"), "root"))).filter(F.col("rn") == 1).select("project", "root", "files")
-
-
-_EXT = r"regexp_extract(file, '\.([A-Za-z0-9]+)$', 1)"
-
-
 @R.query(
     "file_census",
     CTE
@@ -366,53 +285,6 @@ def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modules(spark, sf_dir).select("file").distinct().groupBy(kind.alias("kind")).agg(F.count("*").alias("files"))
 
 
-@R.query(
-    "project_shape",
-    CTE
-    + r""", q AS (SELECT project, count(DISTINCT regexp_extract(file, '^packages/([^/]+)/', 1)) FILTER (starts_with(file, 'packages/')) AS packages, bool_or(starts_with(file, 'website/')) AS site, bool_or(regexp_matches(file, '\.go$')) AS go, bool_or(regexp_matches(file, '\.py$')) AS py, bool_or(file = 'package.json') AS node,
-  bool_or(contains(file, '/engine/')) AND bool_or(contains(file, '/commands/')) AS layered FROM t GROUP BY project)
-SELECT project, CASE WHEN node THEN 'node' WHEN py THEN 'python' WHEN go THEN 'go' ELSE 'unknown' END AS type, CASE WHEN packages >= 2 THEN 'monorepo' WHEN site THEN 'site' ELSE 'single' END AS shape, CASE WHEN packages >= 4 THEN 'microservices' WHEN layered THEN 'layered' WHEN packages = 1 THEN 'library' ELSE 'monolith' END AS architecture FROM q
-""",
-)
-def project_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CLS-01, CLS-04, CLS-05: ordered rules over what exists in a project."""
-    f = F.col("file")
-    q = modules(spark, sf_dir).groupBy("project").agg(
-        F.count_distinct(F.when(f.startswith("packages/"), F.regexp_extract(f, "^packages/([^/]+)/", 1))).alias("packages"),
-        F.bool_or(f.startswith("website/")).alias("site"),
-        F.bool_or(f.endswith(".go")).alias("go"),
-        F.bool_or(f.endswith(".py")).alias("py"),
-        F.bool_or(f == "package.json").alias("node"),
-        (F.bool_or(f.contains("/engine/")) & F.bool_or(f.contains("/commands/"))).alias("layered"),
-    )
-    return q.select(
-        "project",
-        F.when(F.col("node"), "node").when(F.col("py"), "python").when(F.col("go"), "go").otherwise("unknown").alias("type"),
-        F.when(F.col("packages") >= 2, "monorepo").when(F.col("site"), "site").otherwise("single").alias("shape"),
-        F.when(F.col("packages") >= 4, "microservices").when(F.col("layered"), "layered").when(F.col("packages") == 1, "library").otherwise("monolith").alias("architecture"),
-    )
-
-
-_BOOSTS = (("typed", "tsx", 0.2), ("typed", "ts", 0.1), ("scripted", "py", 0.25), ("scripted", "mjs", 0.15), ("configured", "yaml", 0.2), ("configured", "json", 0.3))
-
-
-@R.query(
-    "pattern_confidence",
-    CTE
-    + f""", b(pattern, ext, boost) AS (VALUES {", ".join(f"('{p}', '{x}', {v}::DOUBLE)" for p, x, v in _BOOSTS)}),
-q AS (SELECT project, {_EXT} AS ext, count(DISTINCT file) AS n FROM t GROUP BY ALL), s AS (SELECT *, n::DOUBLE / sum(n) OVER (PARTITION BY project) AS share FROM q)
-SELECT project, pattern, least(1.0, floor((0.5 + sum(CASE WHEN share >= 0.1 THEN boost ELSE boost / 2 END)) * 1e4 + 0.5) / 1e4) AS confidence, string_agg(ext, ',' ORDER BY ext) AS evidence, bool_or(share >= 0.3) AS dominant FROM s JOIN b USING (ext) GROUP BY project, pattern
-""",
-)
-def pattern_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-24 to AGG-26, AGG-28, CLS-03, CLS-08: a base confidence with a boost for every rule that fits, one at most, with the evidence."""
-    b = F.broadcast(spark.createDataFrame(list(_BOOSTS), "pattern string, ext string, boost double"))
-    q = modules(spark, sf_dir).select("project", "file").distinct().groupBy("project", F.regexp_extract("file", r"\.([A-Za-z0-9]+)$", 1).alias("ext")).agg(F.count("*").alias("n"))
-    s = q.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("project"))).join(b, "ext")
-    total = half_up(0.5 + F.sum(F.when(F.col("share") >= 0.1, F.col("boost")).otherwise(F.col("boost") / 2)), 4)
-    return s.groupBy("project", "pattern").agg(F.least(F.lit(1.0), total).alias("confidence"), F.array_join(F.array_sort(F.collect_list("ext")), ",").alias("evidence"), F.bool_or(F.col("share") >= 0.3).alias("dominant"))
-
-
 @R.query(
     "structure_confidence",
     CTE
@@ -489,19 +361,6 @@ def markdown_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.groupBy("project").agg(lines.alias("l")).select("project", F.concat(F.lit("# "), "project", F.lit("\n"), F.array_join("l", "\n")).alias("card"))
 
 
-@R.query(
-    "churn",
-    CTE
-    + """, l AS (SELECT entry_idx, unnest(timing.segments) AS s FROM e)
-SELECT entry_idx, CAST(sum(s.minutes) AS BIGINT) AS minutes, CAST(sum(s.minutes) FILTER (s.stage = 'build') AS BIGINT) AS build, count(DISTINCT s.phase) AS phases FROM l WHERE s IS NOT NULL GROUP BY entry_idx
-""",
-)
-def churn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-22, SRC-23: the numbers of an entry's nested rows added up, absent ones as nothing."""
-    s = entries(spark, sf_dir, "timing").select("entry_idx", F.explode("timing.segments").alias("s")).filter(F.col("s").isNotNull())
-    return s.groupBy("entry_idx").agg(F.sum("s.minutes").alias("minutes"), F.sum(F.when(F.col("s.stage") == "build", F.col("s.minutes"))).alias("build"), F.count_distinct("s.phase").alias("phases"))
-
-
 @R.query(
     "feed",
     CTE + "SELECT entry_idx, slug, coalesce(nullif(kind, ''), 'work') AS kind, substr(coalesce(hashes['contract.yaml'], ''), 1, 7) AS short_hash FROM e",

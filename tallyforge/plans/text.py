@@ -53,22 +53,6 @@ def file_naming_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("dominant", F.col("files") / F.sum("files").over(Window.partitionBy("project")) >= 0.3)
 
 
-@R.query(
-    "path_style_vote",
-    """
-WITH m AS (SELECT project, unnest(modules_touched) AS m FROM entries)
-SELECT project, count(*) AS paths, count(*) FILTER (starts_with(m, '.')) AS relative, count(*) FILTER (contains(m, '\\')) AS backslash,
-  CASE WHEN count(*) FILTER (NOT starts_with(m, '.') AND NOT contains(m, '\\'))::DOUBLE / count(*) >= 0.7 THEN 'absolute' ELSE 'mixed' END AS style
-FROM m WHERE m IS NOT NULL GROUP BY project
-""",
-)
-def path_style_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-21: how a project writes its paths, decided from seven tenths on."""
-    m = table(spark, sf_dir, "entries").select("project", F.explode("modules_touched").alias("m")).filter(F.col("m").isNotNull())
-    rel, back = F.col("m").startswith("."), F.col("m").contains("\\")
-    return m.groupBy("project").agg(F.count("*").alias("paths"), F.count_if(rel).alias("relative"), F.count_if(back).alias("backslash"), F.when(F.avg((~rel & ~back).cast("int")) >= 0.7, "absolute").otherwise("mixed").alias("style"))
-
-
 @R.query(
     "indentation_vote",
     r"""
@@ -96,20 +80,6 @@ def indentation_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("source", "indented", "tabs", "style", "confidence", F.when(F.col("style") == "spaces", width).cast("bigint").alias("width"))
 
 
-@R.query(
-    "code_patterns",
-    r"""
-SELECT source, count(text) AS docs, CAST(sum(len(regexp_extract_all(text, '`[^`\n]+`'))) AS BIGINT) AS code_spans, CAST(sum(len(regexp_extract_all(text, '\bnull\b'))) AS BIGINT) AS nulls,
-  CAST(sum(len(regexp_extract_all(text, '\.(ts|tsx)\b'))) AS BIGINT) AS typed_files, count(*) FILTER (contains(text, '```')) AS fenced FROM documents WHERE text IS NOT NULL GROUP BY source
-""",
-)
-def code_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-23: sums of pattern counts over whole texts."""
-    d = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
-    n = lambda p: F.sum(F.regexp_count("text", F.lit(p))).cast("bigint")
-    return d.groupBy("source").agg(F.count("text").alias("docs"), n(r"`[^`\n]+`").alias("code_spans"), n(r"\bnull\b").alias("nulls"), n(r"\.(ts|tsx)\b").alias("typed_files"), F.count_if(F.col("text").contains("```")).alias("fenced"))
-
-
 @R.query(
     "truncated_summaries",
     CTE + r"""SELECT finding_id, CASE WHEN length(summary) <= 60 THEN summary ELSE coalesce(nullif(regexp_extract(substr(summary, 1, 61), '(?s)^(.+) ', 1), ''), substr(summary, 1, 60)) || '...' END AS short FROM f WHERE summary IS NOT NULL""",

@@ -62,8 +62,11 @@ def cochange(touched: DataFrame, edges: DataFrame, nodes: DataFrame, least_touch
     kept = touched.join(small, F.col("entry_idx") == F.col("s_e"), "left_semi")
     t = touches.select(F.col("project").alias("t_p"), F.col("file").alias("t_f"))
     kept = kept.join(t, F.col("project").eqNullSafe(F.col("t_p")) & (F.col("file") == F.col("t_f")), "left_semi")
-    a, b = kept.select("project", "entry_idx", F.col("file").alias("file_a")), kept.select(F.col("entry_idx").alias("b_e"), F.col("file").alias("file_b"))
-    pairs = a.join(b, (F.col("entry_idx") == F.col("b_e")) & (F.col("file_a") < F.col("file_b"))).groupBy("project", "file_a", "file_b").agg(F.count("*").alias("together"))
+    # equal lists of files are one with a weight; a list has ``most_files`` at most, and its pairs are enumerated once
+    lists = kept.groupBy("project", "entry_idx").agg(F.array_sort(F.collect_list("file")).alias("files")).filter(F.size("files") > 1).groupBy("project", "files").agg(F.count("*").alias("weight"))
+    first = lists.select("project", "files", "weight", F.explode("files").alias("file_a"))
+    both = first.select("project", "file_a", F.explode(F.filter("files", lambda y: y > F.col("file_a"))).alias("file_b"), "weight")
+    pairs = both.groupBy("project", "file_a", "file_b").agg(F.sum("weight").alias("together"))
     pairs = pairs.filter((F.col("together") >= least_together) & ~own_test(F.col("file_a"), F.col("file_b")))
     # edges in one direction: the pair is ordered
     link = edges.select(F.col("project").alias("e_p"), F.least("src", "dst").alias("e_a"), F.greatest("src", "dst").alias("e_b")).distinct()

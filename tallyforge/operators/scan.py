@@ -424,3 +424,41 @@ def freshness(scans: DataFrame, days: int = 7, commits: int = 50) -> DataFrame:
     age = F.floor((F.unix_timestamp("now") - F.unix_timestamp("scanned_at")) / 86_400)
     old = age > days
     return scans.filter(F.col("scanned_at").isNotNull()).select("project", age.alias("age_days"), "commits", F.when(F.col("commits").isNull(), old).otherwise(old & (F.col("commits") > commits)).alias("stale"))
+
+
+#: Files that only a framework's own application has, packages that are no surfaces, and server frameworks by package.
+STRONG_CONFIG = r"^((next|vite|nuxt|svelte|vue|remix|react-router|astro)\.config\.(ts|js|mjs)|nest-cli\.json|angular\.json)$"
+INFRASTRUCTURE = ("tsconfig", "eslint-config", "prettier-config", "tailwind-config", "config-typescript", "biome-config")
+SERVER_PACKAGES = ("express", "fastify", "koa", "hono", "@hono/node-server", "@nestjs/core", "elysia", "polka", "restify", "h3")
+
+
+def surfaces(roots: DataFrame) -> DataFrame:
+    """CLS-07: (project, root, name, signal) of the packages of a repository that someone develops.
+
+    ``roots(project, root, files, has_bin, is_library, scripts, deps, configs)``,
+    the last three arrays of names. Four signals in order: a command with a dev
+    script, an app with a framework's file or more than fifty sources, a
+    framework's file (a library that is built with vite does not count), a
+    server package with a dev script and fifteen sources. Names are the last
+    segment, with the parent's before it for versions and where two are alike.
+    """
+    root = F.col("root")
+    last = F.element_at(F.split(root, "/"), -1)
+    parent = F.lower(F.coalesce(F.try_element_at(F.split(root, "/"), F.lit(-2)), F.lit("")))
+    left = roots.filter(~root.isin(".", "") & (F.col("files") >= 5) & ~F.lower(last).isin(*INFRASTRUCTURE) & ~is_aside(root))
+    strong = F.exists("configs", lambda c: c.rlike(STRONG_CONFIG))
+    vite = F.exists("configs", lambda c: c.startswith("vite.config.")) & F.col("is_library")
+    runs = lambda *names: F.arrays_overlap("scripts", F.array(*[F.lit(n) for n in names]))
+    signal = (
+        F.when(F.col("has_bin") & runs("dev"), 1)
+        .when(root.startswith("apps/") & (strong | (F.col("files") > 50)), 2)
+        .when(strong & ~vite, 3)
+        .when((F.col("files") >= 15) & F.arrays_overlap("deps", F.array(*[F.lit(n) for n in SERVER_PACKAGES])) & runs("dev", "start:dev"), 4)
+    )
+    plain = F.replace(F.replace(F.lower(last), F.lit("_"), F.lit("-")), F.lit("."), F.lit(""))
+    before = lambda name: F.when(parent != "", F.concat(parent, F.lit("-"), name)).otherwise(name)
+    named = left.withColumn("signal", signal).filter(F.col("signal").isNotNull()).select("project", "root", "signal", F.when(last.rlike(r"^v?\d+$"), before(plain)).otherwise(plain).alias("raw"), parent.alias("parent"))
+    alike = named.groupBy(F.col("project").alias("n_p"), F.col("raw").alias("n_r")).agg(F.count("*").alias("n"))
+    joined = named.join(alike, (F.col("project") == F.col("n_p")) & (F.col("raw") == F.col("n_r")))
+    name = F.when((F.col("n") > 1) & (F.col("parent") != ""), F.concat("parent", F.lit("-"), "raw")).otherwise(F.col("raw"))
+    return joined.select("project", "root", name.alias("name"), "signal")

@@ -117,3 +117,24 @@ def water_levels(sizes: Column, cap: int) -> Column:
 
     kept = F.aggregate(placed, start, step, lambda a: a["kept"])
     return F.transform(sizes, lambda _x, i: F.try_element_at(kept, i))
+
+
+def alternating_minutes(saves: DataFrame, cap: int = 86_400) -> DataFrame:
+    """AGG-42, WIN-09: (item, build, verify) minutes of ``saves(item, kind, at)``, kinds contract, build and verify.
+
+    The first build is timed from the contract, each later one from the verify
+    before it, each verify from the build of its number; times below zero or
+    above ``cap`` seconds do not count. Saves are numbered by item and kind and
+    joined on the number, so the chain needs no window over both kinds.
+    """
+    nth = F.row_number().over(Window.partitionBy("item", "kind").orderBy("at"))
+    s = saves.filter(F.col("at").isNotNull()).withColumn("n", nth).withColumn("t", F.unix_millis("at"))
+    pick = lambda kind, name: s.filter(F.col("kind") == kind).select(F.col("item").alias(f"{name}_i"), F.col("n").alias(f"{name}_n"), F.col("t").alias(name))
+    contract = pick("contract", "c").groupBy("c_i").agg(F.max("c").alias("c"))
+    b, v, before = pick("build", "b"), pick("verify", "v"), pick("verify", "p")
+    gap = lambda d: F.sum(F.when(d.between(0, cap * 1000), d))
+    builds = b.join(before, (F.col("b_i") == F.col("p_i")) & (F.col("b_n") == F.col("p_n") + 1), "left").join(contract, F.col("b_i") == F.col("c_i"), "left")
+    builds = builds.groupBy(F.col("b_i").alias("item")).agg(gap(F.col("b") - F.when(F.col("b_n") == 1, F.col("c")).otherwise(F.col("p"))).alias("build"))
+    verifies = v.join(pick("build", "b"), (F.col("v_i") == F.col("b_i")) & (F.col("v_n") == F.col("b_n"))).groupBy(F.col("v_i").alias("item")).agg(gap(F.col("v") - F.col("b")).alias("verify"))
+    minutes = lambda c: half_up(F.coalesce(F.col(c), F.lit(0)) / 60_000).cast("int").alias(c)
+    return builds.join(verifies, "item", "full").select("item", minutes("build"), minutes("verify"))

@@ -387,19 +387,23 @@ def marks_above(spark: SparkSession, sf_dir: str) -> DataFrame:
     "paired_runs",
     """
 WITH r AS (SELECT * FROM timings QUALIFY row_number() OVER (PARTITION BY timing_id ORDER BY loaded_at DESC NULLS LAST) = 1),
-n AS (SELECT project, kind, total_minutes, row_number() OVER (PARTITION BY project, kind ORDER BY timing_id) AS nth FROM r WHERE total_minutes IS NOT NULL AND NOT isnan(total_minutes)),
-p AS (SELECT a.project, a.total_minutes AS x, b.total_minutes AS y FROM n a JOIN n b ON a.project = b.project AND a.nth = b.nth WHERE a.kind = 'fix' AND b.kind = 'chore')
-SELECT project, count(*) AS pairs, count(*) FILTER (y < x) AS wins, floor(avg(x - y) * 100 + 0.5) / 100 AS mean_reduction FROM p GROUP BY project
+n AS (SELECT project, kind, total_minutes, row_number() OVER (PARTITION BY project, kind ORDER BY timing_id) AS nth FROM r WHERE total_minutes IS NOT NULL AND NOT isnan(total_minutes) AND kind IN ('fix', 'chore')),
+p AS (SELECT a.project, a.total_minutes AS x, b.total_minutes AS y FROM n a JOIN n b ON a.project = b.project AND a.nth = b.nth WHERE a.kind = 'fix' AND b.kind = 'chore'),
+c AS (SELECT project, count(*) AS runs FROM n GROUP BY project)
+SELECT project, count(*) AS pairs, count(*) FILTER (y < x) AS wins, floor((count(*) FILTER (y < x))::DOUBLE / count(*) * 1e4 + 0.5) / 1e4 AS win_rate, floor(avg(x - y) * 100 + 0.5) / 100 AS mean_reduction, any_value(runs) - 2 * count(*) AS dropped FROM p JOIN c USING (project) GROUP BY project
 """,
 )
 def paired_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-23, AGG-36: the i-th run of one kind against the i-th of another; runs without a partner drop out."""
+    """JN-23, AGG-36: the i-th run of one kind against the i-th of another: wins, their rate, mean reduction, and the runs dropped for want of a partner."""
     r = latest(table(spark, sf_dir, "timings").select("timing_id", "loaded_at", "project", "kind", "total_minutes"), ["timing_id"], [F.desc_nulls_last("loaded_at")])
     r = r.filter(F.col("kind").isin("fix", "chore") & F.col("total_minutes").isNotNull() & ~F.isnan("total_minutes"))
     n = J.numbered(r, ["project", "kind"], ["timing_id"], F.floor(F.col("timing_id") / 50_000))
     pair = J.zipped(n.filter(F.col("kind") == "fix").select("project", "nth", "total_minutes"), n.filter(F.col("kind") == "chore").select("project", "nth", "total_minutes"), ["project"])
     x, y = F.col("total_minutes"), F.col("b_total_minutes")
-    return pair.groupBy("project").agg(F.count("*").alias("pairs"), F.count_if(y < x).alias("wins"), (F.floor(F.avg(x - y) * 100 + 0.5) / 100).alias("mean_reduction"))
+    per = pair.groupBy("project").agg(F.count("*").alias("pairs"), F.count_if(y < x).alias("wins"), (F.floor(F.avg(x - y) * 100 + 0.5) / 100).alias("mean_reduction"))
+    runs = r.groupBy(F.col("project").alias("r_p")).agg(F.count("*").alias("runs"))
+    rate = F.floor(F.col("wins") / F.col("pairs") * 1e4 + 0.5) / 1e4
+    return per.join(runs, F.col("project") == F.col("r_p")).select("project", "pairs", "wins", rate.alias("win_rate"), "mean_reduction", (F.col("runs") - 2 * F.col("pairs")).alias("dropped"))
 
 
 @R.query(

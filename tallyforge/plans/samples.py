@@ -535,3 +535,15 @@ def orphans_and_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(texts, "id string, file string, summary string")
     hit = J.overlapping(rules, ["file"], "id", F.col("summary"), 0.5)
     return orphans.unionByName(hit.select(F.lit("duplicate").alias("kind"), "a", "b"))
+
+
+@R.query("stage_minutes", rows_sql("item, build, verify", "('a', 50, 25)", "('b', 0, 10)", "('c', 5, 0)"))
+def stage_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-42, WIN-09: a work item rejected once (30 + 20 minutes of building, 15 + 10 of verifying), one built for more than a day, one without a verify."""
+    rows = [
+        ("a", "contract", "01 10:00"), ("a", "build", "01 10:30"), ("a", "verify", "01 10:45"), ("a", "build", "01 11:05"), ("a", "verify", "01 11:15"),
+        ("b", "contract", "01 10:00"), ("b", "build", "03 10:00"), ("b", "verify", "03 10:10"),
+        ("c", "contract", "01 10:00"), ("c", "build", "01 10:05"), ("c", "verify", None),
+    ]
+    d = spark.createDataFrame(rows, "item string, kind string, t string").select("item", "kind", F.to_timestamp(F.concat(F.lit("2025-01-"), "t")).alias("at"))
+    return S.alternating_minutes(d)

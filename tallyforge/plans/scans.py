@@ -280,3 +280,27 @@ def scan_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [("a", "2025-01-01 00:00:00", "2025-01-09 01:00:00", 51), ("b", "2025-01-01 00:00:00", "2025-01-09 01:00:00", 50), ("c", "2025-01-01 02:00:00", "2025-01-09 01:00:00", 99), ("d", "2025-01-01 00:00:00", "2025-01-09 01:00:00", None), ("e", None, "2025-01-09 01:00:00", 99)]
     d = spark.createDataFrame(rows, "project string, s string, n string, commits int").select("project", F.to_timestamp("s").alias("scanned_at"), F.to_timestamp("n").alias("now"), "commits")
     return scan.freshness(d).select("project", F.col("age_days").cast("int").alias("age_days"), "commits", "stale")
+
+
+@R.query(
+    "detected_surfaces",
+    rows_sql("root, name, signal", "('packages/cli', 'cli', 1)", "('apps/web', 'apps-web', 2)", "('apps/Big_App.v2', 'big-appv2', 2)", "('sites/web', 'sites-web', 3)", "('services/api/v2', 'api-v2', 4)"),
+)
+def detected_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CLS-07: surfaces by the first of four signals, with names that tell them apart."""
+    rows = [
+        (".", 900, True, False, ["dev"], [], ["next.config.js"]),
+        ("packages/cli", 9, True, False, ["dev"], [], []),
+        ("packages/tiny", 4, True, False, ["dev"], [], []),
+        ("apps/web", 10, False, False, [], [], ["next.config.ts"]),
+        ("apps/Big_App.v2", 51, False, False, [], [], []),
+        ("apps/small", 50, False, False, [], [], []),
+        ("sites/web", 8, False, False, [], [], ["astro.config.mjs"]),
+        ("packages/ui", 80, False, True, ["dev"], [], ["vite.config.ts"]),
+        ("services/api/v2", 15, False, False, ["start:dev"], ["express"], []),
+        ("services/few", 14, False, False, ["dev"], ["express"], []),
+        ("packages/tsconfig", 99, True, False, ["dev"], [], []),
+        ("examples/web", 99, True, False, ["dev"], [], []),
+    ]
+    d = spark.createDataFrame([("p", *r) for r in rows], "project string, root string, files int, has_bin boolean, is_library boolean, scripts array<string>, deps array<string>, configs array<string>")
+    return scan.surfaces(d).select("root", "name", "signal")

@@ -189,6 +189,18 @@ def test_columns_do_not_depend_on_the_load(spark, sf):
             assert "ac:array<string>" in dict(none.dtypes)["assertions"] and "ac:array<string>" in dict(full.dtypes)["assertions"]
 
 
+def test_the_same_columns_at_every_size(spark, sf):
+    from pathlib import Path
+
+    from tallyforge.plans import problems as P
+
+    larger = Path(sf).parent / "sf0.01"
+    if not larger.exists():
+        pytest.skip("only one size is there")
+    for kind in ("proof", "contract"):
+        assert P._unified(spark, sf, kind).schema == P._unified(spark, str(larger), kind).schema
+
+
 def test_union_of_nothing(spark):
     _, out = union(spark, {1: ["{", None, "7"]})
     assert out.columns == ["file_no", "body", "misfits"]

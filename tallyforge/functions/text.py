@@ -163,34 +163,41 @@ def _counts(known: Column, passed: Column, failed: Column, skipped: Column) -> C
     return F.when(known, F.struct(F.greatest(passed, F.lit(0)).alias("passed"), failed.alias("failed"), F.greatest(skipped, F.lit(0)).alias("skipped")))
 
 
+#: The summary that each runner prints, and the figures in it.
+SUMMARY_LINES = {"vitest": r"(?m)^\s*Tests\s+\d.*$", "jest": r"(?m)^Tests:\s+.*$", "pytest": r"(?m)^=+ .*\b\d+ (?:passed|failed|error|skipped).* in [\d.]+s.*=+$"}
+GO_EVENT = r'"Action":"{0}"[^}}]*"Test":|"Test":[^}}]*"Action":"{0}"'
+CARGO_RESULT = r"test result:[^\n]*?\d+ passed;\s*\d+ failed;[^\n]*?\d+ ignored"
+RSPEC_SUMMARY = r"(?m)^\s*(\d+) examples?, (\d+) failures?(?:, (\d+) pending)?"
+DOTNET_SUMMARY, DOTNET_COUNTERS = r"Failed:\s*(\d+),\s*Passed:\s*(\d+),\s*Skipped:\s*(\d+)", r"<Counters\b[^>]*>"
+JUNIT_SUITE = r"<testsuite\s[^>]*>"
+
+
 def test_counts(c: Column, runner: Column) -> Column:
     """AGG-52, UDX-03: (passed, failed, skipped) from the output of a known runner, in that runner's format only.
 
     Null without a runner, or where its summary is not in the output: no count is guessed.
     """
-    line = lambda p: F.regexp_extract(c, p, 0)
-    lines = {"vitest": line(r"(?m)^\s*Tests\s+\d.*$"), "jest": line(r"(?m)^Tests:\s+.*$"), "pytest": line(r"(?m)^=+ .*\b\d+ (?:passed|failed|error|skipped).* in [\d.]+s.*=+$")}
+    lines = {k: F.regexp_extract(c, p, 0) for k, p in SUMMARY_LINES.items()}
     words = lambda x, more=F.lit(0): _counts(x != "", _figure(x, r"(\d+) passed"), _figure(x, r"(\d+) failed") + more, _figure(x, r"(\d+) skipped"))
     field = lambda k: _figure(c, rf'"{k}":\s*(\d+)')
     report = _counts(c.contains('"numTotalTests":') & c.contains('"testResults":'), field("numPassedTests"), field("numFailedTests"), field("numPendingTests") + field("numTodoTests"))
-    events = lambda a: F.regexp_count(c, F.lit(rf'"Action":"{a}"[^}}]*"Test":|"Test":[^}}]*"Action":"{a}"'))
-    result = r"test result:[^\n]*?{0}(\d+){1}"
-    summary = r"(?m)^\s*(\d+) examples?, (\d+) failures?(?:, (\d+) pending)?"
-    of = lambda i: F.coalesce(F.nullif(F.regexp_extract(c, summary, i), F.lit("")).try_cast("int"), F.lit(0))
-    suites = F.array_join(F.filter(F.regexp_extract_all(c, F.lit(r"<testsuite\s[^>]*>"), F.lit(0)), lambda t: t.rlike(r"\btests=")), "\n")
+    events = lambda a: F.regexp_count(c, F.lit(GO_EVENT.format(a)))
+    results = F.array_join(F.regexp_extract_all(c, F.lit(f"({CARGO_RESULT})"), F.lit(1)), "\n")
+    of = lambda i: F.coalesce(F.nullif(F.regexp_extract(c, RSPEC_SUMMARY, i), F.lit("")).try_cast("int"), F.lit(0))
+    suites = F.array_join(F.filter(F.regexp_extract_all(c, F.lit(JUNIT_SUITE), F.lit(0)), lambda t: t.rlike(r"\btests=")), "\n")
     xml = lambda k: _total(suites, rf'\b{k}="(\d+)"')
-    net, tag = r"Failed:\s*(\d+),\s*Passed:\s*(\d+),\s*Skipped:\s*(\d+)", line(r"<Counters\b[^>]*>")
-    got = lambda i: F.coalesce(F.nullif(F.regexp_extract(c, net, i), F.lit("")).try_cast("int"), F.lit(0))
+    got = lambda i: F.coalesce(F.nullif(F.regexp_extract(c, DOTNET_SUMMARY, i), F.lit("")).try_cast("int"), F.lit(0))
+    tag = F.regexp_extract(c, DOTNET_COUNTERS, 0)
     attr = lambda k: _figure(tag, rf'\b{k}="(\d+)"')
     parsers = {
         "vitest": F.coalesce(report, words(lines["vitest"])),
         "jest": words(lines["jest"]),
         "pytest": words(lines["pytest"], _figure(lines["pytest"], r"(\d+) errors?")),
         "go": _counts(c.contains('"Action":') & c.contains('"Test":'), events("pass"), events("fail"), events("skip")),
-        "cargo": _counts(c.rlike(r"test result:[^\n]*?\d+ passed;\s*\d+ failed;[^\n]*?\d+ ignored"), _total(c, result.format("", " passed")), _total(c, result.format("", " failed")), _total(c, result.format("", " ignored"))),
-        "rspec": _counts(c.rlike(summary), of(1) - of(2) - of(3), of(2), of(3)),
+        "cargo": _counts(results != "", *[_total(results, rf"(\d+) {w}") for w in ("passed", "failed", "ignored")]),
+        "rspec": _counts(c.rlike(RSPEC_SUMMARY), of(1) - of(2) - of(3), of(2), of(3)),
         "junit": _counts(suites != "", xml("tests") - xml("failures") - xml("errors") - xml("skipped"), xml("failures") + xml("errors"), xml("skipped")),
-        "dotnet": F.coalesce(_counts(c.rlike(net), got(2), got(1), got(3)), _counts(tag != "", attr("passed"), attr("failed"), attr("total") - attr("passed") - attr("failed"))),
+        "dotnet": F.coalesce(_counts(c.rlike(DOTNET_SUMMARY), got(2), got(1), got(3)), _counts(tag != "", attr("passed"), attr("failed"), attr("total") - attr("passed") - attr("failed"))),
     }
     out = F.lit(None)
     for name, counts in parsers.items():

@@ -181,16 +181,21 @@ def import_style(imports: DataFrame, roots: DataFrame) -> DataFrame:
 
 #: Modules that come with the runtime.
 BUILTINS = ("fs", "path", "os", "child_process", "crypto", "http", "https", "net", "stream", "url", "util", "events", "buffer", "assert", "readline", "worker_threads", "cluster", "dns", "tls", "zlib", "querystring", "string_decoder", "timers", "console", "process", "perf_hooks", "async_hooks", "diagnostics_channel", "inspector", "vm", "v8", "fs/promises", "timers/promises", "stream/promises", "readline/promises")
+#: What in a text is a local import, an import that may be of the runtime, a catch block, a default export, a nullable type, an optional field.
+LOCAL_IMPORT = r"(?:from\s+|require\s*\(\s*)['\"](\.[^'\"]+)['\"]"
+PLAIN_IMPORT = r"(?:from|require\()\s*['\"]((?:node:)?[a-z_/]+)['\"]"
+CATCH_BLOCK = r"catch\s*(?:\([^)]*\))?\s*\{([^}]*)\}"
+DEFAULT_EXPORT, NULLABLE, OPTIONAL = r"export\s+default\b", r"\|\s*null\b", r"\w\s*\?:"
 
 
 def code_patterns(files: DataFrame) -> DataFrame:
     """AGG-23: per project, from ``files(project, path, text, is_test)``: local imports with an extension, runtime modules with
     ``node:``, empty and commented catch blocks outside tests, files with a default export, and how absence is written."""
     t = F.col("text")
-    local = F.regexp_extract_all(t, F.lit(r"(?:from\s+|require\s*\(\s*)['\"](\.[^'\"]+)['\"]"), F.lit(1))
-    built = F.regexp_extract_all(t, F.lit(r"(?:from|require\()\s*['\"]((?:node:)?[a-z_/]+)['\"]"), F.lit(1))
+    local = F.regexp_extract_all(t, F.lit(LOCAL_IMPORT), F.lit(1))
+    built = F.regexp_extract_all(t, F.lit(PLAIN_IMPORT), F.lit(1))
     built = F.filter(built, lambda m: F.regexp_replace(m, "^node:", "").isin(*BUILTINS))
-    bodies = F.transform(F.regexp_extract_all(t, F.lit(r"catch\s*(?:\([^)]*\))?\s*\{([^}]*)\}"), F.lit(1)), lambda b: F.regexp_replace(b, r"^\s+|\s+$", ""))
+    bodies = F.transform(F.regexp_extract_all(t, F.lit(CATCH_BLOCK), F.lit(1)), lambda b: F.regexp_replace(b, r"^\s+|\s+$", ""))
     said = lambda b: F.regexp_replace(F.regexp_replace(b, r"//[^\n]*|/\*(?s).*?\*/", ""), r"\s", "")
     per = files.select(
         "project",
@@ -200,9 +205,9 @@ def code_patterns(files: DataFrame) -> DataFrame:
         F.size(built).alias("builtin"),
         F.when(F.col("is_test"), 0).otherwise(F.size(F.filter(bodies, lambda b: b == ""))).alias("empty"),
         F.when(F.col("is_test"), 0).otherwise(F.size(F.filter(bodies, lambda b: (b != "") & (said(b) == "")))).alias("commented"),
-        t.rlike(r"export\s+default\b").cast("int").alias("defaults"),
-        F.regexp_count(t, F.lit(r"\|\s*null\b")).alias("nulls"),
-        F.regexp_count(t, F.lit(r"\w\s*\?:")).alias("optionals"),
+        t.rlike(DEFAULT_EXPORT).cast("int").alias("defaults"),
+        F.regexp_count(t, F.lit(NULLABLE)).alias("nulls"),
+        F.regexp_count(t, F.lit(OPTIONAL)).alias("optionals"),
     )
     s = per.groupBy("project").agg(F.count("*").alias("files"), *[F.sum(c).alias(c) for c in per.columns[1:]])
     both = F.col("nulls") + F.col("optionals")

@@ -28,6 +28,17 @@ def naming_style(c: Column) -> Column:
     )
 
 
+#: Styles that a vote counts, in the order that decides between equals (fixed values); single lower-case words fit several and count for none.
+VOTED = ("snake_case", "camelCase", "PascalCase", "kebab-case", "SCREAMING_SNAKE_CASE")
+#: Words of languages, and names that a runtime demands, which nobody chose.
+KEYWORDS = {
+    "python": ("False", "None", "True", "and", "as", "assert", "async", "await", "break", "class", "continue", "def", "del", "elif", "else", "except", "finally", "for", "from", "global", "if", "import", "in", "is", "lambda", "nonlocal", "not", "or", "pass", "raise", "return", "try", "while", "with", "yield"),
+    "typescript": ("break", "case", "catch", "class", "const", "continue", "debugger", "default", "delete", "do", "else", "enum", "export", "extends", "false", "finally", "for", "function", "if", "import", "in", "instanceof", "interface", "let", "new", "null", "return", "super", "switch", "this", "throw", "true", "try", "typeof", "var", "void", "while", "with", "yield", "async", "await", "type", "namespace"),
+    "go": ("break", "case", "chan", "const", "continue", "default", "defer", "else", "fallthrough", "for", "func", "go", "goto", "if", "import", "interface", "map", "package", "range", "return", "select", "struct", "switch", "type", "var"),
+}
+DEMANDED = ("constructor", "toString", "valueOf", "hasOwnProperty", "toJSON")
+
+
 def import_kind(c: Column, prefix: str = "") -> Column:
     """FN-S02: how an import names its module: relative, alias (``@/``, ``~/``, ``#``), builtin (``node:``), scoped, own package, external."""
     own = F.lit(False) if not prefix else (c == prefix) | c.startswith(f"{prefix}/") | c.startswith(f"{prefix}.")

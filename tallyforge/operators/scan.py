@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.numeric import half_up, ratio
 from tallyforge.functions.paths import base_name, endings
+from tallyforge.functions.text import DEMANDED, KEYWORDS, VOTED, naming_style
 
 #: Directories that no census looks into.
 IGNORED = ("node_modules", ".git", "dist", "build", "out", ".next", ".nuxt", "__pycache__", ".pytest_cache", "venv", ".venv", "vendor", "target", "coverage", ".coverage", ".nyc_output", ".turbo", ".cache", "tmp", ".vitest")
@@ -467,3 +468,59 @@ def surfaces(roots: DataFrame) -> DataFrame:
     joined = named.join(alike, (F.col("project") == F.col("n_p")) & (F.col("raw") == F.col("n_r")))
     name = F.when((F.col("n") > 1) & (F.col("parent") != ""), F.concat("parent", F.lit("-"), "raw")).otherwise(F.col("raw"))
     return joined.select("project", "root", name.alias("name"), "signal")
+
+
+def naming_votes(names: DataFrame, group: list[str]) -> DataFrame:
+    """AGG-20, FLT-10: (group..., sample, majority, share, confidence, mixed) of ``names(group..., language, name)``.
+
+    Words of the language and names that a runtime demands do not vote, nor do
+    lower-case words; the confidence shrinks by five names, below seven tenths a
+    group is mixed. A group without a voting name has no majority, confidence 0.
+    """
+    chosen = ~F.col("name").isin(*DEMANDED)
+    for language, words in KEYWORDS.items():
+        chosen = chosen & ~((F.col("language") == language) & F.col("name").isin(*words))
+    style = F.when(F.coalesce(chosen, F.lit(True)), naming_style(F.col("name")))
+    n = names.groupBy(*group, style.alias("style")).agg(F.count("*").alias("n"))
+    votes = F.col("style").isin(*VOTED)
+    rank = F.array_position(F.array(*[F.lit(v) for v in VOTED]), F.col("style"))
+    g = n.groupBy(*group).agg(F.sum("n").alias("sample"), F.sum(F.when(votes, F.col("n"))).alias("valid"), F.max_by(F.when(votes, F.struct("style", "n")), F.when(votes, F.struct("n", (-rank).alias("r")))).alias("top"))
+    share = F.col("top.n") / F.col("valid")
+    return g.select(*group, "sample", F.col("top.style").alias("majority"), half_up(share, 4).alias("share"), half_up(F.coalesce(share * F.col("valid") / (F.col("valid") + 5), F.lit(0.0)), 4).alias("confidence"), F.coalesce(share < 0.7, F.lit(True)).alias("mixed"))
+
+
+def ui_systems(facts: DataFrame) -> DataFrame:
+    """CLS-09: (project, ui) of projects with tailwind: shadcn/ui where its three companions are there too."""
+    d = F.col("dependency")
+    has = lambda cond: F.coalesce(F.bool_or(cond), F.lit(False))
+    q = facts.groupBy("project").agg(has(d == "tailwindcss").alias("tailwind"), (has(d == "class-variance-authority") & has(d == "tailwind-merge") & has(d.startswith("@radix-ui/"))).alias("shadcn"))
+    return q.filter("tailwind").select("project", F.when(F.col("shadcn"), "shadcn/ui (Tailwind)").otherwise("Tailwind CSS").alias("ui"))
+
+
+def testing_elsewhere(projects: DataFrame, facts: DataFrame, files: DataFrame) -> DataFrame:
+    """CLS-09: (project, testing) outside of Node, of ``projects(project, type)``, ``facts(project, dependency)`` and ``files(project, path)``:
+    what a language brings along, or its usual package or folder."""
+    d = facts.filter(F.col("dependency").isin("pytest", "unittest")).select("project", F.col("dependency").alias("testing"), F.lit("python").alias("of")).distinct()
+    path = F.col("path")
+    r = files.select("project", F.when(path == ".rspec", "RSpec").when(path.startswith("test/"), "Minitest").alias("testing"), F.lit("ruby").alias("of")).filter(F.col("testing").isNotNull()).distinct()
+    own = d.unionByName(r).withColumnRenamed("project", "o_p")
+    found = projects.join(own, (F.col("project") == F.col("o_p")) & (F.col("type") == F.col("of"))).select("project", "testing")
+    fixed = projects.select("project", F.when(F.col("type") == "go", "Go testing").when(F.col("type") == "rust", "Cargo test").alias("testing")).filter(F.col("testing").isNotNull())
+    return found.unionByName(fixed)
+
+
+def deployments(found: DataFrame) -> DataFrame:
+    """CLS-10: (project, platform, path) of ``found(project, place, platform, path, root, primary)``: the first at the primary root, else the first of all."""
+    at_root = F.coalesce(F.col("root") == F.col("primary"), F.lit(False))
+    best = found.groupBy("project").agg(F.min_by(F.struct("platform", "path"), F.struct(~at_root, F.col("place"))).alias("x"))
+    return best.select("project", "x.platform", "x.path")
+
+
+#: CLS-11: what a scan cannot see or misses, each a rule over ``(project, head, env, env_ignored, runners, test_files, failure)``.
+BLIND_SPOTS = {
+    "no repository": lambda p: p["head"].isNull(),
+    "environment file not ignored": lambda p: p["env"] & ~p["env_ignored"],
+    "no tests": lambda p: (p["runners"] == 0) & (p["test_files"] == 0),
+    "tests of an unknown runner": lambda p: (p["runners"] == 0) & (p["test_files"] > 0),
+    "no analysis": lambda p: p["failure"].isNotNull(),
+}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.operators import scan
+from tallyforge.operators.rules import rule_violations
 from tallyforge.plans.samples import rows_sql, tree
 from tallyforge.plans.views import CTE, modules
 from tallyforge.registry import Registry
@@ -98,6 +99,8 @@ RULES = (
     ("framework", "nextjs", "next", 0, 0.85, None, "next.config.js", 0.1),
     ("framework", "nestjs", "@nestjs/core", 2, 0.9, None, "src/main.ts", 0.05),
     ("framework", "express", "express", 3, 0.8, "@nestjs/core", "server.js", 0.1),
+    # architectures before providers
+    *[("ai", name, package, i, 0.8, None, None, None) for i, (package, name) in enumerate((("ai", "Vercel AI"), ("@ai-sdk/core", "Vercel AI"), ("langchain", "LangChain"), ("@langchain/core", "LangChain"), ("@anthropic-ai/sdk", "Anthropic"), ("openai", "OpenAI"), ("@google/generative-ai", "Google AI"), ("@ai-sdk/anthropic", "Vercel AI"), ("@ai-sdk/openai", "Vercel AI"), ("@ai-sdk/google", "Vercel AI"), ("@ai-sdk/mistral", "Vercel AI")))],
     ("validation", "pydantic", "pydantic", 0, 0.75, None, None, None),
     ("validation", "zod", "zod", 1, 0.75, None, None, None),
     ("validation", "joi", "joi", 2, 0.75, None, None, None),
@@ -121,6 +124,7 @@ def rules(spark: SparkSession) -> DataFrame:
         "project, category, name, confidence, dependency",
         "('a', 'framework', 'nextjs', 0.95::DOUBLE, 'next')",
         "('a', 'validation', 'zod', 0.75, 'zod')",
+        "('a', 'ai', 'LangChain', 0.8, 'langchain')",
         "('b', 'framework', 'nestjs', 0.9, '@nestjs/core')",
         "('b', 'validation', 'class-validator', 0.75, 'class-validator')",
         "('c', 'framework', 'express', 0.9, 'express')",
@@ -129,7 +133,7 @@ def rules(spark: SparkSession) -> DataFrame:
 )
 def detected_libraries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CLS-03, CLS-08, UDX-02: frameworks and validators by the first rule of each category that holds, with its confidence; manifests feed it."""
-    facts = spark.createDataFrame([("a", "next"), ("a", "react"), ("a", "joi"), ("a", "zod"), ("b", "express"), ("b", "@nestjs/core"), ("b", "class-validator"), ("c", "express"), ("d", "left-pad")], "project string, dependency string")
+    facts = spark.createDataFrame([("a", "next"), ("a", "react"), ("a", "joi"), ("a", "zod"), ("a", "openai"), ("a", "langchain"), ("b", "express"), ("b", "@nestjs/core"), ("b", "class-validator"), ("c", "express"), ("d", "left-pad")], "project string, dependency string")
     own = manifests.dependencies(tree(spark)).select("project", F.col("name").alias("dependency"))
     hints = spark.createDataFrame([("a", "apps/web/next.config.js"), ("c", "server.js")], "project string, path string")
     return scan.best_by_rank(facts.unionByName(own), rules(spark), hints)
@@ -304,3 +308,53 @@ def detected_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     d = spark.createDataFrame([("p", *r) for r in rows], "project string, root string, files int, has_bin boolean, is_library boolean, scripts array<string>, deps array<string>, configs array<string>")
     return scan.surfaces(d).select("root", "name", "signal")
+
+
+@R.query("ui_systems", rows_sql("project, ui", "('a', 'shadcn/ui (Tailwind)')", "('b', 'Tailwind CSS')"))
+def ui_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CLS-09: the UI system by its signature of packages."""
+    three = ("tailwindcss", "class-variance-authority", "tailwind-merge")
+    rows = [("a", d) for d in (*three, "@radix-ui/react-dialog")] + [("b", d) for d in three] + [("c", "@radix-ui/react-dialog"), ("c", "tailwind-merge")]
+    return scan.ui_systems(spark.createDataFrame(rows, "project string, dependency string"))
+
+
+@R.query("testing_elsewhere", rows_sql("project, testing", "('py', 'pytest')", "('go', 'Go testing')", "('rb', 'RSpec')", "('rb', 'Minitest')", "('rs', 'Cargo test')"))
+def testing_elsewhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CLS-09: test frameworks of other languages."""
+    projects = spark.createDataFrame([("py", "python"), ("py2", "python"), ("go", "go"), ("rb", "ruby"), ("rs", "rust"), ("js", "node")], "project string, type string")
+    facts = spark.createDataFrame([("py", "pytest"), ("js", "pytest"), ("py2", "flask")], "project string, dependency string")
+    files = spark.createDataFrame([("rb", ".rspec"), ("rb", "test/a_test.rb"), ("rb", "test/b_test.rb"), ("js", "test/x.js")], "project string, path string")
+    return scan.testing_elsewhere(projects, facts, files)
+
+
+@R.query("deployments", rows_sql("project, platform, path", "('a', 'vercel', 'apps/web/vercel.json')", "('b', 'fly', 'fly.toml')"))
+def deployments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CLS-10: the platform of the primary root, else the first that was found."""
+    rows = [("a", 0, "docker", "Dockerfile", ".", "apps/web"), ("a", 1, "vercel", "apps/web/vercel.json", "apps/web", "apps/web"), ("b", 0, "fly", "fly.toml", ".", None), ("b", 1, "docker", "x/Dockerfile", "x", None)]
+    return scan.deployments(spark.createDataFrame(rows, "project string, place int, platform string, path string, root string, primary string"))
+
+
+@R.query("blind_spots", rows_sql("project, violation", "('a', 'no repository')", "('a', 'no tests')", "('b', 'environment file not ignored')", "('b', 'tests of an unknown runner')", "('c', 'no analysis')"))
+def blind_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CLS-11, UDX-01: what a scan cannot see, by a registry of rules."""
+    rows = [("a", None, False, False, 0, 0, None), ("b", "f00", True, False, 0, 4, None), ("c", "f00", True, True, 1, 0, "timeout"), ("d", "f00", False, False, 2, 9, None)]
+    d = spark.createDataFrame(rows, "project string, head string, env boolean, env_ignored boolean, runners int, test_files int, failure string")
+    return rule_violations(d, "project", scan.BLIND_SPOTS)
+
+
+@R.query(
+    "symbol_names",
+    rows_sql(
+        "project, kind, sample, majority, share, confidence, mixed",
+        "('p', 'function', 6, 'snake_case', 0.75::DOUBLE, 0.3333::DOUBLE, false)",
+        "('p', 'class', 2, 'PascalCase', 1.0, 0.2857, false)",
+        "('q', 'function', 4, 'snake_case', 0.5, 0.1429, true)",
+        "('q', 'class', 2, NULL, NULL, 0.0, true)",
+    ),
+)
+def symbol_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-20, FLT-10: naming styles of functions and classes; keywords, demanded names and lower-case words do not vote, equals go by the order of styles."""
+    rows = [("p", "function", "python", n) for n in ("load_file", "save_file", "read_all", "doIt", "run", "lambda")] + [("p", "class", "python", n) for n in ("Reader", "FileStore")]
+    rows += [("q", "function", "typescript", n) for n in ("toString", "get_one", "getTwo", "constructor")] + [("q", "class", "go", n) for n in ("x", "range")]
+    out = scan.naming_votes(spark.createDataFrame(rows, "project string, kind string, language string, name string"), ["project", "kind"])
+    return out.withColumn("sample", F.col("sample").cast("int"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text as X
 from tallyforge.functions.numeric import gcd, half_up
-from tallyforge.operators import nested
+from tallyforge.operators import nested, scan
 from tallyforge.operators.rows import latest
 from tallyforge.operators.rules import rule_violations
 from tallyforge.plans.rules import documents
@@ -22,21 +22,21 @@ _STYLE = r"""(SELECT CASE WHEN length(s.v) <= 1 OR NOT regexp_full_match(s.w, '[
  WHEN s.w = lower(s.w) THEN CASE WHEN contains(s.w, '-') THEN 'kebab-case' ELSE 'snake_case' END ELSE 'unknown' END FROM (SELECT {0} AS v, trim({0}, '_') AS w) s)"""
 
 
+_VOTED = "[" + ", ".join(f"'{v}'" for v in X.VOTED) + "]"
+
+
 @R.query(
     "naming_vote",
     CTE
-    + f""", s AS (SELECT project, {_STYLE.format("anchor")} AS style, count(*) AS n FROM f WHERE anchor IS NOT NULL GROUP BY ALL),
-v AS (SELECT project, sum(n) AS total, sum(n) FILTER (style <> 'unknown') AS valid, max(n) FILTER (style <> 'unknown') AS top, arg_max(style, (n, style)) FILTER (style <> 'unknown') AS majority FROM s GROUP BY project)
-SELECT project, CAST(total AS BIGINT) AS sample_size, majority, floor(top / valid * 1e4 + 0.5) / 1e4 AS share, floor(top / valid * valid / (valid + 5) * 1e4 + 0.5) / 1e4 AS confidence, top / valid < 0.7 AS mixed FROM v WHERE valid > 0
+    + f""", s AS (SELECT project, CASE WHEN anchor NOT IN ('constructor', 'toString', 'valueOf', 'hasOwnProperty', 'toJSON') THEN {_STYLE.format("anchor")} END AS style, count(*) AS n FROM f WHERE anchor IS NOT NULL GROUP BY ALL),
+v AS (SELECT project, sum(n) AS total, sum(n) FILTER (list_contains({_VOTED}, style)) AS valid, max(n) FILTER (list_contains({_VOTED}, style)) AS top, arg_max(style, (n, -list_position({_VOTED}, style))) FILTER (list_contains({_VOTED}, style)) AS majority FROM s GROUP BY project)
+SELECT project, CAST(total AS BIGINT) AS sample_size, majority, floor(top / valid * 1e4 + 0.5) / 1e4 AS share, coalesce(floor(top / valid * valid / (valid + 5) * 1e4 + 0.5) / 1e4, 0) AS confidence, coalesce(top / valid < 0.7, true) AS mixed FROM v
 """,
 )
 def naming_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-20, FN-S01, FLT-10: majority naming style per project; the sample counts all names, the confidence shrinks by 5."""
-    s = findings(spark, sf_dir, "anchor").filter(F.col("anchor").isNotNull()).groupBy("project", X.naming_style(F.col("anchor")).alias("style")).agg(F.count("*").alias("n"))
-    ok = F.col("style") != "unknown"
-    v = s.groupBy("project").agg(F.sum("n").alias("sample_size"), F.sum(F.when(ok, F.col("n"))).alias("valid"), F.max(F.when(ok, F.col("n"))).alias("top"), F.max_by(F.when(ok, F.col("style")), F.when(ok, F.struct("n", "style"))).alias("majority"))
-    p = F.col("top") / F.col("valid")
-    return v.filter(F.col("valid") > 0).select("project", "sample_size", "majority", half_up(p, 4).alias("share"), half_up(p * F.col("valid") / (F.col("valid") + 5), 4).alias("confidence"), (p < 0.7).alias("mixed"))
+    """AGG-20, FN-S01, FLT-10: majority naming style of the names that a project's findings point at; the sample counts all names, the confidence shrinks by 5."""
+    names = findings(spark, sf_dir, "anchor").filter(F.col("anchor").isNotNull()).select("project", F.lit(None).cast("string").alias("language"), F.col("anchor").alias("name"))
+    return scan.naming_votes(names, ["project"]).withColumnRenamed("sample", "sample_size")
 
 
 @R.query(

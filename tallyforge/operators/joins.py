@@ -187,16 +187,16 @@ def zipped(a: DataFrame, b: DataFrame, key: list[str], nth: str = "nth") -> Data
     return a.join(right, on).drop(*[f"b_{k}" for k in [*key, nth]])
 
 
-def coverage(scope: DataFrame, links: DataFrame, waivers: DataFrame, weak: tuple[str, ...] = ("exists", "truthy")) -> DataFrame:
-    """JN-11: every criterion of a scope as linked, waived or uncovered; a link beats a waiver.
+def coverage(scope: DataFrame, links: DataFrame, waivers: DataFrame, weak: tuple[str, ...] = ("exists", "contains", "truthy")) -> DataFrame:
+    """JN-11: every criterion of a scope as pinned by an assertion, waived by judgment or as retired, or uncovered; a link beats a waiver.
 
-    ``scope(item, ac)``, ``links(item, ac, matcher)``, ``waivers(item, ac)``.
-    ``weak_only``: all its links have a weak matcher.
+    ``scope(item, ac)``, ``links(item, ac, matcher)``, ``waivers(item, ac, way)``,
+    one way each. ``weak_only``: all its links have a weak matcher.
     """
     by_ac = links.groupBy(F.col("item").alias("l_i"), F.col("ac").alias("l_ac")).agg(F.count("*").alias("links"), F.bool_and(F.coalesce(F.col("matcher"), F.lit("")).isin(*weak)).alias("weak_only"))
-    waived = waivers.select(F.col("item").alias("w_i"), F.col("ac").alias("w_ac")).distinct()
+    waived = waivers.groupBy(F.col("item").alias("w_i"), F.col("ac").alias("w_ac")).agg(F.max("way").alias("way"))
     joined = scope.join(by_ac, (F.col("item") == F.col("l_i")) & (F.col("ac") == F.col("l_ac")), "left").join(waived, (F.col("item") == F.col("w_i")) & (F.col("ac") == F.col("w_ac")), "left")
-    state = F.when(F.col("links") > 0, "linked").when(F.col("w_ac").isNotNull(), "waived").otherwise("uncovered")
+    state = F.when(F.col("links") > 0, "pinned").when(F.col("way").isNotNull(), F.col("way")).otherwise("uncovered")
     return joined.select("item", "ac", state.alias("state"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("weak_only", F.lit(False)).alias("weak_only"))
 
 

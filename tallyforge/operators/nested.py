@@ -284,7 +284,10 @@ def contract_criteria(contracts: DataFrame) -> DataFrame:
     """(item, kind, ac, matcher) of ``contracts(contract_id, body)`` in every form of body.
 
     ``kind`` is ``contract`` (one row each, without a criterion), ``link`` (an
-    assertion and a criterion it names) or ``waiver``.
+    assertion and a criterion it names) or ``waiver``, whose matcher is the way
+    it is waived (judgment or retired). A waiver without a reason or of another
+    kind is none; of several for one criterion the last counts. Criteria are in
+    upper case.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,11 +304,12 @@ def contract_criteria(contracts: DataFrame) -> DataFrame:
                 rows.append((key, "contract", None, None))
                 for x in _each_assertion(c.get("assertions")):
                     m = x.get("matcher")
-                    rows += [(key, "link", ac, m if isinstance(m, str) else None) for ac in _named(x.get("ac"))]
-                waivers = c.get("coverage_waivers")
+                    rows += [(key, "link", ac.upper(), m if isinstance(m, str) else None) for ac in _named(x.get("ac"))]
+                waivers, waived = c.get("coverage_waivers"), {}
                 for w in waivers if isinstance(waivers, list) else [waivers]:
-                    if isinstance(w, dict):
-                        rows += [(key, "waiver", ac, None) for ac in _named(w.get("ac"))]
+                    if isinstance(w, dict) and w.get("kind") in ("judgment", "retired") and text_of(w.get("reason")):
+                        waived |= dict.fromkeys((ac.upper() for ac in _named(w.get("ac"))), w["kind"])
+                rows += [(key, "waiver", ac, way) for ac, way in waived.items()]
             columns = zip(*rows, strict=True) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.string(), pa.string(), pa.string()], strict=True)], names=["item", "kind", "ac", "matcher"])
 

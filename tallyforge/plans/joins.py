@@ -174,8 +174,9 @@ x AS (
   UNION ALL SELECT contract_id, v -> k FROM (SELECT contract_id, body -> '$.assertions' AS v, unnest(json_keys(body, '$.assertions')) AS k FROM c WHERE json_type(body, '$.assertions') = 'OBJECT')),
 k0 AS (SELECT contract_id AS item, a ->> '$.ac' AS ac, a ->> '$.matcher' AS matcher FROM x WHERE json_type(a, '$.ac') NOT IN ('ARRAY', 'OBJECT', 'BOOLEAN', 'NULL')
   UNION ALL SELECT contract_id, unnest(CAST(a -> '$.ac' AS VARCHAR[])), a ->> '$.matcher' FROM x WHERE json_type(a, '$.ac') = 'ARRAY'),
-k AS (SELECT item, ac, matcher FROM (SELECT item, trim(unnest(string_split(replace(ac, ';', ','), ','))) AS ac, matcher FROM k0) WHERE ac <> ''),
-w AS (SELECT item, ac FROM (SELECT contract_id AS item, trim(unnest(CAST(body -> '$.coverage_waivers' AS JSON[])) ->> '$.ac') AS ac FROM c WHERE json_type(body, '$.coverage_waivers') = 'ARRAY') WHERE ac <> ''),
+k AS (SELECT item, upper(ac) AS ac, matcher FROM (SELECT item, trim(unnest(string_split(replace(ac, ';', ','), ','))) AS ac, matcher FROM k0) WHERE ac <> ''),
+w0 AS (SELECT contract_id AS item, unnest(CAST(body -> '$.coverage_waivers' AS JSON[])) AS w, unnest(range(json_array_length(body, '$.coverage_waivers')::BIGINT)) AS i FROM c WHERE json_type(body, '$.coverage_waivers') = 'ARRAY'),
+w AS (SELECT item, upper(trim(w ->> '$.ac')) AS ac, arg_max(w ->> '$.kind', i) AS way FROM w0 WHERE trim(w ->> '$.ac') <> '' AND w ->> '$.kind' IN ('judgment', 'retired') AND trim(w ->> '$.reason') <> '' GROUP BY 1, 2),
 tot AS (SELECT project, slug, arg_max(acceptance_criteria.total, entry_idx) AS total FROM (SELECT * FROM entries QUALIFY row_number() OVER (PARTITION BY entry_idx ORDER BY ingested_at DESC NULLS LAST) = 1)
   WHERE slug IS NOT NULL AND acceptance_criteria.total > 0 GROUP BY ALL),
 s AS (SELECT item, ac FROM k UNION SELECT item, ac FROM w UNION SELECT contract_id, 'AC' || unnest(range(1, total + 1)) FROM c JOIN tot USING (project, slug))
@@ -187,20 +188,20 @@ def _coverage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c = latest(table(spark, sf_dir, "contracts").select("contract_id", "project", "slug", "sealed_at", "body"), ["contract_id"], [F.desc_nulls_last("sealed_at"), F.desc_nulls_last("body")])
     rows = materialise(nested.contract_criteria(c), "criteria")
     links = rows.filter("kind = 'link'").select("item", "ac", "matcher")
-    waivers = rows.filter("kind = 'waiver'").select("item", "ac")
+    waivers = rows.filter("kind = 'waiver'").select("item", "ac", F.col("matcher").alias("way"))
     total = F.col("acceptance_criteria.total")
     e = entries(spark, sf_dir, "slug", "acceptance_criteria").filter(F.col("slug").isNotNull() & (total > 0)).groupBy("project", "slug").agg(F.max_by(total, "entry_idx").alias("total"))
     valid = rows.filter("kind = 'contract'").select("item")
     stated = c.select(F.col("contract_id").cast("bigint").alias("item"), "project", "slug").join(valid, "item", "left_semi").join(e, ["project", "slug"])
     numbered = stated.select("item", F.explode(F.sequence(F.lit(1), "total")).alias("i")).select("item", F.concat(F.lit("AC"), F.col("i").cast("string")).alias("ac"))
-    scope = links.select("item", "ac").unionByName(waivers).unionByName(numbered).distinct()
+    scope = links.select("item", "ac").unionByName(waivers.select("item", "ac")).unionByName(numbered).distinct()
     return valid, J.coverage(scope, links, waivers)
 
 
 _COVERED = """,
-g AS (SELECT item, ac, count(*) AS links, bool_and(coalesce(matcher, '') IN ('exists', 'truthy')) AS weak_only FROM k GROUP BY ALL),
-v AS (SELECT s.item, s.ac, CASE WHEN links > 0 THEN 'linked' WHEN EXISTS (SELECT 1 FROM w WHERE w.item = s.item AND w.ac = s.ac) THEN 'waived' ELSE 'uncovered' END AS state,
-  coalesce(links, 0) AS links, coalesce(weak_only, false) AS weak_only FROM s LEFT JOIN g ON g.item = s.item AND g.ac = s.ac)
+g AS (SELECT item, ac, count(*) AS links, bool_and(coalesce(matcher, '') IN ('exists', 'contains', 'truthy')) AS weak_only FROM k GROUP BY ALL),
+v AS (SELECT s.item, s.ac, CASE WHEN links > 0 THEN 'pinned' ELSE coalesce(way, 'uncovered') END AS state,
+  coalesce(links, 0) AS links, coalesce(weak_only, false) AS weak_only FROM s LEFT JOIN g ON g.item = s.item AND g.ac = s.ac LEFT JOIN w ON w.item = s.item AND w.ac = s.ac)
 """
 
 
@@ -211,13 +212,13 @@ def criterion_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query(
     "coverage_gate",
-    "WITH" + _CONTRACT + _COVERED + "SELECT item, count(*) FILTER (state = 'uncovered') AS uncovered, count(*) FILTER (weak_only) AS weak, CASE WHEN count(*) FILTER (state = 'linked') = 0 THEN 'degrade' WHEN count(*) FILTER (state = 'uncovered') > 0 THEN 'block' ELSE 'active' END AS gate FROM (SELECT contract_id AS item FROM c) LEFT JOIN v USING (item) GROUP BY item",
+    "WITH" + _CONTRACT + _COVERED + "SELECT item, count(*) FILTER (state = 'uncovered') AS uncovered, count(*) FILTER (weak_only) AS weak, CASE WHEN count(*) FILTER (state = 'pinned') = 0 THEN 'degrade' WHEN count(*) FILTER (state = 'uncovered') > 0 THEN 'block' ELSE 'active' END AS gate FROM (SELECT contract_id AS item FROM c) LEFT JOIN v USING (item) GROUP BY item",
 )
 def coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CLS-13: a contract without any link degrades the gate, an uncovered criterion blocks."""
     valid, covered = _coverage(spark, sf_dir)
     v = valid.join(covered, "item", "left")
-    open_, linked = F.count_if(F.col("state") == "uncovered"), F.count_if(F.col("state") == "linked")
+    open_, linked = F.count_if(F.col("state") == "uncovered"), F.count_if(F.col("state") == "pinned")
     return v.groupBy("item").agg(open_.alias("uncovered"), F.count_if("weak_only").alias("weak"), F.when(linked == 0, "degrade").when(open_ > 0, "block").otherwise("active").alias("gate"))
 
 

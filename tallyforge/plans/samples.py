@@ -547,3 +547,34 @@ def stage_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     d = spark.createDataFrame(rows, "item string, kind string, t string").select("item", "kind", F.to_timestamp(F.concat(F.lit("2025-01-"), "t")).alias("at"))
     return S.alternating_minutes(d)
+
+
+@R.query("merged_lines", rows_sql("place, line", "(1, 'dist')", "(2, '.env')", "(3, 'mine')", "(4, '# note')"))
+def merged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET-06: stock lines first, then the user's own in their order without those of the stock, each once, whatever blanks stand around."""
+    stock = spark.createDataFrame([(0, "dist"), (1, ".env")], "i int, line string").withColumn("side", F.lit(0))
+    user = spark.createDataFrame([(0, "mine"), (1, " dist "), (2, "# note"), (3, "mine"), (4, "")], "i int, line string").withColumn("side", F.lit(1))
+    lines = stock.unionByName(user).withColumn("line", F.trim("line")).filter(F.col("line") != "")
+    first = lines.groupBy("line").agg(F.min(F.struct("side", "i")).alias("at")).select(F.lit("file").alias("of"), "line", F.col("at.side").alias("side"), F.col("at.i").alias("i"))
+    return J.numbered(first, ["of"], ["side", "i"], F.col("side"), "place").select(F.col("place").cast("int").alias("place"), "line")
+
+
+@R.query("stored_verdicts", rows_sql("claim_id, says, status, reason, source", "('c1', 'reads only', 'violated', 'odd-reason', 'deterministic')", "('c2', '', 'satisfied', 'ok', NULL)"))
+def stored_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-16: verdicts as they are stored: what a claim says is looked up, empty where it is not known; reasons stay as they are, a source stays absent."""
+    verdicts = spark.createDataFrame([("c1", "violated", "odd-reason", "deterministic", 7), ("c2", "satisfied", "ok", None, 8)], "claimId string, status string, reason string, source string, extra int")
+    says = spark.createDataFrame([({"c1": "reads only"},)], "says map<string,string>")  # one row
+    return verdicts.crossJoin(F.broadcast(says)).select(F.col("claimId").alias("claim_id"), F.coalesce(F.try_element_at("says", "claimId"), F.lit("")).alias("says"), "status", "reason", "source")
+
+
+@R.query(
+    "error_envelopes",
+    rows_sql("envelope", r"""('{"command":"proof close","error":{"code":"WRONG_BRANCH","message":"on \"main\"","branch":"main"},"meta":{"chain_runs":0,"active":0}}')""", """('{"command":"audit","results":{"n":2},"meta":{"chain_runs":3,"active":1}}')"""),
+)
+def error_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-03: a command's answer as JSON, its results or its error with the context, and the chain's health, zero without a chain."""
+    rows = [("proof close", None, "WRONG_BRANCH", 'on "main"', "main", None, None), ("audit", 2, None, None, None, 3, 1)]
+    d = spark.createDataFrame(rows, "command string, n int, code string, message string, branch string, runs int, active int")
+    error = F.when(F.col("code").isNotNull(), F.struct("code", "message", "branch"))
+    meta = F.struct(F.coalesce("runs", F.lit(0)).alias("chain_runs"), F.coalesce("active", F.lit(0)).alias("active"))
+    return d.select(F.to_json(F.struct("command", F.when(F.col("code").isNull(), F.struct("n")).alias("results"), error.alias("error"), meta.alias("meta"))).alias("envelope"))

@@ -56,9 +56,9 @@ def test_path_matching(spark):
 def test_coverage(spark):
     scope = spark.createDataFrame([(1, x) for x in ("AC1", "AC2", "AC3", "AC4")], "item int, ac string")
     links = spark.createDataFrame([(1, "AC1", "exists"), (1, "AC1", "equals"), (1, "AC2", "truthy"), (2, "AC4", "equals")], "item int, ac string, matcher string")
-    waived = spark.createDataFrame([(1, "AC1"), (1, "AC3")], "item int, ac string")
+    waived = spark.createDataFrame([(1, "AC1", "retired"), (1, "AC3", "judgment")], "item int, ac string, way string")
     got = {r.ac: (r.state, r.links, r.weak_only) for r in J.coverage(scope, links, waived).collect()}
-    assert got == {"AC1": ("linked", 2, False), "AC2": ("linked", 1, True), "AC3": ("waived", 0, False), "AC4": ("uncovered", 0, False)}
+    assert got == {"AC1": ("pinned", 2, False), "AC2": ("pinned", 1, True), "AC3": ("judgment", 0, False), "AC4": ("uncovered", 0, False)}
 
 
 def test_bands(spark):
@@ -105,7 +105,7 @@ def test_coverage_reads_every_form_of_contract(spark, tmp_path):
 
     from tallyforge.plans.joins import R
 
-    plain = {"assertions": [{"id": "A1", "matcher": "exists", "ac": ["AC1", "AC7"]}], "coverage_waivers": [{"ac": "AC2", "kind": "retired"}]}
+    plain = {"assertions": [{"id": "A1", "matcher": "exists", "ac": ["AC1", "AC7"]}], "coverage_waivers": [{"ac": "ac2", "kind": "retired", "reason": "gone"}, {"ac": "AC3", "kind": "retired", "reason": " "}, {"ac": "AC4", "kind": "other", "reason": "x"}]}  # the last two are no waivers
     blocks = {"assertions": [{"name": "b", "assertions": [{"id": "A1", "matcher": "equals", "ac": "AC1; AC2"}]}]}
     mapped = {"assertions": {"A1": {"matcher": "truthy", "ac": ["AC1"]}}}
     bodies = [plain, {"contract": blocks}, {"data": {"contract": mapped}}, json.dumps(plain), {"assertions": []}]
@@ -113,8 +113,8 @@ def test_coverage_reads_every_form_of_contract(spark, tmp_path):
     spark.createDataFrame(rows, "contract_id bigint, project string, slug string, sealed_at timestamp, body string").write.parquet(f"{tmp_path}/contracts.parquet")
     spark.createDataFrame([(0, "p", None, "s2", (2,))], "entry_idx int, project string, ingested_at timestamp, slug string, acceptance_criteria struct<total int>").write.parquet(f"{tmp_path}/entries.parquet")
     got = {tuple(r) for r in R.queries["criterion_coverage"](spark, str(tmp_path)).select("item", "ac", "state", "weak_only").collect()}
-    whole = {("AC1", "linked", True), ("AC7", "linked", True), ("AC2", "waived", False)}
-    assert got == {(i, *x) for i in (0, 3) for x in whole} | {(1, "AC1", "linked", False), (1, "AC2", "linked", False), (2, "AC1", "linked", True), (2, "AC2", "uncovered", False)}
+    whole = {("AC1", "pinned", True), ("AC7", "pinned", True), ("AC2", "retired", False)}
+    assert got == {(i, *x) for i in (0, 3) for x in whole} | {(1, "AC1", "pinned", False), (1, "AC2", "pinned", False), (2, "AC1", "pinned", True), (2, "AC2", "uncovered", False)}
     gate = {r["item"]: r["gate"] for r in R.queries["coverage_gate"](spark, str(tmp_path)).collect()}
     assert gate == {0: "active", 1: "active", 2: "block", 3: "active", 4: "degrade"}
 

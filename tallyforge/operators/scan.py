@@ -524,3 +524,29 @@ BLIND_SPOTS = {
     "tests of an unknown runner": lambda p: (p["runners"] == 0) & (p["test_files"] > 0),
     "no analysis": lambda p: p["failure"].isNotNull(),
 }
+
+
+def workspaces(files: DataFrame) -> DataFrame:
+    """SRC-05: (project, root, package, files, has_bin, is_library, scripts, deps, configs) of every package of ``files(project, path, text)``.
+
+    A package is a folder with a Node manifest that is valid JSON, ``.`` at the
+    top; below the top only folders that the top's ``workspaces`` name (``a/*``
+    one level, ``a/**`` any, without a list all). Sources are counted below each.
+    """
+    path, text = F.col("path"), F.col("text")
+    folder = F.array_join(_folders(path), "/")
+    at = F.when(folder == "", ".").otherwise(folder)
+    keys = lambda k: F.coalesce(F.json_object_keys(F.get_json_object(text, f"$.{k}")), F.array().cast("array<string>"))
+    has = lambda *ks: F.coalesce(*[F.get_json_object(text, f"$.{k}") for k in ks]).isNotNull()
+    m = files.filter((base_name(path) == "package.json") & _looked_into(path) & F.try_parse_json(text).isNotNull())
+    listed = F.coalesce(F.get_json_object(text, "$.workspaces.packages"), F.get_json_object(text, "$.workspaces"))
+    m = m.select("project", at.alias("root"), F.get_json_object(text, "$.name").alias("package"), has("bin").alias("has_bin"), has("main", "module", "exports").alias("is_library"), F.array_sort(keys("scripts")).alias("scripts"), F.array_sort(F.array_distinct(F.concat(keys("dependencies"), keys("peerDependencies")))).alias("deps"), F.from_json(listed, "array<string>").alias("globs"))
+    tops = m.filter((F.col("root") == ".") & F.col("globs").isNotNull()).select(F.col("project").alias("t_p"), F.col("globs").alias("named"))
+    form = lambda g: F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(g, r"^\./|/$", ""), r"\.", r"\\\\."), r"\*\*", "\x00"), r"\*", "[^/]+"), F.lit("$"))
+    fits = F.exists("named", lambda g: F.regexp_like(F.col("root"), F.replace(form(g), F.lit("\x00"), F.lit(".+"))))
+    kept = m.join(tops, F.col("project") == F.col("t_p"), "left").filter((F.col("root") == ".") | F.col("named").isNull() | fits)
+    configs = files.filter(base_name(path).rlike(STRONG_CONFIG)).groupBy(F.col("project").alias("c_p"), at.alias("c_r")).agg(F.array_sort(F.collect_set(base_name(path))).alias("configs"))
+    roots = kept.join(configs, (F.col("project") == F.col("c_p")) & (F.col("root") == F.col("c_r")), "left")
+    sized = files_by_root(files.select("project", "path"), kept.select("project", "root")).select(F.col("project").alias("s_p"), F.col("root").alias("s_r"), "files")
+    joined = roots.join(sized, (F.col("project") == F.col("s_p")) & (F.col("root") == F.col("s_r")))
+    return joined.select("project", "root", "package", F.col("files").cast("int").alias("files"), "has_bin", "is_library", "scripts", "deps", F.coalesce("configs", F.array().cast("array<string>")).alias("configs"))

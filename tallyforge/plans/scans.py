@@ -358,3 +358,38 @@ def symbol_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows += [("q", "function", "typescript", n) for n in ("toString", "get_one", "getTwo", "constructor")] + [("q", "class", "go", n) for n in ("x", "range")]
     out = scan.naming_votes(spark.createDataFrame(rows, "project string, kind string, language string, name string"), ["project", "kind"])
     return out.withColumn("sample", F.col("sample").cast("int"))
+
+
+_WORKSPACE = (
+    ("m", "package.json", '{"name": "mono", "workspaces": ["apps/*", "./packages/**"], "scripts": {"build": "x"}}'),
+    ("m", "apps/web/package.json", '{"name": "@m/web", "scripts": {"dev": "next", "build": "x"}, "dependencies": {"next": "14", "react": "18"}}'),
+    ("m", "apps/web/next.config.js", ""), ("m", "apps/web/src/a.ts", ""), ("m", "apps/web/src/b.tsx", ""),
+    ("m", "packages/tools/cli/package.json", '{"name": "cli", "bin": {"cli": "x.js"}, "scripts": {"dev": "tsx"}, "peerDependencies": {"zod": "3"}}'),
+    *[("m", f"packages/tools/cli/src/{i}.ts", "") for i in range(6)],
+    ("m", "packages/lib/package.json", '{"name": "lib", "exports": "./x.js"}'), ("m", "packages/broken/package.json", "{"), ("m", "other/package.json", "{}"), ("m", "apps/web/deep/package.json", "{}"), ("m", "node_modules/z/package.json", "{}"),
+    ("n", "package.json", '{"name": "one", "main": "i.js"}'), ("n", "sub/package.json", "{}"), ("n", "sub/x.js", ""),
+)
+
+
+@R.query(
+    "workspace_packages",
+    rows_sql(
+        "project, root, package, files, has_bin, is_library, scripts, deps, configs",
+        "('m', '.', 'mono', 9, false, false, 'build', '', '')",
+        "('m', 'apps/web', '@m/web', 3, false, false, 'build,dev', 'next,react', 'next.config.js')",
+        "('m', 'packages/tools/cli', 'cli', 6, true, false, 'dev', 'zod', '')",
+        "('m', 'packages/lib', 'lib', 0, false, true, '', '', '')",
+        "('n', '.', 'one', 1, false, true, '', '', '')",
+        "('n', 'sub', NULL, 1, false, false, '', '', '')",
+    ),
+)
+def workspace_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-05: the packages of a repository by the patterns of its top manifest, each with its sources, scripts and dependencies."""
+    w = scan.workspaces(spark.createDataFrame(list(_WORKSPACE), "project string, path string, text string"))
+    return w.select("project", "root", "package", "files", "has_bin", "is_library", *[F.array_join(c, ",").alias(c) for c in ("scripts", "deps", "configs")])
+
+
+@R.query("workspace_surfaces", rows_sql("root, name, signal", "('packages/tools/cli', 'cli', 1)"))
+def workspace_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-05, CLS-07: the surfaces among the packages of a repository; the web app has too few sources."""
+    return scan.surfaces(scan.workspaces(spark.createDataFrame(list(_WORKSPACE), "project string, path string, text string"))).select("root", "name", "signal")

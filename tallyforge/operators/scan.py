@@ -550,3 +550,46 @@ def workspaces(files: DataFrame) -> DataFrame:
     sized = files_by_root(files.select("project", "path"), kept.select("project", "root")).select(F.col("project").alias("s_p"), F.col("root").alias("s_r"), "files")
     joined = roots.join(sized, (F.col("project") == F.col("s_p")) & (F.col("root") == F.col("s_r")))
     return joined.select("project", "root", "package", F.col("files").cast("int").alias("files"), "has_bin", "is_library", "scripts", "deps", F.coalesce("configs", F.array().cast("array<string>")).alias("configs"))
+
+
+#: What a directory of a name is for.
+PURPOSES = {
+    "src": "Source code", "lib": "Library code", "app": "Application code", "api": "API endpoints", "routes": "API routes", "controllers": "Request controllers", "handlers": "Request handlers",
+    "models": "Data models", "schemas": "Data schemas", "services": "Service modules", "domain": "Domain logic", "core": "Core modules", "utils": "Utility functions", "helpers": "Helper functions",
+    "middleware": "Request middleware", "middlewares": "Request middleware", "config": "Configuration", "engine": "Engine code", "shared": "Shared utilities", "common": "Common utilities",
+    "tests": "Tests", "test": "Tests", "__tests__": "Jest tests", "spec": "Spec tests", "e2e": "End-to-end tests", "integration": "Integration tests", "cypress": "Cypress tests", "playwright": "Playwright tests",
+    "fixtures": "Test fixtures", "docs": "Documentation", "email-templates": "Email templates", "documentation": "Documentation", "components": "UI components", "pages": "Page routes", "views": "View templates",
+    "layouts": "Layout components", "styles": "Stylesheets", "css": "Stylesheets", "scss": "Sass stylesheets", "public": "Public static files", "static": "Static files", "assets": "Assets", "web": "Web assets",
+    "hooks": "React hooks", "store": "State management", "stores": "State management", "migrations": "Database migrations", "alembic": "Database migrations (Python)", "schema": "Database schema",
+    "database": "Database code", "db": "Database code", "seeds": "Database seeds", "repositories": "Data repositories", "prisma": "Prisma schema", "supabase": "Supabase config", "drizzle": "Drizzle config",
+    "features": "Feature modules", "modules": "Feature modules", "contexts": "Contexts", "domains": "Domain modules", "infrastructure": "Infrastructure code", "apps": "Applications", "packages": "Workspace packages",
+    "cmd": "CLI commands", "internal": "Internal packages", "pkg": "Public packages", "dist": "Build output", "build": "Build output", "out": "Build output", ".next": "Next.js build cache", ".nuxt": "Nuxt build cache",
+    "target": "Rust build output", ".github": "GitHub config", ".vscode": "VS Code config", ".idea": "JetBrains config", "scripts": "Build/utility scripts", "tools": "Development tools", "deployments": "Deployment configs",
+    "docker": "Docker configurations", "templates": "Template files", "examples": "Example code", "prompts": "LLM prompts", "benchmarks": "Performance benchmarks", "concerns": "Rails concerns", "mailers": "Email mailers",
+    "jobs": "Background jobs", "workers": "Worker processes", "tasks": "Rake tasks", "resources": "Application resources", "providers": "Service providers", "vendor": "Third-party dependencies", "locales": "Internationalization",
+    "i18n": "Internationalization", "types": "Type definitions", "generated": "Generated code", "protos": "Protocol buffer definitions", "graphql": "GraphQL schemas",
+}
+
+
+def directory_purposes(dirs: DataFrame) -> DataFrame:
+    """CLS-06: ``dirs(project, dir)`` with ``depth`` and ``purpose`` by the last segment, Unknown for other names; a broadcast dictionary."""
+    known = F.broadcast(dirs.sparkSession.createDataFrame(list(PURPOSES.items()), "base string, known string"))
+    own = dirs.withColumn("base", base_name(F.col("dir"))).join(known, "base", "left")
+    return own.select("project", "dir", F.size(F.split("dir", "/")).alias("depth"), F.coalesce("known", F.lit("Unknown")).alias("purpose"))
+
+
+def test_locations(projects: DataFrame, files: DataFrame) -> DataFrame:
+    """CLS-06: (project, location, confidence) of ``projects(project, type)`` outside of Python: the first test folder at the root, else what the runner's file implies; no row without any."""
+    path = F.col("path")
+    has = lambda cond: F.coalesce(F.bool_or(cond), F.lit(False))
+    q = files.groupBy(F.col("project").alias("f_p")).agg(*[has(path.startswith(f"{d}/")).alias(d) for d in ("__tests__", "tests", "test")], has(path == "vitest.config.ts").alias("vitest"), has(path == "jest.config.js").alias("jest"))
+    p = projects.join(q, F.col("project") == F.col("f_p"), "left")
+    at = lambda where, sure: F.struct(F.lit(where).alias("location"), F.lit(sure).alias("confidence"))
+    node = F.when(F.col("__tests__"), at("__tests__/", 1.0)).when(F.col("tests"), at("tests/", 1.0)).when(F.col("test"), at("test/", 1.0)).when(F.col("vitest") | F.col("jest"), at("*.test.ts", 0.85))
+    found = F.when(F.col("type") == "node", node).when(F.col("type") == "go", at("*_test.go", 1.0)).when((F.col("type") == "rust") & F.col("tests"), at("tests/", 1.0))
+    return p.select("project", found.alias("x")).filter(F.col("x").isNotNull()).select("project", "x.location", "x.confidence")
+
+
+def structure_confidence(entry: Column, test: Column, architecture: Column) -> Column:
+    """AGG-29: half the confidence of entry points, a quarter each of test locations and architecture."""
+    return entry * 0.5 + test * 0.25 + architecture * 0.25

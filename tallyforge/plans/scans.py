@@ -393,3 +393,34 @@ def workspace_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def workspace_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-05, CLS-07: the surfaces among the packages of a repository; the web app has too few sources."""
     return scan.surfaces(scan.workspaces(spark.createDataFrame(list(_WORKSPACE), "project string, path string, text string"))).select("root", "name", "signal")
+
+
+_PURPOSES = ", ".join(f"('{k}', '{v}')" for k, v in scan.PURPOSES.items())
+
+
+@R.query(
+    "known_directories",
+    CTE
+    + f""", k(base, purpose) AS (VALUES {_PURPOSES}),
+d AS (SELECT DISTINCT project, regexp_extract(file, '^([^/]+)/', 1) AS dir FROM t WHERE contains(file, '/') AND NOT starts_with(file, '/'))
+SELECT project, dir, purpose FROM d JOIN k ON k.base = d.dir WHERE dir NOT IN ({", ".join(f"'{x}'" for x in scan.IGNORED)})
+""",
+)
+def known_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-13, CLS-06: top-level directories of a project whose purpose is known."""
+    dirs = scan.directories(modules(spark, sf_dir).select("project", F.col("file").alias("path")).distinct(), 1)
+    return scan.directory_purposes(dirs.filter(F.col("dir") != "")).filter((F.col("depth") == 1) & (F.col("purpose") != "Unknown")).select("project", "dir", "purpose")
+
+
+@R.query("tree_purposes", rows_sql("dir, depth, purpose", "('src', 1, 'Source code')", "('src/deep', 2, 'Unknown')", "('src/deep/er', 3, 'Unknown')", "('src/deep/er/and', 4, 'Unknown')", "('src/deep/er/and/more', 5, 'Unknown')", "('tests', 1, 'Tests')", "('spec', 1, 'Spec tests')", "('apps', 1, 'Applications')", "('apps/web', 2, 'Web assets')"))
+def tree_purposes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CLS-06: what the directories of a tree are for."""
+    return scan.directory_purposes(scan.directories(_listing(spark))).select("dir", "depth", "purpose")
+
+
+@R.query("test_locations", rows_sql("project, location, confidence, structure", "('a', '__tests__/', 1.0::DOUBLE, 0.875::DOUBLE)", "('b', '*.test.ts', 0.85, 0.8375)", "('c', '*_test.go', 1.0, 0.875)", "('d', 'tests/', 1.0, 0.875)"))
+def test_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CLS-06, AGG-29: where tests are, and the confidence in a structure whose entry point is sure and whose architecture is half sure."""
+    projects = spark.createDataFrame([("a", "node"), ("b", "node"), ("c", "go"), ("d", "rust"), ("e", "node"), ("f", "rust")], "project string, type string")
+    files = spark.createDataFrame([("a", "test/x.ts"), ("a", "__tests__/y.ts"), ("b", "vitest.config.ts"), ("d", "tests/z.rs"), ("e", "src/tests/x.ts"), ("f", "src/x.rs")], "project string, path string")
+    return scan.test_locations(projects, files).withColumn("structure", scan.structure_confidence(F.lit(1.0), F.col("confidence"), F.lit(0.5)))

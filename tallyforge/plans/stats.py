@@ -232,29 +232,6 @@ def stratified_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("rn", F.row_number().over(Window.partitionBy("project", "grp", "depth").orderBy("file"))).filter(F.col("rn") <= 3).drop("rn")
 
 
-@R.query(
-    "file_census",
-    CTE
-    + r""", q AS (SELECT DISTINCT project, file FROM t)
-SELECT project, count(*) AS total, count(*) FILTER (regexp_matches(file, '\.(ts|tsx|mjs|py|go)$') AND NOT regexp_matches(file, '\.test\.')) AS source, count(*) FILTER (regexp_matches(file, '\.test\.')) AS test, count(*) FILTER (regexp_matches(file, '\.(json|yaml)$')) AS config,
-  count(*) FILTER (len(string_split(file, '/')) = 1) AS at_top, count(DISTINCT regexp_extract(file, '^(.*)/', 1)) FILTER (contains(file, '/')) AS directories FROM q GROUP BY project
-""",
-)
-def file_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-02, SRC-03, SRC-04, FLT-13: independent counts by kind (a file may be of several), directories and top-level files."""
-    q = modules(spark, sf_dir).select("project", "file").distinct()
-    f = F.col("file")
-    test = f.rlike(r"\.test\.")
-    return q.groupBy("project").agg(
-        F.count("*").alias("total"),
-        F.count_if(f.rlike(r"\.(ts|tsx|mjs|py|go)$") & ~test).alias("source"),
-        F.count_if(test).alias("test"),
-        F.count_if(f.rlike(r"\.(json|yaml)$")).alias("config"),
-        F.count_if(~f.contains("/")).alias("at_top"),
-        F.count_distinct(F.when(f.contains("/"), F.regexp_extract(f, "^(.*)/", 1))).alias("directories"),
-    )
-
-
 _ASIDE = "[" + ", ".join(f"'{x}'" for x in scan.ASIDE) + "]"
 
 
@@ -285,22 +262,6 @@ def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modules(spark, sf_dir).select("file").distinct().groupBy(kind.alias("kind")).agg(F.count("*").alias("files"))
 
 
-@R.query(
-    "structure_confidence",
-    CTE
-    + r""", q AS (SELECT project, count(DISTINCT file) AS files, count(DISTINCT file) FILTER (starts_with(file, 'packages/') OR starts_with(file, 'src/') OR starts_with(file, 'website/') OR starts_with(file, 'scripts/')) AS known, count(DISTINCT file) FILTER (regexp_matches(file, '\.test\.')) AS tests, count(DISTINCT file) FILTER (regexp_matches(file, '(^|/)index\.')) AS entry_points FROM t GROUP BY project)
-SELECT project, floor((0.5 * known / files + 0.25 * (tests > 0)::INTEGER + 0.25 * (entry_points > 0)::INTEGER) * 1e4 + 0.5) / 1e4 AS confidence FROM q
-""",
-)
-def structure_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-29: half for known directories, a quarter each for tests and entry points."""
-    f = F.col("file")
-    q = modules(spark, sf_dir).select("project", "file").distinct().groupBy("project").agg(
-        F.count("*").alias("files"), F.count_if(f.rlike("^(packages|src|website|scripts)/")).alias("known"), F.count_if(f.rlike(r"\.test\.")).alias("tests"), F.count_if(f.rlike(r"(^|/)index\.")).alias("entry_points")
-    )
-    return q.select("project", half_up(0.5 * F.col("known") / F.col("files") + F.when(F.col("tests") > 0, 0.25).otherwise(0.0) + F.when(F.col("entry_points") > 0, 0.25).otherwise(0.0), 4).alias("confidence"))
-
-
 @R.query(
     "ledger_states",
     CTE

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.numeric import half_up, ratio
 from tallyforge.functions.paths import base_name, endings
-from tallyforge.functions.text import DEMANDED, KEYWORDS, VOTED, naming_style
+from tallyforge.functions.text import DEMANDED, KEYWORDS, VOTED, branch_of_merge, naming_style
 
 #: Directories that no census looks into.
 IGNORED = ("node_modules", ".git", "dist", "build", "out", ".next", ".nuxt", "__pycache__", ".pytest_cache", "venv", ".venv", "vendor", "target", "coverage", ".coverage", ".nyc_output", ".turbo", ".cache", "tmp", ".vitest")
@@ -593,3 +593,44 @@ def test_locations(projects: DataFrame, files: DataFrame) -> DataFrame:
 def structure_confidence(entry: Column, test: Column, architecture: Column) -> Column:
     """AGG-29: half the confidence of entry points, a quarter each of test locations and architecture."""
     return entry * 0.5 + test * 0.25 + architecture * 0.25
+
+
+#: Prefixes of branches that no person made.
+BOTS = ("dependabot/", "renovate/", "snyk-", "greenkeeper/", "imgbot/")
+
+
+def branch_habits(merges: DataFrame, branches: DataFrame) -> DataFrame:
+    """FLT-12, AGG-32: (project, prefix, uses) of the commonest branch prefix: of the branches that ``merges(project, place, subject)``
+    name, newest first, or, in a project whose merges name none, of ``branches(project, place, name)``. Bots' branches do not
+    count; of equals the first seen is taken."""
+    no_bot = ~F.exists(F.array(*[F.lit(b) for b in BOTS]), lambda b: F.col("name").startswith(b))
+    named = merges.filter(F.col("place") < 50).select("project", "place", branch_of_merge(F.col("subject")).alias("name")).filter(F.col("name").isNotNull() & no_bot)
+    has = named.select(F.col("project").alias("h_p")).distinct()
+    own = branches.select("project", "place", F.regexp_replace("name", "^origin/", "").alias("name")).filter(no_bot & ~F.col("name").contains(" -> ") & (F.col("name") != "HEAD"))
+    used = named.unionByName(own.join(has, F.col("project") == F.col("h_p"), "left_anti"))
+    prefixed = used.select("project", "place", F.regexp_extract("name", "^([^/]+/)", 1).alias("prefix")).filter(F.col("prefix") != "")
+    n = prefixed.groupBy("project", "prefix").agg(F.count("*").alias("uses"), F.min("place").alias("first"))
+    return n.groupBy("project").agg(F.min_by(F.struct("prefix", "uses"), F.struct(-F.col("uses"), F.col("first"))).alias("x")).select("project", "x.prefix", "x.uses")
+
+
+def recent_activity(commits: DataFrame, now: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """AGG-30: of ``commits(project, at, author, files)`` before ``now(project, now)``: (project, days, contributors, weeks) and
+    (project, file, commits), the ten files of the product with most commits.
+
+    The window is thirty days, fourteen where these have over 300 commits; weeks
+    are the commits of the last four, the newest first, the rest of 28 days in
+    the last. Files count if they are sources, or Markdown below ``src``.
+    """
+    day = 86_400
+    c = commits.join(now, "project").withColumn("age", F.unix_timestamp("now") - F.unix_timestamp("at")).filter(F.col("age").between(0, 30 * day))
+    size = c.groupBy(F.col("project").alias("s_p")).agg(F.count("*").alias("n")).select("s_p", F.when(F.col("n") > 300, 14).otherwise(30).alias("days"))
+    sized = c.join(size, F.col("project") == F.col("s_p"))
+    inside = F.col("age") <= F.col("days") * day
+    week = lambda i: F.count_if((F.col("age") <= 28 * day) & (F.least(F.floor(F.col("age") / (7 * day)), F.lit(3)) == i))
+    summary = sized.groupBy("project", "days").agg(F.count_distinct(F.when(inside, F.col("author"))).alias("contributors"), F.array(*[week(i) for i in range(4)]).alias("weeks"))
+    files = sized.filter(inside).select("project", F.explode("files").alias("file"))
+    ext = F.regexp_extract("file", r"\.([A-Za-z0-9]+)$", 1)
+    counted = ext.isin("ts", "tsx", "js", "jsx", "py", "go", "rs", "java", "rb", "swift", "kt") | ((ext == "md") & F.col("file").rlike("(^|/)src/"))
+    n = files.filter(counted & ~is_aside(F.col("file"), 3)).groupBy("project", "file").agg(F.count("*").alias("commits"))
+    rank = F.row_number().over(Window.partitionBy("project").orderBy(F.desc("commits"), "file"))
+    return summary, n.withColumn("r", rank).filter(F.col("r") <= 10).select("project", "file", "commits")

@@ -424,3 +424,34 @@ def test_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     projects = spark.createDataFrame([("a", "node"), ("b", "node"), ("c", "go"), ("d", "rust"), ("e", "node"), ("f", "rust")], "project string, type string")
     files = spark.createDataFrame([("a", "test/x.ts"), ("a", "__tests__/y.ts"), ("b", "vitest.config.ts"), ("d", "tests/z.rs"), ("e", "src/tests/x.ts"), ("f", "src/x.rs")], "project string, path string")
     return scan.test_locations(projects, files).withColumn("structure", scan.structure_confidence(F.lit(1.0), F.col("confidence"), F.lit(0.5)))
+
+
+@R.query("branch_habits", rows_sql("project, prefix, uses", "('a', 'feat/', 2)", "('b', 'fix/', 1)"))
+def branch_habits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-12, AGG-32: the commonest branch prefix of merges, without bots; of branches where merges name none; the first of equals."""
+    merges = [("a", 0, "Merge pull request #1 from me/dependabot/x"), ("a", 1, "Merge pull request #2 from me/feat/x"), ("a", 2, "Merge branch 'feat/y'"), ("a", 3, "Merge pull request #3 from me/dependabot/y"), ("a", 4, "Merge branch 'plain'"), ("b", 0, "Merge pull request #1 from me/renovate/x")]
+    branches = [("a", 0, "origin/zzz/1"), ("b", 0, "origin/HEAD -> origin/main"), ("b", 1, "origin/fix/1"), ("b", 2, "origin/feat/1"), ("b", 3, "origin/snyk-fix/2")]
+    out = scan.branch_habits(spark.createDataFrame(merges, "project string, place int, subject string"), spark.createDataFrame(branches, "project string, place int, name string"))
+    return out.select("project", "prefix", F.col("uses").cast("int").alias("uses"))
+
+
+def _commits(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    rows = [("q", d, a, f) for d, a, f in ((0, "x", ["src/a.ts", "README.md"]), (6, "y", ["src/a.ts", "src/notes.md"]), (8, "x", ["src/b.py", "tests/c.ts"]), (27, "z", ["src/b.py"]), (29, "w", []), (31, "v", ["src/a.ts"]))]
+    rows += [("busy", d % 20, f"p{d % 3 if d % 20 < 14 else 9}", ["m.go"]) for d in range(320)]
+    d = spark.createDataFrame(rows, "project string, d int, author string, files array<string>")
+    at = F.expr("timestamp'2025-06-30 12:00:00' - make_dt_interval(d)")
+    return d.select("project", at.alias("at"), "author", "files"), spark.createDataFrame([("q",), ("busy",)], "project string").withColumn("now", F.expr("timestamp'2025-06-30 12:00:00'"))
+
+
+@R.query("recent_activity", rows_sql("project, days, contributors, weeks", "('q', 30, 4, '2,1,0,1')", "('busy', 14, 4, '112,112,96,0')"))
+def recent_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-30: window, contributors and weekly commits; fourteen days (and the fifteenth's first moment) where thirty have over 300 commits."""
+    s, _ = scan.recent_activity(*_commits(spark))
+    return s.select("project", "days", F.col("contributors").cast("int").alias("contributors"), F.array_join(F.col("weeks").cast("array<string>"), ",").alias("weeks"))
+
+
+@R.query("churning_files", rows_sql("project, file, commits", "('q', 'src/a.ts', 2)", "('q', 'src/b.py', 2)", "('q', 'src/notes.md', 1)", "('busy', 'm.go', 240)"))
+def churning_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-30: the files with most commits in the window; no Markdown outside of sources, nothing aside from the product."""
+    _, f = scan.recent_activity(*_commits(spark))
+    return f.select("project", "file", F.col("commits").cast("int").alias("commits"))

@@ -34,3 +34,17 @@ def running_total(df: DataFrame, part: list[str], order: list[str], bucket: Colu
     inner = Window.partitionBy(*part, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     total = (F.col("__before") + F.sum(value).over(inner)).alias(out)
     return df.join(before, on).select(*[c for c in df.columns if c != b], total)
+
+
+def versions(saves: DataFrame, key: list[str], order: list[str], content: Column) -> DataFrame:
+    """SNK-06: the saves that changed something: (key..., order..., hash, version), the first of a key with version 1.
+
+    A save whose content has the hash of the one before it is skipped; one that
+    returns to an older content is a version again. A null content counts as a
+    content of its own. ``order`` must tell the saves of a key apart.
+    """
+    w = Window.partitionBy(*key).orderBy(*order)
+    hashed = saves.select(*key, *order, F.sha2(content, 256).alias("hash"))
+    marked = hashed.withColumn("__n", F.row_number().over(w)).withColumn("__before", F.lag("hash").over(w))
+    kept = marked.filter((F.col("__n") == 1) | ~F.col("hash").eqNullSafe(F.col("__before")))
+    return kept.select(*key, *order, "hash", F.row_number().over(w).alias("version"))

@@ -10,7 +10,7 @@ from tallyforge.functions.numeric import half_up
 from tallyforge.operators import ledger as L
 from tallyforge.operators import scan
 from tallyforge.operators import stats as S
-from tallyforge.operators.rows import latest
+from tallyforge.operators.rows import latest, versions
 from tallyforge.plans.views import CTE, entries, findings, modules
 from tallyforge.registry import Registry, table
 
@@ -300,6 +300,23 @@ def idempotent_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.groupBy("project", "doc_type", F.sha2("body", 256).alias("h")).agg(F.min("raw_id").alias("raw_id")).select("raw_id", "project", "doc_type")
 
 
+@R.query(
+    "saved_versions",
+    """
+WITH c AS (SELECT DISTINCT project, slug, sealed_at, contract_id, sha256(body) AS hash FROM contracts WHERE project IS NOT NULL AND slug IS NOT NULL),
+m AS (SELECT *, lag(hash) OVER w AS before_, row_number() OVER w AS n FROM c WINDOW w AS (PARTITION BY project, slug ORDER BY sealed_at NULLS FIRST, contract_id, hash NULLS FIRST)),
+k AS (SELECT *, row_number() OVER (PARTITION BY project, slug ORDER BY n) AS version FROM m WHERE n = 1 OR hash IS DISTINCT FROM before_)
+SELECT project, slug, CAST(max(version) AS INTEGER) AS versions, CAST(count(*) - 1 AS BIGINT) AS in_history, arg_max(contract_id, version) AS current FROM k GROUP BY project, slug
+""",
+)
+def saved_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-06: the contract of each work item that counts, and how many different ones came before it."""
+    c = table(spark, sf_dir, "contracts").filter(F.col("project").isNotNull() & F.col("slug").isNotNull()).select("project", "slug", "sealed_at", "contract_id", "body").distinct()
+    c = c.withColumn("h", F.sha2("body", 256))
+    v = versions(c, ["project", "slug"], ["sealed_at", "contract_id", "h"], F.col("body"))
+    return v.groupBy("project", "slug").agg(F.max("version").alias("versions"), (F.count("*") - 1).alias("in_history"), F.max_by("contract_id", "version").alias("current"))
+
+
 @R.query(
     "envelopes",
     CTE + """SELECT project, '{"command":"health","results":{"runs":' || count(*) || ',"rejected":' || count(*) FILTER (rejection_cycles > 0) || '}}' AS envelope FROM e GROUP BY project""",

@@ -114,3 +114,13 @@ def test_empty_ledger(spark):
     t = spark.createDataFrame([], "project string, entry_idx int, file string")
     for df in (L.chain_health(f), L.trajectory(f), L.hot_modules(f), L.promotion_candidates(f), L.promotion_effect(f, e), L.staleness(f, t, e), L.resolution_claims(f), L.audit_by_file(f), L.risk_scores(f), L.severity_rollup(f), L.health_change(f, e)):
         assert df.count() == 0
+
+
+def test_versions_of_saves(spark):
+    from pyspark.sql import functions as F
+
+    from tallyforge.operators.rows import versions
+
+    rows = [("a", 1, "x"), ("a", 2, "x"), ("a", 3, "y"), ("a", 4, "x"), ("b", 1, None), ("b", 2, None), ("b", 3, "z")]
+    got = versions(spark.createDataFrame(rows, "k string, n int, c string"), ["k"], ["n"], F.col("c")).collect()
+    assert sorted((r.k, r.n, r.version) for r in got) == [("a", 1, 1), ("a", 3, 2), ("a", 4, 3), ("b", 1, 1), ("b", 3, 2)]
